@@ -149,9 +149,9 @@ def chosen(rows: list, terms: int, least: int = 3, chi: float = 12.0) -> dict[st
     with np.errstate(divide="ignore", invalid="ignore"):
         chi2 = np.nan_to_num(n * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d)))
     order = np.argsort(-chi2, kind="stable")[:terms]
-    order = [i for i in order if df[i] >= least and chi2[i] >= chi]
     names = list(code)
-    return {names[i]: j for j, i in enumerate(order) if names[i]}
+    order = [i for i in order if df[i] >= least and chi2[i] >= chi and names[i]]
+    return {names[i]: j for j, i in enumerate(order)}
 
 
 def frequencies(docs: DataFrame, known: dict[str, int]) -> tuple[np.ndarray, int]:
