@@ -15,7 +15,6 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -110,21 +109,25 @@ def _ranges(out: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc_id", "a", "e"])
 
 
+def _joined(body: bytes):
+    words = body.split()  # white space of bytes: space and 0x09 to 0x0D
+    return lambda i, j: b" ".join(words[max(0, i) : j])
+
+
 def _body(text: str):
-    words = text.encode().split()  # white space of bytes: space and 0x09 to 0x0D
-    return lambda i, j: b" ".join(words[i:j])
+    return _joined(text.encode())
 
 
-def _windows(body: bytes, n: int, size: int) -> list[int]:
-    words = body.split(b" ")
-    return [xxhash.xxh64_intdigest(b" ".join(words[i : i + size])) - (1 << 63) for i in range(n)]
+def _windows(body: bytes, size: int) -> list[int]:
+    words = body.split()
+    return [xxhash.xxh64_intdigest(b" ".join(words[i : i + size])) - (1 << 63) for i in range(len(words) - size + 1)]
 
 
-def plan(size: int = 20, k: int = 6, cap: int = 2000) -> Repeats:
-    return Repeats(word_hashes, _body, partial(_windows, size=size), partial(shard, size=size), size, k, cap, every=False)
+def plan(size: int = 20, k: int = 6, step: int = 4, cap: int = 2000) -> Repeats:
+    return Repeats(word_hashes, _body, _joined, partial(_windows, size=size), partial(shard, size=size), size, k, step, cap, every=False)
 
 
-def remove_repeats(docs: DataFrame, size: int = 20, k: int = 6, cap: int = 2000) -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = 20, k: int = 6, step: int = 4, cap: int = 2000) -> DataFrame:
     """(doc_id, text, n_words, n_removed): documents without the words of any window that starts earlier elsewhere.
 
     Words lie between ASCII white space; the words that stay are joined by one space.
@@ -144,9 +147,6 @@ def remove_repeats(docs: DataFrame, size: int = 20, k: int = 6, cap: int = 2000)
             joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), kept), " ")
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), joined, pa.array(np.diff(offsets)), pa.array(gone, pa.int64())], names=["doc_id", "text", "n_words", "n_removed"])
 
-    marked = plan(size, k, cap).marked(columns(docs, "doc_id", "text"))
+    marked = plan(size, k, step, cap).marked(columns(docs, "doc_id", "text"))
     return marked.select("doc_id", "text", "spans").mapInArrow(rebuild, "doc_id long, text string, n_words long, n_removed long")
 
-
-def digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

@@ -188,11 +188,11 @@ def segments(sym: np.ndarray, starts: np.ndarray, k: int, size: int) -> dict[str
 
     sym: 64-bit hashes of the symbols of one chunk; starts: where its documents begin. A segment is a run of windows
     that share the occurrence of their smallest k-gram. Equal windows anywhere have equal k-grams at equal places, so
-    they lie in segments of equal `f`. Gives first window, number of windows, the k-gram's hash f, and a hash `sh` of
+    they lie in segments of equal `f`. Gives first window, number of windows, the k-gram's place rel in it and hash f, and a hash `sh` of
     the segment's symbols and of the k-gram's place in it.
     """
     n = len(sym)
-    empty = {c: np.zeros(0, np.int64) for c in ("a", "n", "f", "sh")}
+    empty = {c: np.zeros(0, np.int64) for c in ("a", "n", "rel", "f", "sh")}
     if n < size:
         return empty
     p, q = powers()
@@ -217,7 +217,7 @@ def segments(sym: np.ndarray, starts: np.ndarray, k: int, size: int) -> dict[str
     at = low[a]
     body = mix((h[b + size] - h[a]) * q[a])
     body = mix(body ^ ((at - a).astype(U64) * MIX_A + (b - a).astype(U64) * MIX_B))
-    return {"a": a, "n": b - a + 1, "f": g[at].view(np.int64), "sh": body.view(np.int64)}
+    return {"a": a, "n": b - a + 1, "rel": at - a, "f": g[at].view(np.int64), "sh": body.view(np.int64)}
 
 
 class Forest:

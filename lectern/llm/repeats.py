@@ -4,10 +4,11 @@ Windows of `size` symbols are grouped into segments by winnowing (common.segment
 equal key f, at equal places, so only segments whose f occurs twice matter, and:
 
 * segments with equal (f, sh) are equal as a whole: one aggregate tells whether, and where first, they occur;
-* where an f has different segments, the first occurrence of each is fetched from its document and the group's
-  segments are compared symbol by symbol by the caller's kernel;
-* an f with more than `cap` different segments (a passage that very many contexts share) would be an unbounded group:
-  its windows are compared one by one instead, with aggregates that pre-combine in each task.
+* where an f has different segments, the first of each kind is fetched from its document and cut into runs of a few
+  windows that share a core; again runs may be equal as a whole, and runs of one core that differ are compared symbol
+  by symbol by the caller's kernel;
+* a core with more than `cap` different runs (the edge of a passage that very many contexts share) would be an
+  unbounded group: its windows are compared one by one instead, with aggregates that pre-combine in each task.
 
 Nothing is collected to the driver, and no window is left out.
 """
@@ -20,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,25 +30,34 @@ from .common import chunks, columns, pieces, saved, segments
 #: text column -> offsets by document and a 64-bit hash of each symbol.
 Symbols = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
-OCC = "doc_id long, a long, n int, f long, sh long"
-BODY = "f long, doc_id long, a long, n int, w long, body binary"
+OCC = "doc_id long, a long, n int, rel int, f long, sh long"
+BODY = {"f": "long", "doc_id": "long", "a": "long", "n": "int", "rel": "int", "body": "binary"}
+RUN = {"f": "long", "sh": "long", "doc_id": "long", "a": "long", "n": "int", "o": "long"}
+KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+
+
+def _batch(rows: list[tuple], schema: dict[str, str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, KINDS[t]) for c, t in zip(zip(*rows), schema.values())], names=list(schema))
 
 
 @dataclass(frozen=True)
 class Repeats:
     """What a caller fixes.
 
-    symbols: splits texts; body(text): a function (first, last symbol) -> bytes of that part; hashed(body, i): hash of
-    window i of a body; size: symbols of a window; k: symbols of the k-gram that groups windows; cap: different
-    segments of one f that the kernel may get together; every: also the first occurrence counts as repeated.
+    symbols: splits texts; body(text): a function (first, last symbol) -> bytes of that part, and joined(bytes) the
+    same for such bytes; windows(bytes): a hash of each window in them; kernel: ranges that repeat among the runs of
+    one f; size: symbols of a window; k: symbols of the k-gram that groups windows; step: windows of a run; cap:
+    different runs of one f that the kernel may get together; every: also the first occurrence counts as repeated.
     """
 
     symbols: Symbols
     body: Callable[[str], Callable[[int, int], bytes]]
-    windows: Callable[[bytes, int], list[int]]
+    joined: Callable[[bytes], Callable[[int, int], bytes]]
+    windows: Callable[[bytes], list[int]]
     kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
     size: int
     k: int
+    step: int
     cap: int
     every: bool
 
@@ -63,56 +74,105 @@ class Repeats:
                     if len(s["a"]):
                         d = np.searchsorted(starts, s["a"], "right") - 1
                         at = s["a"] + lo - offsets[rows[d]]
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[rows[d]]), pa.array(at), pa.array(s["n"].astype(np.int32)), pa.array(s["f"]), pa.array(s["sh"])], names=["doc_id", "a", "n", "f", "sh"])
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[rows[d]]), pa.array(at), pa.array(s["n"].astype(np.int32)), pa.array(s["rel"].astype(np.int32)), pa.array(s["f"]), pa.array(s["sh"])], names=["doc_id", "a", "n", "rel", "f", "sh"])
 
         return columns(docs, "doc_id", "text").filter("doc_id is not null and text is not null").mapInArrow(emit, OCC)
 
     def fetch(self, docs: DataFrame, wanted: DataFrame) -> DataFrame:
-        """The bodies of wanted segments (f, doc_id, a, n, hot); of hot ones a hash of each window instead."""
-        body, windows, size = self.body, self.windows, self.size
+        """The bodies of wanted segments (f, doc_id, a, n, rel)."""
+        body, size = self.body, self.size
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in pieces(batches, "text", 4 << 20):
                 out: list[tuple] = []
                 for doc, text, segs in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("segs").to_pylist()):
                     part = body(text)
-                    for s in segs:
-                        piece = part(s["a"], s["a"] + s["n"] + size - 1)
-                        if s["hot"]:
-                            out += [(s["f"], doc, s["a"] + i, 1, w, None) for i, w in enumerate(windows(piece, s["n"]))]
-                        else:
-                            out.append((s["f"], doc, s["a"], s["n"], None, piece))
+                    out += [(s["f"], doc, s["a"], s["n"], s["rel"], part(s["a"], s["a"] + s["n"] + size - 1)) for s in segs]
                 if out:
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["f", "doc_id", "a", "n", "w", "body"])
+                    yield _batch(out, BODY)
+
+        lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("f", "a", "n", "rel")).alias("segs"))
+        return columns(docs, "doc_id", "text").join(lists, "doc_id").mapInArrow(cut, ", ".join(f"{c} {t}" for c, t in BODY.items()))
+
+    def split(self, bodies: DataFrame, step: int) -> DataFrame:
+        """Segments cut into runs of at most `step` windows at fixed distances from their k-gram.
 
-        lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("f", "a", "n", "hot")).alias("segs"))
-        return columns(docs, "doc_id", "text").join(lists, "doc_id").mapInArrow(cut, BODY)
+        All windows of a run share its core, so equal windows lie in runs of equal key f, made of the segment's key,
+        the distance and the core. sh tells runs apart that are equal as a whole; o is the segment's start.
+        """
+        size, joined = self.size, self.joined
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out: list[tuple] = []
+                for f, doc, a, n, body, rel in zip(*(b.column(c).to_pylist() for c in ("f", "doc_id", "a", "n", "body", "rel"))):
+                    part = joined(body)
+                    i = 0
+                    while i < n:
+                        # windows i to j - 1; their distance to the k-gram is rel - i and falls to the next multiple of step
+                        j = min(n, i + (rel - i) % step + 1)
+                        to = i + (rel - i) % step  # the last start that a run of this place can have
+                        first = to - step + 1
+                        core = part(to, first + size) if size >= step else b""
+                        key = xxhash.xxh64_intdigest(b"%d,%d:" % (f, (rel - i) // step) + core)
+                        whole = xxhash.xxh64_intdigest(b"%d,%d:" % (rel - i, j - i) + part(i, j - 1 + size))
+                        out.append((key - (1 << 63), whole - (1 << 63), doc, a + i, j - i, a))
+                        i = j
+                if out:
+                    yield _batch(out, RUN)
+
+        return bodies.mapInArrow(cut, ", ".join(f"{c} {t}" for c, t in RUN.items()))
+
+    def equal(self, rows: DataFrame, key: str) -> DataFrame:
+        """Of rows (f, <key>, doc_id, a, n), the ranges of those that are equal as a whole to an earlier, or any, row."""
+        at = F.struct("doc_id", "a")
+        known = rows.groupBy("f", key).agg(F.min(at).alias("first"), F.max(at).alias("last")).filter("first <> last").select("f", key, "first")
+        found = rows.join(saved(known, "known"), ["f", key])
+        found = found if self.every else found.filter(at != F.col("first"))
+        return found.select("doc_id", "a", (F.col("a") + F.col("n") + (self.size - 1)).alias("e"))
+
+    def different(self, rows: DataFrame, key: str, *carried: str) -> DataFrame:
+        """The first row of each kind where an f has several kinds; kinds: how many."""
+        at = F.struct("doc_id", "a", "n", *carried)
+        one = saved(rows.groupBy("f", key).agg(F.min(at).alias("first")), "kinds")
+        kinds = saved(one.groupBy("f").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "several")
+        return one.join(kinds, "f").select("f", "first.*", "kinds")
 
     def spans(self, docs: DataFrame) -> DataFrame:
         """(doc_id, a, e): ranges of symbols, maybe overlapping, that repeated windows cover."""
-        size = self.size
+        size, windows = self.size, self.windows
         occ = self.occurrences(docs)
-        often = occ.groupBy("f").agg(F.count("*").alias("c")).filter("c > 1").select("f")
+        # as a table of its own, so that the join is one of plain exchanges, whose hot keys Spark can split
+        often = saved(occ.groupBy("f").agg(F.count("*").alias("c")).filter("c > 1").select("f"), "often")
         occ = saved(occ.join(often, "f"), "segments")
-        at = F.struct("doc_id", "a")
-        one = saved(occ.groupBy("f", "sh").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.min("n").alias("n")), "kinds")
-        # segments that are equal as a whole
-        known = one.filter("first <> last").select("f", "sh", "first")
-        whole = occ.join(known, ["f", "sh"])
-        whole = whole if self.every else whole.filter(at != F.col("first"))
-        found = whole.select("doc_id", "a", (F.col("a") + F.col("n") + (size - 1)).alias("e"))
-        # different segments of one f
-        kinds = one.groupBy("f").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-        wanted = one.join(kinds, "f").select("f", "first.doc_id", "first.a", "n", (F.col("kinds") > self.cap).alias("hot"))
+        found = self.equal(occ, "sh")
+        # segments of one f that differ: their runs
+        wanted = self.different(occ, "sh", "rel")
         bodies = saved(self.fetch(docs, wanted), "bodies")
-        near = bodies.filter("w is null").select("f", "doc_id", "a", "n", "body").repartition("f").sortWithinPartitions("f", "doc_id", "a")
-        found = found.union(near.mapInArrow(self.kernel, "doc_id long, a long, e long"))
-        single = bodies.filter("w is not null")
-        twice = single.groupBy("f", "w").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter("first <> last").select("f", "w", "first")
-        hot = single.join(twice, ["f", "w"])
-        hot = hot if self.every else hot.filter(at != F.col("first"))
-        return found.union(hot.select("doc_id", "a", (F.col("a") + size).alias("e")))
+        runs = saved(self.split(bodies, self.step), "runs")
+        found = found.union(self.equal(runs, "sh"))
+        # runs of one core that differ: by the kernel, or window by window where there are too many
+        runs = self.different(runs, "sh", "o")
+        whole = bodies.select("doc_id", F.col("a").alias("o"), "body").dropDuplicates(["doc_id", "o"])
+        runs = saved(runs.join(whole, ["doc_id", "o"]).select("f", "doc_id", "a", "n", "o", "body", "kinds"), "cores")
+        near = runs.filter(F.col("kinds") <= self.cap).repartition("f").sortWithinPartitions("f", "doc_id", "a")
+        kernel, joined = self.kernel, self.joined
+
+        def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                body = [joined(x)(a - o, a - o + n + size - 1) for x, a, o, n in zip(*(b.column(c).to_pylist() for c in ("body", "a", "o", "n")))]
+                yield pa.RecordBatch.from_arrays([b.column("f"), b.column("doc_id"), b.column("a"), pa.array(body, pa.binary())], names=["f", "doc_id", "a", "body"])
+
+        found = found.union(near.mapInArrow(lambda x: kernel(trimmed(x)), "doc_id long, a long, e long"))
+
+        def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in trimmed(batches):
+                out = [(f, w, doc, a + i, 1, 0) for f, doc, a, body in zip(*(b.column(c).to_pylist() for c in ("f", "doc_id", "a", "body"))) for i, w in enumerate(windows(body))]
+                if out:
+                    yield _batch(out, RUN)
+
+        hot = runs.filter(F.col("kinds") > self.cap).mapInArrow(single, ", ".join(f"{c} {t}" for c, t in RUN.items()))
+        return found.union(self.equal(saved(hot, "windows"), "sh"))
 
     def marked(self, docs: DataFrame) -> DataFrame:
         """The documents with a column spans of (a, e); null where nothing repeats."""
@@ -131,6 +191,3 @@ def covered(spans: list[dict] | None, n: int) -> tuple[np.ndarray, int]:
     runs = int(mask[:1].sum() + np.count_nonzero(mask[1:] & ~mask[:-1]))
     return mask, runs
 
-
-def texts(batch: pa.RecordBatch) -> list[str]:
-    return pc.fill_null(batch.column("text"), "").to_pylist()

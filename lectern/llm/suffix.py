@@ -152,20 +152,23 @@ def byte_hashes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], TABLE[data]
 
 
+def _joined(body: bytes):
+    return lambda i, j: body[max(0, i) : j]
+
+
 def _body(text: str):
-    data = text.encode()
-    return lambda i, j: data[i:j]
+    return _joined(text.encode())
 
 
-def _windows(body: bytes, n: int, size: int) -> list[int]:
-    return [xxhash.xxh64_intdigest(body[i : i + size]) - (1 << 63) for i in range(n)]
+def _windows(body: bytes, size: int) -> list[int]:
+    return [xxhash.xxh64_intdigest(body[i : i + size]) - (1 << 63) for i in range(len(body) - size + 1)]
 
 
-def plan(size: int = 200, k: int = 64, cap: int = 500) -> Repeats:
-    return Repeats(byte_hashes, _body, partial(_windows, size=size), partial(shard, size=size), size, k, cap, every=True)
+def plan(size: int = 200, k: int = 64, step: int = 16, cap: int = 200) -> Repeats:
+    return Repeats(byte_hashes, _body, _joined, partial(_windows, size=size), partial(shard, size=size), size, k, step, cap, every=True)
 
 
-def remove_repeats(docs: DataFrame, size: int = 200, k: int = 64, cap: int = 500) -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = 200, k: int = 64, step: int = 16, cap: int = 200) -> DataFrame:
     """(doc_id, kept binary, n_bytes, n_removed, n_spans): UTF-8 texts without any string of `size` bytes that occurs twice."""
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,5 +184,5 @@ def remove_repeats(docs: DataFrame, size: int = 200, k: int = 64, cap: int = 500
             kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    marked = plan(size, k, cap).marked(columns(docs, "doc_id", "text"))
+    marked = plan(size, k, step, cap).marked(columns(docs, "doc_id", "text"))
     return marked.select("doc_id", "text", "spans").mapInArrow(rebuild, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
