@@ -1,0 +1 @@
+"""Spark-native analytics over reading activity and long-form text."""

@@ -1,0 +1,67 @@
+"""Stateful streaming: a sliding-window throttle and a circuit breaker by key."""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..session import shared_dir
+
+
+def throttled(hits: DataFrame, window_ms: int, most: int) -> DataFrame:
+    """(event_id, n_recent, limited) for a stream of (event_id, user_id, at).
+
+    The state of a key is its hit times within the window. A batch's rows are sorted by time and id; across batches
+    arrival is the clock, as late rows count when they come.
+    """
+
+    def count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
+        n = []
+        for at in rows["at"].tolist():
+            seen = [x for x in seen if at - x < window_ms]
+            seen.append(at)
+            n.append(len(seen))
+        state.update((seen,))
+        yield pd.DataFrame({"event_id": rows["event_id"].to_numpy(), "n_recent": n, "limited": [x > most for x in n]})
+
+    return hits.groupBy("user_id").applyInPandasWithState(count, "event_id long, n_recent long, limited boolean", "seen array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+def broken(hits: DataFrame, cooldown_ms: int) -> DataFrame:
+    """(event_id, skipped) for a stream of (event_id, user_id, at, refused)."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        until = state.get[0] if state.exists else 0
+        rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
+        out = []
+        for at, no in zip(rows["at"].tolist(), rows["refused"].tolist()):
+            out.append(at < until)
+            if at >= until and no:
+                until = at + cooldown_ms
+        state.update((until,))
+        yield pd.DataFrame({"event_id": rows["event_id"].to_numpy(), "skipped": out})
+
+    return hits.groupBy("user_id").applyInPandasWithState(run, "event_id long, skipped boolean", "until long", "append", GroupStateTimeout.NoTimeout)
+
+
+def finished(stream: DataFrame, name: str) -> DataFrame:
+    """Runs a stream over what its source has now and gives what it wrote."""
+    spark: SparkSession = stream.sparkSession
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    q = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/out")
+
+
+def events(spark: SparkSession, folder: str) -> DataFrame:
+    """The events table as a stream, a file at a time."""
+    schema = spark.read.parquet(f"{folder}/events.parquet").schema
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events.parq*t")
+    return s.select("event_id", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), (F.col("event_type") == "error").alias("refused"))
