@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import automaton, bpe, chat, embedding, exact, minhash, packing, pii, suffix, toxicity
@@ -67,8 +67,12 @@ def packed(docs: DataFrame) -> DataFrame:
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s.kind.isin(*pii.BASE))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
     return found.select(
-        "doc_id", *[F.size(F.filter("spans", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in pii.BASE],
+        "doc_id", *map(count, pii.BASE),
         F.sha2(pii.rendered(base), 256).alias("base_sha256"), pii.rendered(F.col("spans")).alias("spans"))
 
 

@@ -190,6 +190,16 @@ def test_pii(spark):
     assert pii.detect(df.limit(0)).count() == 0
 
 
+def test_pii_query(spark):
+    names = ("email", "ip", "card", "phone")
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in queries.op3_pii(spark, SF).collect():
+        base = base_spans(texts[r.doc_id])
+        assert [r[f"n_{k}"] for k in names] == [sum(s[1] == i for s in base) for i in range(4)]
+        assert r.base_sha256 == sha(",".join(f"{names[k]}:{a}:{b}" for a, k, b in base))
+        assert set(r.spans.split(",")) >= {f"{names[k]}:{a}:{b}" for a, k, b in base}
+
+
 # --- 4 ---
 
 def brute_components(nodes, links):
@@ -419,6 +429,33 @@ def brute_bytes(corpus, size):
     return out
 
 
+def test_pipeline(spark):
+    """Each stage on its own input against brute force, and the whole."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows_ = {r.doc_id: r for r in docs.collect()}
+    index = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    clean = {r.doc_id for r in toxicity.score(docs, index).collect() if r.score < 0.7}
+    stages = dict(corpus_pipeline.STAGES)
+    one = stages["toxicity"](spark, docs, SF)
+    assert {r.doc_id for r in one.collect()} == clean and one.columns == docs.columns
+    two = stages["exact dedup"](spark, docs, SF)
+    first = {}
+    for i in sorted(rows_):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", rows_[i].text), i)
+    assert {r.doc_id for r in two.collect()} == set(first.values())
+    three = stages["minhash near-dedup"](spark, docs, SF)
+    near = brute_near([(i, r.text) for i, r in rows_.items()], 5)
+    assert {r.doc_id for r in three.collect()} == {i for i, (_, c) in near.items() if i == c}
+    four = stages["pii"](spark, docs, SF).collect()
+    assert len(four) == len(rows_) and all(r.n_chars == len(r.text) for r in four)
+    assert all((r.text == rows_[r.doc_id].text) == (not base_spans(rows_[r.doc_id].text)) or "[" in r.text for r in four)
+    out = corpus_pipeline.run(spark, SF).collect()
+    kept = {r.doc_id for r in out}
+    assert kept <= clean & set(first.values()) and len(kept) > 50
+    assert sum(r.length for r in out) == sum({r.doc_id: r.doc_tokens for r in out}.values())
+
+
 def test_suffix_array():
     rng = random.Random(9)
     for _ in range(1500):
