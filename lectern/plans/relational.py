@@ -203,8 +203,8 @@ def membership_filter(t):
     return t.events.select("event_id", F.array_contains(allowed, F.col("event_type")).alias("allowed"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT p_partkey AS id, p_partkey // 7 AS up, p_name AS label FROM part WHERE p_partkey <= 400), r AS (SELECT id, 0 AS depth, id::VARCHAR AS path FROM e WHERE up = 0 UNION ALL SELECT e.id, r.depth + 1, r.path || '/' || e.id FROM e JOIN r ON e.up = r.id)
+@query("""WITH RECURSIVE e AS (SELECT p_partkey AS id, p_partkey // 7 AS up, p_name AS label FROM part WHERE p_partkey BETWEEN 1 AND 400), r AS (SELECT id, 0 AS depth, id::VARCHAR AS path FROM e WHERE up = 0 UNION ALL SELECT e.id, r.depth + 1, r.path || '/' || e.id FROM e JOIN r ON e.up = r.id)
 SELECT id, depth::BIGINT AS depth, path FROM r""")
 def flatten_toc(t):
-    e = t.part.filter("p_partkey <= 400").select(F.col("p_partkey").alias("id"), F.expr("p_partkey div 7").alias("up"))
+    e = t.part.filter("p_partkey between 1 and 400").select(F.col("p_partkey").alias("id"), F.expr("p_partkey div 7").alias("up"))
     return joins.flattened(e, "id", "up", F.col("up") == 0, 6)

@@ -24,7 +24,7 @@ def asof_chapter(t):
     return joins.asof_backward(probes, marks, "k", "pos", "anchor", "seq", F.lit(-1).cast("long")).select("l_orderkey", "l_linenumber", "anchor")
 
 
-@query("""WITH w AS (SELECT l_orderkey, l_linenumber, max(CASE WHEN l_extendedprice > 40000 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 10000000 + l_partkey ROWS UNBOUNDED PRECEDING) = 0 AS inside, l_linenumber * 10000000 + l_partkey AS line FROM lineitem)
+@query("""WITH w AS (SELECT l_orderkey, l_linenumber, max(CASE WHEN l_extendedprice > 40000 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 10000000 + l_partkey, l_quantity ROWS UNBOUNDED PRECEDING) = 0 AS inside, l_linenumber * 10000000 + l_partkey AS line FROM lineitem)
 SELECT l_orderkey, coalesce(max(line) FILTER (WHERE inside), min(line))::BIGINT AS chosen FROM w GROUP BY 1""")
 def asof_prefix(t):
     return joins.asof_prefix(t.lineitem.withColumn("line", LINE), "l_orderkey", "line", "l_extendedprice", F.lit(40000.0)).select("l_orderkey", F.col("line").cast("long").alias("chosen"))
@@ -68,9 +68,9 @@ def pending_messages(t):
 
 
 @query("""SELECT l_orderkey, l_linenumber, coalesce(lag(l_extendedprice) OVER w, l_extendedprice) AS prev_start, coalesce(lead(l_extendedprice) OVER w, l_extendedprice) AS next_start
-FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber * 10000000 + l_partkey)""")
+FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber * 10000000 + l_partkey, l_extendedprice)""")
 def prev_next(t):
-    w = Window.partitionBy("l_orderkey").orderBy(LINE)
+    w = Window.partitionBy("l_orderkey").orderBy(LINE, "l_extendedprice")
     at = F.col("l_extendedprice")
     return t.lineitem.select("l_orderkey", "l_linenumber", F.coalesce(F.lag(at).over(w), at).alias("prev_start"), F.coalesce(F.lead(at).over(w), at).alias("next_start"))
 
@@ -83,15 +83,15 @@ def running_timeline(t):
     return out.select("conv_id", "turn", F.round("start_s", 3).alias("start_s"), F.round("end_s", 3).alias("end_s"))
 
 
-@query("""WITH w AS (SELECT l_orderkey, l_linenumber, l_linenumber * 10000000 + l_partkey AS line, l_quantity AS q, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 10000000 + l_partkey ROWS UNBOUNDED PRECEDING) AS e FROM lineitem),
-c AS (SELECT *, e - q + CASE WHEN l_orderkey % 5 = 0 AND l_linenumber = 2 THEN 1 ELSE 0 END AS s FROM w), d AS (SELECT *, coalesce(abs(s - lag(e) OVER (PARTITION BY l_orderkey ORDER BY line)) <= 0.05, true) AS ok FROM c)
-SELECT l_orderkey, abs(min_by(s, line)) <= 0.05 AS begins_at_zero, bool_and(ok) AS is_contiguous, max_by(e, line)::DOUBLE AS last_end, count(DISTINCT l_linenumber) = count(*) AS ids_unique FROM d GROUP BY 1""")
+@query("""WITH w AS (SELECT l_orderkey, l_linenumber, l_linenumber * 10000000 + l_partkey AS line, l_quantity AS q, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 10000000 + l_partkey, l_quantity ROWS UNBOUNDED PRECEDING) AS e FROM lineitem),
+c AS (SELECT *, e - q + CASE WHEN l_orderkey % 5 = 0 AND l_linenumber = 2 THEN 1 ELSE 0 END AS s FROM w), d AS (SELECT *, coalesce(abs(s - lag(e) OVER (PARTITION BY l_orderkey ORDER BY e)) <= 0.05, true) AS ok FROM c)
+SELECT l_orderkey, abs(min_by(s, e)) <= 0.05 AS begins_at_zero, bool_and(ok) AS is_contiguous, max(e)::DOUBLE AS last_end, count(DISTINCT l_linenumber) = count(*) AS ids_unique FROM d GROUP BY 1""")
 def timeline_validate(t):
-    w = Window.partitionBy("l_orderkey").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("l_orderkey").orderBy("line", "l_quantity").rowsBetween(Window.unboundedPreceding, 0)
     c = t.lineitem.select("l_orderkey", "l_linenumber", LINE.alias("line"), "l_quantity").withColumn("e", F.sum("l_quantity").over(w))
     c = c.withColumn("s", F.col("e") - F.col("l_quantity") + F.when((F.col("l_orderkey") % 5 == 0) & (F.col("l_linenumber") == 2), 1).otherwise(0))
     unique = c.groupBy("l_orderkey").agg((F.count_distinct("l_linenumber") == F.count("*")).alias("ids_unique"))
-    return windows.contiguous(c, "l_orderkey", "line", "s", "e").join(unique, "l_orderkey")
+    return windows.contiguous(c, "l_orderkey", "e", "s", "e").join(unique, "l_orderkey")
 
 
 @query("""SELECT conv_id, turn, 'p' || lpad(row_number() OVER (PARTITION BY conv_id ORDER BY turn)::VARCHAR, 4, '0') AS part_id, 'mg-' || lpad((conv_id * 100 + row_number() OVER (PARTITION BY conv_id ORDER BY turn))::VARCHAR, 6, '0') AS span_id FROM conversations WHERE trim(text) <> ''""")
@@ -134,12 +134,12 @@ def circuit_breaker(t):
     return folds.circuit_breaker(hits, "user_id", "at", "event_id", F.col("event_type") == "error", COOL)
 
 
-@query("""WITH RECURSIVE s AS (SELECT l_orderkey AS k, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 10000000 + l_partkey ROWS UNBOUNDED PRECEDING)::BIGINT AS tm, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 10000000 + l_partkey) AS n FROM lineitem),
+@query("""WITH RECURSIVE s AS (SELECT l_orderkey AS k, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 10000000 + l_partkey, l_quantity ROWS UNBOUNDED PRECEDING)::BIGINT AS tm, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 10000000 + l_partkey, l_quantity) AS n FROM lineitem),
 r AS (SELECT k, n, CASE WHEN tm >= 40 THEN tm ELSE 0 END AS last, CASE WHEN tm >= 40 THEN tm::VARCHAR ELSE '' END AS cuts FROM s WHERE n = 1
 UNION ALL SELECT s.k, s.n, CASE WHEN s.tm - r.last >= 40 THEN s.tm ELSE r.last END, CASE WHEN s.tm - r.last >= 40 THEN r.cuts || CASE WHEN r.cuts = '' THEN '' ELSE ',' END || s.tm ELSE r.cuts END FROM r JOIN s ON s.k = r.k AND s.n = r.n + 1)
 SELECT k AS l_orderkey, max_by(cuts, n) AS cuts FROM r GROUP BY 1""")
 def greedy_cuts(t):
-    w = Window.partitionBy("l_orderkey").orderBy(LINE).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("l_orderkey").orderBy(LINE, "l_quantity").rowsBetween(Window.unboundedPreceding, 0)
     at = t.lineitem.select("l_orderkey", F.sum("l_quantity").over(w).cast("long").alias("at"))
     return folds.greedy_cuts(at, "l_orderkey", "at").select("l_orderkey", F.array_join("cuts", ",").alias("cuts"))
 
