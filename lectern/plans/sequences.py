@@ -10,8 +10,11 @@ from .registry import query
 
 ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
 DAY = 86_400_000
-#: A line's place in its order; line numbers alone repeat.
-LINE = F.expr("l_linenumber * 10000000L + l_partkey")
+
+
+def place():
+    """A line's place in its order; line numbers alone repeat."""
+    return F.expr("l_linenumber * 10000000L + l_partkey")
 
 
 @query("""WITH a AS (SELECT l_suppkey AS k, epoch_ms(l_shipdate) AS pos, max(l_orderkey * 10 + l_linenumber) AS seq FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2),
@@ -27,7 +30,7 @@ def asof_chapter(t):
 @query("""WITH w AS (SELECT l_orderkey, l_linenumber, max(CASE WHEN l_extendedprice > 40000 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 10000000 + l_partkey, l_quantity ROWS UNBOUNDED PRECEDING) = 0 AS inside, l_linenumber * 10000000 + l_partkey AS line FROM lineitem)
 SELECT l_orderkey, coalesce(max(line) FILTER (WHERE inside), min(line))::BIGINT AS chosen FROM w GROUP BY 1""")
 def asof_prefix(t):
-    return joins.asof_prefix(t.lineitem.withColumn("line", LINE), "l_orderkey", "line", "l_extendedprice", F.lit(40000.0)).select("l_orderkey", F.col("line").cast("long").alias("chosen"))
+    return joins.asof_prefix(t.lineitem.withColumn("line", place()), "l_orderkey", "line", "l_extendedprice", F.lit(40000.0)).select("l_orderkey", F.col("line").cast("long").alias("chosen"))
 
 
 @query("""WITH c AS (SELECT n_nationkey AS i, (sum(n_nationkey + 1) OVER (ORDER BY n_nationkey) - n_nationkey - 1)::DOUBLE AS s FROM nation)
@@ -70,7 +73,7 @@ def pending_messages(t):
 @query("""SELECT l_orderkey, l_linenumber, coalesce(lag(l_extendedprice) OVER w, l_extendedprice) AS prev_start, coalesce(lead(l_extendedprice) OVER w, l_extendedprice) AS next_start
 FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber * 10000000 + l_partkey, l_extendedprice)""")
 def prev_next(t):
-    w = Window.partitionBy("l_orderkey").orderBy(LINE, "l_extendedprice")
+    w = Window.partitionBy("l_orderkey").orderBy(place(), "l_extendedprice")
     at = F.col("l_extendedprice")
     return t.lineitem.select("l_orderkey", "l_linenumber", F.coalesce(F.lag(at).over(w), at).alias("prev_start"), F.coalesce(F.lead(at).over(w), at).alias("next_start"))
 
@@ -88,7 +91,7 @@ c AS (SELECT *, e - q + CASE WHEN l_orderkey % 5 = 0 AND l_linenumber = 2 THEN 1
 SELECT l_orderkey, abs(min_by(s, e)) <= 0.05 AS begins_at_zero, bool_and(ok) AS is_contiguous, max(e)::DOUBLE AS last_end, count(DISTINCT l_linenumber) = count(*) AS ids_unique FROM d GROUP BY 1""")
 def timeline_validate(t):
     w = Window.partitionBy("l_orderkey").orderBy("line", "l_quantity").rowsBetween(Window.unboundedPreceding, 0)
-    c = t.lineitem.select("l_orderkey", "l_linenumber", LINE.alias("line"), "l_quantity").withColumn("e", F.sum("l_quantity").over(w))
+    c = t.lineitem.select("l_orderkey", "l_linenumber", place().alias("line"), "l_quantity").withColumn("e", F.sum("l_quantity").over(w))
     c = c.withColumn("s", F.col("e") - F.col("l_quantity") + F.when((F.col("l_orderkey") % 5 == 0) & (F.col("l_linenumber") == 2), 1).otherwise(0))
     unique = c.groupBy("l_orderkey").agg((F.count_distinct("l_linenumber") == F.count("*")).alias("ids_unique"))
     return windows.contiguous(c, "l_orderkey", "e", "s", "e").join(unique, "l_orderkey")
@@ -139,7 +142,7 @@ r AS (SELECT k, n, CASE WHEN tm >= 40 THEN tm ELSE 0 END AS last, CASE WHEN tm >
 UNION ALL SELECT s.k, s.n, CASE WHEN s.tm - r.last >= 40 THEN s.tm ELSE r.last END, CASE WHEN s.tm - r.last >= 40 THEN r.cuts || CASE WHEN r.cuts = '' THEN '' ELSE ',' END || s.tm ELSE r.cuts END FROM r JOIN s ON s.k = r.k AND s.n = r.n + 1)
 SELECT k AS l_orderkey, max_by(cuts, n) AS cuts FROM r GROUP BY 1""")
 def greedy_cuts(t):
-    w = Window.partitionBy("l_orderkey").orderBy(LINE, "l_quantity").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("l_orderkey").orderBy(place(), "l_quantity").rowsBetween(Window.unboundedPreceding, 0)
     at = t.lineitem.select("l_orderkey", F.sum("l_quantity").over(w).cast("long").alias("at"))
     return folds.greedy_cuts(at, "l_orderkey", "at").select("l_orderkey", F.array_join("cuts", ",").alias("cuts"))
 
