@@ -27,10 +27,12 @@ def asof_chapter(t):
     return joins.asof_backward(probes, marks, "k", "pos", "anchor", "seq", F.lit(-1).cast("long")).select("l_orderkey", "l_linenumber", "anchor")
 
 
-@query("""WITH w AS (SELECT l_orderkey, l_linenumber, max(CASE WHEN l_extendedprice > 40000 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 10000000 + l_partkey, l_quantity ROWS UNBOUNDED PRECEDING) = 0 AS inside, l_linenumber * 10000000 + l_partkey AS line FROM lineitem)
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber * 10000000 + l_partkey AS line, max(l_extendedprice) AS pos FROM lineitem GROUP BY 1, 2),
+w AS (SELECT l_orderkey, line, max(CASE WHEN pos > 40000 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY line ROWS UNBOUNDED PRECEDING) = 0 AS inside FROM l)
 SELECT l_orderkey, coalesce(max(line) FILTER (WHERE inside), min(line))::BIGINT AS chosen FROM w GROUP BY 1""")
 def asof_prefix(t):
-    return joins.asof_prefix(t.lineitem.withColumn("line", place()), "l_orderkey", "line", "l_extendedprice", F.lit(40000.0)).select("l_orderkey", F.col("line").cast("long").alias("chosen"))
+    rows = t.lineitem.groupBy("l_orderkey", place().alias("line")).agg(F.max("l_extendedprice").alias("pos"))
+    return joins.asof_prefix(rows, "l_orderkey", "line", "pos", F.lit(40000.0)).select("l_orderkey", F.col("line").cast("long").alias("chosen"))
 
 
 @query("""WITH c AS (SELECT n_nationkey AS i, (sum(n_nationkey + 1) OVER (ORDER BY n_nationkey) - n_nationkey - 1)::DOUBLE AS s FROM nation)
