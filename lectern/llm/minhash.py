@@ -269,7 +269,8 @@ def find_near(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     num, den, size = rules.num, rules.den, rules.shingle
     own = saved(sets(docs, rules), "sets")
     full = own.filter("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    # as a table of its own, so that the join with a hot digest is one of plain exchanges, which Spark can split
+    classes = saved(full.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     first = classes.select(F.col("digest").alias("of"), F.col("rep"))
     reps = saved(full.join(first, (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("of"))).select("doc_id", "n_shingles", "sketch").dropDuplicates(["doc_id"]), "representatives")
     piece = components(coarse_edges(reps, rules)).withColumnsRenamed({"node": "doc_id", "component": "piece"})
