@@ -1,9 +1,11 @@
 """Exact duplicates through a log-structured merge index of text digests.
 
-Each task gathers digests in a memtable and flushes it, sorted, as a run with a Bloom filter; a flush already combines
-copies that met in the memtable. Compaction merges runs by digest and keeps the smallest identifier and the count.
-Each document then looks its digest up, and where a digest has more than one document, the normalised texts
-themselves are compared. If texts differ under one digest, those documents are grouped by the texts.
+Each task gathers digests in a memtable and flushes it, sorted, as a run; a flush already combines copies that met in
+the memtable. Compaction merges runs by digest, keeps the smallest identifier and the count, and writes the digests of
+more than one document with a Bloom filter of them, whose size has a fixed bound (fuller filters let more digests pass,
+never fewer). A document that the filter holds off is alone, so neither its digest nor its text moves; the others look
+their digests up, and their normalised texts are compared as bytes. If texts differ under one digest, those documents
+are grouped by the texts.
 
 Texts are equal when they are after replacing each run of ASCII white space by one space.
 
@@ -14,29 +16,37 @@ is; extra columns are ignored by find_copies() and kept by drop_copies(); an emp
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, columns, mix, saved
 
 RUN = "run long, digest binary, doc_id long, n long"
-FILTER = "run long, n long, bits binary"
-#: Entries of a memtable, and bits of the filter for each.
-MEMTABLE, FILTER_BITS, PROBES = 1 << 16, 10, 7
+#: Entries of a memtable; bits of the filter for each digest, but at most MOST_BITS (16 MB), and hashes of a digest.
+MEMTABLE, FILTER_BITS, MOST_BITS, PROBES = 1 << 16, 10, 1 << 27, 7
+#: Bits of a filter that are merged as one row.
+SEGMENT = 1 << 15
+MIXED = U64(0x9E3779B97F4A7C15)
 
 
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
+def digest(text: Column, bits: int = 256) -> Column:
+    """SHA-256. bits: keep fewer of them, to test what collisions do."""
+    return F.substring(F.unhex(F.sha2(text, 256)), F.lit(1), F.lit(bits // 8))
+
+
 def digests(docs: DataFrame, bits: int = 256) -> DataFrame:
-    """(doc_id, digest): SHA-256 of the normalised text. bits: keep fewer of them, to test what collisions do."""
-    return columns(docs, "doc_id", "text").select("doc_id", F.substring(F.unhex(F.sha2(normalised(F.col("text")), 256)), F.lit(1), F.lit(bits // 8)).alias("digest"))
+    """(doc_id, digest) of the normalised texts."""
+    return columns(docs, "doc_id", "text").select("doc_id", digest(normalised(F.col("text")), bits).alias("digest"))
 
 
 def runs(found: DataFrame, memtable: int = MEMTABLE) -> DataFrame:
@@ -67,34 +77,63 @@ def runs(found: DataFrame, memtable: int = MEMTABLE) -> DataFrame:
     return found.mapInArrow(gather, RUN)
 
 
-def probes(digest: np.ndarray, bits: int) -> np.ndarray:
-    """Places of each digest, of which the first 8 bytes are given, in a filter."""
-    return (mix(digest)[:, None] + np.arange(PROBES, dtype=U64) * mix(digest ^ MIXED)[:, None]) % U64(bits)
+class Filter(NamedTuple):
+    """A Bloom filter: its bits, packed, and how many of them a digest sets."""
 
+    bits: np.ndarray
+    probes: int
 
-MIXED = U64(0x9E3779B97F4A7C15)
+    def may_hold(self, digest: list[bytes | None]) -> np.ndarray:
+        """Which digests may be among those that the filter was made of; False is certain."""
+        if not len(self.bits):
+            return np.zeros(len(digest), bool)
+        at = places(digest, len(self.bits) * 8, self.probes)
+        return (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).all(axis=1)
 
 
-def heads(digest: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(d[:8].ljust(8, b"\0") for d in digest), U64)
+def places(digest: list[bytes | None], bits: int, probes: int) -> np.ndarray:
+    """The bits of each digest, by its first 8 bytes."""
+    head = np.frombuffer(b"".join((d or b"")[:8].ljust(8, b"\0") for d in digest), U64)
+    return ((mix(head)[:, None] + np.arange(probes, dtype=U64) * mix(head ^ MIXED)[:, None]) % U64(bits)).astype(np.int64)
 
 
-def filters(run_table: DataFrame) -> DataFrame:
-    """A Bloom filter for each run."""
+def filter_of(table: DataFrame, most_bits: int = MOST_BITS) -> Filter:
+    """The filter of the digests of a saved table. Tasks set bits, segments of them are merged, and the whole, which
+    is bounded by most_bits, comes to the driver."""
+    n = table.count()
+    if not n:
+        return Filter(np.zeros(0, np.uint8), 0)
+    bits = -(-min(FILTER_BITS * n, most_bits) // SEGMENT) * SEGMENT
+    hashes = int(np.clip(round(bits / n * 0.69), 1, PROBES))
 
-    def build(t: pa.Table) -> pa.Table:
-        digest = t.column("digest").to_pylist()
-        bits = max(64, FILTER_BITS * len(digest))
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = np.zeros(bits, bool)
-        mask[probes(heads(digest), bits).ravel()] = True
-        return pa.table({"run": t.column("run")[:1], "n": pa.array([bits], pa.int64()), "bits": pa.array([np.packbits(mask).tobytes()], pa.binary())})
+        for b in batches:
+            mask[places(b.column(0).to_pylist(), bits, hashes).ravel()] = True
+        parts = mask.reshape(-1, SEGMENT)
+        some = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([np.packbits(parts[i]).tobytes() for i in some], pa.binary())], names=["segment", "bits"])
+
+    def merge(t: pa.Table) -> pa.Table:
+        both = np.bitwise_or.reduce(np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint8).reshape(t.num_rows, -1))
+        return pa.table({"segment": t.column("segment")[:1], "bits": pa.array([both.tobytes()], pa.binary())})
+
+    kind = "segment long, bits binary"
+    out = np.zeros(bits // 8, np.uint8)
+    for r in table.select("digest").mapInArrow(fill, kind).groupBy("segment").applyInArrow(merge, kind).collect():
+        out[r.segment * SEGMENT // 8 : (r.segment + 1) * SEGMENT // 8] = np.frombuffer(r.bits, np.uint8)
+    return Filter(out, hashes)
+
 
-    return run_table.groupBy("run").applyInArrow(build, FILTER)
+def may_repeat(spark: SparkSession, index: Filter) -> Callable[[str], Column]:
+    """A condition on a digest column: whether the filter lets the digest pass."""
+    shared = spark.sparkContext.broadcast(index)
 
+    @F.arrow_udf("boolean")
+    def passes(digest: pa.Array) -> pa.Array:
+        return pa.array(shared.value.may_hold(digest.to_pylist()))
 
-def maybe_in(digest: list[bytes], bits: int, packed: bytes) -> np.ndarray:
-    """Which digests a run with this filter may hold; False is certain."""
-    return np.unpackbits(np.frombuffer(packed, np.uint8), count=bits).astype(bool)[probes(heads(digest), bits)].all(axis=1)
+    return passes
 
 
 def compacted(run_table: DataFrame) -> DataFrame:
@@ -105,14 +144,18 @@ def compacted(run_table: DataFrame) -> DataFrame:
 def find_copies(docs: DataFrame, bits: int = 256, memtable: int = MEMTABLE) -> DataFrame:
     """(doc_id, digest, keep_id, group_size): for each document the one that stays of its group."""
     found = saved(digests(docs, bits), "digests")
-    index = saved(compacted(saved(runs(found, memtable), "runs")), "index")
-    hits = found.join(index, "digest").select("doc_id", "digest", "keep_id", "group_size")
-    several = index.filter("group_size > 1")
-    texts = columns(docs, "doc_id", "text").join(found.join(several, "digest").select("doc_id", "digest").distinct(), "doc_id").select("doc_id", "digest", normalised(F.col("text")).alias("text"))
+    several = saved(compacted(saved(runs(found, memtable), "runs")).filter("group_size > 1"), "index")
+    passes = may_repeat(docs.sparkSession, filter_of(several))
+    marked = found.withColumn("maybe", passes("digest"))
+    alone = F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")
+    hits = (marked.filter("maybe").join(several, "digest", "left")
+            .select("doc_id", "digest", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size")))
+    hits = hits.union(marked.filter("not maybe").select("doc_id", "digest", *alone))
+    texts = columns(docs, "text").select(normalised(F.col("text")).alias("text")).withColumn("digest", digest(F.col("text"), bits)).filter(passes("digest"))
     wrong = saved(texts.groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("b")).filter("a <> b").select("digest"), "wrong")
     if wrong.isEmpty():
         return hits
-    own = columns(docs, "doc_id", "text").select("doc_id", normalised(F.col("text")).alias("text")).withColumn("digest", F.substring(F.unhex(F.sha2("text", 256)), F.lit(1), F.lit(bits // 8))).join(wrong, "digest", "left_semi")
+    own = columns(docs, "doc_id", "text").select("doc_id", normalised(F.col("text")).alias("text")).withColumn("digest", digest(F.col("text"), bits)).join(wrong, "digest", "left_semi")
     exact = own.groupBy("digest", "text").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     own = own.join(exact, ["digest", "text"]).select("doc_id", "digest", "keep_id", "group_size")
     return hits.join(wrong, "digest", "left_anti").select(*own.columns).union(own)

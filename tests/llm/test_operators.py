@@ -405,9 +405,15 @@ def test_filters(spark, docs):
     for r in table.collect():
         own[r.run].append(bytes(r.digest))
     assert all(v == sorted(v) for v in own.values())
-    for f in exact.filters(table).collect():
-        assert exact.maybe_in(own[f.run], f.n, f.bits).all()
-        assert exact.maybe_in([hashlib.sha256(str(i).encode()).digest() for i in range(1000)], f.n, f.bits).mean() < 0.1
+    other = [hashlib.sha256(str(i).encode()).digest() for i in range(1000)]
+    for most in (exact.MOST_BITS, 1):
+        f = exact.filter_of(table.select("digest").distinct(), most)
+        assert f.may_hold([d for v in own.values() for d in v]).all() and f.may_hold(other).mean() < 0.1
+    many = spark.range(40_000).selectExpr("unhex(sha2(concat('n', id), 256)) AS digest")
+    full = exact.filter_of(many, 1)  # far too small: it lets others pass, but holds none of its own off
+    assert full.may_hold([bytes(r.digest) for r in many.limit(2000).collect()]).all() and 0.5 < full.may_hold(other).mean() < 1
+    none = exact.filter_of(many.limit(0))
+    assert not none.may_hold(other).any() and exact.may_repeat(spark, none) is not None
 
 
 # --- 10 ---
