@@ -141,27 +141,35 @@ def compacted(run_table: DataFrame) -> DataFrame:
     return run_table.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
 
 
-def find_copies(docs: DataFrame, bits: int = 256, memtable: int = MEMTABLE) -> DataFrame:
-    """(doc_id, digest, keep_id, group_size): for each document the one that stays of its group."""
+def looked_up(docs: DataFrame, bits: int, memtable: int) -> tuple[DataFrame, DataFrame, Callable[[str], Column]]:
+    """The rows of find_copies() for documents that the filter holds off, for the others, and the filter's condition."""
     found = saved(digests(docs, bits), "digests")
     several = saved(compacted(saved(runs(found, memtable), "runs")).filter("group_size > 1"), "index")
     passes = may_repeat(docs.sparkSession, filter_of(several))
     marked = found.withColumn("maybe", passes("digest"))
-    alone = F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")
+    alone = marked.filter("not maybe").select("doc_id", "digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     hits = (marked.filter("maybe").join(several, "digest", "left")
             .select("doc_id", "digest", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size")))
-    hits = hits.union(marked.filter("not maybe").select("doc_id", "digest", *alone))
-    texts = columns(docs, "text").select(normalised(F.col("text")).alias("text")).withColumn("digest", digest(F.col("text"), bits)).filter(passes("digest"))
-    wrong = saved(texts.groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("b")).filter("a <> b").select("digest"), "wrong")
+    texts = columns(docs, "doc_id", "text").select("doc_id", normalised(F.col("text")).alias("text")).withColumn("digest", digest(F.col("text"), bits))
+    wrong = saved(texts.filter(passes("digest")).groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("b")).filter("a <> b").select("digest"), "wrong")
     if wrong.isEmpty():
-        return hits
-    own = columns(docs, "doc_id", "text").select("doc_id", normalised(F.col("text")).alias("text")).withColumn("digest", digest(F.col("text"), bits)).join(wrong, "digest", "left_semi")
+        return alone, hits, passes
+    own = texts.join(wrong, "digest", "left_semi")
     exact = own.groupBy("digest", "text").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     own = own.join(exact, ["digest", "text"]).select("doc_id", "digest", "keep_id", "group_size")
-    return hits.join(wrong, "digest", "left_anti").select(*own.columns).union(own)
+    return alone, hits.join(wrong, "digest", "left_anti").select(*own.columns).union(own), passes
+
+
+def find_copies(docs: DataFrame, bits: int = 256, memtable: int = MEMTABLE) -> DataFrame:
+    """(doc_id, digest, keep_id, group_size): for each document the one that stays of its group."""
+    alone, hits, _ = looked_up(docs, bits, memtable)
+    return hits.union(alone)
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose text an earlier doc_id has."""
-    keep = find_copies(docs).filter("doc_id <=> keep_id").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep, F.expr("doc_id <=> __keep"), "left_semi")
+    """docs without the rows whose text an earlier doc_id has. Only rows that the filter lets pass move."""
+    _, hits, passes = looked_up(docs, 256, MEMTABLE)
+    keep = hits.filter("doc_id <=> keep_id").select(F.col("doc_id").alias("__keep"), F.col("digest").alias("__of")).distinct()
+    marked = docs.withColumn("__digest", digest(normalised(F.col("text")))).withColumn("__maybe", passes("__digest"))
+    some = marked.filter("__maybe").join(keep, F.expr("__digest = __of AND doc_id <=> __keep"), "left_semi")
+    return marked.filter("not __maybe").union(some).drop("__digest", "__maybe")

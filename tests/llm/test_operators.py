@@ -394,9 +394,11 @@ def test_exact(spark, docs, corpus, bits):
     got = rows(exact.find_copies(docs, bits, memtable=5), "doc_id")
     assert {i: (r.keep_id, r.group_size) for i, r in got.items()} == {i: (min(group[t]), len(group[t])) for i, t in norm.items()}
     assert {r.doc_id for r in exact.drop_copies(docs).collect()} == {min(g) for g in group.values()}
+    assert exact.drop_copies(docs).columns == docs.columns and exact.drop_copies(docs.limit(0)).count() == 0
     assert exact.find_copies(docs.limit(0)).count() == 0
     odd = spark.createDataFrame([(None, "z"), (None, "z"), (4, "q"), (None, "q"), (5, "r"), (5, "r")], "doc_id long, text string")
     assert sorted((str(r.doc_id), str(r.keep_id), r.group_size) for r in exact.find_copies(odd).collect()) == [("4", "4", 2), ("5", "5", 2), ("5", "5", 2), ("None", "4", 2), ("None", "None", 2), ("None", "None", 2)]
+    assert sorted((str(r.doc_id), r.text) for r in exact.drop_copies(odd).collect()) == [("4", "q"), ("5", "r"), ("5", "r"), ("None", "z"), ("None", "z")]
 
 
 def test_filters(spark, docs):
