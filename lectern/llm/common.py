@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -61,6 +62,13 @@ def columns(docs: DataFrame, *names: str) -> DataFrame:
 
 # --- Arrow ----------------------------------------------------------------------------------
 
+def released() -> None:
+    """Gives memory that was freed back to the system; Python workers outlive their tasks and would hold it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most about `limit` bytes in column `text`; a longer text is a slice of its own."""
     for b in batches:
@@ -71,6 +79,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 << 20) -
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
         for i, j in zip(cuts, cuts[1:]):
             yield b.slice(i, j - i)
+    released()
 
 
 def groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
@@ -96,6 +105,8 @@ def groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
         last = tuple(c[-1] for c in cols)
     if held:
         yield pa.Table.from_batches(held)
+        held = []
+    released()
 
 
 # --- hashes ---------------------------------------------------------------------------------

@@ -103,7 +103,7 @@ def sets(docs: DataFrame, rules: Rules) -> DataFrame:
     size = rules.shingle
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text", 4 << 20):
+        for b in pieces(batches, "text", 2 << 20):
             offsets, h = shingles(b.column(1), size)
             sk = sketches(offsets, h)
             digest = [xxhash.xxh3_128_digest(h[i:j].tobytes()) for i, j in zip(offsets, offsets[1:])]
@@ -280,7 +280,7 @@ def find_near(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     piece = saved(piece.join(sizes, "piece").select("doc_id", "piece", tiles.alias("tiles")), "pieces")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text", 4 << 20):
+        for b in pieces(batches, "text", 2 << 20):
             offsets, h = shingles(b.column("text"), size)
             items = pa.array([h[i:j].tobytes() for i, j in zip(offsets, offsets[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("piece"), b.column("tiles"), items], names=["doc_id", "piece", "tiles", "items"])
