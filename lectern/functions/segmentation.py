@@ -43,25 +43,31 @@ def sentences(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"(?sU).*?{SENTENCE_END}|(?sU).+"), F.lit(0))
 
 
-def ends_in_abbreviation(piece: Column) -> Column:
-    """Whether a piece's end mark is a period after a single letter or a known abbreviation."""
-    mark = F.regexp_extract(piece, r"""(?U)([.!?…]+)[")\]’”']*$""", 1)
-    before = F.regexp_extract(piece, r"""(?sU)^(.*?)[.!?…]+[")\]’”']*$""", 1)
-    word = F.regexp_extract(before, r"""(?U)([\w.’']+)$""", 1)
-    token = F.lower(F.regexp_replace(word, r"\.+$", ""))
-    return mark.startswith(".") & (word != "") & ((F.length(token) == 1) | token.isin(*sorted(ABBREVIATIONS)))
+def ends_in_abbreviation(word: Column) -> Column:
+    """Whether a word before a period is a single letter or a known abbreviation."""
+    return (F.length(word) == 1) | F.lower(word).isin(*sorted(ABBREVIATIONS))
 
 
 def sentence_cuts(text: Column, min_chars: int = 40) -> Column:
-    """Ends of sentences, without those closer than min_chars to the last one kept."""
+    """Ends of sentences, without those closer than min_chars to the last one kept.
+
+    Lambdas don't share repeated expressions, so each pattern runs in a transform of its own, once a piece.
+    """
     state = F.struct(F.lit(0).alias("at"), F.lit(0).alias("last"), F.array().cast("array<int>").alias("cuts"))
+    word = r"""(?U)(?<![\w.’'])([\w.’']*[\w’'])\.[.!?…]*[")\]’”']*$"""
+
+    def looked(p: Column) -> Column:
+        return F.struct(F.length(p).alias("n"), p.rlike(rf"(?U){SENTENCE_END}$").alias("end"), F.regexp_extract(p, word, 1).alias("word"))
+
+    def judged(p: Column) -> Column:
+        return F.struct(p["n"].alias("n"), (p["end"] & ~ends_in_abbreviation(p["word"])).alias("real"))
 
     def step(a: Column, p: Column) -> Column:
-        at = a.at + F.length(p)
-        real = p.rlike(rf"(?U){SENTENCE_END}$") & ~ends_in_abbreviation(p) & (at - a.last >= min_chars)
-        return F.struct(at.alias("at"), F.when(real, at).otherwise(a.last).alias("last"), F.when(real, F.concat(a.cuts, F.array(at))).otherwise(a.cuts).alias("cuts"))
+        at = a.at + p["n"]
+        keep = p["real"] & (at - a.last >= min_chars)
+        return F.struct(at.alias("at"), F.when(keep, at).otherwise(a.last).alias("last"), F.when(keep, F.concat(a.cuts, F.array(at))).otherwise(a.cuts).alias("cuts"))
 
-    return F.aggregate(sentences(text), state, step, lambda a: a.cuts)
+    return F.aggregate(F.transform(F.transform(sentences(text), looked), judged), state, step, lambda a: a.cuts)
 
 
 # --- Arrow ----------------------------------------------------------------------------------

@@ -151,3 +151,14 @@ def test_epub(spark, tmp_path, nav):
     assert (a.error, a.title, a.language, [s.path for s in a.spine]) == (None, "T", "en", ["o/a.xhtml"])
     assert [tuple(e) for e in a.toc] == ([("One x", "o/a.xhtml", "s 1")] if nav else [("N", "o/a.xhtml", None)])
     assert got["b.epub"].error and got["c.epub"].error
+
+
+def test_sentence_cuts_agree_with_the_arrow_form(spark):
+    """Marks, closers that are word characters too, abbreviations and initials, at the ends of short pieces."""
+    tails = ["a.", "a.’", "a..’ b", "a.’. b", "a.?’.’ b", "a?. b", "a?’. b", ".a. b", "’. b", "Dr. b", "e.g. b", "vs.) b", "Etc.” b", "end.. b", "x.y. b", "1. b", "…. b", "é. b", "word! b", "", " ", "no end"]
+    texts = [h + t for h in ("", "One two three. ", "Mr. ") for t in tails]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, s string")
+    got = {r["i"]: r["c"] for r in rows.select("i", segmentation.sentence_cuts(F.col("s"), 1).alias("c")).collect()}
+    options = segmentation.Options(max_chars=10**6, min_chars=1)
+    for i, t in enumerate(texts):
+        assert [c for c in got[i] if c < len(t)] == [c for c in segmentation.plain_cuts(t, options) if c < len(t)], t
