@@ -323,6 +323,26 @@ def test_minhash_recall(spark):
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute_near(out, 2)
 
 
+def test_minhash_large_nodes(spark):
+    """Rows that share a node are compared, however many share it with them."""
+    rng = np.random.default_rng(12)
+    sk = rng.integers(0, 1 << 16, (1000, minhash.COORDS), dtype=np.uint16)
+    sk = np.where(rng.random(sk.shape) < 0.55, sk[0], sk)  # common values, for most pairs too few for a link
+    for i in range(0, 1000, 2):
+        j = rng.permutation(minhash.COORDS)[:30]
+        sk[i + 1, j] = sk[i, j]
+    rules = minhash.Rules(trees=3)
+    reps = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sk)], "doc_id long, sketch binary")
+    nodes = defaultdict(set)
+    for r in minhash.paths(reps, rules).collect():
+        nodes[r.node].add(r.doc_id)
+    assert max(map(len, nodes.values())) > 256
+    pairs = {(i, j) for x in nodes.values() for i in x for j in x if i < j}
+    links = [(i, j) for i, j in pairs if (sk[i] == sk[j]).sum() >= rules.near * minhash.COORDS]
+    got = [(r.u, r.v) for r in minhash.coarse_edges(reps, rules).collect()]
+    assert brute_components(range(1000), got) == brute_components(range(1000), links)
+
+
 # --- 7 ---
 
 def test_bpe(spark, docs, corpus):
