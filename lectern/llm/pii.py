@@ -102,10 +102,13 @@ def rendered(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with each span of personal data replaced by its kind, as in [EMAIL]; where spans overlap, the first counts."""
-    free = F.aggregate(
-        "__spans", F.array().cast(SPAN),
-        lambda a, s: F.when((F.size(a) == 0) | (s.start >= F.element_at(a, -1).end), F.concat(a, F.array(s))).otherwise(a))
+    """docs with each span of personal data replaced by its kind, as in [EMAIL]; spans that overlap become one of the first's kind."""
+    def merged(a: Column, s: Column) -> Column:
+        last = F.element_at(a, -1)
+        wider = last.withField("end", F.greatest(last.end, s.end))
+        return F.when((F.size(a) == 0) | (s.start >= last.end), F.concat(a, F.array(s))).otherwise(F.concat(F.slice(a, 1, F.size(a) - 1), F.array(wider)))
+
+    free = F.aggregate("__spans", F.array().cast(SPAN), merged)
     end = F.lit(None).cast("int")
     marked = with_spans(docs).withColumn("__spans", F.when(F.size("__spans") > 0, free).otherwise(F.col("__spans")))
 

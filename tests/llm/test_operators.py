@@ -190,6 +190,27 @@ def test_pii(spark):
     assert pii.detect(df.limit(0)).count() == 0
 
 
+def test_pii_overlaps(spark):
+    """No character of a span stays, also where spans overlap."""
+    texts = ["10.0.0.18 4111111111111111", "x 10.0.0.18 4111111111111111 y +1 555 010 9999", *pii_texts()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = rows(pii.redact(df), "doc_id")
+    overlaps = 0
+    for r in pii.detect(df).collect():
+        t, out, at = texts[r.doc_id], [], 0
+        if t is None:
+            assert got[r.doc_id].text is None
+            continue
+        for s in r.spans:
+            if s.start >= at:
+                out += [t[at : s.start], f"[{s.kind.upper()}]"]
+            else:
+                overlaps += s.end > at
+            at = max(at, s.end)
+        assert got[r.doc_id].text == "".join(out) + t[at:], t
+    assert got[0].text == "[IP]" and overlaps
+
+
 def test_pii_query(spark):
     names = ("email", "ip", "card", "phone")
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
