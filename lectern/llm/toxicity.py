@@ -194,7 +194,7 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, terms: int = 1 << 15, k: int = 24, size: int = 64, cut: float = 0.7) -> Index:
     """An index of labelled examples."""
     rows = sorted(examples(docs, labels, per_class).dropDuplicates(["doc_id"]).collect(), key=lambda r: r.doc_id)
-    share = columns(labels, "doc_id", "toxic").filter("toxic in (0, 1)").agg(F.avg("toxic").alias("p")).collect()[0].p
+    share = columns(labels, "doc_id", "toxic").filter("toxic in (0, 1)").filter(~F.coalesce(held_out(), F.lit(False))).agg(F.avg("toxic").alias("p")).collect()[0].p
     known = chosen(rows, terms)
     df, n = frequencies(docs, known)
     idf = np.log((1 + n) / (1 + df)) + 1
@@ -216,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, terms: int =
         return out if len(y) else Index(**{**out.__dict__, "vote": np.array([1 - p, p]) + 1e-9})
     raw = np.array([out.raw(*out.nearest(t[i:j], out.vector(t[i:j], c[i:j]), e)) for e, (i, j) in enumerate(zip(offsets, offsets[1:]))])
     a, b = logistic(raw, y, weight[y] * len(y))
-    # the decision point with the best F1 for classes as frequent as in all labels
+    # the decision point with the best F1 for classes as frequent as in all labels that aren't held out
     o = np.argsort(-raw, kind="stable")
     hit, miss = np.cumsum(weight[y[o]] * y[o]), np.cumsum(weight[y[o]] * (1 - y[o]))
     f1 = 2 * hit / (hit + miss + p)

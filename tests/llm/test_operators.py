@@ -424,6 +424,18 @@ def test_toxicity_nearest(spark):
     assert toxicity.score(df.limit(0), index).count() == 0
 
 
+def test_toxicity_held_out(spark):
+    """Held-out labels change nothing in the index."""
+    rng = random.Random(6)
+    df = spark.createDataFrame([(i, words(rng, 20) + (" scum scum" if i % 4 == 0 else " calm")) for i in range(200)], "doc_id long, text string")
+    labels = [(i, int(i % 4 == 0)) for i in range(200)]
+    held = {i for i, _ in labels if zlib.crc32(str(i).encode()) % 3 == 1}
+    assert 0 < len(held) < 200
+    a, b = [toxicity.fit(df, spark.createDataFrame(x, "doc_id long, toxic int")) for x in (labels, [(i, 1 - y if i in held else y) for i, y in labels])]
+    assert not held & set(a.ids.tolist()) and a.ids.tolist() == b.ids.tolist()
+    assert a.vote.tolist() == b.vote.tolist() and a.fit == b.fit
+
+
 # --- 9 ---
 
 @pytest.mark.parametrize("bits", [256, 8])
