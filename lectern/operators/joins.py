@@ -39,12 +39,16 @@ def first_match(left: DataFrame, right: DataFrame, key: str, order: str, *values
     return left.join(first, key, "left").select(*[left[c] for c in left.columns], F.col(f"__m.{order}").alias(order), *[F.col(f"__m.{v}").alias(v) for v in values])
 
 
-def flattened(rows: DataFrame, key: str, parent: str, root: Column, most: int) -> DataFrame:
-    """(key, depth, path) of a tree's nodes down to depth `most`, one equi-join a level."""
+def flattened(rows: DataFrame, key: str, parent: str, root: Column) -> DataFrame:
+    """(key, depth, path) of all nodes that roots reach, one equi-join a level until a level is empty; keys are unique."""
     level = rows.filter(root).select(key, F.lit(0).cast("long").alias("depth"), F.col(key).cast("string").alias("path"))
+    below = rows.filter(~F.coalesce(root, F.lit(False)))  # a root is no child, so no node is reached twice
     out = level
-    for _ in range(most):
+    while True:
         up = level.select(F.col(key).alias("__up"), F.col("depth").alias("__d"), F.col("path").alias("__p"))
-        level = rows.join(up, F.col(parent) == F.col("__up")).select(key, (F.col("__d") + 1).alias("depth"), F.concat("__p", F.lit("/"), F.col(key).cast("string")).alias("path"))
+        # kept, as the next level and the result read it again
+        level = below.join(up, F.col(parent) == F.col("__up")).select(key, (F.col("__d") + 1).alias("depth"), F.concat("__p", F.lit("/"), F.col(key).cast("string")).alias("path")).persist()
+        if level.isEmpty():
+            level.unpersist()
+            return out
         out = out.union(level)
-    return out

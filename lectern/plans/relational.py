@@ -207,4 +207,4 @@ def membership_filter(t):
 SELECT id, depth::BIGINT AS depth, path FROM r""")
 def flatten_toc(t):
     e = t.part.filter("p_partkey between 1 and 400").select(F.col("p_partkey").alias("id"), F.expr("p_partkey div 7").alias("up"))
-    return joins.flattened(e, "id", "up", F.col("up") == 0, 6)
+    return joins.flattened(e, "id", "up", F.col("up") == 0)

@@ -162,3 +162,10 @@ def test_sentence_cuts_agree_with_the_arrow_form(spark):
     options = segmentation.Options(max_chars=10**6, min_chars=1)
     for i, t in enumerate(texts):
         assert [c for c in got[i] if c < len(t)] == [c for c in segmentation.plain_cuts(t, options) if c < len(t)], t
+
+
+def test_flattened_depth(spark):
+    """All levels of a tree, and an end where a root names itself as its parent."""
+    rows = spark.createDataFrame([(i, i - 1) for i in range(2, 11)] + [(1, 1), (20, 99)], "id long, up long")
+    got = {r.id: (r.depth, r.path) for r in joins.flattened(rows, "id", "up", F.col("id") == 1).collect()}
+    assert got == {i: (i - 1, "/".join(map(str, range(1, i + 1)))) for i in range(1, 11)}
