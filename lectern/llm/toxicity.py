@@ -1,38 +1,56 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-fit() draws at most `per_class` labelled rows of each class, by a hash of their doc_id, as examples. Their words, as far
-as they tell the classes apart (chi-square), are the terms; document frequencies of the terms are counted over all
-documents. The examples are indexed in blocks with the greatest weight of each term in each block. A text's nearest
-examples are exact: blocks are taken by their upper bounds until no block left can hold a nearer one.
+fit() draws at most `per_class` labelled rows of each class, with at most `class_bytes` of text, by a hash of their
+doc_id, as examples. Every word of theirs is a term. A term weighs
 
-A score is the votes of the `k` nearest, weighted by similarity, mapped to a probability by a logistic fit on the
-examples' own leave-one-out votes, with classes weighted as in all labels. The fit is shifted so that the decision
-point that is best for the examples (F1) lies at `cut`.
+    (1 + log(its count in the text)) * idf * (relevance + FLOOR),
 
-The index is bounded by per_class and `terms`; everything else covers all rows. Only texts enter a score.
+with idf from document frequencies over all documents, and relevance the correlation (phi) between a word and the label
+among the examples; a word that no example has gets the greatest idf and no relevance, so it only lengthens the text's
+vector. No word is left out, in products or in norms. The examples are indexed in blocks with the greatest weight of
+each term in each block. Nearest examples are exact: only blocks whose bound stays below the `k`-th best are skipped.
+Posting lists of very frequent terms are kept as rows and multiplied at once, which also tightens the bounds.
 
-Edge cases: null or empty texts, and texts without any term, get the score of texts without votes; several labels of
-one document count as toxic if one does; null labels don't count; with one class or none among the examples each score
-is the share of the class; repeated rows are scored each; extra columns are ignored by score() and kept by
-drop_toxic(); an empty table gives an empty result.
+A score is the votes of the `k` nearest (all that tie for the last place count), weighted by the square of the cosine,
+mapped to a probability by a logistic fit on the examples' own leave-one-out votes, with classes weighted as in all
+labels that aren't held out. Nothing moves that probability afterwards.
+
+The index is bounded by per_class and class_bytes; everything else covers all rows. Only texts enter a score.
+
+Edge cases: null or empty texts, and texts without any term of the examples, get the score of texts without votes;
+several labels of one document count as toxic if one does; of several texts of one labelled document the smallest is
+the example; null labels don't count; with one class or none among the examples each score is the share of the class;
+repeated rows are scored each; extra columns are ignored by score() and kept by drop_toxic(); an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import columns, pieces, word_ids
 
 #: What is cut off from both ends of a word.
 MARKS = ".,!?;:\"'()[]{}|*%&$#-_/\\<>«»„“”…"
 SCORES = "doc_id long, score double, evidence array<struct<doc_id:long,label:int,similarity:double>>"
+#: What a word counts that tells nothing about the label; texts compared at once; a posting list is long above this share.
+FLOOR, TOGETHER, LONG = 0.01, 64, 32
+
+
+def spread(first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ranges first[r] to first[r + 1] of rows: which of the rows, and each number in its range."""
+    n = first[rows + 1] - first[rows]
+    of = np.repeat(np.arange(len(rows)), n)
+    return of, np.arange(len(of)) + np.repeat(first[rows] - np.cumsum(n) + n, n)
 
 
 @dataclass
@@ -40,7 +58,8 @@ class Index:
     """Labelled examples by term, in blocks of examples."""
 
     words: dict[str, int]
-    idf: np.ndarray
+    gain: np.ndarray  # by term: idf and relevance
+    other: float  # the same for a word that no example has
     ids: np.ndarray
     labels: np.ndarray
     vote: np.ndarray  # what an example of each class counts
@@ -52,54 +71,103 @@ class Index:
     weight: np.ndarray
     size: int
     k: int
-    fit: tuple[float, float, float]
-
-    @property
-    def blocks(self) -> int:
-        return -(-len(self.ids) // self.size)
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of greatest positive cosine, ties by place, and the cosines. but: an example left out."""
-        n = self.start[terms + 1] - self.start[terms]
-        if not n.sum():
-            return np.zeros(0, np.int64), np.zeros(0)
-        entry = np.repeat(self.start[terms], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        w = np.repeat(weights, n)
-        bound = np.bincount(self.block[entry], w * self.most[entry], self.blocks)
-        score = np.zeros(len(self.ids))
-        order = np.argsort(-bound, kind="stable")
-        done, least, step = 0, 0.0, 4
-        while done < len(order) and bound[order[done]] > 0 and bound[order[done]] * (1 + 1e-12) >= least:
-            take = order[done : done + step]
-            pick = np.isin(self.block[entry], take)
-            e, v = entry[pick], w[pick]
-            m = self.first[e + 1] - self.first[e]
-            at = np.repeat(self.first[e], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-            score += np.bincount(self.example[at], np.repeat(v, m) * self.weight[at], len(self.ids))
-            if but >= 0:
-                score[but] = 0
-            done += step
-            step *= 2
-            if len(score) > self.k:
-                least = np.partition(score, -self.k)[-self.k]
-        some = np.flatnonzero(score > 0)
-        some = some[np.argsort(-score[some], kind="stable")[: self.k]]
-        return some, score[some]
-
-    def raw(self, near: np.ndarray, cosine: np.ndarray) -> float:
-        """Logit of the weighted share of toxic votes; a vote for each class beforehand, of little weight."""
-        y = self.labels[near]
-        yes = (cosine * y).sum() * self.vote[1] + 0.05 * self.vote[1]
-        no = (cosine * (1 - y)).sum() * self.vote[0] + 0.05 * self.vote[0]
-        return float(np.log(yes / no))
-
-    def probability(self, raw: float) -> float:
-        a, b, shift = self.fit
-        return float(1 / (1 + np.exp(-np.clip(a * raw + b + shift, -30, 30))))
-
-    def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(counts)) * self.idf[terms]
-        return w / max(1e-12, np.sqrt((w**2).sum()))
+    fit: tuple[float, float]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "long"}
+
+    @cached_property
+    def long(self) -> tuple[np.ndarray, np.ndarray]:
+        """Posting lists of terms that more than 1 / LONG of the examples have, as rows: each term's row or -1, and the rows."""
+        at, posting = spread(self.first, np.arange(len(self.block)))
+        term = np.repeat(np.arange(len(self.gain)), np.diff(self.start))[at]
+        place = np.full(len(self.gain), -1)
+        often = np.flatnonzero(np.bincount(term, minlength=len(self.gain)) > len(self.ids) / LONG)
+        place[often] = np.arange(len(often))
+        lists = np.zeros((len(often), len(self.ids)))
+        some = place[term] >= 0
+        lists[place[term[some]], self.example[posting[some]]] = self.weight[posting[some]]
+        return place, lists
+
+    def vectors(self, offsets: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Weights of the terms of texts of length one."""
+        w = (1 + np.log(counts)) * np.append(self.gain, self.other)[np.minimum(terms, len(self.gain))]
+        of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        return w / np.sqrt(np.maximum(np.bincount(of, w**2, len(offsets) - 1), 1e-300))[of]
+
+    def cosines(self, of: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, but: np.ndarray | None = None) -> np.ndarray:
+        """(n, examples): cosines that are exact where they are among a text's k greatest, and at most those elsewhere.
+
+        of: by term, its text. but: an example to leave out for each text.
+        """
+        known = terms < len(self.gain)
+        of, terms, weights = of[known], terms[known], weights[known]
+        examples = len(self.ids)
+        if not examples:
+            return np.zeros((n, 0))
+        blocks = -(-examples // self.size)
+        place, lists = self.long
+        some = place[terms] >= 0
+        texts = np.zeros((n, len(lists)))
+        texts[of[some], place[terms[some]]] = weights[some]
+        score = (texts @ lists).ravel()
+        if but is not None:
+            score[np.arange(n) * examples + but] = 0
+        # what the short lists may add to a block, on top of the most that it has from the long ones
+        at, entry = spread(self.start, terms[~some])
+        of, w = of[~some][at], weights[~some][at]
+        cell = of * blocks + self.block[entry]
+        bound = np.bincount(cell, w * self.most[entry], n * blocks).reshape(n, blocks).astype(float)
+        bound += np.maximum.reduceat(score.reshape(n, examples), np.arange(blocks) * self.size, axis=1)
+
+        def add(these: np.ndarray) -> None:
+            pick = np.flatnonzero(these.ravel()[cell])
+            at, posting = spread(self.first, entry[pick])
+            at = pick[at]
+            score[:] += np.bincount(of[at] * examples + self.example[posting], w[at] * self.weight[posting], n * examples)
+            if but is not None:
+                score[np.arange(n) * examples + but] = 0
+
+        seeds = np.zeros((n, blocks), bool)
+        np.put_along_axis(seeds, np.argsort(-bound, axis=1, kind="stable")[:, : -(-self.k // self.size) + 1], True, 1)
+        add(seeds)
+        rest = ~seeds & (bound > 0)
+        if examples > self.k:
+            rest &= bound * (1 + 1e-9) >= np.partition(score.reshape(n, examples), -self.k, axis=1)[:, -self.k, None]
+        add(rest)
+        return score.reshape(n, examples)
+
+    def nearest(self, score: np.ndarray) -> np.ndarray:
+        """score with zeros but for the k greatest of each row and what ties with the last of them."""
+        if score.shape[1] <= self.k:
+            return score
+        return np.where(score >= np.partition(score, -self.k, axis=1)[:, -self.k, None], score, 0)
+
+    def raw(self, near: np.ndarray) -> np.ndarray:
+        """Logit of the weighted share of toxic votes; a tiny vote for each class beforehand."""
+        vote = near**2
+        yes, no = (vote @ (self.labels == y) * self.vote[y] + 1e-6 for y in (1, 0))
+        return np.log(yes / no)
+
+    def probability(self, raw: np.ndarray) -> np.ndarray:
+        a, b = self.fit
+        return 1 / (1 + np.exp(-np.clip(a * raw + b, -30, 30)))
+
+    def scored(self, text: pa.Array, evidence: int = 0) -> tuple[np.ndarray, list[list[dict]]]:
+        """Scores of texts, and the nearest examples of each."""
+        offsets, terms, counts = counted(text, self.words)
+        weights = self.vectors(offsets, terms, counts)
+        out, why = [], []
+        for i in range(0, len(text), TOGETHER):
+            j = min(i + TOGETHER, len(text))
+            a, b = int(offsets[i]), int(offsets[j])
+            near = self.nearest(self.cosines(np.repeat(np.arange(j - i), np.diff(offsets[i : j + 1])), terms[a:b], weights[a:b], j - i))
+            out.append(self.probability(self.raw(near)))
+            for row in near if evidence else ():
+                some = np.flatnonzero(row)
+                some = some[np.argsort(-row[some], kind="stable")[:evidence]]
+                why.append([{"doc_id": int(self.ids[e]), "label": int(self.labels[e]), "similarity": float(row[e])} for e in some])
+        return np.concatenate(out) if out else np.zeros(0), why or [[] for _ in range(len(text))]
 
 
 def plain(words: pa.Array) -> list[str]:
@@ -107,14 +175,17 @@ def plain(words: pa.Array) -> list[str]:
 
 
 def counted(text: pa.Array, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Offsets by text, and the known terms of each with their counts."""
+    """Offsets by text, and the terms of each with their counts; words that aren't known are numbered behind those."""
     offsets, index, words = word_ids(text)
-    term = np.fromiter((known.get(w, -1) for w in plain(words)), np.int64, len(words))
-    t = term[index] if len(index) else np.zeros(0, np.int64)
+    new: dict[str, int] = {}
+    names = plain(words)
+    code = [known.get(w, -2) if w else -1 for w in names]
+    code = [new.setdefault(w, len(known) + len(new)) if c == -2 else c for c, w in zip(code, names)]
+    t = np.array(code, np.int64)[index] if len(index) else np.zeros(0, np.int64)
     of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    keep = t >= 0
-    pair, count = np.unique(of[keep] * max(1, len(known)) + t[keep], return_counts=True)
-    of, t = np.divmod(pair, max(1, len(known)))
+    keep, all_ = t >= 0, max(1, len(known) + len(new))
+    pair, count = np.unique(of[keep] * all_ + t[keep], return_counts=True)
+    of, t = np.divmod(pair, all_)
     return np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(offsets) - 1))]).astype(np.int64), t, count
 
 
@@ -122,36 +193,28 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return (F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 3 == 1)
 
 
-def examples(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
-    """(doc_id, text, toxic): at most per_class labelled documents of each class, by a hash of doc_id."""
-    known = columns(labels, "doc_id", "toxic").filter("doc_id is not null and toxic in (0, 1)").filter(~F.coalesce(held_out(), F.lit(False)))
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(columns(docs, "doc_id").distinct(), "doc_id", "left_semi")
+def usable(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of labels that aren't held out."""
+    known = columns(labels, "doc_id", "toxic").filter("doc_id is not null and toxic in (0, 1)")
+    return known.filter(~F.coalesce(held_out(), F.lit(False))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
+def examples(docs: DataFrame, labels: DataFrame, per_class: int, class_bytes: int) -> DataFrame:
+    """(doc_id, toxic, text): labelled documents of each class by a hash of doc_id, within both bounds."""
+    known = usable(labels).join(columns(docs, "doc_id").distinct(), "doc_id", "left_semi")
     pick = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     # bounded by per_class, so it can go to every task, and no text moves but those picked
-    return columns(docs, "doc_id", "text").join(F.broadcast(pick[0].union(pick[1])), "doc_id")
+    rows = columns(docs, "doc_id", "text").join(F.broadcast(pick[0].union(pick[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    by = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("bytes", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(by)).filter(F.col("bytes") <= class_bytes).drop("bytes")
 
 
-def chosen(rows: list, terms: int, least: int = 3, chi: float = 12.0) -> dict[str, int]:
-    """The words of the examples that tell the classes apart, at most `terms`, by chi-square."""
-    y = np.array([r.toxic for r in rows])
-    offsets, index, words = word_ids(pa.array([r.text for r in rows], pa.string()))
-    names = plain(words)
-    code = {w: i for i, w in enumerate(dict.fromkeys(names))}
-    term = np.fromiter((code[w] for w in names), np.int64, len(names))
-    of = np.repeat(np.arange(len(rows)), np.diff(offsets))
-    pair = np.unique(of * max(1, len(code)) + term[index]) if len(index) else np.zeros(0, np.int64)
-    of, t = np.divmod(pair, max(1, len(code)))
-    yes = np.bincount(t, y[of], len(code)) if len(t) else np.zeros(len(code))
-    df = np.bincount(t, minlength=len(code))
+def relevance(of: np.ndarray, terms: np.ndarray, y: np.ndarray, n_terms: int) -> np.ndarray:
+    """By term: the absolute correlation between its presence in an example and the example's label."""
     n, pos = len(y), y.sum()
-    a, b = yes, df - yes
-    c, d = pos - yes, n - pos - (df - yes)
+    yes, df = np.bincount(terms, y[of], n_terms), np.bincount(terms, minlength=n_terms)
     with np.errstate(divide="ignore", invalid="ignore"):
-        chi2 = np.nan_to_num(n * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d)))
-    order = np.argsort(-chi2, kind="stable")[:terms]
-    names = list(code)
-    order = [i for i in order if df[i] >= least and chi2[i] >= chi and names[i]]
-    return {names[i]: j for j, i in enumerate(order)}
+        return np.nan_to_num(np.abs(n * yes - df * pos) / np.sqrt(df * (n - df) * (pos * (n - pos)).astype(float)))
 
 
 def frequencies(docs: DataFrame, known: dict[str, int]) -> tuple[np.ndarray, int]:
@@ -162,24 +225,23 @@ def frequencies(docs: DataFrame, known: dict[str, int]) -> tuple[np.ndarray, int
         df, n = np.zeros(len(shared.value), np.int64), 0
         for b in pieces(batches, "text", 4 << 20):
             _, t, _ = counted(b.column(0), shared.value)
-            df += np.bincount(t, minlength=len(df))
+            df += np.bincount(t[t < len(df)], minlength=len(df))
             n += b.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *range(len(df))], pa.int64()), pa.array([n, *df.tolist()], pa.int64())], names=["term", "n"])
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *some.tolist()], pa.int64()), pa.array([n, *df[some].tolist()], pa.int64())], names=["term", "n"])
 
-    rows = columns(docs, "text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    df, n = np.zeros(len(known), np.int64), 0
-    for r in rows:
-        if r.term < 0:
-            n = r.n
-        else:
-            df[r.term] = r.n
-    return df, n
+    # a row for each term of the examples, whose number is bounded with them
+    rows = columns(docs, "text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, count_ = (rows.column(c).to_numpy() for c in ("term", "n"))
+    df = np.zeros(len(known), np.int64)
+    df[term[term >= 0]] = count_[term >= 0]
+    return df, int(count_[term < 0].sum())
 
 
 def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
     """Weighted logistic fit of y on x with a little shrinkage, by Newton steps."""
     a, b = 1.0, 0.0
-    for _ in range(30):
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
         g = np.array([((p - y) * w * x).sum() + 1e-2 * (a - 1), ((p - y) * w).sum() + 1e-2 * b])
         s = w * p * (1 - p)
@@ -188,59 +250,52 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]
         a, b = a - np.clip(step[0], -2, 2), b - np.clip(step[1], -2, 2)
         if abs(step).max() < 1e-8:
             break
-    return max(a, 1e-3), b
+    return float(max(a, 1e-3)), float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, terms: int = 1 << 15, k: int = 24, size: int = 64, cut: float = 0.7) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, class_bytes: int = 16 << 20, k: int = 64, size: int = 256) -> Index:
     """An index of labelled examples."""
-    rows = sorted(examples(docs, labels, per_class).dropDuplicates(["doc_id"]).collect(), key=lambda r: r.doc_id)
-    share = columns(labels, "doc_id", "toxic").filter("toxic in (0, 1)").filter(~F.coalesce(held_out(), F.lit(False))).agg(F.avg("toxic").alias("p")).collect()[0].p
-    known = chosen(rows, terms)
-    df, n = frequencies(docs, known)
-    idf = np.log((1 + n) / (1 + df)) + 1
-    y = np.array([r.toxic for r in rows], np.int64)
-    offsets, t, c = counted(pa.array([r.text for r in rows], pa.string()), known)
+    rows = sorted(examples(docs, labels, per_class, class_bytes).collect(), key=lambda r: (r.toxic, r.doc_id))
+    share = usable(labels).agg(F.avg("toxic").alias("p")).collect()[0].p
     p = share if share is not None else 0.5
-    weight = np.array([(1 - p) / max(1, (y == 0).sum()), p / max(1, (y == 1).sum())])
-    out = Index(known, idf, np.array([r.doc_id for r in rows], np.int64), y, weight / weight.max() if weight.max() else weight + 1, *[np.zeros(0)] * 6, size, k, (1.0, 0.0, 0.0))
-    w = np.concatenate([out.vector(t[i:j], c[i:j]) for i, j in zip(offsets, offsets[1:])] or [np.zeros(0)])
+    y = np.array([r.toxic for r in rows], np.int64)
+    text = pa.array([r.text for r in rows], pa.string())
+    known = {w: i for i, w in enumerate(w for w in dict.fromkeys(plain(word_ids(text)[2])) if w)}
+    offsets, t, c = counted(text, known)
     ex = np.repeat(np.arange(len(rows)), np.diff(offsets))
+    df, n = frequencies(docs, known) if known else (np.zeros(0, np.int64), 0)
+    gain = (np.log((1 + n) / (1 + df)) + 1) * (relevance(ex, t, y, len(known)) + FLOOR)
+    count = np.bincount(y, minlength=2)
+    index = Index(known, gain, float((np.log(1 + n) + 1) * FLOOR), np.array([r.doc_id for r in rows], np.int64), y, 1 / np.maximum(1, count), *[np.zeros(0)] * 6, size, k, (1.0, 0.0))
+    w = index.vectors(offsets, t, c)
     order = np.lexsort((ex, t))
-    t2, ex, w = t[order], ex[order], w[order]
-    key = t2 * (len(rows) // size + 1) + ex // size
+    term, index.example, index.weight = t[order], ex[order], w[order]
+    key = term * (len(rows) // size + 1) + index.example // size
     heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-    out.example, out.weight, out.first = ex, w, np.append(heads, len(key))
-    out.block, out.most = ex[heads] // size, (np.maximum.reduceat(w, heads) if len(heads) else np.zeros(0))
-    out.start = np.searchsorted(t2[heads], np.arange(len(known) + 1))
-    if not 0 < y.sum() < len(y):
-        return out if len(y) else Index(**{**out.__dict__, "vote": np.array([1 - p, p]) + 1e-9})
-    raw = np.array([out.raw(*out.nearest(t[i:j], out.vector(t[i:j], c[i:j]), e)) for e, (i, j) in enumerate(zip(offsets, offsets[1:]))])
-    a, b = logistic(raw, y, weight[y] * len(y))
-    # the decision point with the best F1 for classes as frequent as in all labels that aren't held out
-    o = np.argsort(-raw, kind="stable")
-    hit, miss = np.cumsum(weight[y[o]] * y[o]), np.cumsum(weight[y[o]] * (1 - y[o]))
-    f1 = 2 * hit / (hit + miss + p)
-    f1[:-1][raw[o][:-1] == raw[o][1:]] = -1  # not between equal values
-    best = int(f1.argmax())
-    edge = raw[o[best]] if best + 1 == len(o) else (raw[o[best]] + raw[o[best + 1]]) / 2
-    out.fit = (a, b, np.log(cut / (1 - cut)) - (a * edge + b))
-    return out
+    index.first, index.block = np.append(heads, len(key)), index.example[heads] // size
+    index.most = np.maximum.reduceat(index.weight, heads) if len(heads) else np.zeros(0)
+    index.start = np.searchsorted(term[heads], np.arange(len(known) + 1))
+    if not count.all():  # nothing to tell apart: the share of the class
+        index.vote = np.zeros(2)
+        index.fit = (1.0, float(np.log((p + 1e-9) / (1 - p + 1e-9))))
+        return index
+    raw = []
+    for i in range(0, len(rows), TOGETHER):
+        j = min(i + TOGETHER, len(rows))
+        a, b = int(offsets[i]), int(offsets[j])
+        raw.append(index.raw(index.nearest(index.cosines(ex[a:b] - i, t[a:b], w[a:b], j - i, np.arange(i, j)))))
+    index.fit = logistic(np.concatenate(raw), y, (np.array([1 - p, p]) / count)[y] * len(y))
+    return index
 
 
 def score(docs: DataFrame, index: Index, evidence: int = 3) -> DataFrame:
     """(doc_id, score, evidence): each whole text's score, and the nearest examples."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
+    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("similarity", pa.float64())]))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = shared.value
         for b in pieces(batches, "text", 4 << 20):
-            offsets, t, c = counted(b.column(1), ix.words)
-            scores, why = [], []
-            for i, j in zip(offsets.tolist(), offsets[1:].tolist()):
-                near, cosine = ix.nearest(t[i:j], ix.vector(t[i:j], c[i:j])) if j > i else (np.zeros(0, np.int64), np.zeros(0))
-                scores.append(ix.probability(ix.raw(near, cosine)))
-                why.append([{"doc_id": int(ix.ids[e]), "label": int(ix.labels[e]), "similarity": float(s)} for e, s in zip(near[:evidence], cosine)])
-            kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("similarity", pa.float64())]))
+            scores, why = shared.value.scored(b.column(1), evidence)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(why, kind)], names=["doc_id", "score", "evidence"])
 
     return columns(docs, "doc_id", "text").mapInArrow(emit, SCORES)
@@ -252,10 +307,7 @@ def drop_toxic(docs: DataFrame, index: Index, cut: float = 0.7) -> DataFrame:
     at = docs.columns.index("text")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = shared.value
         for b in pieces(batches, "text", 4 << 20):
-            offsets, t, c = counted(b.column(at), ix.words)
-            keep = [ix.probability(ix.raw(*(ix.nearest(t[i:j], ix.vector(t[i:j], c[i:j])) if j > i else (np.zeros(0, np.int64), np.zeros(0))))) < cut for i, j in zip(offsets.tolist(), offsets[1:].tolist())]
-            yield b.filter(pa.array(keep, pa.bool_()))
+            yield b.filter(pa.array(shared.value.scored(b.column(at))[0] < cut, pa.bool_()))
 
     return docs.mapInArrow(emit, docs.schema)

@@ -385,43 +385,92 @@ def test_bpe(spark, docs, corpus):
 
 # --- 8 ---
 
-def test_toxicity_nearest(spark):
-    """The index finds the same examples as all cosines."""
+def plain_words(t):
+    return [w for w in (x.strip(toxicity.MARKS).lower() for x in ascii_words(t)) if w]
+
+
+def brute_toxicity(texts, label, k):
+    """A function (text, example to leave out) -> raw votes and nearest examples, all terms and pairs by hand."""
+    ex = {i: y for i, y in label.items() if i in texts and zlib.crc32(str(i).encode()) % 3 != 1}
+    df = Counter(w for t in texts.values() for w in set(plain_words(t)))
+    n, pos, has, yes = len(ex), sum(ex.values()), Counter(), Counter()
+    for i, y in ex.items():
+        has.update(own := set(plain_words(texts[i])))
+        yes.update(own if y else ())
+    idf = {w: np.log((1 + len(texts)) / (1 + df[w])) + 1 for w in has}
+
+    def phi(w):
+        below = has[w] * (n - has[w]) * pos * (n - pos)
+        return abs(n * yes[w] - has[w] * pos) / below**0.5 if below else 0.0
+
+    gain = {w: idf[w] * (phi(w) + toxicity.FLOOR) for w in has}
+    most = (np.log(1 + len(texts)) + 1) * toxicity.FLOOR
+
+    def vector(t):
+        v = {w: (1 + np.log(c)) * gain.get(w, most) for w, c in Counter(plain_words(t)).items()}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        return {w: x / norm for w, x in v.items()}
+
+    vectors = {i: vector(texts[i]) for i in ex}
+
+    def votes(t, but=None):
+        q = vector(t)
+        cos = {i: sum(x * v.get(w, 0) for w, x in q.items()) for i, v in vectors.items() if i != but}
+        last = sorted(cos.values(), reverse=True)[k - 1]
+        near = {i: c for i, c in cos.items() if c >= last - 1e-12 and c > 0}
+        share = {y: sum(c * c for i, c in near.items() if ex[i] == y) / sum(z == y for z in ex.values()) + 1e-6 for y in (0, 1)}
+        return np.log(share[1] / share[0]), near
+
+    return ex, votes
+
+
+def test_toxicity_scores(spark):
+    """Scores, votes and evidence against all cosines by hand; the decision; edge cases."""
     rng = random.Random(4)
     bad = ["idiot", "scum", "moron", "clown"]
-    out, labels = [], []
-    for i in range(400):
-        toxic = i % 5 == 0
-        out.append((i, words(rng, 40) + " " + " ".join(rng.choice(bad) + "!" for _ in range(3 if toxic else 0)) + " " + " ".join(f"c{rng.randrange(6)}" for _ in range(0 if toxic else 4))))
-        labels.append((i, None, int(toxic)))
-    df = spark.createDataFrame(out + [(900, None), (901, ""), (902, "idiot scum"), (902, "idiot scum")], "doc_id long, text string").withColumn("toxic", F.lit("x"))
-    lab = spark.createDataFrame(labels + [(3, 1, None), (77777, 1, 1)], "doc_id long, quality int, toxic int")
-    index = toxicity.fit(df, lab, per_class=60, size=8, k=5)
-    dense = np.zeros((len(index.ids), len(index.words)))
-    text = dict(out)
-    import pyarrow as pa
-
-    for e, i in enumerate(index.ids.tolist()):
-        o, t, c = toxicity.counted(pa.array([text[i]]), index.words)
-        dense[e, t] = index.vector(t, c)
-    assert len(index.ids) <= 120 and len(index.words) >= 4
-    for i, t in out:
-        o, terms, c = toxicity.counted(pa.array([t]), index.words)
-        if len(terms):
-            q = index.vector(terms, c)
-            all_ = dense[:, terms] @ q
-            near, cosine = index.nearest(terms, q)
-            want = np.sort(all_)[::-1][:5]
-            assert np.allclose(cosine, want[want > 0][: len(cosine)]) and len(near) == min(5, (all_ > 0).sum())
+    texts = {i: words(rng, 40) + " " + " ".join(rng.choice(bad) + "!" for _ in range(3 if i % 5 == 0 else 0)) + " " + " ".join(f"c{rng.randrange(6)}" for _ in range(0 if i % 5 == 0 else 4)) for i in range(400)}
+    label = {i: int(i % 5 == 0) for i in texts}
+    more = [(900, None), (901, ""), (902, "idiot scum"), (902, "idiot scum"), (903, "?! ..")]
+    df = spark.createDataFrame([*texts.items(), *more], "doc_id long, text string").withColumn("toxic", F.lit("x"))
+    lab = spark.createDataFrame([(i, None, y) for i, y in label.items()] + [(3, 1, None), (77777, 1, 1)], "doc_id long, quality int, toxic int")
+    index = toxicity.fit(df, lab, size=8, k=9)
+    every = texts | {900: "", 901: "", 902: "idiot scum", -902: "idiot scum", 903: "?! .."}
+    ex, votes = brute_toxicity(every, label, 9)
+    assert set(index.ids.tolist()) == set(ex) and len(ex) > 200
+    raw = {i: votes(texts[i], i)[0] for i in ex}
+    assert np.allclose(index.fit, toxicity.logistic(np.array([raw[i] for i in index.ids]), index.labels, weights_of(index.labels, (sum(ex.values()) + (zlib.crc32(b"77777") % 3 != 1)) / (len(ex) + (zlib.crc32(b"77777") % 3 != 1)))), atol=1e-6)
     got = toxicity.score(df, index).collect()
-    by = {r.doc_id: r.score for r in got}
-    assert len(got) == 404 and all(0 <= r.score <= 1 for r in got)
-    assert all((by[i] >= 0.7) == (i % 5 == 0) for i, _ in out) and by[902] >= 0.7 > by[900] == by[901]
-    assert toxicity.drop_toxic(df, index).count() == 404 - 82
-    for none in (lab.limit(0), lab.filter("toxic = 0")):
-        ix = toxicity.fit(df, none)
-        assert all(0 <= r.score < 0.7 or none.count() == 0 for r in toxicity.score(df, ix).collect())
-    assert toxicity.score(df.limit(0), index).count() == 0
+    by = {r.doc_id: r for r in got}
+    for i, r in by.items():
+        want, near = votes(every[i])
+        assert np.isclose(r.score, 1 / (1 + np.exp(-(index.fit[0] * want + index.fit[1])))), i
+        top = sorted(near.values(), reverse=True)[:3]
+        assert np.allclose([e.similarity for e in r.evidence], top) and all(np.isclose(near[e.doc_id], e.similarity) and e.label == ex[e.doc_id] for e in r.evidence)
+    assert len(got) == 405 and all((by[i].score >= 0.7) == (i % 5 == 0) for i in texts) and by[902].score >= 0.7 > by[900].score == by[901].score == by[903].score
+    assert toxicity.drop_toxic(df, index).count() == 405 - 82
+    assert len(toxicity.fit(df, lab, per_class=20).ids) == 40 and len(toxicity.fit(df, lab, class_bytes=1000).ids) < 20
+    for none, low, high in ((lab.limit(0), 0.49, 0.51), (lab.filter("toxic = 0"), 0, 0.01), (lab.filter("toxic = 1"), 0.99, 1)):
+        assert all(low <= r.score <= high for r in toxicity.score(df, toxicity.fit(df, none)).collect())
+    assert toxicity.score(df.limit(0), index).count() == 0 and toxicity.fit(df.limit(0), lab).ids.tolist() == []
+
+
+def weights_of(y, p):
+    """Classes weighted as frequent as in all labels."""
+    return np.where(y == 1, p / y.sum(), (1 - p) / (1 - y).sum()) * len(y)
+
+
+def test_toxicity_query(spark):
+    """The query's columns, and its quality on labels that it never saw."""
+    folder = "/root/testdata/sf0.01"
+    got = queries.op8_toxicity(spark, folder).collect()
+    label = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    assert len(got) == spark.read.parquet(f"{folder}/documents.parquet").count()
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7)
+    s = [(r.score, label[r.doc_id], r.predicted) for r in got if r.held_out and r.doc_id in label]
+    yes, no = [x for x, y, _ in s if y], [x for x, y, _ in s if not y]
+    assert sum((a > b) + (a == b) / 2 for a in yes for b in no) / len(yes) / len(no) > 0.93
+    assert sum(y for _, y, p in s if p) / sum(p for *_, p in s) > 0.8 and sum((x - y) ** 2 for x, y, _ in s) / len(s) < 0.05
 
 
 def test_toxicity_held_out(spark):
@@ -432,8 +481,9 @@ def test_toxicity_held_out(spark):
     held = {i for i, _ in labels if zlib.crc32(str(i).encode()) % 3 == 1}
     assert 0 < len(held) < 200
     a, b = [toxicity.fit(df, spark.createDataFrame(x, "doc_id long, toxic int")) for x in (labels, [(i, 1 - y if i in held else y) for i, y in labels])]
-    assert not held & set(a.ids.tolist()) and a.ids.tolist() == b.ids.tolist()
-    assert a.vote.tolist() == b.vote.tolist() and a.fit == b.fit
+    assert not held & set(a.ids.tolist()) and a.ids.tolist() == b.ids.tolist() and a.fit == b.fit
+    one, two = [sorted((r.doc_id, r.score) for r in toxicity.score(df, x).collect()) for x in (a, b)]
+    assert one == two
 
 
 # --- 9 ---
