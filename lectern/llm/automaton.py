@@ -5,12 +5,14 @@ occurs in the reference (matching statistics). A window of `size` words repeats
 
 The reference is the corpus itself, far too large to broadcast, and each document would have to pass each shard. So
 the shards are routed, not broadcast: winnowing (repeats.py) deals segments of text out by a hash such that equal
-windows meet in one shard, with segments that are equal as a whole combined beforehand. A shard's automaton grows by
-one segment at a time in (doc_id, position) order, and each segment streams past what came before it.
-
-Edge cases: null text or fewer words than a window: nothing is removed; null doc_id: the text is kept whole and not
-compared; repeated rows (same doc_id): treated as one document seen twice, each row gets the same result; extra
-columns are ignored; an empty table gives an empty result.
+windows meet in one shard, one segment for each class of equal ones. A shard's automaton grows by one class at a time
+in the order of their first places. A class streams past what came before it, which gives the windows of its first
+occurrence that repeat; if it occurs more often, it streams past the automaton again with itself in it, which gives
+those of its later occurrences.
+
+Edge cases: null text or fewer words than a window: nothing is removed; rows with one doc_id are documents of their
+own, in the order in which they are read, and rows with a null doc_id come after all others; extra columns are ignored;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import columns, groups, pieces, word_hashes, word_ids
-from .repeats import Repeats, covered
+from .common import U64, groups, pieces, word_ids
+from .repeats import RANGE, Repeats, Symbols, batch, covered, merged
 
 
 class Automaton:
@@ -88,46 +90,51 @@ class Automaton:
 
 
 def shard(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Ranges of words, in segments sorted by shard key f, doc_id and position, whose windows occur in earlier ones."""
-    out: list[tuple[int, int, int]] = []
+    """Ranges of words that repeat in the classes of each shard, which are sorted by f and place."""
+    out: list[tuple] = []
     for t in groups(batches, "f"):
         auto = Automaton()
-        for doc, a, body in zip(t.column("doc_id").to_pylist(), t.column("a").to_pylist(), t.column("body").to_pylist()):
+        for f, sh, doc, dup, a, count, body in zip(*(t.column(c).to_pylist() for c in ("f", "sh", "doc", "dup", "a", "c", "body"))):
             words = body.split(b" ")
-            if auto.texts:
-                ends = [i for i, m in enumerate(auto.matches(words)) if m >= size]
-                out += [(doc, a + i - size + 1, a + i + 1) for i in ends]
+            found = [(1, auto.matches(words))] if auto.texts else []
             auto.add(words)
+            if count > 1:
+                found.append((2, auto.matches(words)))
+            for which, sizes in found:
+                ends = [i - size + 1 for i, m in enumerate(sizes) if m >= size]
+                out += [(f, sh, doc, dup, a, which, i, e) for i, e in merged(ends, size)]
         if len(out) > 10_000:
-            yield _ranges(out)
+            yield batch(out, RANGE)
             out = []
     if out:
-        yield _ranges(out)
-
-
-def _ranges(out: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc_id", "a", "e"])
+        yield batch(out, RANGE)
 
 
 def _joined(body: bytes):
-    words = body.split()  # white space of bytes: space and 0x09 to 0x0D
+    words = body.split(b" ")
     return lambda i, j: b" ".join(words[max(0, i) : j])
 
 
 def _body(text: str):
-    return _joined(text.encode())
+    words = text.encode().split()  # white space of bytes: space and 0x09 to 0x0D
+    return lambda i, j: b" ".join(words[i:j])
 
 
-def _windows(body: bytes, size: int) -> list[int]:
-    words = body.split()
-    return [xxhash.xxh64_intdigest(b" ".join(words[i : i + size])) - (1 << 63) for i in range(len(words) - size + 1)]
+def word_symbols(text: pa.Array) -> Symbols:
+    """Words between ASCII white space; parts are joined by one space."""
+    offsets, index, words = word_ids(text)
+    known = np.fromiter(map(xxhash.xxh64_intdigest, words.to_pylist()), U64, len(words))
+    flat = pc.cast(words.take(pa.array(index)), pa.large_binary())
+    at = np.concatenate([[0], np.cumsum(pc.binary_length(flat).to_numpy(zero_copy_only=False) + 1)]).tolist()
+    data = memoryview(b" ".join(flat.to_pylist()))
+    return Symbols(offsets, known[index] if len(index) else np.zeros(0, U64), lambda i, j: data[at[i] : at[j] - 1].tobytes())
 
 
-def plan(size: int = 20, k: int = 6, step: int = 4, cap: int = 2000) -> Repeats:
-    return Repeats(word_hashes, _body, _joined, partial(_windows, size=size), partial(shard, size=size), size, k, step, cap, every=False)
+def plan(size: int = 20, k: int = 6, step: int = 4, most: int = 512) -> Repeats:
+    return Repeats(word_symbols, _body, _joined, partial(shard, size=size), size, k, (step, 1), most)
 
 
-def remove_repeats(docs: DataFrame, size: int = 20, k: int = 6, step: int = 4, cap: int = 2000) -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = 20, k: int = 6, step: int = 4, most: int = 512) -> DataFrame:
     """(doc_id, text, n_words, n_removed): documents without the words of any window that starts earlier elsewhere.
 
     Words lie between ASCII white space; the words that stay are joined by one space.
@@ -147,6 +154,4 @@ def remove_repeats(docs: DataFrame, size: int = 20, k: int = 6, step: int = 4, c
             joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), kept), " ")
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), joined, pa.array(np.diff(offsets)), pa.array(gone, pa.int64())], names=["doc_id", "text", "n_words", "n_removed"])
 
-    marked = plan(size, k, step, cap).marked(columns(docs, "doc_id", "text"))
-    return marked.select("doc_id", "text", "spans").mapInArrow(rebuild, "doc_id long, text string, n_words long, n_removed long")
-
+    return plan(size, k, step, most).marked(docs).mapInArrow(rebuild, "doc_id long, text string, n_words long, n_removed long")

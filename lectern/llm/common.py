@@ -46,13 +46,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Deletes the files behind a table made by saved() that nothing reads any more."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files behind tables made by saved() that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
 
 
 def columns(docs: DataFrame, *names: str) -> DataFrame:
@@ -199,11 +200,10 @@ def segments(sym: np.ndarray, starts: np.ndarray, k: int, size: int) -> dict[str
 
     sym: 64-bit hashes of the symbols of one chunk; starts: where its documents begin. A segment is a run of windows
     that share the occurrence of their smallest k-gram. Equal windows anywhere have equal k-grams at equal places, so
-    they lie in segments of equal `f`. Gives first window, number of windows, the k-gram's place rel in it and hash f, and a hash `sh` of
-    the segment's symbols and of the k-gram's place in it.
+    they lie in segments of equal `f`. Gives first window, number of windows, and the k-gram's place rel in it and hash f.
     """
     n = len(sym)
-    empty = {c: np.zeros(0, np.int64) for c in ("a", "n", "rel", "f", "sh")}
+    empty = {c: np.zeros(0, np.int64) for c in ("a", "n", "rel", "f")}
     if n < size:
         return empty
     p, q = powers()
@@ -226,9 +226,7 @@ def segments(sym: np.ndarray, starts: np.ndarray, k: int, size: int) -> dict[str
     if not len(a):
         return empty
     at = low[a]
-    body = mix((h[b + size] - h[a]) * q[a])
-    body = mix(body ^ ((at - a).astype(U64) * MIX_A + (b - a).astype(U64) * MIX_B))
-    return {"a": a, "n": b - a + 1, "rel": at - a, "f": g[at].view(np.int64), "sh": body.view(np.int64)}
+    return {"a": a, "n": b - a + 1, "rel": at - a, "f": g[at].view(np.int64)}
 
 
 class Forest:

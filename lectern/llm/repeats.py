@@ -1,184 +1,219 @@
-"""Candidate search for repeated windows, shared by the word-level and the byte-level removal of repeats.
+"""Dealing out repeated windows to shards, shared by the word-level and the byte-level removal of repeats.
 
-Windows of `size` symbols are grouped into segments by winnowing (common.segments). Equal windows lie in segments of
-equal key f, at equal places, so only segments whose f occurs twice matter, and:
+A shard must see all equal windows, and no task may see the whole corpus. So windows of `size` symbols are grouped into
+segments by winnowing (common.segments): equal windows lie in segments of equal key f, at equal places. Then:
 
-* segments with equal (f, sh) are equal as a whole: one aggregate tells whether, and where first, they occur;
-* where an f has different segments, the first of each kind is fetched from its document and cut into runs of a few
-  windows that share a core; again runs may be equal as a whole, and runs of one core that differ are compared symbol
-  by symbol by the caller's kernel;
-* a core with more than `cap` different runs (the edge of a passage that very many contexts share) would be an
-  unbounded group: its windows are compared one by one instead, with aggregates that pre-combine in each task.
+1. Segments whose f occurs once are dropped; no window of theirs repeats. Of the others, those with equal symbols are one
+   class, with a count and its first place; equal means equal length, place and 128-bit BLAKE2b digest of all symbols.
+2. The first segment of each class is fetched from its document. The classes of one f are a shard, and the caller's
+   kernel tells, by comparing symbols, which windows of each class repeat: in its first occurrence and in later ones.
+3. An f with more than `most` classes (the edge of a passage that very many contexts share) is dealt out anew: its classes
+   are cut into runs of a few windows that share a core, whose key is made of the core, and what is still too crowded
+   into single windows. Classes, shards and kernel are the same there; results pass from runs to their classes.
+4. Each occurrence takes its class's ranges.
 
+So each class, the most frequent ones too, is decided by the kernel, and a shard has a bounded number of classes.
 Nothing is collected to the driver, and no window is left out.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, columns, pieces, saved, segments
+from .common import chunks, columns, dropped, pieces, saved, segments
 
-#: text column -> offsets by document and a 64-bit hash of each symbol.
-Symbols = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
-OCC = "doc_id long, a long, n int, rel int, f long, sh long"
-BODY = {"f": "long", "doc_id": "long", "a": "long", "n": "int", "rel": "int", "body": "binary"}
-RUN = {"f": "long", "sh": "long", "doc_id": "long", "a": "long", "n": "int", "o": "long"}
+class Symbols(NamedTuple):
+    """Texts as symbols: offsets by text, a 64-bit hash of each symbol, and part(i, j): the bytes of symbols i to j - 1."""
+
+    offsets: np.ndarray
+    hashes: np.ndarray
+    part: Callable[[int, int], bytes]
+
+
+PLACE = ("doc", "dup", "a")
+CLASS = {"f": "long", "sh": "binary", "doc": "long", "dup": "long", "a": "long", "n": "int", "rel": "int", "c": "long", "body": "binary"}
+CHILD = CLASS | {"pf": "long", "psh": "binary", "pdoc": "long", "pdup": "long", "pa": "long"}
+#: which: occurrences that a range is for: 0 all, 1 the first, 2 the others; i and e count from the first symbol.
+RANGE = {"f": "long", "sh": "binary", "doc": "long", "dup": "long", "a": "long", "which": "int", "i": "long", "e": "long"}
 KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 
 
-def _batch(rows: list[tuple], schema: dict[str, str]) -> pa.RecordBatch:
+def ddl(schema: dict[str, str]) -> str:
+    return ", ".join(f"{c} {t}" for c, t in schema.items())
+
+
+def batch(rows: list[tuple], schema: dict[str, str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, KINDS[t]) for c, t in zip(zip(*rows), schema.values())], names=list(schema))
 
 
+def digest(x: bytes) -> bytes:
+    return hashlib.blake2b(x, digest_size=16).digest()
+
+
+def merged(windows: list[int], size: int) -> list[tuple[int, int]]:
+    """Ranges of symbols that sorted windows cover."""
+    out: list[list[int]] = []
+    for i in windows:
+        if out and i <= out[-1][1]:
+            out[-1][1] = i + size
+        else:
+            out.append([i, i + size])
+    return [tuple(x) for x in out]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc, dup, doc_id, text): rows with a key of their own. Rows whose doc_id repeats or is null get a number, and a
+    null doc_id comes after all others."""
+    own = columns(docs, "doc_id", "text")
+    odd = saved(own.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1 or doc_id is null").select(F.col("doc_id").alias("odd")), "odd")
+    calm = own.select(F.col("doc_id").alias("doc"), F.lit(0).cast("long").alias("dup"), "doc_id", "text")
+    if odd.isEmpty():
+        return calm
+    number = F.monotonically_increasing_id() + 1
+    some = own.join(odd, F.expr("doc_id <=> odd"), "left_semi").select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), number.alias("dup"), "doc_id", "text")
+    return calm.join(odd, F.expr("doc_id <=> odd"), "left_anti").union(saved(some, "numbered"))
+
+
 @dataclass(frozen=True)
 class Repeats:
     """What a caller fixes.
 
     symbols: splits texts; body(text): a function (first, last symbol) -> bytes of that part, and joined(bytes) the
-    same for such bytes; windows(bytes): a hash of each window in them; kernel: ranges that repeat among the runs of
-    one f; size: symbols of a window; k: symbols of the k-gram that groups windows; step: windows of a run; cap:
-    different runs of one f that the kernel may get together; every: also the first occurrence counts as repeated.
+    same for such bytes; kernel: from classes (CLASS) sorted by f and place, the ranges (RANGE) that repeat in them;
+    size: symbols of a window; k: symbols of the k-gram that groups windows; steps: windows of a run, by level; most:
+    classes of a shard.
     """
 
-    symbols: Symbols
+    symbols: Callable[[pa.Array], Symbols]
     body: Callable[[str], Callable[[int, int], bytes]]
     joined: Callable[[bytes], Callable[[int, int], bytes]]
-    windows: Callable[[bytes], list[int]]
     kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
     size: int
     k: int
-    step: int
-    cap: int
-    every: bool
+    steps: tuple[int, ...]
+    most: int
 
-    def occurrences(self, docs: DataFrame) -> DataFrame:
-        """All segments of all documents."""
+    def occurrences(self, rows: DataFrame, digests: bool) -> DataFrame:
+        """All segments of all documents: place, number of windows, the k-gram's place in it, key, digest."""
         symbols, size, k = self.symbols, self.size, self.k
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in pieces(batches, "text"):
-                ids = b.column(0).to_numpy(zero_copy_only=False)
-                offsets, sym = symbols(b.column(1))
-                for lo, hi, rows, starts in chunks(offsets, size - 1):
-                    s = segments(sym[lo:hi], starts, k, size)
-                    if len(s["a"]):
-                        d = np.searchsorted(starts, s["a"], "right") - 1
-                        at = s["a"] + lo - offsets[rows[d]]
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[rows[d]]), pa.array(at), pa.array(s["n"].astype(np.int32)), pa.array(s["rel"].astype(np.int32)), pa.array(s["f"]), pa.array(s["sh"])], names=["doc_id", "a", "n", "rel", "f", "sh"])
-
-        return columns(docs, "doc_id", "text").filter("doc_id is not null and text is not null").mapInArrow(emit, OCC)
-
-    def fetch(self, docs: DataFrame, wanted: DataFrame) -> DataFrame:
-        """The bodies of wanted segments (f, doc_id, a, n, rel)."""
+                docs, dups = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "dup"))
+                s = symbols(b.column("text"))
+                for lo, hi, own, starts in chunks(s.offsets, size - 1):
+                    x = segments(s.hashes[lo:hi], starts, k, size)
+                    if not len(x["a"]):
+                        continue
+                    d = own[np.searchsorted(starts, x["a"], "right") - 1]
+                    first = x["a"] + lo
+                    cols = [pa.array(docs[d]), pa.array(dups[d]), pa.array(first - s.offsets[d]), pa.array(x["n"].astype(np.int32)), pa.array(x["rel"].astype(np.int32)), pa.array(x["f"])]
+                    if digests:
+                        extra = [b"%d,%d:" % (r, n) for r, n in zip(x["rel"].tolist(), x["n"].tolist())]
+                        cols.append(pa.array([digest(h + s.part(i, j)) for h, i, j in zip(extra, first.tolist(), (first + x["n"] + (size - 1)).tolist())], pa.binary()))
+                    yield pa.RecordBatch.from_arrays(cols, names=["doc", "dup", "a", "n", "rel", "f", *(["sh"] if digests else [])])
+
+        schema = "doc long, dup long, a long, n int, rel int, f long" + (", sh binary" if digests else "")
+        return rows.filter("text is not null").select("doc", "dup", "text").mapInArrow(emit, schema)
+
+    def fetch(self, rows: DataFrame, wanted: DataFrame) -> DataFrame:
+        """wanted classes with their bodies."""
         body, size = self.body, self.size
+        names = [c for c in CLASS if c not in ("doc", "dup", "body")]
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in pieces(batches, "text", 4 << 20):
                 out: list[tuple] = []
-                for doc, text, segs in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("segs").to_pylist()):
+                for doc, dup, text, segs in zip(*(b.column(c).to_pylist() for c in ("doc", "dup", "text", "segs"))):
                     part = body(text)
-                    out += [(s["f"], doc, s["a"], s["n"], s["rel"], part(s["a"], s["a"] + s["n"] + size - 1)) for s in segs]
+                    out += [(s["f"], s["sh"], doc, dup, s["a"], s["n"], s["rel"], s["c"], part(s["a"], s["a"] + s["n"] + size - 1)) for s in segs]
                 if out:
-                    yield _batch(out, BODY)
+                    yield batch(out, CLASS)
 
-        lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("f", "a", "n", "rel")).alias("segs"))
-        return columns(docs, "doc_id", "text").join(lists, "doc_id").mapInArrow(cut, ", ".join(f"{c} {t}" for c, t in BODY.items()))
+        lists = wanted.groupBy("doc", "dup").agg(F.collect_list(F.struct(*names)).alias("segs"))
+        return rows.select("doc", "dup", "text").join(lists, ["doc", "dup"]).mapInArrow(cut, ddl(CLASS))
 
-    def split(self, bodies: DataFrame, step: int) -> DataFrame:
-        """Segments cut into runs of at most `step` windows at fixed distances from their k-gram.
+    def split(self, classes: DataFrame, step: int) -> DataFrame:
+        """Classes cut into runs of at most `step` windows at fixed distances from their k-gram.
 
-        All windows of a run share its core, so equal windows lie in runs of equal key f, made of the segment's key,
-        the distance and the core. sh tells runs apart that are equal as a whole; o is the segment's start.
+        All windows of a run share its core, so equal windows lie in runs of equal key, made of the class's key, the
+        distance and the core.
         """
         size, joined = self.size, self.joined
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 out: list[tuple] = []
-                for f, doc, a, n, body, rel in zip(*(b.column(c).to_pylist() for c in ("f", "doc_id", "a", "n", "body", "rel"))):
+                for f, sh, doc, dup, a, n, rel, c, body in zip(*(b.column(x).to_pylist() for x in CLASS)):
                     part = joined(body)
                     i = 0
                     while i < n:
                         # windows i to j - 1; their distance to the k-gram is rel - i and falls to the next multiple of step
                         j = min(n, i + (rel - i) % step + 1)
                         to = i + (rel - i) % step  # the last start that a run of this place can have
-                        first = to - step + 1
-                        core = part(to, first + size) if size >= step else b""
-                        key = xxhash.xxh64_intdigest(b"%d,%d:" % (f, (rel - i) // step) + core)
-                        whole = xxhash.xxh64_intdigest(b"%d,%d:" % (rel - i, j - i) + part(i, j - 1 + size))
-                        out.append((key - (1 << 63), whole - (1 << 63), doc, a + i, j - i, a))
+                        core = part(to, to - step + 1 + size) if size >= step else b""
+                        own = part(i, j - 1 + size)
+                        key = xxhash.xxh64_intdigest(b"%d,%d:" % (f, (rel - i) // step) + core) - (1 << 63)
+                        out.append((key, digest(b"%d,%d:" % (rel - i, j - i) + own), doc, dup, a + i, j - i, rel - i, c, own, f, sh, doc, dup, a))
                         i = j
                 if out:
-                    yield _batch(out, RUN)
-
-        return bodies.mapInArrow(cut, ", ".join(f"{c} {t}" for c, t in RUN.items()))
-
-    def equal(self, rows: DataFrame, key: str) -> DataFrame:
-        """Of rows (f, <key>, doc_id, a, n), the ranges of those that are equal as a whole to an earlier, or any, row."""
-        at = F.struct("doc_id", "a")
-        known = rows.groupBy("f", key).agg(F.min(at).alias("first"), F.max(at).alias("last")).filter("first <> last").select("f", key, "first")
-        found = rows.join(saved(known, "known"), ["f", key])
-        found = found if self.every else found.filter(at != F.col("first"))
-        return found.select("doc_id", "a", (F.col("a") + F.col("n") + (self.size - 1)).alias("e"))
-
-    def different(self, rows: DataFrame, key: str, *carried: str) -> DataFrame:
-        """The first row of each kind where an f has several kinds; kinds: how many."""
-        at = F.struct("doc_id", "a", "n", *carried)
-        one = saved(rows.groupBy("f", key).agg(F.min(at).alias("first")), "kinds")
-        kinds = saved(one.groupBy("f").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "several")
-        return one.join(kinds, "f").select("f", "first.*", "kinds")
-
-    def spans(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, a, e): ranges of symbols, maybe overlapping, that repeated windows cover."""
-        size, windows = self.size, self.windows
-        occ = self.occurrences(docs)
+                    yield batch(out, CHILD)
+
+        return classes.mapInArrow(cut, ddl(CHILD))
+
+    def ranges(self, classes: DataFrame, level: int = 0) -> DataFrame:
+        """The ranges that repeat in classes of equal f."""
+        def sharded(some: DataFrame) -> DataFrame:
+            return some.repartition("f").sortWithinPartitions("f", *PLACE).mapInArrow(self.kernel, ddl(RANGE))
+
+        if level == len(self.steps):
+            return sharded(classes)
+        crowded = saved(classes.groupBy("f").agg(F.count("*").alias("classes")).filter(F.col("classes") > self.most).select("f"), "crowded")
+        if crowded.isEmpty():
+            return sharded(classes)
+        found = sharded(classes.join(crowded, "f", "left_anti").select(*CLASS))
+        runs = saved(self.split(classes.join(crowded, "f", "left_semi").select(*CLASS), self.steps[level]), "runs")
+        fields = [c for c in CLASS if c not in ("f", "sh", "c")]
+        own = saved(runs.groupBy("f", "sh").agg(F.min(F.struct(*fields)).alias("first"), F.sum("c").alias("c")).select("f", "sh", "first.*", "c").select(*CLASS), "classes")
+        inner = saved(self.ranges(own, level + 1), "ranges").withColumnsRenamed({c: f"_{c}" for c in PLACE})
+        first = F.expr(" and ".join(f"{c} = _{c}" for c in PLACE))
+        # a run that isn't its class's first is a later one in each occurrence of the class that it was cut from
+        back = runs.drop("n", "rel", "c", "body").join(inner, ["f", "sh"]).filter(first | (F.col("which") != 1))
+        at = F.col("a") - F.col("pa")
+        back = back.select(F.col("pf").alias("f"), F.col("psh").alias("sh"), *[F.col(f"p{c}").alias(c) for c in PLACE], F.when(first, F.col("which")).otherwise(0).alias("which"), (at + F.col("i")).alias("i"), (at + F.col("e")).alias("e"))
+        return found.union(back)
+
+    def spans(self, rows: DataFrame) -> DataFrame:
+        """(doc, dup, a, e): ranges of symbols, maybe overlapping, that repeated windows cover."""
         # as a table of its own, so that the join is one of plain exchanges, whose hot keys Spark can split
-        often = saved(occ.groupBy("f").agg(F.count("*").alias("c")).filter("c > 1").select("f"), "often")
-        occ = saved(occ.join(often, "f"), "segments")
-        found = self.equal(occ, "sh")
-        # segments of one f that differ: their runs
-        wanted = self.different(occ, "sh", "rel")
-        bodies = saved(self.fetch(docs, wanted), "bodies")
-        runs = saved(self.split(bodies, self.step), "runs")
-        found = found.union(self.equal(runs, "sh"))
-        # runs of one core that differ: by the kernel, or window by window where there are too many
-        runs = self.different(runs, "sh", "o")
-        whole = bodies.select("doc_id", F.col("a").alias("o"), "body").dropDuplicates(["doc_id", "o"])
-        runs = saved(runs.join(whole, ["doc_id", "o"]).select("f", "doc_id", "a", "n", "o", "body", "kinds"), "cores")
-        near = runs.filter(F.col("kinds") <= self.cap).repartition("f").sortWithinPartitions("f", "doc_id", "a")
-        kernel, joined = self.kernel, self.joined
-
-        def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                body = [joined(x)(a - o, a - o + n + size - 1) for x, a, o, n in zip(*(b.column(c).to_pylist() for c in ("body", "a", "o", "n")))]
-                yield pa.RecordBatch.from_arrays([b.column("f"), b.column("doc_id"), b.column("a"), pa.array(body, pa.binary())], names=["f", "doc_id", "a", "body"])
-
-        found = found.union(near.mapInArrow(lambda x: kernel(trimmed(x)), "doc_id long, a long, e long"))
-
-        def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in trimmed(batches):
-                out = [(f, w, doc, a + i, 1, 0) for f, doc, a, body in zip(*(b.column(c).to_pylist() for c in ("f", "doc_id", "a", "body"))) for i, w in enumerate(windows(body))]
-                if out:
-                    yield _batch(out, RUN)
-
-        hot = runs.filter(F.col("kinds") > self.cap).mapInArrow(single, ", ".join(f"{c} {t}" for c, t in RUN.items()))
-        return found.union(self.equal(saved(hot, "windows"), "sh"))
+        often = saved(self.occurrences(rows, False).groupBy("f").agg(F.count("*").alias("c")).filter("c > 1").select("f"), "often")
+        occ = saved(self.occurrences(rows, True).join(often, "f").select("f", "sh", *PLACE, "n", "rel"), "segments")
+        classes = occ.groupBy("f", "sh").agg(F.min(F.struct(*PLACE, "n", "rel")).alias("first"), F.count("*").alias("c")).select("f", "sh", "first.*", "c")
+        classes = saved(self.fetch(rows, classes), "classes")
+        found = saved(self.ranges(classes), "ranges")
+        dropped(often, classes)
+        found = found.withColumnsRenamed({c: f"_{c}" for c in PLACE})
+        first = F.expr(" and ".join(f"{c} = _{c}" for c in PLACE))
+        mine = occ.drop("n", "rel").join(found, ["f", "sh"]).filter((F.col("which") == 0) | ((F.col("which") == 1) == first))
+        spans = saved(mine.select("doc", "dup", (F.col("a") + F.col("i")).alias("b"), (F.col("a") + F.col("e")).alias("e")).withColumnRenamed("b", "a"), "spans")
+        dropped(occ, found)
+        return spans
 
     def marked(self, docs: DataFrame) -> DataFrame:
-        """The documents with a column spans of (a, e); null where nothing repeats."""
-        spans = saved(self.spans(docs), "spans")
-        lists = spans.groupBy("doc_id").agg(F.collect_list(F.struct("a", "e")).alias("spans"))
-        return docs.join(lists, "doc_id", "left")
+        """(doc_id, text, spans): the documents with ranges (a, e) that repeat; null where nothing does."""
+        rows = keyed(docs)
+        lists = self.spans(rows).groupBy("doc", "dup").agg(F.collect_list(F.struct("a", "e")).alias("spans"))
+        return rows.join(lists, ["doc", "dup"], "left").select("doc_id", "text", "spans")
 
 
 def covered(spans: list[dict] | None, n: int) -> tuple[np.ndarray, int]:
@@ -190,4 +225,3 @@ def covered(spans: list[dict] | None, n: int) -> tuple[np.ndarray, int]:
     mask = np.cumsum(step[:n]) > 0
     runs = int(mask[:1].sum() + np.count_nonzero(mask[1:] & ~mask[:-1]))
     return mask, runs
-

@@ -5,13 +5,16 @@ are processed in descending order, and the suffixes that the previous-smaller po
 into groups of their own, by how many pointers meet there, so that each group ends up holding the suffixes with one
 Lyndon prefix; a second pass over the groups in ascending order emits each group's order.
 
-The corpus is dealt out by winnowing (repeats.py) such that equal windows meet; the arrays are built over the segments
-that differ within a shard, and equal windows are neighbours in them.
+suffix_arrays() does the same for many strings at once: each step takes the next group, or the next suffix, of all of
+them, so that short strings share their steps.
 
-Edge cases: null text or fewer bytes than a window: nothing is removed; null doc_id: the text is kept whole and not
-compared; repeated rows (same doc_id): treated as one document seen twice, so a string must also start elsewhere;
-extra columns are ignored; an empty table gives an empty result. What stays of a text may no longer be valid UTF-8, so
-it is returned as binary.
+The corpus is dealt out by winnowing (repeats.py) such that equal windows meet in one shard, one segment for each class
+of equal ones. A shard's array is built over its classes. Equal windows are neighbours in it; a window repeats if its
+classes occur more than once together.
+
+Edge cases: null text or fewer bytes than a window: nothing is removed; rows with one doc_id, or with none, are
+documents of their own; extra columns are ignored; an empty table gives an empty result. What stays of a text may no
+longer be valid UTF-8, so it is returned as binary.
 """
 
 from __future__ import annotations
@@ -22,12 +25,13 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 
-from .common import U64, columns, groups, mix, pieces
-from .repeats import Repeats, covered
+from .common import U64, groups, mix, pieces
+from .repeats import RANGE, Repeats, Symbols, batch, covered
 
+#: Strings that are sorted in step, unless the longest has more than 1 / ALONE of their symbols.
+TOGETHER, ALONE = 1024, 20
 #: A random 64-bit value for each byte.
 TABLE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
@@ -97,59 +101,187 @@ def suffix_array(s: list[int]) -> list[int]:
     return out[1:]
 
 
-def repeated(bodies: list[bytes], size: int) -> list[tuple[int, int]]:
-    """(body, place) of each window of `size` bytes that also starts elsewhere in the bodies."""
-    m = len(bodies)
-    s: list[int] = []
-    of: list[int] = []
-    place: list[int] = []
-    for b, body in enumerate(bodies):
-        s += [x + m for x in body]
-        s.append(b)  # ends one body only
-        of += [b] * (len(body) + 1)
-        place += range(len(body) + 1)
-    out: set[tuple[int, int]] = set()
-    last = None
-    prev = b""
-    for i in suffix_array(s):
-        b, p = of[i], place[i]
-        if len(bodies[b]) - p < size:
+def suffix_arrays(s: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Suffix arrays, one after the other, of strings that lie one after the other and each end in a 0 of their own.
+
+    start: where they begin, and the end. Works as suffix_array(), on all strings in step.
+    """
+    n, k = len(s), len(start) - 1
+    string = np.repeat(np.arange(k), np.diff(start))
+    at = np.lexsort((s, string))  # by slot: the suffix there; a group is a range of slots, named by its first
+    slot = np.empty(n, np.int64)
+    slot[at] = np.arange(n)
+    heads = np.flatnonzero(np.r_[True, (s[at][1:] != s[at][:-1]) | (string[at][1:] != string[at][:-1])])
+    length = np.diff(np.append(heads, n))
+    group, size, opens = np.empty(n, np.int64), np.zeros(n, np.int64), np.zeros(n + 1, np.int64)
+    group[at] = np.repeat(heads, length)
+    size[heads] = length
+    opens[heads + length] = heads  # by end: where the group begins
+    before, moves = np.full(n, -1), np.zeros(n, bool)
+    end, live = start[1:].copy(), np.arange(k)
+    while len(live):
+        g = opens[end[live]]
+        count = end[live] - g
+        of = np.repeat(np.arange(len(live)), count)
+        i = at[np.arange(len(of)) + np.repeat(g - np.cumsum(count) + count, count)]
+        least, first = g[of], start[live][of]
+        j = i - 1
+        busy = np.flatnonzero(j >= first)
+        while len(busy := busy[group[j[busy]] > least[busy]]):
+            j[busy] = before[j[busy]]
+            busy = busy[j[busy] >= first[busy]]
+        before[i] = j
+        # pointers that end within the group go on from there
+        busy = np.flatnonzero(j >= first)
+        while len(busy := busy[group[j[busy]] == least[busy]]):
+            j[busy] = before[j[busy]]
+            before[i[busy]] = j[busy]
+            busy = busy[j[busy] >= first[busy]]
+        hit, times = np.unique(j[j >= first], return_counts=True)
+        if len(hit):
+            old = group[hit]
+            order = np.lexsort((hit, times, old))
+            hit, times, old = hit[order], times[order], old[order]
+            new = np.r_[True, old[1:] != old[:-1]]
+            head = np.flatnonzero(new)
+            moved = np.diff(np.append(head, len(hit)))
+            names = old[head]
+            base = names + size[names] - moved  # those that move take their group's last slots, by how many met there
+            target = np.repeat(base - head, moved) + np.arange(len(hit))
+            moves[hit] = True
+            there, left = at[target], slot[hit]
+            there, left = there[~moves[there]], left[left < np.repeat(base, moved)]
+            at[left], slot[there] = there, left
+            at[target], slot[hit] = hit, target
+            moves[hit] = False
+            run = np.flatnonzero(new | np.r_[True, times[1:] != times[:-1]])
+            length = np.diff(np.append(run, len(hit)))
+            group[hit] = np.repeat(target[run], length)
+            size[target[run]] = length
+            opens[target[run] + length] = target[run]
+            rest = base > names
+            size[names[rest]] = (base - names)[rest]
+            opens[base[rest]] = names[rest]
+        end[live] = g
+        live = live[g > start[live]]
+    # each group's order, by the suffixes that are placed already
+    by_length = np.argsort(-np.diff(start), kind="stable")
+    first, length = start[:-1][by_length], np.diff(start)[by_length]
+    out, free, placed = np.zeros(n, np.int64), np.arange(n), np.zeros(n, bool)
+    out[first] = first + length - 1
+    placed[out[first]] = True
+    for r in range(int(length[0]) if k else 0):
+        lowest = first[: np.searchsorted(-length, -r, "left")]
+        j = out[lowest + r] - 1
+        while True:
+            going = j >= lowest
+            going[going] = ~placed[j[going]]
+            j, lowest = j[going], lowest[going]
+            if not len(j):
+                break
+            to = free[group[j]]
+            out[to] = j
+            free[group[j]] = to + 1
+            placed[j] = True
+            j = before[j]
+    return out
+
+
+def sorted_suffixes(s: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Suffix arrays of strings as suffix_arrays() gives them; a string that is long for its neighbours is sorted alone."""
+    length = np.diff(start)
+    out, held = np.zeros(len(s), np.int64), 0
+    order = np.argsort(length, kind="stable")
+    while held < len(order):
+        some = order[held : held + TOGETHER]
+        held += len(some)
+        if length[some].sum() < ALONE * length[some].max():
+            for x in some:
+                a, b = start[x], start[x + 1]
+                out[a:b] = a + np.array([b - a - 1, *suffix_array((s[a : b - 1] - 1).tolist())])
             continue
-        window = bodies[b][p : p + size]
-        if last is not None and window == prev:
-            out.add(last)
-            out.add((b, p))
-        last, prev = (b, p), window
-    return sorted(out)
+        n = length[some]
+        flat = np.arange(n.sum()) + np.repeat(start[some] - np.cumsum(n) + n, n)
+        out[flat] = flat[suffix_arrays(s[flat], np.concatenate([[0], np.cumsum(n)]))]
+    return out
+
 
+def same(data: np.ndarray, i: np.ndarray, j: np.ndarray, size: int) -> np.ndarray:
+    """Whether the `size` bytes from i equal those from j, eight at a time."""
+    eight = np.ndarray(max(0, len(data) - 7), "<u8", data, strides=(1,))
+    out = np.ones(len(i), bool)
+    for at in [*range(0, size - 7, 8), size - 8]:
+        left = np.flatnonzero(out)
+        out[left] = eight[i[left] + at] == eight[j[left] + at]
+    return out
 
-def shard(batches: Iterator[pa.RecordBatch], size: int, upto: int = 1 << 15) -> Iterator[pa.RecordBatch]:
-    """Ranges of bytes whose windows occur twice among segments of one key f; small groups share an array."""
 
-    def done() -> pa.RecordBatch:
-        out = [(rows[b][0], rows[b][1] + p, rows[b][1] + p + size) for b, p in repeated([r[2] for r in rows], size)]
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["doc_id", "a", "e"])
+def repeated(bodies: list[bytes], shard: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(body, place) of each window of `size` >= 8 bytes that occurs more than once in the bodies of its shard.
 
-    rows: list[tuple[int, int, bytes]] = []
-    held = 0
+    shard: by body, ascending from 0; counts: how often each body occurs.
+    """
+    length = np.fromiter(map(len, bodies), np.int64, len(bodies))
+    data = np.frombuffer(b"".join(bodies), np.uint8)
+    n, many = len(data), np.bincount(shard)
+    own = np.arange(len(bodies)) - np.repeat(np.cumsum(many) - many, many)  # a body's number in its shard
+    # a string for each shard: bodies that each end in a symbol of their own, and a 0
+    ends = np.cumsum(length + 1 + np.r_[shard[1:] != shard[:-1], True])
+    first = ends - length - 1 - np.r_[shard[1:] != shard[:-1], True]
+    s, of = np.zeros(ends[-1], np.int64), np.full(ends[-1], -1)
+    body = np.repeat(np.arange(len(bodies)), length)
+    byte = np.arange(n) - np.repeat(np.cumsum(length) - length, length)
+    s[first[body] + byte] = data.astype(np.int64) + np.repeat(many[shard] + 1, length)
+    s[first + length] = own + 1
+    of[first[body] + byte] = np.arange(n)
+    order = of[sorted_suffixes(s, np.append(first[own == 0], ends[-1]))]
+    order = order[order >= 0]
+    order = order[byte[order] + size <= length[body[order]]]  # whole windows only; those of one shard lie together
+    if not len(order):
+        return order, order
+    new = np.r_[True, (shard[body[order[1:]]] != shard[body[order[:-1]]]) | ~same(data, order[1:], order[:-1], size)]
+    times = np.add.reduceat(counts[body[order]], np.flatnonzero(new))
+    some = np.sort(order[times[np.cumsum(new) - 1] > 1])
+    return body[some], byte[some]
+
+
+def shard(batches: Iterator[pa.RecordBatch], size: int, upto: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Ranges of bytes that repeat in the classes of each shard, which are sorted by f; shards of about `upto` bytes are
+    worked on at once."""
+
+    def done() -> pa.RecordBatch | None:
+        body, place = repeated([r[-1] for r in rows], np.array(of), np.array([r[-2] for r in rows]), size)
+        cut = np.flatnonzero(np.r_[True, (body[1:] != body[:-1]) | (place[1:] > place[:-1] + size)]) if len(body) else np.zeros(0, np.int64)
+        last = np.append(cut[1:], len(body)) - 1
+        out = [(*rows[b][:5], 0, i, e) for b, i, e in zip(body[cut].tolist(), place[cut].tolist(), (place[last] + size).tolist())]
+        return batch(out, RANGE) if out else None
+
+    rows: list[tuple] = []
+    of: list[int] = []
+    held = shards = 0
     for t in groups(batches, "f"):
-        rows += zip(t.column("doc_id").to_pylist(), t.column("a").to_pylist(), t.column("body").to_pylist())
-        held += sum(len(x) for x in t.column("body").to_pylist())
+        some = list(zip(*(t.column(c).to_pylist() for c in ("f", "sh", "doc", "dup", "a", "c", "body"))))
+        rows += some
+        of += [shards] * len(some)
+        shards += 1
+        held += sum(len(r[-1]) for r in some)
         if held >= upto:
-            yield done()
-            rows, held = [], 0
-    if rows:
-        yield done()
+            if (out := done()) is not None:
+                yield out
+            rows, of, held, shards = [], [], 0, 0
+    if rows and (out := done()) is not None:
+        yield out
 
 
-def byte_hashes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets by document and a 64-bit value of each byte."""
+def byte_symbols(text: pa.Array) -> Symbols:
+    """Bytes, and a 64-bit value of each."""
     text = pc.cast(pc.fill_null(text, ""), pa.large_binary())
     if isinstance(text, pa.ChunkedArray):
         text = text.combine_chunks()
-    offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
-    data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(text) else np.zeros(0, np.uint8)
-    return offsets - offsets[0], TABLE[data]
+    offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1] if len(text) else np.zeros(1, np.int64)
+    data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    raw = memoryview(data)
+    return Symbols(offsets - offsets[0], TABLE[data], lambda i, j: raw[i:j].tobytes())
 
 
 def _joined(body: bytes):
@@ -160,15 +292,11 @@ def _body(text: str):
     return _joined(text.encode())
 
 
-def _windows(body: bytes, size: int) -> list[int]:
-    return [xxhash.xxh64_intdigest(body[i : i + size]) - (1 << 63) for i in range(len(body) - size + 1)]
-
-
-def plan(size: int = 200, k: int = 64, step: int = 16, cap: int = 200) -> Repeats:
-    return Repeats(byte_hashes, _body, _joined, partial(_windows, size=size), partial(shard, size=size), size, k, step, cap, every=True)
+def plan(size: int = 200, k: int = 64, step: int = 16, most: int = 64) -> Repeats:
+    return Repeats(byte_symbols, _body, _joined, partial(shard, size=size), size, k, (step, 1), most)
 
 
-def remove_repeats(docs: DataFrame, size: int = 200, k: int = 64, step: int = 16, cap: int = 200) -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = 200, k: int = 64, step: int = 16, most: int = 64) -> DataFrame:
     """(doc_id, kept binary, n_bytes, n_removed, n_spans): UTF-8 texts without any string of `size` bytes that occurs twice."""
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,5 +312,4 @@ def remove_repeats(docs: DataFrame, size: int = 200, k: int = 64, step: int = 16
             kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    marked = plan(size, k, step, cap).marked(columns(docs, "doc_id", "text"))
-    return marked.select("doc_id", "text", "spans").mapInArrow(rebuild, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    return plan(size, k, step, most).marked(docs).mapInArrow(rebuild, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")

@@ -300,14 +300,44 @@ def test_automaton():
         assert auto.matches(texts[2]) == want
 
 
-@pytest.mark.parametrize("cap", [2000, 1])
-def test_substring(docs, corpus, cap):
-    got = rows(automaton.remove_repeats(docs, cap=cap), "doc_id")
+@pytest.mark.parametrize("most", [512, 1])
+def test_substring(docs, corpus, most):
+    got = rows(automaton.remove_repeats(docs, most=most), "doc_id")
     assert {i: (r.n_words, r.n_removed, sha(r.text)) for i, r in got.items()} == brute_words(corpus, 20)
     assert sum(r.n_removed for r in got.values()) > 1000
     assert automaton.remove_repeats(docs.limit(0)).count() == 0
 
 
+def crowded():
+    """One passage in very many contexts, copies, and rows that share a doc_id or have none."""
+    rng = random.Random(8)
+    passage = words(rng, 70)
+    out = [(i, f"{words(rng, rng.randrange(4))} {passage} {words(rng, rng.randrange(6), 3)}") for i in range(150)]
+    return out + [(i, out[i % 7][1]) for i in range(150, 200)]
+
+
+@pytest.mark.parametrize("most", [512, 5])
+def test_substring_crowded(spark, most):
+    df = spark.createDataFrame(crowded(), "doc_id long, text string").repartition(4)
+    got = rows(automaton.remove_repeats(df, most=most), "doc_id")
+    assert {i: (r.n_words, r.n_removed, sha(r.text)) for i, r in got.items()} == brute_words(crowded(), 20)
+
+
+def shared_ids(spark):
+    """Rows with equal and null doc_ids, in one partition, and the same with ids of their own in that order."""
+    rng = random.Random(10)
+    a, b, c = (words(rng, 60) for _ in range(3))
+    odd = [(3, a), (3, b + " " + a), (None, c), (1, a[:200]), (None, c + " x"), (3, a), (2, None), (None, None), (2, "y"), (5, c)]
+    order = sorted(range(len(odd)), key=lambda i: (odd[i][0] is None, odd[i][0] or 0, i))
+    return spark.createDataFrame(odd, "doc_id long, text string").coalesce(1), [(n, odd[i][1]) for n, i in enumerate(order)], [odd[i][0] for i in order]
+
+
+def test_substring_shared_ids(spark):
+    df, own, ids = shared_ids(spark)
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed, sha(r.text)) for r in automaton.remove_repeats(df).collect())
+    assert got == sorted((str(ids[n]), *x) for n, x in brute_words(own, 20).items())
+
+
 # --- 6 ---
 
 def brute_near(corpus, size, num=80, den=100):
@@ -572,10 +602,55 @@ def test_suffix_array():
     for _ in range(1500):
         s = [rng.randrange(rng.choice([1, 2, 4])) for _ in range(rng.randrange(30))]
         assert suffix.suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
+    for _ in range(300):
+        some = [[rng.randrange(1, rng.choice([2, 3, 5])) for _ in range(rng.randrange(30))] + [0] for _ in range(rng.randrange(1, 8))]
+        start = np.concatenate([[0], np.cumsum([*map(len, some)])])
+        want = [start[x] + i for x, r in enumerate(some) for i in sorted(range(len(r)), key=lambda i: r[i:])]
+        flat = np.array(sum(some, []))
+        assert suffix.suffix_arrays(flat, start).tolist() == want == suffix.sorted_suffixes(flat, start).tolist()
 
 
-@pytest.mark.parametrize("cap", [500, 1])
-def test_suffix(docs, corpus, cap):
-    got = rows(suffix.remove_repeats(docs, cap=cap), "doc_id")
-    assert {i: (r.n_bytes, r.n_removed, r.n_spans, sha(bytes(r.kept))) for i, r in got.items()} == brute_bytes(corpus, 200)
+def test_suffix_repeated():
+    rng = random.Random(13)
+    for _ in range(200):
+        shard, bodies, times = [], [], []
+        for x in range(rng.randrange(1, 5)):
+            for _ in range(rng.randrange(1, 4)):
+                shard.append(x)
+                bodies.append(bytes(rng.choice(b"ab") for _ in range(rng.randrange(8, 30))))
+                times.append(rng.choice([1, 1, 2]))
+        seen = Counter()
+        for b, x, n in zip(bodies, shard, times):
+            for i in range(len(b) - 9):
+                seen[x, b[i : i + 10]] += n
+        want = [(q, i) for q, (b, x) in enumerate(zip(bodies, shard)) for i in range(len(b) - 9) if seen[x, b[i : i + 10]] > 1]
+        body, place = suffix.repeated(bodies, np.array(shard), np.array(times), 10)
+        assert list(zip(body.tolist(), place.tolist())) == want
+
+
+def bytes_of(got):
+    return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, sha(bytes(r.kept))) for r in got}
+
+
+@pytest.mark.parametrize("most", [64, 1])
+def test_suffix(docs, corpus, most):
+    assert bytes_of(suffix.remove_repeats(docs, most=most).collect()) == brute_bytes(corpus, 200)
     assert suffix.remove_repeats(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [64, 5])
+def test_suffix_crowded(spark, most):
+    df = spark.createDataFrame(crowded(), "doc_id long, text string").repartition(4)
+    assert bytes_of(suffix.remove_repeats(df, most=most).collect()) == brute_bytes(crowded(), 200)
+
+
+def test_suffix_shared_ids(spark):
+    df, own, ids = shared_ids(spark)
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, sha(bytes(r.kept))) for r in suffix.remove_repeats(df).collect())
+    assert got == sorted((str(ids[n]), *x) for n, x in brute_bytes(own, 200).items())
+
+
+def test_suffix_query(spark):
+    texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in queries.op10_suffix_array_dedup(spark, SF).collect()}
+    assert got == brute_bytes(texts, 200)
