@@ -18,7 +18,7 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -40,36 +40,36 @@ class Automaton:
         self.last = 0
         self.texts = 0
 
-    def _extend(self, c) -> None:
-        nxt, link, length = self.next, self.link, self.length
-        cur = len(nxt)
-        nxt.append({})
-        link.append(0)
-        length.append(length[self.last] + 1)
-        p = self.last
-        while p >= 0 and c not in nxt[p]:
-            nxt[p][c] = cur
-            p = link[p]
-        if p >= 0:
-            q = nxt[p][c]
-            if length[q] == length[p] + 1:
-                link[cur] = q
-            else:
-                copy = len(nxt)
-                nxt.append(nxt[q].copy())
-                link.append(link[q])
-                length.append(length[p] + 1)
-                while p >= 0 and nxt[p].get(c) == q:
-                    nxt[p][c] = copy
-                    p = link[p]
-                link[q] = link[cur] = copy
-        self.last = cur
-
     def add(self, words: list) -> None:
-        for c in words:
-            self._extend(c)
+        nxt, link, length = self.next, self.link, self.length
         self.texts += 1
-        self._extend((self.texts,))
+        last = self.last
+        for c in (*words, (self.texts,)):
+            cur = len(nxt)
+            nxt.append({})
+            length.append(length[last] + 1)
+            p = last
+            while p >= 0 and c not in nxt[p]:
+                nxt[p][c] = cur
+                p = link[p]
+            if p < 0:
+                link.append(0)
+            else:
+                q = nxt[p][c]
+                if length[q] == length[p] + 1:
+                    link.append(q)
+                else:
+                    copy = cur + 1
+                    link.append(copy)
+                    nxt.append(nxt[q].copy())
+                    link.append(link[q])
+                    length.append(length[p] + 1)
+                    while p >= 0 and nxt[p].get(c) == q:
+                        nxt[p][c] = copy
+                        p = link[p]
+                    link[q] = copy
+            last = cur
+        self.last = last
 
     def matches(self, words: list) -> list[int]:
         """For each word, the length of the longest suffix of the words so far that occurs in the reference."""
@@ -123,11 +123,20 @@ def _body(text: str):
 def word_symbols(text: pa.Array) -> Symbols:
     """Words between ASCII white space; parts are joined by one space."""
     offsets, index, words = word_ids(text)
-    known = np.fromiter(map(xxhash.xxh64_intdigest, words.to_pylist()), U64, len(words))
-    flat = pc.cast(words.take(pa.array(index)), pa.large_binary())
-    at = np.concatenate([[0], np.cumsum(pc.binary_length(flat).to_numpy(zero_copy_only=False) + 1)]).tolist()
-    data = memoryview(b" ".join(flat.to_pylist()))
-    return Symbols(offsets, known[index] if len(index) else np.zeros(0, U64), lambda i, j: data[at[i] : at[j] - 1].tobytes())
+    known = np.fromiter(map(xxhash.xxh64_intdigest, pc.cast(words, pa.binary()).to_pylist()), U64, len(words))
+
+    @cache
+    def laid() -> tuple[memoryview, np.ndarray]:
+        flat = words.take(pa.array(index))
+        at = np.concatenate([[0], np.cumsum(pc.binary_length(flat).to_numpy(zero_copy_only=False).astype(np.int64) + 1)])
+        line = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat), " ")
+        return memoryview(line.buffers()[2] or b""), at
+
+    def parts(i: np.ndarray, j: np.ndarray) -> list[memoryview]:
+        data, at = laid()
+        return [data[a:b] for a, b in zip(at[i].tolist(), (at[j] - 1).tolist())]
+
+    return Symbols(offsets, known[index] if len(index) else np.zeros(0, U64), parts)
 
 
 def plan(size: int = 20, k: int = 6, step: int = 4, most: int = 512) -> Repeats:

@@ -18,9 +18,10 @@ Nothing is collected to the driver, and no window is left out.
 
 from __future__ import annotations
 
-import hashlib
+import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
@@ -33,14 +34,16 @@ from .common import chunks, columns, dropped, pieces, saved, segments
 
 
 class Symbols(NamedTuple):
-    """Texts as symbols: offsets by text, a 64-bit hash of each symbol, and part(i, j): the bytes of symbols i to j - 1."""
+    """Texts as symbols: offsets by text, a 64-bit hash of each symbol, and parts(i, j): for each i and j in two arrays,
+    the bytes of symbols i to j - 1."""
 
     offsets: np.ndarray
     hashes: np.ndarray
-    part: Callable[[int, int], bytes]
+    parts: Callable[[np.ndarray, np.ndarray], list[memoryview]]
 
 
 PLACE = ("doc", "dup", "a")
+_HEAD = struct.Struct("<qq")
 CLASS = {"f": "long", "sh": "binary", "doc": "long", "dup": "long", "a": "long", "n": "int", "rel": "int", "c": "long", "body": "binary"}
 CHILD = CLASS | {"pf": "long", "psh": "binary", "pdoc": "long", "pdup": "long", "pa": "long"}
 #: which: occurrences that a range is for: 0 all, 1 the first, 2 the others; i and e count from the first symbol.
@@ -56,8 +59,9 @@ def batch(rows: list[tuple], schema: dict[str, str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, KINDS[t]) for c, t in zip(zip(*rows), schema.values())], names=list(schema))
 
 
-def digest(x: bytes) -> bytes:
-    return hashlib.blake2b(x, digest_size=16).digest()
+def digest(rel: int, n: int, body: bytes | memoryview) -> bytes:
+    """128 bits of BLAKE2b over a segment's symbols, its number of windows and its k-gram's place."""
+    return blake2b(body, digest_size=16, salt=_HEAD.pack(rel, n)).digest()
 
 
 def merged(windows: list[int], size: int) -> list[tuple[int, int]]:
@@ -103,7 +107,7 @@ class Repeats:
     steps: tuple[int, ...]
     most: int
 
-    def occurrences(self, rows: DataFrame, digests: bool) -> DataFrame:
+    def occurrences(self, rows: DataFrame) -> DataFrame:
         """All segments of all documents: place, number of windows, the k-gram's place in it, key, digest."""
         symbols, size, k = self.symbols, self.size, self.k
 
@@ -118,13 +122,11 @@ class Repeats:
                     d = own[np.searchsorted(starts, x["a"], "right") - 1]
                     first = x["a"] + lo
                     cols = [pa.array(docs[d]), pa.array(dups[d]), pa.array(first - s.offsets[d]), pa.array(x["n"].astype(np.int32)), pa.array(x["rel"].astype(np.int32)), pa.array(x["f"])]
-                    if digests:
-                        extra = [b"%d,%d:" % (r, n) for r, n in zip(x["rel"].tolist(), x["n"].tolist())]
-                        cols.append(pa.array([digest(h + s.part(i, j)) for h, i, j in zip(extra, first.tolist(), (first + x["n"] + (size - 1)).tolist())], pa.binary()))
-                    yield pa.RecordBatch.from_arrays(cols, names=["doc", "dup", "a", "n", "rel", "f", *(["sh"] if digests else [])])
+                    bodies = s.parts(first, first + x["n"] + (size - 1))
+                    cols.append(pa.array(list(map(digest, x["rel"].tolist(), x["n"].tolist(), bodies)), pa.binary()))
+                    yield pa.RecordBatch.from_arrays(cols, names=["doc", "dup", "a", "n", "rel", "f", "sh"])
 
-        schema = "doc long, dup long, a long, n int, rel int, f long" + (", sh binary" if digests else "")
-        return rows.filter("text is not null").select("doc", "dup", "text").mapInArrow(emit, schema)
+        return rows.filter("text is not null").select("doc", "dup", "text").mapInArrow(emit, "doc long, dup long, a long, n int, rel int, f long, sh binary")
 
     def fetch(self, rows: DataFrame, wanted: DataFrame) -> DataFrame:
         """wanted classes with their bodies."""
@@ -164,7 +166,7 @@ class Repeats:
                         core = part(to, to - step + 1 + size) if size >= step else b""
                         own = part(i, j - 1 + size)
                         key = xxhash.xxh64_intdigest(b"%d,%d:" % (f, (rel - i) // step) + core) - (1 << 63)
-                        out.append((key, digest(b"%d,%d:" % (rel - i, j - i) + own), doc, dup, a + i, j - i, rel - i, c, own, f, sh, doc, dup, a))
+                        out.append((key, digest(rel - i, j - i, own), doc, dup, a + i, j - i, rel - i, c, own, f, sh, doc, dup, a))
                         i = j
                 if out:
                     yield batch(out, CHILD)
@@ -196,12 +198,14 @@ class Repeats:
     def spans(self, rows: DataFrame) -> DataFrame:
         """(doc, dup, a, e): ranges of symbols, maybe overlapping, that repeated windows cover."""
         # as a table of its own, so that the join is one of plain exchanges, whose hot keys Spark can split
-        often = saved(self.occurrences(rows, False).groupBy("f").agg(F.count("*").alias("c")).filter("c > 1").select("f"), "often")
-        occ = saved(self.occurrences(rows, True).join(often, "f").select("f", "sh", *PLACE, "n", "rel"), "segments")
+        every = saved(self.occurrences(rows), "segments")
+        often = saved(every.groupBy("f").agg(F.count("*").alias("c")).filter("c > 1").select("f"), "often")
+        occ = saved(every.join(often, "f").select("f", "sh", *PLACE, "n", "rel"), "occurrences")
+        dropped(every, often)
         classes = occ.groupBy("f", "sh").agg(F.min(F.struct(*PLACE, "n", "rel")).alias("first"), F.count("*").alias("c")).select("f", "sh", "first.*", "c")
         classes = saved(self.fetch(rows, classes), "classes")
         found = saved(self.ranges(classes), "ranges")
-        dropped(often, classes)
+        dropped(classes)
         found = found.withColumnsRenamed({c: f"_{c}" for c in PLACE})
         first = F.expr(" and ".join(f"{c} = _{c}" for c in PLACE))
         mine = occ.drop("n", "rel").join(found, ["f", "sh"]).filter((F.col("which") == 0) | ((F.col("which") == 1) == first))
@@ -218,10 +222,11 @@ class Repeats:
 
 def covered(spans: list[dict] | None, n: int) -> tuple[np.ndarray, int]:
     """Which of n symbols the ranges cover, and in how many maximal runs."""
+    if not spans:
+        return np.zeros(n, bool), 0
     step = np.zeros(n + 1, np.int32)
-    if spans:
-        np.add.at(step, [s["a"] for s in spans], 1)
-        np.add.at(step, [s["e"] for s in spans], -1)
+    np.add.at(step, [s["a"] for s in spans], 1)
+    np.add.at(step, [s["e"] for s in spans], -1)
     mask = np.cumsum(step[:n]) > 0
     runs = int(mask[:1].sum() + np.count_nonzero(mask[1:] & ~mask[:-1]))
     return mask, runs
