@@ -247,30 +247,36 @@ def repeated(bodies: list[bytes], shard: np.ndarray, counts: np.ndarray, size: i
 
 def shard(batches: Iterator[pa.RecordBatch], size: int, upto: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Ranges of bytes that repeat in the classes of each shard, which are sorted by f; shards of about `upto` bytes are
-    worked on at once."""
-
-    def done() -> pa.RecordBatch | None:
-        body, place = repeated([r[-1] for r in rows], np.array(of), np.array([r[-2] for r in rows]), size)
-        cut = np.flatnonzero(np.r_[True, (body[1:] != body[:-1]) | (place[1:] > place[:-1] + size)]) if len(body) else np.zeros(0, np.int64)
-        last = np.append(cut[1:], len(body)) - 1
-        out = [(*rows[b][:5], 0, i, e) for b, i, e in zip(body[cut].tolist(), place[cut].tolist(), (place[last] + size).tolist())]
-        return batch(out, RANGE) if out else None
-
-    rows: list[tuple] = []
+    worked on at once. The windows of one class differ, so a class that is alone in its shard needs no array: it
+    repeats where it occurs more than once."""
+    rows: list[tuple] = []  # of shards with several classes
     of: list[int] = []
+    alone: list[tuple] = []
     held = shards = 0
+
+    def done() -> Iterator[pa.RecordBatch]:
+        out = [(*r[:5], 0, 0, len(r[-1])) for r in alone]
+        if rows:
+            body, place = repeated([r[-1] for r in rows], np.array(of), np.array([r[-2] for r in rows]), size)
+            cut = np.flatnonzero(np.r_[True, (body[1:] != body[:-1]) | (place[1:] > place[:-1] + size)]) if len(body) else np.zeros(0, np.int64)
+            last = np.append(cut[1:], len(body)) - 1
+            out += [(*rows[b][:5], 0, i, e) for b, i, e in zip(body[cut].tolist(), place[cut].tolist(), (place[last] + size).tolist())]
+        if out:
+            yield batch(out, RANGE)
+
     for t in groups(batches, "f"):
         some = list(zip(*(t.column(c).to_pylist() for c in ("f", "sh", "doc", "dup", "a", "c", "body"))))
-        rows += some
-        of += [shards] * len(some)
-        shards += 1
-        held += sum(len(r[-1]) for r in some)
-        if held >= upto:
-            if (out := done()) is not None:
-                yield out
-            rows, of, held, shards = [], [], 0, 0
-    if rows and (out := done()) is not None:
-        yield out
+        if len(some) == 1:
+            alone += [r for r in some if r[-2] > 1]
+        else:
+            rows += some
+            of += [shards] * len(some)
+            shards += 1
+            held += sum(len(r[-1]) for r in some)
+        if held >= upto or len(alone) > 20_000:
+            yield from done()
+            rows, of, alone, held, shards = [], [], [], 0, 0
+    yield from done()
 
 
 def byte_symbols(text: pa.Array) -> Symbols:
@@ -281,7 +287,7 @@ def byte_symbols(text: pa.Array) -> Symbols:
     offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1] if len(text) else np.zeros(1, np.int64)
     data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
     raw = memoryview(data)
-    return Symbols(offsets - offsets[0], TABLE[data], lambda i, j: raw[i:j].tobytes())
+    return Symbols(offsets - offsets[0], TABLE[data], lambda i, j: [raw[a:b] for a, b in zip(i.tolist(), j.tolist())])
 
 
 def _joined(body: bytes):
