@@ -5,7 +5,8 @@ A conversation's turns are collected, sorted and laid out as blocks of adjacent
     <|im_start|>role\\ntext<|turn|>text<|im_end|>\\n
 
 `<|turn|>` keeps merged turns apart. In texts and roles, `<` followed by n backslashes and `|` gets one backslash more,
-so no control string is left in them and unescaping takes it away again. In roles, line feeds become `<\\n|` likewise.
+so no control string is left in them and unescaping takes it away again. In roles, a line feed becomes `<\\n|`, and
+`<` followed by m backslashes, n and `|` gets one backslash more before that.
 
 Edge cases: a null text or role counts as empty; turns with equal numbers go by role, then text; repeated rows are
 turns of their own; null conv_id is a conversation of its own; extra columns are ignored; an empty table gives an
@@ -30,6 +31,16 @@ def unescape(c: Column) -> Column:
     return F.regexp_replace(c, r"<\\(\\*)\|", r"<$1|")
 
 
+def escape_role(c: Column) -> Column:
+    """As a text, and without line feeds."""
+    return F.regexp_replace(F.regexp_replace(escape(c), r"<(\\+)n\|", r"<$1\\n|"), "\n", r"<\\n|")
+
+
+def unescape_role(c: Column) -> Column:
+    # a single backslash stands for a line feed; more of them lose one
+    return unescape(F.regexp_replace(F.regexp_replace(c, r"<\\n\|", "\n"), r"<\\(\\+)n\|", r"<$1n|"))
+
+
 def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """(conv_id, formatted, loss): one row per conversation; loss: (start, length) in code points of trained texts."""
     rows = columns(turns, "conv_id", "turn", "role", "text").select(
@@ -39,7 +50,7 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     def laid(t: Column, i: Column) -> Column:
         before = F.get("turns", i - 1)
         same = (i > 0) & (before.role == t.role)
-        head = F.concat(F.when(i > 0, END).otherwise(""), F.lit(START), F.regexp_replace(escape(t.role), "\n", r"<\\n|"), F.lit("\n"))
+        head = F.concat(F.when(i > 0, END).otherwise(""), F.lit(START), escape_role(t.role), F.lit("\n"))
         return F.struct(F.when(same, F.lit(TURN)).otherwise(head).alias("head"), escape(t.text).alias("body"), (t.role == loss_role).alias("loss"))
 
     parts = sorted_.select("conv_id", F.transform("turns", laid).alias("parts"))
@@ -64,7 +75,7 @@ def parse_chats(formatted: DataFrame) -> DataFrame:
         body = F.substring(b, F.lit(len(START) + 1), F.length(b))
         role = F.substring_index(body, "\n", 1)
         text = F.substring(body, F.length(role) + 2, F.length(body))
-        role = unescape(F.regexp_replace(role, r"<\\n\|", "\n"))
+        role = unescape_role(role)
         return F.transform(F.split(text, r"<\|turn\|>", -1), lambda t: F.struct(role.alias("role"), unescape(t).alias("text")))
 
     return formatted.select("conv_id", F.flatten(F.transform(blocks, turns)).alias("turns"))
