@@ -51,7 +51,7 @@ def packed(docs: DataFrame) -> DataFrame:
     """The pieces that packing makes of docs, with a checksum of each piece's ids."""
     import public_tokenizers
 
-    run = packing.packer(vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256}, end_id=0)
+    run = packing.packer(vocabulary("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=0)
     names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +135,7 @@ WITH c AS (
   UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
 t AS (
   SELECT *, regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') AS body,
-    regexp_replace(regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g'), chr(10), '<\\n|', 'g') AS name,
+    regexp_replace(regexp_replace(regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g'), '<(\\+)n\|', '<\1\\n|', 'g'), chr(10), '<\\n|', 'g') AS name,
     lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM c)
 SELECT conv_id, count(*)::BIGINT AS n_turns,
