@@ -61,6 +61,14 @@ def columns(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*[F.col(f"`{n}`") for n in names])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or if df has such a column, name with as many underscores behind it as it takes."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 # --- Arrow ----------------------------------------------------------------------------------
 
 def released() -> None:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, columns, mix, saved
+from .common import U64, columns, mix, saved, unused
 
 RUN = "run long, digest binary, doc_id long, n long"
 #: Entries of a memtable; bits of the filter for each digest, but at most MOST_BITS (16 MB), and hashes of a digest.
@@ -169,7 +169,9 @@ def find_copies(docs: DataFrame, bits: int = 256, memtable: int = MEMTABLE) -> D
 def drop_copies(docs: DataFrame) -> DataFrame:
     """docs without the rows whose text an earlier doc_id has. Only rows that the filter lets pass move."""
     _, hits, passes = looked_up(docs, 256, MEMTABLE)
-    keep = hits.filter("doc_id <=> keep_id").select(F.col("doc_id").alias("__keep"), F.col("digest").alias("__of")).distinct()
-    marked = docs.withColumn("__digest", digest(normalised(F.col("text")))).withColumn("__maybe", passes("__digest"))
-    some = marked.filter("__maybe").join(keep, F.expr("__digest = __of AND doc_id <=> __keep"), "left_semi")
-    return marked.filter("not __maybe").union(some).drop("__digest", "__maybe")
+    of, maybe, keep_of, keep_id = (unused(docs, c) for c in ("digest", "maybe", "keep_of", "keep_id"))
+    # as a table of its own, so that the lookup of a hot digest is one of plain exchanges, which Spark can split
+    keep = saved(hits.filter("doc_id <=> keep_id").select(F.col("digest").alias(keep_of), F.col("doc_id").alias(keep_id)), "keep").distinct()
+    marked = docs.withColumn(of, digest(normalised(F.col("text")))).withColumn(maybe, passes(F.col(f"`{of}`")))
+    some = marked.filter(F.col(f"`{maybe}`")).join(keep, F.expr(f"`{of}` = `{keep_of}` AND doc_id <=> `{keep_id}`"), "left_semi")
+    return marked.filter(~F.col(f"`{maybe}`")).union(some).drop(of, maybe)
