@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns
+from .common import columns, unused
 
 SPAN = "array<struct<start:int,ord:int,end:int,kind:string,score:double>>"
 #: kind, pattern, own score, context words; in the order of the report.
@@ -79,22 +79,23 @@ def found(order: int, text: Column, m: Column) -> Column:
     return F.when(F.size(m) > 0, all_).otherwise(F.array().cast(SPAN))
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """docs with column __spans: all spans by start, then kind; code points, end exclusive."""
+def with_spans(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a column `name`: all spans by start, then kind; code points, end exclusive."""
     text = F.coalesce("text", F.lit(""))
     needs = {"email": text.contains("@"), "phone": text.contains("+")}
-    out = docs
-    for i, (kind, pattern, *_) in enumerate(KINDS):
+    out, hits_of = docs, []
+    for kind, pattern, *_ in KINDS:
         hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
         none = F.array().cast("array<string>")
-        out = out.withColumn(f"__m{i}", F.when(needs[kind], hits).otherwise(none) if kind in needs else hits)
-    spans = F.concat(*[found(i, text, F.col(f"__m{i}")) for i in range(len(KINDS))])
-    return out.withColumn("__spans", F.sort_array(spans)).drop(*[f"__m{i}" for i in range(len(KINDS))])
+        hits_of.append(unused(out, f"{name}_{kind}"))
+        out = out.withColumn(hits_of[-1], F.when(needs[kind], hits).otherwise(none) if kind in needs else hits)
+    spans = F.concat(*[found(i, text, F.col(f"`{c}`")) for i, c in enumerate(hits_of)])
+    return out.withColumn(name, F.sort_array(spans)).drop(*hits_of)
 
 
 def detect(docs: DataFrame) -> DataFrame:
     """(doc_id, spans): the personal data in each text."""
-    return with_spans(columns(docs, "doc_id", "text")).select("doc_id", F.col("__spans").alias("spans"))
+    return with_spans(columns(docs, "doc_id", "text"), "spans").select("doc_id", "spans")
 
 
 def rendered(spans: Column) -> Column:
@@ -103,19 +104,20 @@ def rendered(spans: Column) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each span of personal data replaced by its kind, as in [EMAIL]; spans that overlap become one of the first's kind."""
+    name = unused(docs, "spans")
+    spans = F.col(f"`{name}`")
+
     def merged(a: Column, s: Column) -> Column:
         last = F.element_at(a, -1)
         wider = last.withField("end", F.greatest(last.end, s.end))
         return F.when((F.size(a) == 0) | (s.start >= last.end), F.concat(a, F.array(s))).otherwise(F.concat(F.slice(a, 1, F.size(a) - 1), F.array(wider)))
 
-    free = F.aggregate("__spans", F.array().cast(SPAN), merged)
-    end = F.lit(None).cast("int")
-    marked = with_spans(docs).withColumn("__spans", F.when(F.size("__spans") > 0, free).otherwise(F.col("__spans")))
+    marked = with_spans(docs, name).withColumn(name, F.when(F.size(spans) > 0, F.aggregate(spans, F.array().cast(SPAN), merged)).otherwise(spans))
 
     def part(s: Column, i: Column) -> Column:
-        at = F.coalesce(F.get("__spans", i - 1).end, F.lit(0))
+        at = F.coalesce(F.get(spans, i - 1).end, F.lit(0))
         return F.concat(F.substring("text", at + 1, s.start - at), F.lit("["), F.upper(s.kind), F.lit("]"))
 
-    last = F.coalesce(F.element_at("__spans", -1).end, end)
-    whole = F.concat(F.array_join(F.transform("__spans", part), ""), F.substring("text", last + 1, F.length("text")))
-    return marked.withColumn("text", F.when(F.size("__spans") > 0, whole).otherwise(F.col("text"))).drop("__spans")
+    last = F.element_at(spans, -1).end
+    whole = F.concat(F.array_join(F.transform(spans, part), ""), F.substring("text", last + 1, F.length("text")))
+    return marked.withColumn("text", F.when(F.size(spans) > 0, whole).otherwise(F.col("text"))).drop(name)
