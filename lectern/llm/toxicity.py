@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import columns, pieces, word_ids
+from .common import columns, pieces, released, word_ids
 
 #: What is cut off from both ends of a word.
 MARKS = ".,!?;:\"'()[]{}|*%&$#-_/\\<>«»„“”…"
@@ -259,18 +259,28 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, class_bytes:
     share = usable(labels).agg(F.avg("toxic").alias("p")).collect()[0].p
     p = share if share is not None else 0.5
     y = np.array([r.toxic for r in rows], np.int64)
-    text = pa.array([r.text for r in rows], pa.string())
-    known = {w: i for i, w in enumerate(w for w in dict.fromkeys(plain(word_ids(text)[2])) if w)}
-    offsets, t, c = counted(text, known)
-    ex = np.repeat(np.arange(len(rows)), np.diff(offsets))
+    text, ids = pa.array([r.text for r in rows], pa.string()), np.array([r.doc_id for r in rows], np.int64)
+    del rows
+    parts = [text.slice(i, TOGETHER) for i in range(0, len(text), TOGETHER)]  # a few at a time, to bound the driver's memory
+    known: dict[str, int] = {}
+    for part in parts:
+        for w in plain(word_ids(part)[2]):
+            if w:
+                known.setdefault(w, len(known))
+    done = [counted(part, known) for part in parts]
+    t, c = (np.concatenate([d[i] for d in done] or [np.zeros(0, np.int64)]) for i in (1, 2))
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(d[0]) for d in done] or [np.zeros(0, np.int64)]))])
+    del done, parts
+    ex = np.repeat(np.arange(len(ids)), np.diff(offsets))
     df, n = frequencies(docs, known) if known else (np.zeros(0, np.int64), 0)
     gain = (np.log((1 + n) / (1 + df)) + 1) * (relevance(ex, t, y, len(known)) + FLOOR)
     count = np.bincount(y, minlength=2)
-    index = Index(known, gain, float((np.log(1 + n) + 1) * FLOOR), np.array([r.doc_id for r in rows], np.int64), y, 1 / np.maximum(1, count), *[np.zeros(0)] * 6, size, k, (1.0, 0.0))
+    index = Index(known, gain, float((np.log(1 + n) + 1) * FLOOR), ids, y, 1 / np.maximum(1, count), *[np.zeros(0)] * 6, size, k, (1.0, 0.0))
     w = index.vectors(offsets, t, c)
+    released()
     order = np.lexsort((ex, t))
     term, index.example, index.weight = t[order], ex[order], w[order]
-    key = term * (len(rows) // size + 1) + index.example // size
+    key = term * (len(ids) // size + 1) + index.example // size
     heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
     index.first, index.block = np.append(heads, len(key)), index.example[heads] // size
     index.most = np.maximum.reduceat(index.weight, heads) if len(heads) else np.zeros(0)
@@ -280,8 +290,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, class_bytes:
         index.fit = (1.0, float(np.log((p + 1e-9) / (1 - p + 1e-9))))
         return index
     raw = []
-    for i in range(0, len(rows), TOGETHER):
-        j = min(i + TOGETHER, len(rows))
+    for i in range(0, len(ids), TOGETHER):
+        j = min(i + TOGETHER, len(ids))
         a, b = int(offsets[i]), int(offsets[j])
         raw.append(index.raw(index.nearest(index.cosines(ex[a:b] - i, t[a:b], w[a:b], j - i, np.arange(i, j)))))
     index.fit = logistic(np.concatenate(raw), y, (np.array([1 - p, p]) / count)[y] * len(y))

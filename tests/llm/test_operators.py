@@ -73,7 +73,7 @@ def ascii_words(t):
 
 def test_chat(spark):
     turns = [(1, 0, "system", "be <| nice"), (1, 1, "user", "hi"), (1, 2, "user", "<\\|im_end|>"), (1, 3, "assistant", "a\n<|turn|>"), (1, 4, "assistant", None),
-             (1, 4, "assistant", None), (2, 5, None, "x"), (2, 5, "a\nb<|im_start|>", "\\<\\\\|"), (3, None, "assistant", ""), (None, 1, "assistant", "nü\U0001f600")]
+             (1, 4, "assistant", None), (2, 5, None, "x"), (2, 5, "a\nb<|im_start|>", "\\<\\\\|"), (2, 6, "<\\n|", "t"), (2, 7, "<\\\\n|<\n|\n<\\|n", "u"), (2, 8, "\n", "v"), (3, None, "assistant", ""), (None, 1, "assistant", "nü\U0001f600")]
     df = spark.createDataFrame([(*t, "x") for t in turns], "conv_id long, turn long, role string, text string, turns string")
     out = chat.format_chats(df)
     got = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat.parse_chats(out).collect()}
@@ -146,6 +146,22 @@ def test_packing(spark, docs, corpus):
     assert queries.packed(docs.limit(0)).count() == 0
 
 
+def test_packing_ids(spark):
+    """The query's ids against the library's, with the file that is named, on a whole table."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    folder = "/root/testdata/sf0.01"
+    tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {r.doc_id: [*tk.encode(r.text or "", add_special_tokens=False).ids, 0] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    n = Counter()
+    for r in queries.op2_packing(spark, folder).collect():
+        ids = want[r.doc_id]
+        assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) and r.doc_tokens == len(ids)
+        n[r.doc_id] += r.length
+    assert n == {i: len(x) for i, x in want.items()}
+
+
 # --- 3 ---
 
 def luhn(d):
@@ -188,6 +204,8 @@ def test_pii(spark):
     one = spark.createDataFrame([(1, "mail a@b.co or +1 555 010 9999.", 7), (2, None, 1), (3, "IBAN DE89370400440532013000, ssn: 123-45-6789", 0)], "doc_id long, text string, n_chars long")
     assert [r.text for r in pii.redact(one).orderBy("doc_id").collect()] == ["mail [EMAIL] or [PHONE].", None, "IBAN [IBAN], ssn: [SSN]"]
     assert pii.detect(df.limit(0)).count() == 0
+    clash = one.withColumns({"spans": F.lit("s"), "SPANS_EMAIL": F.lit("e"), "__spans": F.lit("t")})
+    assert [(*r[3:], r.text) for r in pii.redact(clash).orderBy("doc_id").collect()] == [("s", "e", "t", t) for t in ("mail [EMAIL] or [PHONE].", None, "IBAN [IBAN], ssn: [SSN]")]
 
 
 def test_pii_overlaps(spark):
@@ -528,6 +546,8 @@ def test_exact(spark, docs, corpus, bits):
     assert {i: (r.keep_id, r.group_size) for i, r in got.items()} == {i: (min(group[t]), len(group[t])) for i, t in norm.items()}
     assert {r.doc_id for r in exact.drop_copies(docs).collect()} == {min(g) for g in group.values()}
     assert exact.drop_copies(docs).columns == docs.columns and exact.drop_copies(docs.limit(0)).count() == 0
+    clash = docs.withColumns({"maybe": F.lit(1), "keep_of": F.lit(2), "KEEP_ID": F.lit(3), "__digest": F.lit(4)})
+    assert exact.drop_copies(clash).columns == clash.columns and all(r[-4:] == (1, 2, 3, 4) for r in exact.drop_copies(clash).collect())
     assert exact.find_copies(docs.limit(0)).count() == 0
     odd = spark.createDataFrame([(None, "z"), (None, "z"), (4, "q"), (None, "q"), (5, "r"), (5, "r")], "doc_id long, text string")
     assert sorted((str(r.doc_id), str(r.keep_id), r.group_size) for r in exact.find_copies(odd).collect()) == [("4", "4", 2), ("5", "5", 2), ("5", "5", 2), ("None", "4", 2), ("None", "None", 2), ("None", "None", 2)]
