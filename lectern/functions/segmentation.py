@@ -7,14 +7,18 @@ pieces depends on where the last one was split, so it runs in Arrow batches.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import href_path
+
 # Tags and classes of blocks, and words whose period ends no sentence.
 BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt blockquote div td th figcaption caption pre section article aside header footer main nav ol ul dl table tbody thead tr figure body".split())
 SKIPPED = frozenset("script style head title nav rt rp".split())
@@ -72,66 +76,68 @@ def sentence_cuts(text: Column, min_chars: int = 40) -> Column:
 
 # --- Arrow ----------------------------------------------------------------------------------
 
-_END, _WORD = re.compile(SENTENCE_END), re.compile(r"[\w.’']+$")
-_MARKS = [re.compile(r"[;:—](?=\s)"), re.compile(r",(?=\s)")]
+_PIECE = re.compile(rf".*?{SENTENCE_END}|.+", re.DOTALL)
+_PERIOD = re.compile(r"""(?<![\w.’'])([\w.’']*[\w’'])\.[.!?…]*[")\]’”']*$""")
+#: Where a long piece may be split, best first: behind a clause mark or a comma before white space, behind a space.
+_SPLITS = [re.compile(r"[;:—](?=\s)"), re.compile(r",(?=\s)"), re.compile(" ")]
+
+
+def ends_sentence(piece: str) -> bool:
+    """Whether a piece ends in a sentence end, and not in the period of an initial or an abbreviation."""
+    if not re.search(rf"{SENTENCE_END}$", piece):
+        return False
+    word = _PERIOD.search(piece)
+    return word is None or not (len(word[1]) == 1 or word[1].lower() in ABBREVIATIONS)
+
+
+def parts(piece: str, most: int) -> Iterator[int]:
+    """Lengths of the parts of a piece: while it is longer than most, the best and last place to split in reach.
+
+    A mark counts only if the white space behind it is in reach, too. Without a place to split, the rest is one part.
+    """
+    places = [[m.end() for m in p.finditer(piece)] for p in _SPLITS] if len(piece) > most else []
+    at = 0
+    while len(piece) - at > most:
+        reach = [ends[bisect_right(ends, at + most - (i < 2)) - 1] if ends and ends[0] <= at + most - (i < 2) else 0 for i, ends in enumerate(places)]
+        to = next((e for i, e in enumerate(reach) if e > at + (i == 2)), None)
+        if to is None:
+            break
+        yield to - at
+        at = to
+    yield len(piece) - at
 
 
 def plain_cuts(text: str, o: Options) -> list[int]:
-    """Places where one utterance ends and the next begins."""
-    kept, last = [], 0
-    for m in _END.finditer(text):
-        if text[m.start()] == ".":
-            word = _WORD.search(text, max(0, m.start() - 200), m.start())
-            token = word[0].rstrip(".").lower() if word else None
-            if token is not None and (len(token) == 1 or token in ABBREVIATIONS):
-                continue
-        if m.end() - last >= o.min_chars:
-            kept.append(m.end())
-            last = m.end()
-    out, last = [], 0
-    for cut in [*kept, len(text)]:
-        at = last
-        while cut - at > o.max_chars:
-            view = text[at : min(at + o.max_chars, cut)]
-            ends = next((e for e in ([m.end() for m in p.finditer(view)] for p in _MARKS) if e), None)
-            step = ends[-1] if ends else (view.rfind(" ") + 1 if view.rfind(" ") > 0 else 0)
-            if not step:
-                break
-            at += step
-            out.append(at)
-        if cut < len(text):
-            out.append(cut)
-        last = cut
-    return out
+    """Places where one utterance ends and the next begins: pieces are gathered up to a sentence end past min_chars, and
+    what is too long is split."""
+    lengths, held = [], ""
+    for piece in _PIECE.findall(text):
+        held += piece
+        if len(held) >= o.min_chars and ends_sentence(piece):
+            lengths += parts(held, o.max_chars)
+            held = ""
+    lengths += parts(held, o.max_chars) if held else ()
+    return [x for x in accumulate(lengths) if x < len(text)]
 
 
 def utterances(items: list[tuple[bool, str]], o: Options) -> list[str]:
     """Texts of a block's utterances. items: (whether it can be cut, text), in order.
 
-    A cut within an item that can't be cut moves to that item's end. An utterance without text of its own joins the
-    one before, or the next if it is the first.
+    A cut within an item that can't be cut moves to that item's end. An utterance starts where a piece starts that has
+    text of its own, which is what is visible in items that can be cut; the first one starts at the block's start.
     """
-    spans, at = [], 0
-    for free, text in items:
-        spans.append((at, at + len(text), free))
-        at += len(text)
-    whole, cuts = "".join(t for _, t in items), []
-    for cut in plain_cuts(whole, o) if at else []:
-        inside = next((s for s in spans if s[0] <= cut < s[1]), spans[-1])
-        cut = cut if inside[2] else inside[1]
-        if 0 < cut < at and (not cuts or cut > cuts[-1]):
-            cuts.append(cut)
-    groups: list[list] = []  # (text, whether it has text that can be cut)
-    for a, b in zip([0, *cuts], [*cuts, at]):
-        own = "".join(whole[max(a, s) : min(b, e)] for s, e, free in spans if free and max(a, s) < min(b, e)).strip()
-        if not own and groups:
-            groups[-1][0] += whole[a:b]
-        else:
-            groups.append([whole[a:b], bool(own)])
-    if len(groups) > 1 and not groups[0][1]:
-        groups[1][0] = groups[0][0] + groups[1][0]
-        groups.pop(0)
-    return [t for t in (" ".join(g[0].split()) for g in groups) if t]
+    whole = "".join(t for _, t in items)
+    ends = list(accumulate(len(t) for _, t in items))
+    cuts = set()
+    for cut in plain_cuts(whole, o):
+        at = bisect_right(ends, cut)  # the item that the cut lies in
+        cuts.add(cut if items[at][0] else ends[at])
+    # visible characters of items that can be cut, counted up to each place
+    own = [0, *accumulate(free and not c.isspace() for free, t in items for c in t)]
+    edges = [0, *sorted(cuts - {len(whole)}), len(whole)]
+    starts = [a for a, b in zip(edges, edges[1:]) if own[b] > own[a]]
+    bounds = [0, *starts[1:], len(whole)]
+    return [t for t in (" ".join(whole[a:b].split()) for a, b in zip(bounds, bounds[1:])) if t]
 
 
 class Node:
@@ -198,12 +204,12 @@ def leaf_blocks(page: str, o: Options = Options()) -> list[tuple[int, str, Node]
     return sorted(out, key=lambda x: x[0])
 
 
-def anchors(page: str) -> list[tuple[int, str | None, str]]:
-    """(place, href, label) of the links in the first nav of a page."""
+def anchors(page: str, kind: str | None = None) -> list[tuple[int, str | None, str]]:
+    """(place, href, label) of the links in the first nav of a page, or the first nav of a kind (epub:type)."""
     todo, out = [Tree(page).root], []
     while todo:
         node = todo.pop()
-        if node.tag == "nav":
+        if node.tag == "nav" and kind in (None, node.attrs.get("epub:type")):
             inner = [node]
             while inner:
                 x = inner.pop()
@@ -215,6 +221,20 @@ def anchors(page: str) -> list[tuple[int, str | None, str]]:
     return out
 
 
+def marks(page: str, o: Options = Options()) -> list[tuple[str, int]]:
+    """(anchor, document order) of each id or name: the leaf block that it is or lies in, else the element itself."""
+    leaves, out = {order for order, *_ in leaf_blocks(page, o)}, {}
+    todo: list[tuple[Node, int | None]] = [(Tree(page).root, None)]
+    while todo:
+        node, block = todo.pop()
+        block = node.order if node.order in leaves else block
+        for name in (node.attrs.get("id"), node.attrs.get("name")):
+            if name:
+                out.setdefault(name, node.order if block is None else block)
+        todo += [(x, block) for x in reversed(node.children) if not isinstance(x, str)]
+    return list(out.items())
+
+
 def _rows(df: DataFrame, key: str, text: str, make, schema: str) -> DataFrame:
     """Rows that make(text) gives for each text, behind its key."""
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
@@ -249,10 +269,17 @@ def html_text(pages: DataFrame) -> DataFrame:
     return _rows(pages, "page_id", "html", read, "page_id long, text string")
 
 
-def page_links(pages: DataFrame) -> DataFrame:
-    """(page_id, ord, href, label): links of the first nav, without absolute ones."""
-    keep = lambda t: [a for a in anchors(t) if a[1] and not a[1].startswith(("http://", "https://"))]
-    return _rows(pages, "page_id", "html", keep, "page_id long, ord int, href string, label string")
+def page_links(pages: DataFrame, kind: str | None = None, known: DataFrame | None = None) -> DataFrame:
+    """(page_id, ord, href, label): links of the first nav (of a kind), without absolute ones; with known (path), only
+    those that lead to one of its paths."""
+    keep = lambda t: [a for a in anchors(t, kind) if a[1] and not a[1].startswith(("http://", "https://"))]
+    links = _rows(pages, "page_id", "html", keep, "page_id long, ord int, href string, label string")
+    return links if known is None else links.join(known.select("path").distinct(), href_path("href") == F.col("path"), "left_semi")
+
+
+def page_anchors(pages: DataFrame, o: Options = Options()) -> DataFrame:
+    """(page_id, anchor, ord): the block that each anchor of a page leads to; of equal anchors the first counts."""
+    return _rows(pages, "page_id", "html", lambda t: marks(t, o), "page_id long, anchor string, ord int")
 
 
 def segment_texts(docs: DataFrame, o: Options = Options()) -> DataFrame:
@@ -266,3 +293,11 @@ def segment_pages(pages: DataFrame, o: Options = Options()) -> DataFrame:
         return [(i, p, t) for i, _, n in leaf_blocks(page, o) for p, t in enumerate(utterances([(isinstance(x, str), x if isinstance(x, str) else x.text()) for x in n.children], o))]
 
     return _rows(pages, "page_id", "html", make, "page_id long, ord int, pos int, text string")
+
+
+def preserved(blocks: DataFrame, segments: DataFrame, keys: list[str], order: list[str], text: str = "text") -> DataFrame:
+    """(keys, preserved): whether a block's segments together are its text, but for white space."""
+    bare = lambda c: F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", "")
+    joined = segments.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, F.col("text").alias("_t")))), lambda x: x["_t"]), "").alias("_all"))
+    own = blocks.select(*keys, bare(F.coalesce(text, F.lit(""))).alias("_own"))
+    return own.join(joined, keys, "left").select(*keys, (F.col("_own") == bare(F.coalesce("_all", F.lit("")))).alias("preserved"))

@@ -18,7 +18,8 @@ def c(x: Column | str) -> Column:
 
 def trimmed(x: Column | str) -> Column:
     """Without white space of any kind at the ends."""
-    return F.regexp_replace(c(x), rf"(?U)^{WS}+|{WS}+$", "")
+    # a run is tried once, from its start, and not given back
+    return F.regexp_replace(c(x), rf"(?U)^{WS}++|(?<!{WS}){WS}++$", "")
 
 
 def collapsed(x: Column | str) -> Column:
@@ -98,7 +99,7 @@ def without_markers(x: Column | str) -> Column:
     """Without delimiters: whole lines of them go, then those within lines, then what blanks they leave."""
     lines = F.filter(F.split(c(x), "\n", -1), lambda l: ~l.rlike(rf"(?U)^\s*(?:{MARKER}\s*)+$"))
     s = F.regexp_replace(F.array_join(lines, "\n"), MARKER, "")
-    s = F.regexp_replace(F.regexp_replace(s, r"(?U)[^\S\n]+\n", "\n"), r"\n{3,}", "\n\n")
+    s = F.regexp_replace(F.regexp_replace(s, r"(?U)(?<![^\S\n])[^\S\n]++\n", "\n"), r"\n{3,}", "\n\n")
     return trimmed(s)
 
 

@@ -20,17 +20,24 @@ def asof_backward(left: DataFrame, right: DataFrame, key: str, pos: str, value:
 
 
 def asof_prefix(rows: DataFrame, key: str, order: str, pos: str, at: Column) -> DataFrame:
-    """(key, order): of each key's rows, walked in order up to the first beyond `at`, the last; else the first."""
+    """(key, order): of each key's rows with a place, walked in order up to the first beyond `at`, the last.
+
+    Rows without a place are passed over; if no other is reached, the first of those that were passed counts, and if
+    there is none the first of all.
+    """
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = F.col(pos).isNotNull()
     inside = F.max(F.coalesce(F.col(pos) > at, F.lit(False)).cast("int")).over(w) == 0
-    seen = rows.withColumn("__in", inside)
-    return seen.groupBy(key).agg(F.coalesce(F.max(F.when(F.col("__in"), F.col(order))), F.min(order)).alias(order))
+    seen = rows.withColumn("__in", F.when(inside & placed, True).when(~inside, False))  # null: passed over
+    return seen.groupBy(key).agg(F.coalesce(F.max(F.when(F.col("__in"), F.col(order))), F.min(F.when(F.col("__in").isNull(), F.col(order))), F.min(order)).alias(order))
 
 
 def interval_index(t: Column, starts: Column) -> Column:
-    """The interval of a timeline that t lies in: 0 before the first and for what is no number, the last past the end."""
-    t = F.when(F.isnan(t) | t.isNull(), 0.0).otherwise(t)
-    return F.greatest(F.size(F.filter(starts, lambda s: s <= t)) - 1, F.lit(0))
+    """The interval of a timeline that t lies in: 0 before the first and for what is no finite number, the last past the
+    end, -1 if there is none."""
+    finite = t.isNotNull() & ~F.isnan(t) & (F.abs(t) != float("inf"))
+    at = F.when(finite, F.size(F.filter(starts, lambda s: s <= t)) - 1).otherwise(0)
+    return F.when(F.size(starts) == 0, -1).otherwise(F.greatest(at, F.lit(0)))
 
 
 def first_match(left: DataFrame, right: DataFrame, key: str, order: str, *values: str) -> DataFrame:

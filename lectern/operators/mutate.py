@@ -51,3 +51,27 @@ def compare_and_set(table: DataFrame, updates: DataFrame, key: str, version: str
     u = updates.select(F.col(key), F.col("expected").alias("__expected"), value.alias("__value"), F.lit(True).alias("__has"))
     ok = F.col("__has").isNotNull() & F.col(version).eqNullSafe(F.col("__expected")) & (F.coalesce("__value", F.lit("")) != "")
     return table.join(u, key, "left").withColumn("applied", F.coalesce(ok, F.lit(False))).drop("__expected", "__has")
+
+
+def archived(table: DataFrame, gone: DataFrame, key: str, payload: str, content: str, at: str, now: Column) -> DataFrame:
+    """table after the rows of `gone` keys are put away: time set, payload dropped, its digest kept if there is none yet."""
+    marked = table.join(gone.select(key).distinct().withColumn("__gone", F.lit(True)), key, "left")
+    away = F.coalesce("__gone", F.lit(False))
+    out = marked.withColumn(content, F.when(away, F.coalesce(content, F.sha2(payload, 256))).otherwise(F.col(content)))
+    out = out.withColumns({payload: F.when(~away, F.col(payload)), at: F.when(away, now).otherwise(F.col(at))})
+    return out.select(table.columns)
+
+
+def restored(table: DataFrame, incoming: DataFrame, content: str, key: str, at: str, *own: str) -> DataFrame:
+    """table after incoming rows are added; one with the content of an archived row brings that row back instead.
+
+    The archived row keeps its key, the fields `own`, and every field that incoming doesn't set; of several rows that
+    come in for one archived row the one with the greatest key counts.
+    """
+    matched = restore_match(table, incoming, content, key, at)
+    new = matched.filter("restored_id is null").drop("restored_id")
+    fields = [c for c in incoming.columns if c not in (key, at, *own)]
+    over = matched.filter("restored_id is not null").groupBy(F.col("restored_id").alias(key)).agg(F.max_by(F.struct(*fields), key).alias("__x"))
+    kept = table.join(over, key, "left")
+    value = {c: F.coalesce(F.col(f"__x.{c}"), F.col(c)) for c in fields} | {at: F.when(F.col("__x").isNull(), F.col(at))}
+    return kept.select(*[value.get(c, F.col(c)).alias(c) for c in table.columns]).unionByName(new, allowMissingColumns=True)

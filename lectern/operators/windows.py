@@ -65,3 +65,54 @@ def context_around(blocks: DataFrame, key: str, order: str, text: str, at: Colum
     head = F.when(F.length("h") <= most, F.col("h")).otherwise(F.concat(F.lit("…"), F.right("h", F.lit(most))))
     foot = F.when(F.length("f") <= most, F.col("f")).otherwise(F.concat(F.left("f", F.lit(most)), F.lit("…")))
     return sides.select(key, F.array_join(F.filter(F.array(head, F.col("b"), foot), lambda x: x != ""), "\n\n").alias("context"))
+
+
+def summarised(rows: DataFrame, key: str, order: str, size: Column, done: str, budget: int = 24_000, least: int = 4) -> DataFrame:
+    """(key, taken, watermark) of keys with rows past the watermark `done`, a column that is the same for all rows of a key.
+
+    With `least` or more of them, the newest within budget are taken (at least `least`), and the watermark jumps to all
+    rows; with fewer it stays.
+    """
+    by = Window.partitionBy(key)
+    past = rows.withColumns({"__i": F.row_number().over(by.orderBy(order)), "__all": F.count("*").over(by)}).filter(F.col("__i") > F.col(done))
+    newest = by.orderBy(F.col(order).desc())
+    total = F.sum(size).over(newest.rowsBetween(Window.unboundedPreceding, 0))
+    past = past.withColumns({"__take": (total <= budget) | (F.row_number().over(newest) <= least), "__n": F.count("*").over(by)})
+    ready = F.col("__n") >= least
+    return past.groupBy(key).agg(F.count_if(F.col("__take") & ready).alias("taken"), F.max(F.when(ready, F.col("__all")).otherwise(F.col(done))).cast("long").alias("watermark"))
+
+
+def timeline_verdict(rows: DataFrame, key: str, order: list[str], name: str, start: str, end: str, duration: str, slack: float = 0.05) -> DataFrame:
+    """(key, verdict): the first rule that a key's intervals break, or ok.
+
+    invalid: a start below 0 or an end not after it; begin: the first doesn't start at 0; unique: names repeat;
+    contiguous: one doesn't start where the one before ends; duration: the last end is off by more than a second.
+    """
+    w = Window.partitionBy(key).orderBy(*order)
+    seen = rows.withColumns({"__first": F.row_number().over(w) == 1, "__before": F.lag(end).over(w), "__last": F.lead(end).over(w).isNull()})
+    s, e = F.col(start), F.col(end)
+    off = seen.groupBy(key).agg(
+        F.bool_or((s < 0) | (e <= s)).alias("invalid"), F.bool_or(F.col("__first") & (F.abs(s) > slack)).alias("begin"), (F.count_distinct(name) < F.count("*")).alias("unique"),
+        F.bool_or(F.abs(s - F.col("__before")) > slack).alias("contiguous"), F.bool_or(F.col("__last") & (F.abs(e - F.col(duration)) > 1)).alias("duration"))
+    return off.select(key, F.coalesce(*[F.when(F.col(rule), rule) for rule in ("invalid", "begin", "unique", "contiguous", "duration")], F.lit("ok")).alias("verdict"))
+
+
+def numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:
+    """rows with a number from 1 on over the whole table, in order, without a task that sees all rows.
+
+    Rows are dealt out by ranges and kept, so that the partition that a row is in holds; the partitions' sizes, one
+    number each, tell where each begins.
+    """
+    from ..session import kept
+
+    parts = kept(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "numbered")
+    sizes = parts.groupBy("__part").agg(F.count("*").alias("__size"))
+    before = sizes.select("__part", (F.sum("__size").over(Window.orderBy("__part")) - F.col("__size")).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return parts.join(F.broadcast(before), "__part").withColumn(name, (F.col("__before") + place).cast("long")).drop("__part", "__before")
+
+
+def free_id(own: Column, taken: Column) -> Column:
+    """own, with as many x behind it as it takes not to be among those taken."""
+    tries = F.transform(F.sequence(F.lit(0), F.size(taken)), lambda n: F.concat(own, F.repeat(F.lit("x"), n)))
+    return F.element_at(F.filter(tries, lambda x: ~F.array_contains(taken, x)), 1)

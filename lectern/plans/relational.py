@@ -53,11 +53,11 @@ def chat_count_badge(t):
 
 
 @query("""SELECT c_custkey, coalesce(opened, added) AS sort_key FROM (SELECT c_custkey, c_custkey * 100000000 AS added, max(epoch_ms(o_orderdate)) AS opened
-FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' GROUP BY 1) ORDER BY sort_key DESC, c_custkey DESC LIMIT 100""")
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' GROUP BY 1) ORDER BY sort_key DESC, c_custkey DESC""")
 def recent_or_added(t):
     opened = t.orders.filter("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max(ms("o_orderdate")).alias("opened"))
     key = F.coalesce("opened", F.col("c_custkey") * 100000000)
-    return t.customer.join(opened, "c_custkey", "left").select("c_custkey", key.alias("sort_key")).orderBy(F.desc("sort_key"), F.desc("c_custkey")).limit(100)
+    return t.customer.join(opened, "c_custkey", "left").select("c_custkey", key.alias("sort_key")).orderBy(F.desc("sort_key"), F.desc("c_custkey"))
 
 
 @query("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC)::BIGINT AS place FROM orders")
@@ -129,9 +129,9 @@ def cascade_delete(t):
     return count(kept[0], "customer", "c_custkey").union(count(kept[1], "orders", "o_orderkey")).union(count(kept[2], "lineitem", "l_orderkey"))
 
 
-@query("SELECT c_custkey AS k, c_name AS name FROM customer UNION ALL SELECT s_suppkey + 90 AS k, s_name AS name FROM supplier WHERE s_suppkey + 90 NOT IN (SELECT c_custkey FROM customer)")
+@query("SELECT c_custkey AS k, c_name AS name FROM customer UNION ALL SELECT s_suppkey * 40 AS k, s_name AS name FROM supplier WHERE s_suppkey * 40 NOT IN (SELECT c_custkey FROM customer)")
 def insert_if_absent(t):
-    return mutate.insert_if_absent(t.customer.select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name")), t.supplier.select((F.col("s_suppkey") + 90).alias("k"), F.col("s_name").alias("name")), "k")
+    return mutate.insert_if_absent(t.customer.select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name")), t.supplier.select((F.col("s_suppkey") * 40).alias("k"), F.col("s_name").alias("name")), "k")
 
 
 @query("""SELECT k, v, src FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY new DESC, ver DESC) AS n FROM (
@@ -191,10 +191,10 @@ def union_all_parts(t):
     return t.documents.select(F.lit("doc").alias("src"), F.col("doc_id").alias("id"), n).union(t.benchmark.select(F.lit("bench"), "item_id", n))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'green') OR contains(lower(p_name), '1')")
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'red') OR contains(lower(p_name), 'part#1')")
 def title_contains(t):
     name = F.lower("p_name")
-    return t.part.filter(F.contains(name, F.lit("green")) | F.contains(name, F.lit("1"))).select("p_partkey", "p_name")
+    return t.part.filter(F.contains(name, F.lit("red")) | F.contains(name, F.lit("part#1"))).select("p_partkey", "p_name")
 
 
 @query("SELECT event_id, list_contains(['click', 'view', 'signup'], event_type) AS allowed FROM events")
@@ -203,8 +203,37 @@ def membership_filter(t):
     return t.events.select("event_id", F.array_contains(allowed, F.col("event_type")).alias("allowed"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT p_partkey AS id, p_partkey // 7 AS up, p_name AS label FROM part WHERE p_partkey BETWEEN 1 AND 400), r AS (SELECT id, 0 AS depth, id::VARCHAR AS path FROM e WHERE up = 0 UNION ALL SELECT e.id, r.depth + 1, r.path || '/' || e.id FROM e JOIN r ON e.up = r.id)
+@query("""WITH RECURSIVE e AS (SELECT p_partkey AS id, p_partkey // 7 AS up, p_name AS label FROM part), r AS (SELECT id, 0 AS depth, id::VARCHAR AS path FROM e WHERE up = 0 UNION ALL SELECT e.id, r.depth + 1, r.path || '/' || e.id FROM e JOIN r ON e.up = r.id AND e.up > 0)
 SELECT id, depth::BIGINT AS depth, path FROM r""")
 def flatten_toc(t):
-    e = t.part.filter("p_partkey between 1 and 400").select(F.col("p_partkey").alias("id"), F.expr("p_partkey div 7").alias("up"))
+    e = t.part.select(F.col("p_partkey").alias("id"), F.expr("p_partkey div 7").alias("up"))
     return joins.flattened(e, "id", "up", F.col("up") == 0)
+
+
+@query("""WITH b AS (SELECT c_custkey AS id, c_name AS title, c_mktsegment AS file, CASE WHEN c_custkey % 2 = 0 THEN 'h' || (c_custkey % 40) END AS hash, CASE WHEN c_custkey % 10 = 7 THEN c_custkey END AS archived_at FROM customer)
+SELECT id, title, CASE WHEN id % 5 > 0 THEN file END AS file, CASE WHEN id % 5 = 0 THEN coalesce(hash, sha256(file)) ELSE hash END AS hash, CASE WHEN id % 5 = 0 THEN 99 ELSE archived_at END::BIGINT AS archived_at FROM b""")
+def archive_step(t):
+    b = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("file"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("h"), (F.col("c_custkey") % 40).cast("string"))).alias("hash"),
+                          F.when(F.col("c_custkey") % 10 == 7, F.col("c_custkey")).alias("archived_at"))
+    return mutate.archived(b, b.filter("id % 5 = 0"), "id", "file", "hash", "archived_at", F.lit(99).cast("long"))
+
+
+@query("""WITH b AS (SELECT c_custkey AS id, c_name AS title, 'h' || c_custkey AS hash, c_custkey * 2 AS added_at, c_acctbal AS position, CASE WHEN c_custkey % 2 = 0 THEN c_custkey END AS archived_at FROM customer),
+i AS (SELECT s_suppkey + 1000000 AS id, CASE WHEN s_suppkey % 3 > 0 THEN s_name END AS title, 'h' || s_suppkey AS hash, 5::BIGINT AS added_at FROM supplier)
+SELECT b.id, CASE WHEN b.archived_at IS NOT NULL AND i.id IS NOT NULL THEN coalesce(i.title, b.title) ELSE b.title END AS title, b.hash, b.added_at, b.position, CASE WHEN i.id IS NULL THEN b.archived_at END AS archived_at FROM b LEFT JOIN i ON i.hash = b.hash AND b.archived_at > 0
+UNION ALL SELECT i.id, i.title, i.hash, i.added_at, NULL, NULL FROM i WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.hash = i.hash AND b.archived_at > 0)""")
+def restore_overlay(t):
+    k = F.col("c_custkey")
+    b = t.customer.select(k.alias("id"), F.col("c_name").alias("title"), F.concat(F.lit("h"), k.cast("string")).alias("hash"), (k * 2).alias("added_at"), F.col("c_acctbal").alias("position"), F.when(k % 2 == 0, k).alias("archived_at"))
+    s = F.col("s_suppkey")
+    new = t.supplier.select((s + 1000000).alias("id"), F.when(s % 3 > 0, F.col("s_name")).alias("title"), F.concat(F.lit("h"), s.cast("string")).alias("hash"), F.lit(5).cast("long").alias("added_at"))
+    return mutate.restored(b, new, "hash", "id", "archived_at", "added_at")
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'left' END AS a, CASE WHEN n_nationkey % 2 = 1 THEN n_name END AS b, 'left' AS c FROM nation")
+def map_merge(t):
+    """Two maps as one; of a key in both the right value counts."""
+    left = F.create_map(F.lit("a"), F.lit("left"), F.lit("c"), F.lit("left"))
+    right = F.create_map(F.when(F.col("n_nationkey") % 2 == 0, "a").otherwise("b"), F.col("n_name"))
+    both = F.map_zip_with(left, right, lambda k, x, y: F.coalesce(y, x))
+    return t.nation.select("n_nationkey", both["a"].alias("a"), both["b"].alias("b"), both["c"].alias("c"))

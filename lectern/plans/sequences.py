@@ -27,21 +27,23 @@ def asof_chapter(t):
     return joins.asof_backward(probes, marks, "k", "pos", "anchor", "seq", F.lit(-1).cast("long")).select("l_orderkey", "l_linenumber", "anchor")
 
 
-@query("""WITH l AS (SELECT l_orderkey, l_linenumber * 10000000 + l_partkey AS line, max(l_extendedprice) AS pos FROM lineitem GROUP BY 1, 2),
-w AS (SELECT l_orderkey, line, max(CASE WHEN pos > 40000 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY line ROWS UNBOUNDED PRECEDING) = 0 AS inside FROM l)
-SELECT l_orderkey, coalesce(max(line) FILTER (WHERE inside), min(line))::BIGINT AS chosen FROM w GROUP BY 1""")
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber * 10000000 + l_partkey AS line, max(CASE WHEN l_partkey % 4 > 0 THEN l_extendedprice END) AS pos FROM lineitem GROUP BY 1, 2),
+w AS (SELECT l_orderkey, line, pos, max(CASE WHEN pos > 40000 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY line ROWS UNBOUNDED PRECEDING) = 0 AS inside FROM l)
+SELECT l_orderkey, coalesce(max(line) FILTER (WHERE inside AND pos IS NOT NULL), min(line) FILTER (WHERE inside AND pos IS NULL), min(line))::BIGINT AS chosen FROM w GROUP BY 1""")
 def asof_prefix(t):
-    rows = t.lineitem.groupBy("l_orderkey", place().alias("line")).agg(F.max("l_extendedprice").alias("pos"))
+    rows = t.lineitem.groupBy("l_orderkey", place().alias("line")).agg(F.max(F.when(F.col("l_partkey") % 4 > 0, F.col("l_extendedprice"))).alias("pos"))
     return joins.asof_prefix(rows, "l_orderkey", "line", "pos", F.lit(40000.0)).select("l_orderkey", F.col("line").cast("long").alias("chosen"))
 
 
 @query("""WITH c AS (SELECT n_nationkey AS i, (sum(n_nationkey + 1) OVER (ORDER BY n_nationkey) - n_nationkey - 1)::DOUBLE AS s FROM nation)
-SELECT event_id, greatest((SELECT count(*) FROM c WHERE c.s <= value) - 1, 0)::BIGINT AS chapter FROM events""")
+SELECT event_id, CASE WHEN event_id % 50 < 3 THEN 0 ELSE greatest((SELECT count(*) FROM c WHERE c.s <= value) - 1, 0) END::BIGINT AS chapter FROM events""")
 def interval_lookup(t):
     # the timeline is one row: its chapters, whose number doesn't grow with the lookups
     w = Window.orderBy("n_nationkey").rowsBetween(Window.unboundedPreceding, 0)
     line = t.nation.select((F.sum(F.col("n_nationkey") + 1).over(w) - F.col("n_nationkey") - 1).cast("double").alias("s")).agg(F.sort_array(F.collect_list("s")).alias("starts"))
-    return t.events.crossJoin(F.broadcast(line)).select("event_id", joins.interval_index(F.col("value"), F.col("starts")).cast("long").alias("chapter"))
+    e = F.col("event_id") % 50
+    value = F.when(e == 0, float("inf")).when(e == 1, float("nan")).when(e != 2, F.col("value"))
+    return t.events.crossJoin(F.broadcast(line)).select("event_id", joins.interval_index(value, F.col("starts")).cast("long").alias("chapter"))
 
 
 RATE_SQL = """SELECT event_id, n AS n_recent, n > 3 AS limited FROM (SELECT event_id, (count(*) OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000) RANGE BETWEEN 86399999 PRECEDING AND CURRENT ROW)
@@ -188,3 +190,40 @@ def session_debounce(t):
     e = t.events.select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     out = e.groupBy("user_id", F.session_window("ts", "2 hours")).agg(F.unix_micros(F.min("ts")).alias("first_us"), F.unix_micros(F.max("ts")).alias("last_us"), F.count("*").alias("n"))
     return out.drop("session_window")
+
+
+@query("""WITH c AS (SELECT *, 'mg-' || lpad(row_number() OVER (ORDER BY conv_id, turn)::VARCHAR, 6, '0') AS id FROM conversations WHERE trim(text) <> '')
+SELECT conv_id, turn, id || CASE WHEN conv_id % 3 = 0 AND turn = 1 THEN 'xx' WHEN conv_id % 3 = 1 AND turn = 0 THEN 'x' ELSE '' END AS span_id FROM c""")
+def running_span_ids(t):
+    """Ids that run on over all conversations; one that is taken already gets an x, or two."""
+    rows = windows.numbered(t.conversations.filter(F.trim("text") != "").select("conv_id", "turn"), "n", "conv_id", "turn")
+    own = F.format_string("mg-%06d", "n")
+    c, turn = F.col("conv_id") % 3, F.col("turn")
+    taken = F.when((c == 0) & (turn == 1), F.array(own, F.concat(own, F.lit("x")))).when((c == 1) & (turn == 0), F.array(own)).otherwise(F.array().cast("array<string>"))
+    return rows.select("conv_id", "turn", windows.free_id(own, taken).alias("span_id"))
+
+
+@query("""WITH w AS (SELECT l_orderkey AS k, l_linenumber, l_linenumber * 10000000 + l_partkey AS line, l_quantity AS q, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 10000000 + l_partkey, l_quantity ROWS UNBOUNDED PRECEDING) AS e FROM lineitem),
+c AS (SELECT k, l_linenumber, line, CASE WHEN k % 11 = 0 AND l_linenumber = 2 THEN 0 ELSE e END AS e, e - q + CASE WHEN k % 5 = 0 AND l_linenumber = 3 THEN 1 WHEN k % 13 = 0 AND l_linenumber = 1 THEN 0.5 ELSE 0 END AS s FROM w),
+d AS (SELECT *, row_number() OVER o AS n, lag(e) OVER o AS before, lead(e) OVER o IS NULL AS last FROM c WINDOW o AS (PARTITION BY k ORDER BY line, e))
+SELECT k AS l_orderkey, CASE WHEN bool_or(s < 0 OR e <= s) THEN 'invalid' WHEN bool_or(n = 1 AND abs(s) > 0.05) THEN 'begin' WHEN count(DISTINCT l_linenumber) < count(*) THEN 'unique' WHEN bool_or(abs(s - before) > 0.05) THEN 'contiguous'
+WHEN bool_or(last AND abs(e - (SELECT sum(q) FROM w WHERE w.k = d.k) - CASE WHEN k % 7 = 0 THEN 5 ELSE 0.5 END) > 1) THEN 'duration' ELSE 'ok' END AS verdict FROM d GROUP BY k""")
+def timeline_verdict(t):
+    """The first rule that a timeline breaks."""
+    w = Window.partitionBy("l_orderkey").orderBy("line", "l_quantity").rowsBetween(Window.unboundedPreceding, 0)
+    c = t.lineitem.select("l_orderkey", "l_linenumber", place().alias("line"), "l_quantity").withColumn("e", F.sum("l_quantity").over(w))
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    whole = F.sum("l_quantity").over(Window.partitionBy("l_orderkey")) + F.when(k % 7 == 0, 5).otherwise(0.5)
+    late = F.when((k % 5 == 0) & (n == 3), 1).when((k % 13 == 0) & (n == 1), 0.5).otherwise(0)
+    rows = c.select("l_orderkey", "l_linenumber", "line", F.when((k % 11 == 0) & (n == 2), 0.0).otherwise(F.col("e")).alias("e"), (F.col("e") - F.col("l_quantity") + late).alias("s"), whole.alias("whole"))
+    return windows.timeline_verdict(rows, "l_orderkey", ["line", "e"], "l_linenumber", "s", "e", "whole")
+
+
+@query("""WITH p AS (SELECT *, coalesce(CASE WHEN conv_id % 3 > 0 THEN conv_id % 3 END, 0) AS done, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS total FROM conversations),
+q AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS pending, row_number() OVER w AS n, sum(length(text)) OVER w AS size FROM p WHERE i > done WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, count(*) FILTER (WHERE pending >= 4 AND (size <= 1500 OR n <= 4))::BIGINT AS taken, CASE WHEN max(pending) >= 4 THEN max(total) ELSE max(done) END::BIGINT AS watermark FROM q GROUP BY 1""")
+def summary_watermark(t):
+    """What the next summary takes in, and how far it then reaches: the older turns that exceed the budget are passed over."""
+    c = F.col("conv_id")
+    rows = t.conversations.select("conv_id", "turn", "text", F.coalesce(F.when(c % 3 > 0, c % 3), F.lit(0)).alias("done"))
+    return windows.summarised(rows, "conv_id", "turn", F.length("text"), "done", 1500, 4)

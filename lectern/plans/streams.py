@@ -10,13 +10,27 @@ from .registry import query
 @query(sequences.RATE_SQL)
 def stream_rate_limit(t):
     hits = throttle.events(t.spark, t.folder).drop("refused")
-    return throttle.finished(throttle.throttled(hits, sequences.DAY, 3), "throttle")
+    return throttle.finished(throttle.throttled(hits, sequences.DAY, 3, expire=False), "throttle")
 
 
 @query(f"SELECT user_id, tries, skips FROM ({sequences.BREAKER_SQL})")
 def stream_circuit_breaker(t):
     from pyspark.sql import functions as F
 
-    out = throttle.finished(throttle.broken(throttle.events(t.spark, t.folder), sequences.COOL), "breaker")
+    out = throttle.finished(throttle.broken(throttle.events(t.spark, t.folder), sequences.COOL, expire=False), "breaker")
     users = t.events.select("event_id", "user_id")
     return out.join(users, "event_id").groupBy("user_id").agg(F.count_if(~F.col("skipped")).alias("tries"), F.count_if("skipped").alias("skips"))
+
+
+@query("SELECT user_id, event_id, \"at\" FROM (SELECT user_id, event_id, epoch_us(ts) // 1000 AS \"at\", row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1")
+def stream_last_update(t):
+    return throttle.live(throttle.events(t.spark, t.folder).select("user_id", "event_id", "at"), "updates", "user_id", "event_id")
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def stream_live_count(t):
+    """A count that is whole after each batch."""
+    from pyspark.sql import functions as F
+
+    s = t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/events.parq*t")
+    return throttle.latest(s.groupBy("event_type").agg(F.count("*").alias("n")), "counts")

@@ -78,13 +78,13 @@ def same_host(t):
     return t.pages.crossJoin(F.broadcast(one)).select("page_id", F.when(origin.isNull(), True).otherwise(F.coalesce(host(origin) == host(F.col("first_url")), F.lit(False))).alias("same"))
 
 
-@query(rf"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '{MARK}' || chr(10) || left(text, 300) || ' {MARK} x' || chr(10) || '  {MARK} {MARK}' || chr(10) || chr(10) || chr(10) || 'end ' ELSE left(text, 300) END AS t FROM documents),
+@query(rf"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '{MARK}' || chr(10) || text || ' {MARK} x' || chr(10) || '  {MARK} {MARK}' || chr(10) || chr(10) || chr(10) || 'end ' ELSE text END AS t FROM documents),
 l AS (SELECT doc_id, array_to_string(list_filter(string_split(t, chr(10)), lambda x: NOT regexp_matches(x, '^\s*(?:BOOKDATA_[0-9A-Z]{{16}}\s*)+$')), chr(10)) AS s FROM d)
 SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, 'BOOKDATA_[0-9A-Z]{{16}}', '', 'g'), '[ \t\r\f\v]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS x FROM l""")
 def strip_markers(t):
-    head = F.left("text", F.lit(300))
-    marked = F.concat(F.lit(MARK + "\n"), head, F.lit(f" {MARK} x\n  {MARK} {MARK}\n\n\nend "))
-    return t.documents.select("doc_id", text.without_markers(F.when(F.col("doc_id") % 2 == 0, marked).otherwise(head)).alias("x"))
+    whole = F.col("text")
+    marked = F.concat(F.lit(MARK + "\n"), whole, F.lit(f" {MARK} x\n  {MARK} {MARK}\n\n\nend "))
+    return t.documents.select("doc_id", text.without_markers(F.when(F.col("doc_id") % 2 == 0, marked).otherwise(whole)).alias("x"))
 
 
 @query(r"""WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[ \t\r\f\v]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS c FROM documents), h AS (SELECT *, left(c, 4000) AS h FROM c),
@@ -102,13 +102,13 @@ def sentence_split(t):
 
 
 @query("""SELECT doc_id, array_to_string(list_filter(['You are a reading companion.', 'Title: ' || source, CASE WHEN doc_id % 2 = 0 THEN 'Language: ' || lang END, '## Where the reader is', 'Position: roughly ' || floor(n_chars / 200.0 + 0.5)::BIGINT || '% through the book',
-'## The passage', 'T' || lpad(doc_id::VARCHAR, 15, '0'), left(text, 80), 'T' || lpad(doc_id::VARCHAR, 15, '0'), CASE WHEN doc_id % 3 = 0 THEN '## Spoilers' END], lambda x: x IS NOT NULL), chr(10)) AS prompt FROM documents""")
+'## The passage', 'T' || lpad(doc_id::VARCHAR, 15, '0'), text, 'T' || lpad(doc_id::VARCHAR, 15, '0'), CASE WHEN doc_id % 3 = 0 THEN '## Spoilers' END], lambda x: x IS NOT NULL), chr(10)) AS prompt FROM documents""")
 def prompt_assemble(t):
     token = F.concat(F.lit("T"), F.lpad(F.col("doc_id").cast("string"), 15, "0"))
     even = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Language: "), "lang"))
     place = F.concat(F.lit("Position: roughly "), text.half_up(F.col("n_chars") / 200).cast("string"), F.lit("% through the book"))
     spoilers = F.when(F.col("doc_id") % 3 == 0, "## Spoilers")
-    return t.documents.select("doc_id", F.concat_ws("\n", F.lit("You are a reading companion."), F.concat(F.lit("Title: "), "source"), even, F.lit("## Where the reader is"), place, F.lit("## The passage"), text.fenced(token, F.left("text", F.lit(80))), spoilers).alias("prompt"))
+    return t.documents.select("doc_id", F.concat_ws("\n", F.lit("You are a reading companion."), F.concat(F.lit("Title: "), "source"), even, F.lit("## Where the reader is"), place, F.lit("## The passage"), text.fenced(token, F.col("text")), spoilers).alias("prompt"))
 
 
 @query("SELECT doc_id, sha256(text) AS h FROM documents")
@@ -244,13 +244,13 @@ def segment_pages(t):
 
 
 @query("""WITH f AS (SELECT conv_id, turn, text, role FROM conversations) SELECT conv_id, CASE WHEN bool_or(role = 'system') THEN 'error' WHEN max_by(role, turn) = 'assistant' THEN 'ok' ELSE 'truncated' END AS status,
-CASE WHEN NOT bool_or(role = 'system') AND max_by(role, turn) = 'assistant' THEN string_agg(left(text, 20), '' ORDER BY turn) END AS text FROM f GROUP BY 1""")
+CASE WHEN NOT bool_or(role = 'system') AND max_by(role, turn) = 'assistant' THEN string_agg(text, '' ORDER BY turn) END AS text FROM f GROUP BY 1""")
 def sse_decode(t):
     """Event streams made of the turns: a system turn is an error in the stream, a last answer its end."""
     from ..streaming import sse
 
     last = F.max("turn").over(Window.partitionBy("conv_id")) == F.col("turn")
-    delta = F.to_json(F.struct(F.array(F.struct(F.struct(F.left("text", F.lit(20)).alias("content")).alias("delta"))).alias("choices")))
+    delta = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("delta"))).alias("choices")))
     frame = F.when(F.col("role") == "system", F.lit('{"error":{"message":"no"}}')).otherwise(delta)
     body = F.concat(F.lit(": keepalive\n\ndata: "), frame, F.when(last & (F.col("role") == "assistant"), "\n\ndata: [DONE]\n\n").otherwise("\n\n"))
     rows = t.conversations.select("conv_id", "turn", "role", "text").withColumn("chunk", body)
@@ -259,8 +259,30 @@ def sse_decode(t):
 
 @query()
 def reading_flagship(t):
-    """Documents cut into utterances, with a running timeline and what each costs."""
+    """Documents cut into utterances, and how long and costly each is to read."""
     seg = segmentation.segment_texts(t.documents.select("doc_id", "text"))
-    samples = (F.greatest(F.length("text") / 14.5, F.lit(0.2)) * 24000).cast("long")
-    line = windows.running_timeline(seg, "doc_id", "pos", samples)
-    return line.groupBy("doc_id").agg(F.count("*").alias("segments"), F.sum(F.length("text")).alias("chars"), F.round(F.max("end_s"), 3).alias("seconds"))
+    samples = (F.greatest(F.length("text") / 14.5, F.lit(0.2)) * 24000).cast("long") + int(0.35 * 24000)
+    # a timeline's end is the sum of its lengths, so neither its order nor a window is needed
+    return seg.groupBy("doc_id").agg(F.count("*").alias("segments"), F.sum(F.length("text")).alias("chars"), F.round(F.sum(samples) / 24000, 3).alias("seconds"))
+
+
+@query("SELECT doc_id, true AS preserved FROM documents")
+def segment_integrity(t):
+    """Whether the utterances of a document together are its text."""
+    docs = t.documents.select("doc_id", "text")
+    return segmentation.preserved(docs, segmentation.segment_texts(docs), ["doc_id"], ["pos"])
+
+
+@query()
+def anchor_blocks(t):
+    return segmentation.page_anchors(t.pages)
+
+
+@query()
+def sql_utterances(t):
+    """The same as segment_documents, from SQL."""
+    from ..functions.register import register
+
+    register(t.spark)
+    t.documents.createOrReplaceTempView("lectern_documents")
+    return t.spark.sql("SELECT doc_id, u.pos, u.text FROM lectern_documents, LATERAL utterances(text) u")

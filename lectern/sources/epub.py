@@ -1,112 +1,168 @@
-"""EPUB archives as tables: metadata, spine and table of contents.
+"""EPUB archives as tables.
 
-Archives are read by the binaryFile source and taken apart in Arrow batches, one row each, so an archive must fit into
-a row; spark.sql.sources.binaryFile.maxLength bounds it.
+members() unpacks archives, a row for each file in them; elements() turns XML members into rows. Package, manifest,
+spine and table of contents are then joins and aggregates of those tables:
+
+    rootfile -> package -> metadata
+                        -> manifest -> spine
+                                    -> navigation document, else NCX -> table of contents
+
+A member must fit into a row; spark.sql.sources.binaryFile.maxLength bounds archives. What is wrong with an archive is
+its `error`, never the job's.
 """
 
 from __future__ import annotations
 
 import io
-import posixpath
 import zipfile
 from collections.abc import Iterator
-from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-
-# Fixed values of the EPUB format.
-NS = {
-    "c": "urn:oasis:names:tc:opendocument:xmlns:container",
-    "opf": "http://www.idpf.org/2007/opf",
-    "dc": "http://purl.org/dc/elements/1.1/",
-    "x": "http://www.w3.org/1999/xhtml",
-    "ncx": "http://www.daisy.org/z3986/2005/ncx/",
-}
-TYPE = "{http://www.idpf.org/2007/ops}type"
-
-SCHEMA = ("path string, error string, title string, author string, language string, "
-          "spine array<struct<idref:string,path:string,href:string,content:string>>, toc array<struct<label:string,path:string,fragment:string>>")
-ROW = pa.schema([
-    ("path", pa.string()), ("error", pa.string()), ("title", pa.string()), ("author", pa.string()), ("language", pa.string()),
-    ("spine", pa.list_(pa.struct([(c, pa.string()) for c in ("idref", "path", "href", "content")]))),
-    ("toc", pa.list_(pa.struct([(c, pa.string()) for c in ("label", "path", "fragment")])))])
-
-
-def resolved(href: str, base: str) -> str:
-    """A link's path in the archive: without fragment, decoded, joined to its base and normalised."""
-    return posixpath.normpath(posixpath.join(base, unquote(href.partition("#")[0])))
-
-
-def package_path(files: dict[str, bytes]) -> str:
-    """Where the package document is: as the container says, or else the only .opf there is."""
-    if found := files.get("META-INF/container.xml"):
-        for e in ElementTree.fromstring(found).iter(f"{{{NS['c']}}}rootfile"):
-            if e.get("full-path") in files:
-                return e.get("full-path")
-    only = [n for n in files if n.lower().endswith(".opf")]
-    if len(only) != 1:
-        raise ValueError("no package document")
-    return only[0]
-
-
-def entry(label: str, href: str | None, base: str, files: dict[str, bytes]) -> dict | None:
-    if not href or href.startswith(("http://", "https://")) or (path := resolved(href, base)) not in files:
-        return None
-    return {"label": " ".join(label.split()) or "Untitled", "path": path, "fragment": unquote(href.partition("#")[2]) or None}
-
-
-def contents(files: dict[str, bytes], package: ElementTree.Element, manifest: dict[str, ElementTree.Element], base: str) -> list[dict]:
-    """The navigation document's first table of contents if it has entries, else the NCX."""
-    for item in manifest.values():
-        path = resolved(item.get("href"), base)
-        if "nav" in item.get("properties", "").split() and path in files:
-            navs = ElementTree.fromstring(files[path]).iter(f"{{{NS['x']}}}nav")
-            toc = next((n for n in navs if n.get(TYPE) == "toc"), None)
-            found = [] if toc is None else [entry("".join(a.itertext()), a.get("href"), posixpath.dirname(path), files) for a in toc.iter(f"{{{NS['x']}}}a")]
-            if found := [e for e in found if e]:
-                return found
-    spine = package.find("opf:spine", NS)
-    item = manifest.get(spine.get("toc", "")) if spine is not None else None
-    if item is None or (path := resolved(item.get("href"), base)) not in files:
-        return []
-    out = []
-    for point in ElementTree.fromstring(files[path]).iter(f"{{{NS['ncx']}}}navPoint"):
-        src = point.find("ncx:content", NS)
-        out.append(entry(point.findtext("ncx:navLabel/ncx:text", "", NS) or "", None if src is None else src.get("src"), posixpath.dirname(path), files))
-    return [e for e in out if e]
-
-
-def taken_apart(content: bytes) -> dict:
-    """One archive as a row; what is wrong with it as its error."""
-    row = dict.fromkeys(ROW.names) | {"spine": [], "toc": []}
-    if content[:4] != b"PK\x03\x04":
-        return row | {"error": "not a zip archive"}
-    try:
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            if "META-INF/encryption.xml" in z.namelist() and b"EncryptionMethod" in z.read("META-INF/encryption.xml") and "META-INF/rights.xml" in z.namelist():
-                return row | {"error": "protected"}
-            files = {n: z.read(n) for n in z.namelist() if not n.endswith("/")}
-        at = package_path(files)
-        package, base = ElementTree.fromstring(files[at]), posixpath.dirname(at)
-        first = lambda tag: next((e.text.strip() for e in package.iter(f"{{{NS['dc']}}}{tag}") if e.text), "")
-        manifest = {i.get("id"): i for i in package.iter(f"{{{NS['opf']}}}item") if i.get("id") and i.get("href")}
-        for ref in package.iter(f"{{{NS['opf']}}}itemref"):
-            item = manifest.get(ref.get("idref", ""))
-            if item is not None and "xhtml" in item.get("media-type", "") and (path := resolved(item.get("href"), base)) in files:
-                row["spine"].append({"idref": ref.get("idref"), "path": path, "href": item.get("href"), "content": files[path].decode("utf-8", "replace")})
-        return row | {"title": first("title"), "author": first("creator"), "language": first("language") or "en", "toc": contents(files, package, manifest, base)}
-    except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError) as e:
-        return row | {"error": str(e)}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions.text import collapsed, href_fragment, normal_path
 
-def read_epubs(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each archive under path."""
+MEMBERS = "path string, name string, content binary, error string"
+ELEMENTS = "path string, name string, ord int, tag string, attrs map<string,string>, text string, above array<int>"
+ELEMENT = pa.schema([("path", pa.string()), ("name", pa.string()), ("ord", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("above", pa.list_(pa.int32()))])
+
+
+def members(spark: SparkSession, path: str) -> DataFrame:
+    """(path, name, content, error): the files of each archive under path; one row with an error for what is no archive."""
+
+    def unpacked(content: bytes) -> Iterator[tuple[str | None, bytes | None, str | None]]:
+        if not content.startswith(b"PK\x03\x04"):
+            yield None, None, "not a zip archive"
+            return
+        try:
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                for name in z.namelist():
+                    if not name.endswith("/"):
+                        yield name, z.read(name), None
+        except Exception as e:  # noqa: BLE001  (damaged, encrypted or of an unknown method: zipfile has no common class)
+            yield None, None, f"{type(e).__name__}: {e}"
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for name, data, error in unpacked(content):
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((at, pa.string()), (name, pa.string()), (data, pa.binary()), (error, pa.string()))], names=["path", "name", "content", "error"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "content").mapInArrow(emit, MEMBERS)
+
+
+def elements(files: DataFrame) -> DataFrame:
+    """The elements of XML members in document order: tag and attributes without namespace, all text within, and the
+    numbers of the elements that they lie in, from the root on. A member that is no XML has a row without a tag."""
+
+    def walk(e: ElementTree.Element, above: list[int], number: Iterator[int]) -> Iterator[dict]:
+        ord_ = next(number)
+        yield {"ord": ord_, "tag": e.tag.rpartition("}")[2], "attrs": [(k.rpartition("}")[2], v) for k, v in e.attrib.items()], "text": "".join(e.itertext()), "above": above}
+        for child in e:
+            yield from walk(child, [*above, ord_], number)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                yield pa.RecordBatch.from_pylist([taken_apart(content) | {"path": name}], ROW)
+            for path, name, content in zip(*(b.column(c).to_pylist() for c in ("path", "name", "content"))):
+                try:
+                    rows = list(walk(ElementTree.fromstring(content), [], iter(range(1 << 30))))
+                except (ElementTree.ParseError, ValueError, RecursionError, LookupError):
+                    rows = [{}]
+                yield pa.RecordBatch.from_pylist([{"path": path, "name": name} | r for r in rows], ELEMENT)
+
+    return files.select("path", "name", "content").mapInArrow(emit, ELEMENTS)
+
+
+def resolved(href: Column, base: Column) -> Column:
+    """A link's path in the archive: without fragment, decoded, from the folder of the member that holds it, without
+    dots and a slash in front."""
+    plain = F.url_decode(F.replace(F.substring_index(href, "#", 1), F.lit("+"), F.lit("%2B")))
+    folder = F.regexp_extract(base, "^(.*)/[^/]*$", 1)
+    return normal_path(F.when(plain.startswith("/"), plain).otherwise(F.concat_ws("/", F.nullif(folder, F.lit("")), plain)))
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInArrow(emit, SCHEMA)
+
+def first_of(rows: DataFrame, value: Column, order: str, name: str) -> DataFrame:
+    """(path, name): each archive's value that comes first."""
+    return rows.groupBy("path").agg(F.min_by(value, order).alias(name))
+
+
+def package(files: DataFrame, xml: DataFrame) -> DataFrame:
+    """(path, opf): the package document that the container names, else the only one there is."""
+    named = xml.filter("name = 'META-INF/container.xml' and tag = 'rootfile'").select("path", "ord", F.col("attrs")["full-path"].alias("name"))
+    named = first_of(named.join(files.select("path", "name"), ["path", "name"], "left_semi"), F.col("name"), "ord", "named")
+    only = files.filter(F.lower("name").endswith(".opf")).groupBy("path").agg(F.when(F.count("*") == 1, F.min("name")).alias("only"))
+    return named.join(only, "path", "full").select("path", F.coalesce("named", "only").alias("opf")).filter("opf is not null")
+
+
+def manifest(opf: DataFrame) -> DataFrame:
+    """(path, id, href, media, properties, place): items with id and href; the last of equal ids, where the first stood."""
+    a = F.col("attrs")
+    items = opf.filter("tag = 'item'").select("path", "opf", "ord", a["id"].alias("id"), a["href"].alias("href"), F.coalesce(a["media-type"], F.lit("")).alias("media"), F.split(F.coalesce(a["properties"], F.lit("")), r"\s+").alias("properties"))
+    items = items.filter("id <> '' and href <> ''").groupBy("path", "opf", "id").agg(F.max_by(F.struct("href", "media", "properties"), "ord").alias("x"), F.min("ord").alias("ord"))
+    return items.select("path", "opf", "id", "ord", "x.*").withColumn("place", resolved(F.col("href"), F.col("opf")))
+
+
+def spine(opf: DataFrame, items: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, ord, idref, place, href, content): the documents to be read, in order."""
+    refs = opf.filter("tag = 'itemref'").select("path", F.col("ord").alias("at"), F.col("attrs")["idref"].alias("id"))
+    text = files.select("path", F.col("name").alias("place"), F.decode("content", "UTF-8").alias("content"))
+    rows = refs.join(items.filter(F.contains("media", F.lit("xhtml"))), ["path", "id"]).join(text, ["path", "place"])
+    return rows.select("path", F.col("at").alias("ord"), F.col("id").alias("idref"), "place", "href", "content")
+
+
+def contents(opf: DataFrame, items: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, ord, label, place, fragment): the navigation document's entries if it has any, else the NCX's."""
+    nav = first_of(items.filter(F.array_contains("properties", "nav")).join(files.select("path", F.col("name").alias("place")), ["path", "place"], "left_semi"), F.col("place"), "ord", "name")
+    ncx = opf.filter("tag = 'spine'").select("path", F.col("attrs")["toc"].alias("id")).join(items, ["path", "id"]).select("path", F.col("place").alias("name"))
+    both = nav.withColumn("source", F.lit(0)).union(ncx.withColumn("source", F.lit(1)))
+    xml = elements(files.join(both.select("path", "name").distinct(), ["path", "name"], "left_semi")).join(both, ["path", "name"])
+
+    kind = F.col("attrs")["type"]
+    lists = xml.filter((F.col("source") == 0) & (F.col("tag") == "nav") & (kind == "toc")).groupBy("path").agg(F.min("ord").alias("within"))
+    links = xml.filter("source = 0 and tag = 'a'").join(lists, "path").filter("array_contains(above, within)")
+    links = links.select("path", "source", "name", "ord", F.col("text").alias("label"), F.col("attrs")["href"].alias("href"))
+
+    # a point's own label and link: the nearest point above them
+    points = xml.filter("source = 1 and tag = 'navPoint'").select("path", "name", "ord")
+    inner = xml.filter("source = 1 and tag in ('navLabel', 'content')").select("path", "name", F.element_at("above", -1).alias("ord"), "tag", "text", "attrs", F.col("ord").alias("at"))
+    own = inner.groupBy("path", "name", "ord").agg(F.min_by("text", F.when(F.col("tag") == "navLabel", F.col("at"))).alias("label"), F.min_by(F.col("attrs")["src"], F.when(F.col("tag") == "content", F.col("at"))).alias("href"))
+    points = points.join(own, ["path", "name", "ord"]).select("path", F.lit(1).alias("source"), "name", "ord", "label", "href")
+
+    entries = links.unionByName(points).filter("href <> '' and not href like 'http://%' and not href like 'https://%'")
+    entries = entries.select("path", "source", "ord", F.coalesce(F.nullif(collapsed("label"), F.lit("")), F.lit("Untitled")).alias("label"), resolved(F.col("href"), F.col("name")).alias("place"), href_fragment("href").alias("fragment"))
+    entries = entries.join(files.select("path", F.col("name").alias("place")), ["path", "place"], "left_semi")
+    best = F.min("source").over(Window.partitionBy("path"))
+    return entries.withColumn("best", best).filter("source = best").select("path", "ord", "label", "place", "fragment")
+
+
+def read_epubs(spark: SparkSession, path: str) -> DataFrame:
+    """(path, error, title, author, language, spine, toc): a row for each archive under path."""
+    files = members(spark, path)
+    good = files.filter("error is null")
+    xml = elements(good.filter(F.expr("name = 'META-INF/container.xml' or lower(name) like '%.opf'")))
+    opf = xml.join(package(good, xml).withColumnsRenamed({"opf": "name"}), ["path", "name"]).withColumnRenamed("name", "opf")
+    items = manifest(opf)
+
+    def said(tag: str) -> Column:
+        """The first text of this tag that isn't blank."""
+        return F.min_by(F.trim("text"), F.when((F.col("tag") == tag) & (F.trim("text") != ""), F.col("ord")))
+
+    meta = opf.groupBy("path").agg(*[said(t).alias(t) for t in ("title", "creator", "language", "rights")], F.count("tag").alias("tags"))
+    locked = good.filter("name = 'META-INF/encryption.xml'").select("path", F.contains(F.decode("content", "UTF-8"), F.lit("EncryptedData")).alias("locked"))
+    lists = [t.groupBy("path").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", F.struct(*[F.col(c).alias(n) for c, n in cols.items()]).alias("x")))), lambda e: e.x).alias(name))
+             for t, name, cols in ((spine(opf, items, good), "spine", {"idref": "idref", "place": "path", "href": "href", "content": "content"}), (contents(opf, items, good), "toc", {"label": "label", "place": "path", "fragment": "fragment"}))]
+    rows = files.groupBy("path").agg(F.max("error").alias("broken")).join(meta, "path", "left").join(locked, "path", "left")
+    for t in lists:
+        rows = rows.join(t, "path", "left")
+    error = (F.when(F.col("broken").isNotNull(), F.col("broken")).when(F.coalesce("locked", F.lit(False)) | F.contains(F.lower(F.coalesce("rights", F.lit(""))), F.lit("drm")), "protected")
+             .when(F.coalesce("tags", F.lit(0)) == 0, "no package document"))
+    stem = F.regexp_replace(F.regexp_extract("path", "([^/]*)$", 1), r"(?i)\.epub$", "")
+    rows = rows.withColumn("error", error)
+    ok = F.col("error").isNull()
+    return rows.select(
+        "path", "error", F.when(ok, F.coalesce("title", stem)).alias("title"), F.when(ok, F.coalesce("creator", F.lit("Unknown author"))).alias("author"), F.when(ok, F.coalesce("language", F.lit("en"))).alias("language"),
+        F.when(ok, F.coalesce("spine", F.array())).alias("spine"), F.when(ok, F.coalesce("toc", F.array())).alias("toc"))

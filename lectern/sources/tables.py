@@ -32,3 +32,8 @@ def last_rows(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The last row of each key."""
     w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
     return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+
+
+def append_json_lines(rows: DataFrame, path: str) -> None:
+    """Adds rows to a log of JSON lines that latest_json_lines() reads."""
+    rows.write.mode("append").json(path)

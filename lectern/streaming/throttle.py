@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,33 +12,46 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..session import shared_dir
+from ..sources.tables import last_rows
 
 
-def throttled(hits: DataFrame, window_ms: int, most: int) -> DataFrame:
+#: Timers by the clock for streams that run on; a run to the end of a source (finished) would never end with them.
+TIMERS = {True: GroupStateTimeout.ProcessingTimeTimeout, False: GroupStateTimeout.NoTimeout}
+
+
+def throttled(hits: DataFrame, window_ms: int, most: int, expire: bool = True) -> DataFrame:
     """(event_id, n_recent, limited) for a stream of (event_id, user_id, at).
 
-    The state of a key is its hit times within the window. A batch's rows are sorted by time and id; across batches
-    arrival is the clock, as late rows count when they come.
+    The state of a key is its hit times within the window, in order; with expire a key without hits for as long is forgotten. A
+    batch's rows are sorted by time and id; across batches arrival is the clock, as late rows count when they come.
     """
 
     def count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         seen = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
         n = []
         for at in rows["at"].tolist():
-            seen = [x for x in seen if at - x < window_ms]
-            seen.append(at)
+            del seen[: bisect_right(seen, at - window_ms)]
+            insort(seen, at)
             n.append(len(seen))
         state.update((seen,))
+        if expire:
+            state.setTimeoutDuration(window_ms)
         yield pd.DataFrame({"event_id": rows["event_id"].to_numpy(), "n_recent": n, "limited": [x > most for x in n]})
 
-    return hits.groupBy("user_id").applyInPandasWithState(count, "event_id long, n_recent long, limited boolean", "seen array<long>", "append", GroupStateTimeout.NoTimeout)
+    return hits.groupBy("user_id").applyInPandasWithState(count, "event_id long, n_recent long, limited boolean", "seen array<long>", "append", TIMERS[expire])
 
 
-def broken(hits: DataFrame, cooldown_ms: int) -> DataFrame:
-    """(event_id, skipped) for a stream of (event_id, user_id, at, refused)."""
+def broken(hits: DataFrame, cooldown_ms: int, expire: bool = True) -> DataFrame:
+    """(event_id, skipped) for a stream of (event_id, user_id, at, refused). With expire a key without hits for cooldown_ms is forgotten."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         until = state.get[0] if state.exists else 0
         rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
         out = []
@@ -46,9 +60,11 @@ def broken(hits: DataFrame, cooldown_ms: int) -> DataFrame:
             if at >= until and no:
                 until = at + cooldown_ms
         state.update((until,))
+        if expire:
+            state.setTimeoutDuration(cooldown_ms)
         yield pd.DataFrame({"event_id": rows["event_id"].to_numpy(), "skipped": out})
 
-    return hits.groupBy("user_id").applyInPandasWithState(run, "event_id long, skipped boolean", "until long", "append", GroupStateTimeout.NoTimeout)
+    return hits.groupBy("user_id").applyInPandasWithState(run, "event_id long, skipped boolean", "until long", "append", TIMERS[expire])
 
 
 def finished(stream: DataFrame, name: str) -> DataFrame:
@@ -65,3 +81,39 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
     s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events.parq*t")
     return s.select("event_id", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), (F.col("event_type") == "error").alias("refused"))
+
+
+def live(stream: DataFrame, name: str, key: str, order: str) -> DataFrame:
+    """Runs a stream of changes to its end: in each batch the last change of each key updates a table, which is written
+    anew, so that a reader always finds a whole one. Gives the table at the end.
+
+    One batch runs at a time and makes one update of a key, so updates of a key never overlap.
+    """
+    spark: SparkSession = stream.sparkSession
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    last = f"{at}/none"
+    spark.createDataFrame([], stream.schema).write.parquet(last)
+
+    def update(batch: DataFrame, number: int) -> None:
+        nonlocal last
+        table = spark.read.schema(stream.schema).parquet(last)
+        out = last_rows(table.unionByName(batch), [key], [order])
+        last = f"{at}/{number}"
+        out.write.mode("overwrite").parquet(last)
+
+    stream.writeStream.foreachBatch(update).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(last)
+
+
+def latest(counts: DataFrame, name: str) -> DataFrame:
+    """Runs an aggregate over a stream to its end; each batch writes the whole result anew. Gives the last one."""
+    spark: SparkSession = counts.sparkSession
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    done: list[str] = []
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/{number}")
+        done.append(f"{at}/{number}")
+
+    counts.writeStream.foreachBatch(put).outputMode("complete").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(counts.schema).parquet(done[-1]) if done else spark.createDataFrame([], counts.schema)

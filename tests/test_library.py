@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from lectern.functions import segmentation, text
 from lectern.operators import folds, joins, mutate, windows
 from lectern.sources import epub
-from lectern.sources.tables import latest_json_lines
-from lectern.streaming import sse
+from lectern.sources.tables import append_json_lines, latest_json_lines
+from lectern.streaming import sse, throttle
 
 
 def values(spark, rows, schema, *cols):
@@ -86,7 +86,7 @@ def test_asof(spark):
     right = spark.createDataFrame([("d", 5, "a", 1), ("d", 5, "b", 2), ("d", 9, "c", 3)], "k string, pos long, v string, seq long")
     assert {r.id: r.v for r in joins.asof_backward(left, right, "k", "pos", "v", "seq").collect()} == {1: None, 2: "b", 3: "c", 4: None}
     at = values(spark, [(-1.0,), (float("nan"),), (1.999,), (2.0,), (99.0,), (float("inf"),)], "t double", joins.interval_index(F.col("t"), F.array(*map(F.lit, (0.0, 2.0, 3.0)))))
-    assert [x[0] for x in at] == [0, 0, 0, 1, 2, 2]
+    assert [x[0] for x in at] == [0, 0, 0, 1, 2, 0]  # what isn't finite counts as 0
 
 
 def test_timeline_and_context(spark):
@@ -120,16 +120,89 @@ def test_sse(spark):
     assert got == {"s": ("ok", "ab"), "t": ("truncated", None), "e": ("error", None)}
 
 
+def test_frames_across_chunks(spark, tmp_path):
+    """Frames that lie across chunks and batches; what is left at the end is one, too."""
+    chunks = [[(1, 0, "data: a\n\nda", False), (2, 0, "x", False)], [(1, 1, "ta: b\n", False)], [(1, 2, "\ndata: [DONE]", True), (2, 1, "\n\n", True)]]
+    for i, rows in enumerate(chunks):
+        spark.createDataFrame(rows, "stream long, n long, chunk string, last boolean").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema("stream long, n long, chunk string, last boolean").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = throttle.finished(sse.framed(s, expire=False), "frames").collect()
+    assert sorted((r.stream, r.frame) for r in got) == [(1, "data: [DONE]"), (1, "data: a"), (1, "data: b"), (2, "x")]
+
+
+def test_archive_and_restore(spark):
+    have = spark.createDataFrame([(1, "t", "body", None, None, 5), (2, "u", None, "h2", 7, 6)], "id long, title string, file string, hash string, archived long, added long")
+    away = {r.id: r for r in mutate.archived(have, have.filter("id = 1"), "id", "file", "hash", "archived", F.lit(9).cast("long")).collect()}
+    assert (away[1].file, away[1].archived, len(away[1].hash)) == (None, 9, 64) and away[2] == (2, "u", None, "h2", 7, 6)
+    new = spark.createDataFrame([(8, "w", "again", "h2", 1), (9, "v", "b", "h9", 1)], "id long, title string, file string, hash string, added long")
+    back = {r.id: tuple(r) for r in mutate.restored(have, new, "hash", "id", "archived", "added").collect()}
+    assert back == {1: (1, "t", "body", None, None, 5), 2: (2, "w", "again", "h2", None, 6), 9: (9, "v", "b", "h9", None, 1)}
+
+
+def test_timeline_verdict(spark):
+    """Shifted starts and a wrong duration, as a player's checks see them."""
+    good = [(1, 0.0, 10.0), (2, 10.0, 20.0), (3, 20.0, 30.0)]
+    cases = {"ok": (good, 30.5), "duration": (good, 35.0), "contiguous": ([good[0], (2, 11.0, 20.0), good[2]], 30.0), "begin": ([(1, 1.0, 10.0), *good[1:]], 30.0), "unique": ([good[0], (1, 10.0, 20.0)], 20.0), "invalid": ([good[0], (2, 10.0, 10.0)], 10.0)}
+    rows = [(k, i, *c, d) for k, (cs, d) in cases.items() for i, c in enumerate(cs)]
+    df = spark.createDataFrame(rows, "k string, i long, id long, s double, e double, d double")
+    assert {r.k: r.verdict for r in windows.timeline_verdict(df, "k", ["i"], "id", "s", "e", "d").collect()} == {k: k for k in cases}
+
+
+def test_prefix_and_intervals(spark):
+    rows = [("a", 1, 1.0), ("a", 2, None), ("a", 3, 9.0), ("b", 1, None), ("b", 2, 9.0), ("c", 1, 9.0), ("c", 2, None), ("d", 1, None), ("d", 2, 2.0)]
+    df = spark.createDataFrame(rows, "k string, n long, pos double")
+    assert {r.k: r.n for r in joins.asof_prefix(df, "k", "n", "pos", F.lit(5.0)).collect()} == {"a": 1, "b": 1, "c": 1, "d": 2}
+    assert values(spark, [(3.0,)], "t double", joins.interval_index(F.col("t"), F.array().cast("array<double>"))) == [(-1,)]
+
+
+def test_numbered(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(7)
+    assert all(r.n == r.k + 1 for r in windows.numbered(df, "n", "k").collect())
+    assert values(spark, [("a", ["a", "ax"]), ("a", ["b"]), ("a", [])], "s string, t array<string>", windows.free_id(F.col("s"), F.col("t"))) == [("axx",), ("a",), ("a",)]
+
+
+def test_anchors_and_integrity(spark):
+    """An anchor within a heading belongs to the heading; utterances of blocks, by the last anchor before them."""
+    page = "<html><body><p>Introduction.</p><h2><a id='ch1'></a>Chapter One.</h2><p>First body.</p><h2><a name='ch2'></a>Chapter Two.</h2><p>Second body.<!-- c --> More.</p><nav id='x'></nav></body></html>"
+    pages = spark.createDataFrame([(1, page)], "page_id long, html string")
+    blocks = segmentation.html_blocks(pages)
+    at = segmentation.page_anchors(pages).select("page_id", "anchor", F.col("ord").cast("long").alias("ord"), F.col("ord").alias("seq"))
+    order = {r.text: r.ord for r in blocks.collect()}
+    assert {r.anchor: r.ord for r in at.collect()}.items() >= {"ch1": order["Chapter One."], "ch2": order["Chapter Two."]}.items()
+    seg = segmentation.segment_pages(pages, segmentation.Options(min_chars=0)).withColumn("ord", F.col("ord").cast("long"))
+    got = joins.asof_backward(seg, at.filter("anchor <> 'x'"), "page_id", "ord", "anchor", "seq").orderBy("ord", "pos").collect()
+    assert [(r.anchor, r.text) for r in got] == [(None, "Introduction."), ("ch1", "Chapter One."), ("ch1", "First body."), ("ch2", "Chapter Two."), ("ch2", "Second body."), ("ch2", "More.")]
+    check = segmentation.preserved(blocks, segmentation.segment_pages(pages), ["page_id", "ord"], ["pos"])
+    assert check.count() == 5 and check.filter("not preserved").isEmpty()
+    assert segmentation.preserved(blocks, segmentation.segment_pages(pages).filter("text <> 'First body.'"), ["page_id", "ord"], ["pos"]).filter("not preserved").count() == 1
+    links = spark.createDataFrame([(1, "<nav><a href='no.x'>n</a></nav><nav epub:type='toc'><a href='a.x#f'>A</a><a href='b.x'>B</a></nav>")], "page_id long, html string")
+    known = spark.createDataFrame([("a.x",)], "path string")
+    assert [(r.href, r.label) for r in segmentation.page_links(links, "toc", known).collect()] == [("a.x#f", "A")]
+
+
+def test_sql_functions(spark):
+    from lectern.functions.register import register
+
+    register(spark)
+    got = spark.sql("SELECT u.pos, u.text FROM VALUES ('One sentence of some length, which is here. And another of some length, there.'), (null) AS t(x), LATERAL utterances(x) u").collect()
+    assert [tuple(r) for r in got] == [(0, "One sentence of some length, which is here."), (1, "And another of some length, there.")]
+    assert spark.sql("SELECT b.tag FROM LATERAL leaf_blocks('<p>a</p><ul><li>b</ul>') b").count() == 2
+
+
 def test_json_lines(spark, tmp_path):
     (tmp_path / "log.jsonl").write_text("\n".join([json.dumps({"id": "a", "n": 1}), "", json.dumps({"id": "b", "n": 2}), json.dumps({"id": "a", "n": 3})]))
     assert {r.id: r.n for r in latest_json_lines(spark, str(tmp_path), "id string, n long").collect()} == {"a": 3, "b": 2}
+    more = spark.createDataFrame([("c", 4)], "id string, n long")
+    for _ in range(2):
+        append_json_lines(more, str(tmp_path / "log"))
+    assert [tuple(r) for r in latest_json_lines(spark, str(tmp_path / "log"), "id string, n long").collect()] == [("c", 4)]
 
 
 CONTAINER = '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="o/p.opf"/></rootfiles></container>'
 PACKAGE = """<package xmlns="http://www.idpf.org/2007/opf" xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata><dc:title> T </dc:title></metadata><manifest>
 <item id="a" href="a.xhtml" media-type="application/xhtml+xml"/><item id="n" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/><item id="c" href="toc.ncx"/></manifest>
 <spine toc="c"><itemref idref="a"/><itemref idref="zz"/></spine></package>"""
-NAV = '<html xmlns="http://www.w3.org/1999/xhtml" xmlns:e="http://www.idpf.org/2007/ops"><body><nav e:type="toc"><a href="a.xhtml#s%201">One  x</a><a href="http://z">z</a></nav></body></html>'
+NAV = '<html xmlns="http://www.w3.org/1999/xhtml" xmlns:e="http://www.idpf.org/2007/ops"><body><nav e:type="toc"><a href="/o/a.xhtml#s%201">One  x</a><a href="http://z">z</a></nav></body></html>'
 NCX = '<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/"><navMap><navPoint><navLabel><text>N</text></navLabel><content src="a.xhtml"/></navPoint></navMap></ncx>'
 
 
@@ -146,11 +219,17 @@ def test_epub(spark, tmp_path, nav):
     (tmp_path / "a.epub").write_bytes(archive(files))
     (tmp_path / "b.epub").write_bytes(b"no")
     (tmp_path / "c.epub").write_bytes(archive({"x": ""}))
+    (tmp_path / "d.epub").write_bytes(archive(files | {"META-INF/encryption.xml": "<e><EncryptedData/></e>"}))
+    hidden = bytearray(archive(files))  # the flag of an encrypted member, in its directory entry
+    hidden[hidden.index(b"PK\x01\x02") + 8] |= 1
+    (tmp_path / "e.epub").write_bytes(bytes(hidden))
+    (tmp_path / "f.epub").write_bytes(archive({"p.opf": PACKAGE.replace("<dc:title> T </dc:title>", ""), "a.xhtml": "<p/>"}))
     got = {r.path[-6:]: r for r in epub.read_epubs(spark, str(tmp_path)).collect()}
     a = got["a.epub"]
     assert (a.error, a.title, a.language, [s.path for s in a.spine]) == (None, "T", "en", ["o/a.xhtml"])
     assert [tuple(e) for e in a.toc] == ([("One x", "o/a.xhtml", "s 1")] if nav else [("N", "o/a.xhtml", None)])
-    assert got["b.epub"].error and got["c.epub"].error
+    assert got["b.epub"].error and got["c.epub"].error and got["d.epub"].error == "protected" and "encrypted" in got["e.epub"].error
+    assert (got["f.epub"].title, got["f.epub"].author, [s.path for s in got["f.epub"].spine]) == ("f", "Unknown author", ["a.xhtml"])
 
 
 def test_sentence_cuts_agree_with_the_arrow_form(spark):

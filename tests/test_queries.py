@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from lectern.functions import segmentation
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -39,8 +40,66 @@ def test_sql(spark, duck, name):
 
 
 def test_rows_only(spark):
-    for name in ("sentence_split", "html_text", "html_blocks", "page_links", "segment_documents", "segment_pages"):
+    for name in ("html_text", "html_blocks", "page_links", "segment_pages"):
         assert __spark_entry__.queries()[name](spark, SF).count() > 0, name
+    assert __spark_entry__.queries()["anchor_blocks"](spark, SF).columns == ["page_id", "anchor", "ord"]
+
+
+def brute_utterances(text, most=320, least=40):
+    """Utterances character by character."""
+    short = segmentation.ABBREVIATIONS
+    cuts, last, i = [], 0, 0
+    while i < len(text):
+        if text[i] in ".!?…":
+            j = i
+            while j < len(text) and text[j] in ".!?…":
+                j += 1
+            while j < len(text) and text[j] in "\")]’”'":
+                j += 1
+            if j == len(text) or text[j].isspace():
+                word = ""
+                if text[i] == ".":
+                    k = i
+                    while k and (text[k - 1].isalnum() or text[k - 1] in "_.’'"):
+                        k -= 1
+                    word = text[k:i].rstrip(".").lower()
+                if len(word) != 1 and word not in short and j - last >= least:
+                    cuts.append(j)
+                    last = j
+                i = j
+                continue
+        i += 1
+    out, a = [], 0
+    for b in sorted({*cuts, len(text)}):
+        while b - a > most:
+            spots = [[x + 1 for x in range(a, a + most - 1) if text[x] in m and text[x + 1].isspace()] for m in (";:—", ",")] + [[x + 1 for x in range(a + 1, a + most) if text[x] == " "]]
+            spot = next((s[-1] for s in spots if s), None)
+            if spot is None:
+                break
+            out.append(text[a:spot])
+            a = spot
+        out.append(text[a:b])
+        a = b
+    return [x for x in (" ".join(x.split()) for x in out) if x]
+
+
+def test_segmentation_queries(spark):
+    """The queries on documents against a plain walk over each text."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    want = {i: brute_utterances(t) for i, t in texts.items()}
+    for name in ("segment_documents", "sql_utterances"):
+        got = {}
+        for r in __spark_entry__.queries()[name](spark, SF).collect():
+            got.setdefault(r.doc_id, {})[r.pos] = r.text
+        assert {i: [x[p] for p in sorted(x)] for i, x in got.items()} == {i: x for i, x in want.items() if x}, name
+    for r in __spark_entry__.queries()["reading_flagship"](spark, SF).collect():
+        own = want[r.doc_id]
+        samples = sum(int(max(len(x) / 14.5, 0.2) * 24000) + 8400 for x in own)
+        assert (r.segments, r.chars) == (len(own), sum(map(len, own))) and abs(r.seconds - samples / 24000) < 0.001
+    for r in __spark_entry__.queries()["sentence_split"](spark, SF).collect():
+        cuts = [x for x in map(int, filter(None, r.cuts.split(","))) if x < len(texts[r.doc_id])]
+        whole = brute_utterances(texts[r.doc_id], 10**9)
+        assert [x for x in (" ".join(texts[r.doc_id][a:b].split()) for a, b in zip([0, *cuts], [*cuts, None])) if x] == whole
 
 
 def test_entry(spark):
