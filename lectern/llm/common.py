@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import kept as saved
+
 U64 = np.uint64
 #: Odd multipliers of the 64-bit finaliser.
 MIX_A, MIX_B = U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53)
@@ -26,26 +26,6 @@ CHUNK = 1 << POS_BITS
 
 # --- shared storage -------------------------------------------------------------------------
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or in local mode a temporary one."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if known:
-        return known.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    known = f"file://{tempfile.mkdtemp(prefix='lectern-')}"
-    spark.conf.set("spark.checkpoint.dir", known)
-    return known
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back, which cuts the lineage and outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lectern-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def dropped(*tables: DataFrame) -> None:
     """Deletes the files behind tables made by saved() that nothing reads any more."""
     for df in tables:
