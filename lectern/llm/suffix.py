@@ -258,9 +258,9 @@ def shard(batches: Iterator[pa.RecordBatch], size: int, upto: int = 2 << 20) ->
         out = [(*r[:5], 0, 0, len(r[-1])) for r in alone]
         if rows:
             body, place = repeated([r[-1] for r in rows], np.array(of), np.array([r[-2] for r in rows]), size)
-            cut = np.flatnonzero(np.r_[True, (body[1:] != body[:-1]) | (place[1:] > place[:-1] + size)]) if len(body) else np.zeros(0, np.int64)
-            last = np.append(cut[1:], len(body)) - 1
-            out += [(*rows[b][:5], 0, i, e) for b, i, e in zip(body[cut].tolist(), place[cut].tolist(), (place[last] + size).tolist())]
+            new = (body[1:] != body[:-1]) | (place[1:] > place[:-1] + size)
+            first, last = np.r_[True, new][: len(body)], np.r_[new, True][: len(body)]
+            out += [(*rows[b][:5], 0, i, e) for b, i, e in zip(body[first].tolist(), place[first].tolist(), (place[last] + size).tolist())]
         if out:
             yield batch(out, RANGE)
 

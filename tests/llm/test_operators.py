@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import automaton, bpe, chat, components, embedding, exact, minhash, packing, pii, queries, suffix, toxicity
+from lectern.llm import automaton, bpe, chat, components, embedding, exact, minhash, packing, pii, queries, repeats, suffix, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, spans string, sketch string, node long, rep long, digest string"
@@ -648,6 +648,20 @@ def test_suffix_repeated():
         assert list(zip(body.tolist(), place.tolist())) == want
 
 
+def test_suffix_shard():
+    """Shards in which nothing repeats, a class that is alone, and ranges that lie apart."""
+    rng = random.Random(14)
+    a, b, c = (bytes(rng.randrange(97, 123) for _ in range(60)) for _ in range(3))
+
+    def run(*classes):
+        rows_ = [(f, b"%d" % i, i, 0, 0, 1, 0, n, body) for i, (f, n, body) in enumerate(classes)]
+        got = [x for out in suffix.shard(iter([repeats.batch(rows_, repeats.CLASS)]), 20) for x in out.to_pylist()]
+        return sorted((x["doc"], x["i"], x["e"]) for x in got)
+
+    assert run((1, 1, a), (1, 1, b)) == [] and run((1, 1, a)) == [] and run((1, 2, a), (2, 1, b)) == [(0, 0, 60)]
+    assert run((1, 1, a[:30] + b + a[30:]), (1, 1, a), (2, 1, c), (2, 3, c[5:50])) == [(0, 0, 30), (0, 90, 120), (1, 0, 60), (2, 5, 50), (3, 0, 45)]
+
+
 def bytes_of(got):
     return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, sha(bytes(r.kept))) for r in got}
 
