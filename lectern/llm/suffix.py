@@ -298,11 +298,11 @@ def _body(text: str):
     return _joined(text.encode())
 
 
-def plan(size: int = 200, k: int = 64, step: int = 16, most: int = 64) -> Repeats:
+def plan(size: int = 200, k: int = 64, step: int = 16, most: int = 1024) -> Repeats:
     return Repeats(byte_symbols, _body, _joined, partial(shard, size=size), size, k, (step, 1), most)
 
 
-def remove_repeats(docs: DataFrame, size: int = 200, k: int = 64, step: int = 16, most: int = 64) -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = 200, k: int = 64, step: int = 16, most: int = 1024) -> DataFrame:
     """(doc_id, kept binary, n_bytes, n_removed, n_spans): UTF-8 texts without any string of `size` bytes that occurs twice."""
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
