@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,10 +78,6 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.find_near(table(spark, sf_dir, "embeddings")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
-def hexes(values: pa.Array) -> pa.Array:
-    return pa.array([hashlib.sha256(v).hexdigest() for v in pc.cast(values, pa.binary()).to_pylist()], pa.string())
-
-
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = automaton.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -95,15 +89,10 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = bpe.encoder(vocabulary("word_bpe_49k.json"))
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digits = pa.array(list(map(str, range(1 << 16))), pa.string())
-        for doc, ids, decoded in run(batches):
-            text = pc.binary_join(pa.ListArray.from_arrays(ids.offsets, digits.take(ids.values)), " ")
-            yield pa.RecordBatch.from_arrays([doc, pc.cast(pc.list_value_length(ids), pa.int64()), hexes(text), hexes(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return columns(table(spark, sf_dir, "documents"), "doc_id", "text").mapInArrow(emit, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = bpe.encode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return out.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -420,8 +420,8 @@ def test_bpe(spark, docs, corpus):
     more = [(950, "It's <|startoftext|>A<|endoftext|> café  \x1c\x85x İΣς  1234 你好\U0001f600!?"), (951, "́a ẛ̣ I'LL they're'")]
     every = dict(corpus) | dict(more)
     df = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
-    for most in (600_000, 50):
-        out = bpe.encode(df, path, most)
+    for block in (4 << 20, 50):
+        out = bpe.encode(df, path, block)
         got = rows(out, "doc_id")
         for i, t in every.items():
             ids = tk.encode(t or "", add_special_tokens=False).ids
@@ -431,6 +431,17 @@ def test_bpe(spark, docs, corpus):
     assert bpe.encode(df.limit(0), path).count() == 0
 
 
+def test_bpe_query(spark):
+    tk = bpe.tokenizer(queries.vocabulary("word_bpe_49k.json"))
+    got = rows(queries.op7_bpe(spark, SF), "doc_id")
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert got.keys() == texts.keys()
+    for i, t in texts.items():
+        ids = tk.encode(t, add_special_tokens=False).ids
+        r = got[i]
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(tk.decode(ids, skip_special_tokens=False)))
+
+
 # --- 8 ---
 
 def plain_words(t):
