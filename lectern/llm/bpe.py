@@ -1,37 +1,29 @@
-"""BPE encoding and decoding through a table of the corpus's distinct words.
+"""BPE encoding and decoding through tables of distinct words.
 
-1. Texts are split at ASCII white space, in blocks of about `block` bytes. A block keeps its distinct words as rows
-   (block, place, word), and one row with the places of all its words by position.
-2. The words of all blocks are grouped, and each distinct word is encoded once. A word's ids don't depend on its
-   neighbours, as the tokenizer splits at white space anyway and drops it.
-3. The table is joined to the blocks' words, a plain join of two tables of rows, so Spark can split frequent words or
-   broadcast a table that it finds small. Then each block's ids are laid out by position.
-4. Decoding takes each id's piece from the vocabulary, which is of fixed size.
+A task splits the texts of a block at ASCII white space, encodes each distinct word once, and joins the ids back by
+position; decoding joins ids to their pieces. A word's ids don't depend on its neighbours, as the tokenizer splits at
+white space anyway and drops it, so this gives what encoding the whole text gives.
 
-So texts never move, and a block, which bounds what one group holds, moves as the places of its words.
+The word table lives as long as its task, up to `table_words` words. One table of the corpus was built and measured: it
+grows with the corpus (1.5 million words in 0.1 GB), so it can't be broadcast, and each block's distinct words have to
+move three times, to be grouped, joined and laid out by position. Encoding a word again in another task moves nothing.
 
 Edge cases: null text counts as empty, which has no ids and decodes to an empty text; strings of special tokens become
-their ids, as in the library; repeated rows give repeated results; extra columns are ignored; a null doc_id stays; an
-empty table gives an empty result.
+their ids, as in the library; repeated rows give repeated results; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
-from functools import cache
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import columns, pieces, saved, word_ids
+from .common import columns, pieces, word_ids
 
-#: A block's words have places from 0; its documents are the row of place -1.
-BLOCKS = "block long, place int, word string, docs array<long>, ends binary, index binary"
 IDS = "doc_id long, ids array<int>, decoded string"
 
 
@@ -45,83 +37,81 @@ def tokenizer(path: str):
     return out
 
 
-@cache
-def id_to_piece(path: str) -> pa.Array:
-    vocab = tokenizer(path).get_vocab(with_added_tokens=True)
-    names: list[str | None] = [None] * (max(vocab.values()) + 1)
-    for piece, i in vocab.items():
-        names[i] = piece
-    return pa.array(names, pa.string())
-
-
-def joined(ends: np.ndarray, ids: np.ndarray, path: str) -> pa.Array:
-    """Texts: the pieces of ids[ends[i]:ends[i + 1]], joined by a space."""
-    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), id_to_piece(path).take(pa.array(ids))), " ")
-
-
-def split(docs: DataFrame, block: int) -> DataFrame:
-    """Texts as blocks (BLOCKS)."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        for b in pieces(batches, "text", block):
-            offsets, index, words = word_ids(b.column("text"))
-            n = len(words)
-            cols = [
-                pa.array(np.full(n + 1, number)), pa.array(np.arange(-1, n, dtype=np.int32)), pa.concat_arrays([pa.nulls(1, pa.string()), words.cast(pa.string())]),
-                pa.array([b.column("doc_id").to_pylist(), *[None] * n], pa.list_(pa.int64())), pa.array([offsets.astype(np.int64).tobytes(), *[None] * n], pa.binary()),
-                pa.array([index.astype(np.min_scalar_type(n)).tobytes(), *[None] * n], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["block", "place", "word", "docs", "ends", "index"])
-            number += 1
-
-    return columns(docs, "doc_id", "text").mapInArrow(emit, BLOCKS)
-
-
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids) of distinct words."""
+class WordTable:
+    """Ids of distinct words, encoded when first met."""
+
+    def __init__(self, path: str, most: int) -> None:
+        self.tokenizer, self.most = tokenizer(path), most
+        self.clear()
+
+    def clear(self) -> None:
+        self.row: dict[str, int] = {}
+        self.start, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        """The row of each word; new ones are encoded."""
+        if len(self.row) + len(words) > self.most:
+            self.clear()
+        row = self.row
+        new = [w for w in words if w not in row]
+        if new:
+            encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+            ids = [e.ids for i in range(0, len(new), 20_000) for e in encode(new[i : i + 20_000], add_special_tokens=False)]
+            count = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter((x for i in ids for x in i), np.int32, int(count.sum()))
+            at = len(row)
+            row.update(zip(new, range(at, at + len(new))))
+            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(count) - count])
+            self.count = np.concatenate([self.count, count])
+            self.ids = np.concatenate([self.ids, flat])
+        return np.fromiter((row[w] for w in words), np.int64, len(words))
+
+
+def encoder(path: str, table_words: int = 600_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.Array, pa.ListArray, pa.Array]]]:
+    """A function from batches (doc_id, text) to doc_id, ids and decoded texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.ListArray, pa.Array]]:
+        table = WordTable(path, table_words)
+        vocab = table.tokenizer.get_vocab(with_added_tokens=True)
+        names: list[str | None] = [None] * (max(vocab.values()) + 1)
+        for piece, i in vocab.items():
+            names[i] = piece
+        id_to_piece = pa.array(names, pa.string())
+        for b in pieces(batches, "text", 16 << 20):
+            offsets, index, words = word_ids(b.column(1))
+            rows = table.rows(words.to_pylist())[index]
+            count = table.count[rows]
+            ends = np.concatenate([[0], np.cumsum(count)])
+            # the place of each id in the table: its word's first one, plus its number within the word
+            flat = table.ids[np.repeat(table.start[rows] - ends[:-1], count) + np.arange(ends[-1])]
+            at = pa.array(ends[offsets].astype(np.int32))
+            decoded = pc.binary_join(pa.ListArray.from_arrays(at, id_to_piece.take(pa.array(flat))), " ")
+            yield b.column(0), pa.ListArray.from_arrays(at, pa.array(flat)), decoded
+
+    return run
+
+
+def encode(docs: DataFrame, path: str, table_words: int = 600_000) -> DataFrame:
+    """(doc_id, ids, decoded): each whole text encoded as the tokenizers library does, and the ids decoded again."""
+    run = encoder(path, table_words)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = tokenizer(path)
-        run = getattr(own, "encode_batch_fast", own.encode_batch)
-        for b in batches:
-            ids = [e.ids for e in run(b.column("word").to_pylist(), add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+        for out in run(batches):
+            yield pa.RecordBatch.from_arrays(list(out), names=["doc_id", "ids", "decoded"])
 
-    return words.mapInArrow(emit, "word string, ids array<int>")
-
-
-def encode(docs: DataFrame, path: str, block: int = 4 << 20) -> DataFrame:
-    """(doc_id, ids, decoded): each whole text encoded as the tokenizers library does, and the ids decoded again."""
-    blocks = saved(split(docs, block), "blocks")
-    words = blocks.filter("place >= 0").select("block", "place", "word")
-    table = saved(encode_words(words.select("word").distinct(), path), "words")
-    places = words.join(table, "word").select(F.col("block").alias("of"), "place", "ids")
-
-    def lay(own: pa.Table, words: pa.Table) -> pa.Table:
-        lists = words.column("ids").combine_chunks().take(pa.array(np.argsort(words.column("place").to_numpy())))
-        size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-        start = np.cumsum(size) - size
-        flat = lists.flatten().to_numpy(zero_copy_only=False)
-        index = np.frombuffer(own.column("index")[0].as_py(), np.min_scalar_type(len(size)))
-        count = size[index]
-        ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
-        # the place of each id in the table: its word's first one, plus its number within the word
-        ids = flat[np.repeat(start[index] - ends[:-1], count) + np.arange(ends[-1])]
-        at = ends[np.frombuffer(own.column("ends")[0].as_py(), np.int64)]
-        return pa.table({"doc_id": own.column("docs")[0].values, "ids": pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids, pa.int32())), "decoded": joined(at, ids, path)})
-
-    whole = blocks.filter("place < 0").select("block", "docs", "ends", "index")
-    return whole.groupBy("block").cogroup(places.groupBy("of")).applyInArrow(lay, IDS)
+    return columns(docs, "doc_id", "text").mapInArrow(emit, IDS)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, text): ids joined to their pieces by position, pieces joined by a space; special tokens stay."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = tokenizer(path).get_vocab(with_added_tokens=True)
+        table = pa.array([k for k, _ in sorted(vocab.items(), key=lambda x: x[1])], pa.string())
         for b in batches:
             ids = b.column("ids")
-            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))])
-            text = joined(ends, ids.flatten().to_numpy(zero_copy_only=False), path)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), text], names=["doc_id", "text"])
+            flat = table.take(ids.flatten())
+            at = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pc.binary_join(pa.ListArray.from_arrays(pa.array(at), flat), " ")], names=["doc_id", "text"])
 
     return columns(encoded, "doc_id", "ids").mapInArrow(emit, "doc_id long, text string")
