@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import columns, pieces, released, word_ids
+from .common import columns, pieces, released, short_batches, word_ids
 
 #: What is cut off from both ends of a word.
 MARKS = ".,!?;:\"'()[]{}|*%&$#-_/\\<>«»„“”…"
@@ -255,6 +255,7 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, class_bytes: int = 16 << 20, k: int = 64, size: int = 256) -> Index:
     """An index of labelled examples."""
+    short_batches(docs.sparkSession)
     rows = sorted(examples(docs, labels, per_class, class_bytes).collect(), key=lambda r: (r.toxic, r.doc_id))
     share = usable(labels).agg(F.avg("toxic").alias("p")).collect()[0].p
     p = share if share is not None else 0.5
@@ -300,6 +301,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, class_bytes:
 
 def score(docs: DataFrame, index: Index, evidence: int = 3) -> DataFrame:
     """(doc_id, score, evidence): each whole text's score, and the nearest examples."""
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(index)
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("similarity", pa.float64())]))
 
@@ -313,6 +315,7 @@ def score(docs: DataFrame, index: Index, evidence: int = 3) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, index: Index, cut: float = 0.7) -> DataFrame:
     """docs without those whose text scores `cut` or more."""
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(index)
     at = docs.columns.index("text")
 
