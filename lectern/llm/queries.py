@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automaton, bpe, chat, embedding, exact, minhash, packing, pii, suffix, toxicity
+from . import automaton, bpe, chat, codes, embedding, exact, lm, minhash, packing, periodic, pii, suffix, toxicity
 from .common import columns
 
 PROBE = "<|im_end|><|im_start|>assistant ok"
@@ -123,8 +123,43 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = columns(table(spark, sf_dir, "documents"), "doc_id", "text")
+    model, counts = lm.fit(docs.filter(~lm.held_out()))
+    return lm.score(docs, model, counts).withColumn("held_out", lm.held_out())
+
+
+def looped(docs: DataFrame) -> DataFrame:
+    """Documents, a tenth of them with words that repeat: with h = crc32 of doc_id and g = h div 10, where h mod 10 is 0,
+    each word i >= a is the original word a + (i - a) mod p, with a = g mod n and p = 1 + (n - a) div (3 + g mod 8)."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    some = rows.withColumn("w", F.when(F.col("h") % 10 == 0, words)).withColumns({"n": F.size("w"), "g": F.floor(F.col("h") / 10)})
+    some = some.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    some = some.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    at = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")
+    again = F.array_join(F.transform("w", lambda x, i: F.get("w", at(i))), " ")
+    return some.select("doc_id", F.when(F.col("a").isNotNull(), again).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic.find_periodic(looped(columns(table(spark, sf_dir, "documents"), "doc_id", "text")))
+    best = F.sort_array(F.transform("runs", lambda r: F.struct((-r.length).alias("l"), r.start.alias("s"), r.period.alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string")), F.lit("\n")))
+    out = out.withColumns({"b": F.get(best, F.lit(0)), "lines": F.array_join(lines, "")})
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("b.s").alias("start"), (-F.col("b.l")).alias("length"), F.col("b.p").alias("period"),
+        F.floor(-F.col("b.l") * 1000 / F.col("b.p")).alias("exponent_milli"), F.sha2("lines", 256).alias("runs_sha256"), F.sha2(F.array_join("kept", " "), 256).alias("collapsed_sha256"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.encoded(table(spark, sf_dir, "embeddings"))
+    digest = hashlib.sha256(",".join(map(str, books.ravel().tolist())).encode()).hexdigest()
+    return codes.label_errors(coded).select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_chat_formatting, op2_packing, op3_pii, op4_embedding_near_dedup, op5_substring_dedup, op6_minhash_near_dedup, op7_bpe, op8_toxicity, op9_exact_dedup, op10_suffix_array_dedup]
+    found = [op1_chat_formatting, op2_packing, op3_pii, op4_embedding_near_dedup, op5_substring_dedup, op6_minhash_near_dedup, op7_bpe, op8_toxicity, op9_exact_dedup, op10_suffix_array_dedup, op11_lm_scoring, op12_periodic_runs, op13_vector_codes]
     return {f.__name__: f for f in found}
 
 
@@ -176,6 +211,27 @@ FROM d
 """
 
 
+OP13_SQL = """
+WITH k AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS n, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT n, p, e[p * len(e) // 16 + 1 : (p + 1) * len(e) // 16] AS x FROM k, range(16) AS q(p)),
+b0 AS MATERIALIZED (SELECT p, n - 1 AS i, x AS c FROM p WHERE n <= 64),
+""" + "".join(f"""
+d{r} AS MATERIALIZED (SELECT n, p, x, arg_min({{'i': i, 'd': d}}, (d, i)) AS m FROM (
+  SELECT p.n, p.p, p.x, b.i, (list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c))::BIGINT AS d FROM p JOIN b{r} AS b ON p.p = b.p) GROUP BY ALL),
+""" + (f"""
+s{r} AS (SELECT p, i, list(y ORDER BY j) AS c FROM (
+  SELECT p, m.i AS i, j, floor(sum(x[j]::HUGEINT) / count(*)) AS y FROM d{r}, unnest(range(1, len(x) + 1)) AS u(j) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+b{r + 1} AS MATERIALIZED (SELECT b.p, b.i, coalesce(s.c, b.c) AS c FROM b{r} AS b LEFT JOIN s{r} AS s ON b.p = s.p AND b.i = s.i),
+""" if r < 2 else "") for r in range(3)) + """
+c AS (SELECT n, string_agg(lower(printf('%02x', m.i)), '' ORDER BY p) AS code, sum(m.d)::BIGINT AS error FROM d2 GROUP BY n)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY p, i, j)) FROM (SELECT p, i, unnest(c) AS x, generate_subscripts(c, 1) AS j FROM b2)) AS codebooks_sha256
+FROM k JOIN c USING (n)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL; the other operators are tested against brute force in tests/llm."""
-    return {"op1_chat_formatting": OP1_SQL, "op4_embedding_near_dedup": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op4_embedding_near_dedup": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op9_exact_dedup": OP9_SQL, "op13_vector_codes": OP13_SQL}
