@@ -9,8 +9,9 @@ model's token REST. For the two tokens a, b before a token w,
 and a token that REST stands for takes (count + 1) / (tokens + types + 1) of REST's share, counted over those tokens; all
 words that training doesn't have share the + 1 of a type of their own. So the probabilities of all tokens add up to one.
 
-Training: every task makes one pass over its whole share of the training texts with minibatches, AdaGrad and noise
-samples that a minibatch shares, drawn by the tokens' frequencies; then each row's changes are averaged over the tasks,
+Training: every task makes one pass over its whole share of the training texts, a slice at a time: minibatches of distinct
+contexts with all tokens after them, each with its number, AdaGrad, and noise samples that a minibatch shares, drawn by
+the tokens' frequencies; then each row's changes are averaged over the tasks,
 weighted by how often a task touched it, by a Spark aggregate. Further rounds go on from there. Scoring multiplies a
 slice's distinct contexts by all outputs at once, so each distribution is normalised over all of them.
 
@@ -42,10 +43,12 @@ from .common import columns, dropped, pieces, released, saved, word_ids
 #: The key of the end token; no word holds a line feed.
 END = b"\n"
 LONG = 32
-#: Tokens in a minibatch, noise samples that it shares, step of AdaGrad and what its sums of squares start from.
-BATCH, NOISE, STEP, START = 2048, 128, 0.1, 0.1
+#: Contexts in a minibatch, noise samples that it shares, step of AdaGrad and what its sums of squares start from.
+BATCH, NOISE, STEP, START = 512, 128, 0.1, 0.1
 #: Contexts multiplied at once.
-CONTEXTS = 1024
+CONTEXTS = 128
+#: Bytes of text in a slice of training.
+SLICE = 1 << 20
 
 
 def keys(words: pa.Array) -> pa.Array:
@@ -123,16 +126,17 @@ class Model:
         pair, of = np.unique(b * size + a, return_inverse=True)
         order = np.argsort(of, kind="stable")
         ends = np.searchsorted(of[order], np.arange(0, len(pair) + CONTEXTS, CONTEXTS))
+        outputs = np.ascontiguousarray(np.column_stack([self.Q, self.bias]).T)
         out = np.zeros(len(own))
         for i, j, k in zip(range(0, len(pair), CONTEXTS), ends, ends[1:]):
             x, y = np.divmod(pair[i : i + CONTEXTS], size)
-            s = (self.c[0] * self.R[x] + self.c[1] * self.R[y]) @ self.Q.T
-            s += self.bias
+            s = np.column_stack([self.c[0] * self.R[x] + self.c[1] * self.R[y], np.ones(len(x), np.float32)]) @ outputs
             these = order[j:k]
-            s -= s.max(axis=1)[:, None]
+            if np.abs(s).max() > 60:  # beyond what exp in single precision takes
+                s -= s.max(axis=1)[:, None]
             got = s[of[these] - i, own[these]].astype(np.float64)
             np.exp(s, out=s)
-            out[these] = got - np.log(s.sum(axis=1, dtype=np.float64))[of[these] - i]
+            out[these] = got - np.log(s.sum(axis=1).astype(np.float64))[of[these] - i]
         return out
 
     def train(self, texts: Iterator[pa.Array], seed: int, step: float) -> dict[str, tuple[np.ndarray, np.ndarray]]:
@@ -155,17 +159,30 @@ class Model:
         for text in texts:
             starts, _, own, _ = self.read(text)
             b, a = self.before(starts, own)
-            shuffled = rng.permutation(len(own))
-            for i in range(0, len(own), BATCH):
-                some = shuffled[i : i + BATCH]
-                w, x, y = own[some], b[some], a[some]
+            size = len(self.bias)
+            context, of, times = np.unique(b * size + a, return_inverse=True, return_counts=True)
+            shuffled = rng.permutation(len(context))  # the place of each context
+            pair, n = np.unique(shuffled[of] * size + own, return_counts=True)
+            of, w = np.divmod(pair, size)
+            order = np.argsort(shuffled)
+            context, times = context[order], times[order].astype(np.float32)
+            ends = np.searchsorted(of, np.arange(0, len(context) + BATCH, BATCH))
+            for i, j, k in zip(range(0, len(context), BATCH), ends, ends[1:]):
+                x, y = np.divmod(context[i : i + BATCH], size)
                 noise = np.minimum(np.searchsorted(sums, rng.random(NOISE)), len(sums) - 1)
-                r = np.column_stack([c[0] * R[x] + c[1] * R[y], np.ones(len(some), np.float32)])
-                own_q, noise_q = Q[w], Q[noise]
-                yes = 1 / (1 + np.exp(np.clip((r * own_q).sum(axis=1) - line[w], -30, 30)))
-                no = -1 / (1 + np.exp(np.clip(line[noise] - r @ noise_q.T, -30, 30)))
-                to_r = (yes[:, None] * own_q + no @ noise_q)[:, :-1]
-                change(1, Q, np.concatenate([w, noise]), np.concatenate([yes[:, None] * r, no.T @ r]))
+                r = np.column_stack([c[0] * R[x] + c[1] * R[y], np.ones(len(x), np.float32)])
+                at, word = of[j:k] - i, w[j:k]
+                own_q, noise_q, own_r = Q[word], Q[noise], r[at]
+                yes = n[j:k].astype(np.float32) / (1 + np.exp(np.clip(np.einsum("ij,ij->i", own_r, own_q) - line[word], -30, 30)))
+                no = r @ noise_q.T
+                no -= line[noise]
+                np.exp(np.clip(no, -30, 30, out=no), out=no)
+                no /= 1 + no
+                no *= -times[i : i + BATCH, None]
+                own_q *= yes[:, None]
+                own_r *= yes[:, None]
+                to_r = (np.add.reduceat(own_q, np.searchsorted(at, np.arange(len(x))), axis=0) + no @ noise_q)[:, :-1]
+                change(1, Q, np.concatenate([word, noise]), np.concatenate([own_r, no.T @ r]))
                 to_c = np.stack([(to_r * R[x]).sum(axis=0), (to_r * R[y]).sum(axis=0)])
                 change(0, R, np.concatenate([x, y]), np.concatenate([to_r * c[0], to_r * c[1]]))
                 change(2, c, np.arange(2), to_c)
@@ -192,7 +209,7 @@ def trained(docs: DataFrame, model: Model, step: float) -> Model:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        changes = shared.value.train((b.column(0) for b in pieces(batches, "text", 4 << 20)), TaskContext.get().partitionId(), step)
+        changes = shared.value.train((b.column(0) for b in pieces(batches, "text", SLICE)), TaskContext.get().partitionId(), step)
         for name, (n, x) in changes.items():
             some = np.flatnonzero(n)
             rows = np.zeros((len(some), width))
