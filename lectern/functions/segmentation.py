@@ -256,8 +256,8 @@ def html_blocks(pages: DataFrame, o: Options = Options()) -> DataFrame:
     return _rows(pages, "page_id", "html", lambda t: [(i, tag, " ".join(n.text().split())) for i, tag, n in leaf_blocks(t, o)], "page_id long, ord int, tag string, text string")
 
 
-def html_text(pages: DataFrame) -> DataFrame:
-    """(page_id, text): all that is to be read on a page, white space collapsed."""
+def html_text(pages: DataFrame, key: str = "long") -> DataFrame:
+    """(page_id, text): all that is to be read on a page, white space collapsed; key: the type of page_id."""
     def read(page: str) -> list:
         def walk(n: Node) -> str:
             if n.tag in ("script", "style", "head", "title"):
@@ -266,7 +266,7 @@ def html_text(pages: DataFrame) -> DataFrame:
             return own + "".join(x if isinstance(x, str) else walk(x) for x in n.children) + own
         return [(" ".join(walk(Tree(page).root).split()),)]
 
-    return _rows(pages, "page_id", "html", read, "page_id long, text string")
+    return _rows(pages, "page_id", "html", read, f"page_id {key}, text string")
 
 
 def page_links(pages: DataFrame, kind: str | None = None, known: DataFrame | None = None) -> DataFrame:

@@ -129,10 +129,15 @@ def href_path(x: Column | str) -> Column:
     return F.regexp_replace(F.substring_index(c(x), "#", 1), r"^\.?/", "")
 
 
+def unescaped(x: Column | str) -> Column:
+    """A link with its percent escapes decoded, or as it is if one of them is none; a plus sign stays one."""
+    return F.coalesce(F.try_url_decode(F.replace(c(x), F.lit("+"), F.lit("%2B"))), c(x))
+
+
 def href_fragment(x: Column | str) -> Column:
-    """The decoded fragment, null if there is none; a plus sign stays one."""
+    """The decoded fragment, null if there is none."""
     raw = F.when(F.instr(c(x), "#") > 0, F.regexp_replace(c(x), "^[^#]*#", ""))
-    return F.nullif(F.url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), F.lit(""))
+    return F.nullif(unescaped(raw), F.lit(""))
 
 
 def normal_path(x: Column | str) -> Column:

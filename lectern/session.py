@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 def session(app: str = "lectern", **conf: str) -> SparkSession:
     """A session in UTC with adaptive execution; conf adds to it, with __ for dots."""
     b = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    b = b.config("spark.sql.python.filterPushdown.enabled", "true")
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
     return b.getOrCreate()
@@ -34,3 +35,13 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/lectern-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files behind tables made by kept() that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
