@@ -29,13 +29,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import columns, dropped, pieces, released, saved, unused
+from .common import columns, dropped, released, saved, unused
 
 #: Codebook entries in a group, on average.
 GROUP = 10
 MOST = 1 << 62
-STATE = "vec_id long, x array<long>, code binary, bound binary"
+#: Columns that a round makes.
+NEW = ("code", "bound", "error")
 
 
 def dtype(*values: np.ndarray) -> type:
@@ -150,7 +152,6 @@ def matrix(x: pa.Array) -> np.ndarray:
 def assigned(state: DataFrame, books: np.ndarray, groups: np.ndarray, drift: np.ndarray | None) -> DataFrame:
     """state with codes and bounds for these codebooks, and each vector's error."""
     parts, k = len(books), int(groups.max()) + 1
-    names = state.columns
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole_ in batches:
@@ -170,11 +171,11 @@ def assigned(state: DataFrame, books: np.ndarray, groups: np.ndarray, drift: np.
                         code[:, p], d, bound[:, p], _ = assign_again(own, books[p], groups[p], drift[p], old[:, p].astype(np.int64), held[:, p])
                     error += d
                 fixed = {"code": pa.array([r.tobytes() for r in code], pa.binary()), "bound": pa.array([r.tobytes() for r in bound], pa.binary()), "error": pa.array([int(e) if e < 1 << 63 else None for e in error], pa.int64())}
-                yield pa.RecordBatch.from_arrays([fixed.get(c, b.column(c) if c not in fixed else None) for c in out.names], names=out.names)
+                yield pa.RecordBatch.from_arrays([fixed.get(c, None if c in fixed else b.column(c)) for c in out.names], names=out.names)
         released()
 
-    out = state.drop("code", "bound", "error").withColumns({"code": F.lit(b""), "bound": F.lit(b""), "error": F.lit(0).cast("long")}).schema
-    source = state if drift is not None else state.select(*[c for c in names if c not in ("code", "bound", "error")])
+    out = StructType([f for f in state.schema.fields if f.name not in NEW]).add("code", "binary").add("bound", "binary").add("error", "long")
+    source = state if drift is not None else state.drop(*NEW)
     return source.mapInArrow(emit, out)
 
 

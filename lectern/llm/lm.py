@@ -15,7 +15,7 @@ the tokens' frequencies; then each row's changes are averaged over the tasks,
 weighted by how often a task touched it, by a Spark aggregate. Further rounds go on from there. Scoring multiplies a
 slice's distinct contexts by all outputs at once, so each distribution is normalised over all of them.
 
-The `head` most frequent tokens with their counts go to every task (64K keys of at most 32 bytes each). Counts of the
+The most frequent tokens, at most `head`, with their counts go to every task (64K keys of at most 32 bytes each). Counts of the
 others, for scores and base scores, come from the table by a join on the key; none of them is frequent, so no key is hot.
 
 A word is its own key if it has less than 32 bytes, otherwise its SHA-256.
@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, dropped, pieces, released, saved, word_ids
+from .common import columns, pieces, released, saved, word_ids
 
 #: The key of the end token; no word holds a line feed.
 END = b"\n"
@@ -232,7 +232,14 @@ def fit(docs: DataFrame, head: int = 1 << 16, outputs: int = 2048, width: int =
     """A model of the texts of docs, and the table (key, n) of all their tokens."""
     counts = saved(counted(docs), "tokens")
     tokens, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).collect()[0]
-    most = counts.filter(F.col("key") != F.lit(END)).orderBy(F.desc("n"), "key").limit(head - 1).collect()  # bounded by head
+    # a cut by a histogram of counts, so that no task sends more than its share of the head
+    place = F.floor(F.log2(F.col("n").cast("double")) * 64)
+    cut, room = 1 << 20, head - 1
+    for r in sorted(counts.groupBy(place.alias("place")).count().collect(), key=lambda r: -r.place):  # 64 for each doubling
+        room -= r["count"]
+        cut = r.place if room >= 0 else cut
+    most = counts.filter((F.col("key") != F.lit(END)) & (place >= cut)).collect()
+    most.sort(key=lambda r: (-r.n, bytes(r.key)))
     ends = tokens and counts.filter(F.col("key") == F.lit(END)).collect()[0].n
     known = [END, *(bytes(r.key) for r in most)]
     own = min(outputs, len(known))
