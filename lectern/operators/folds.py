@@ -1,54 +1,93 @@
 """Operators whose state depends on their own past output: folds over a key's rows in order.
 
-A key's rows are gathered into one array, so a key must fit into a row.
+Rows are dealt out by key and sorted by key and order within a partition, so a key's rows pass one after the other; the
+state goes from row to row and from Arrow batch to Arrow batch. Nothing gathers a key: memory doesn't grow with its rows,
+and Spark's sort spills. A fold is sequential, so a key's rows pass through one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+KINDS = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
+
+
+def folded(rows: DataFrame, key: str, order: list[str], start: tuple, step: Callable[..., tuple[tuple, tuple | None]], finish: Callable[[tuple], tuple] | None, schema: str) -> DataFrame:
+    """(key, columns of schema): a fold over each key's rows, sorted by `order`.
+
+    rows: the key, then what step(state, *values) takes; it gives the next state, and a row to put out or None.
+    finish(state) gives a row for each key.
+    """
+    names = [key, *(x.split()[0] for x in schema.split(", "))]
+    kinds = [KINDS[x.split()[1]] for x in schema.split(", ")]
 
-def folded(rows: DataFrame, key: str, fields: list[Column], start: Column, step, finish=None) -> DataFrame:
-    """(key, state): a fold over the key's rows, sorted by fields."""
-    arrays = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("__rows"))
-    out = F.aggregate("__rows", start, step, finish) if finish else F.aggregate("__rows", start, step)
-    return arrays.select(key, out.alias("state"))
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: Any = None
+        state: tuple | None = None
+        kind = None
+        out: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            columns = list(zip(*out)) or [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [kind, *kinds])], names=names)
+
+        for b in batches:
+            kind = b.schema.field(0).type
+            for k, *values in zip(*(c.to_pylist() for c in b.columns)):
+                if state is None or k != last:
+                    if state is not None and finish:
+                        out.append((last, *finish(state)))
+                    last, state = k, start
+                state, row = step(state, *values)
+                if row is not None:
+                    out.append((k, *row))
+            yield batch()
+            out.clear()
+        if state is not None and finish:
+            out.append((last, *finish(state)))
+            yield batch()
+
+    dealt = rows.repartition(key).sortWithinPartitions(key, *order)
+    return dealt.mapInArrow(emit, f"`{key}` {dict(rows.dtypes)[key]}, {schema}")
 
 
 def circuit_breaker(hits: DataFrame, key: str, at_ms: str, order: str, refused: Column, cooldown_ms: int = 60_000) -> DataFrame:
     """(key, tries, skips, open_until): after a refused try, hits are skipped until cooldown_ms later."""
-    zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("until"), zero.alias("tries"), zero.alias("skips"))
 
-    def step(a: Column, r: Column) -> Column:
-        skip = r["at"] < a.until
-        return F.struct(F.when(~skip & r["no"], r["at"] + cooldown_ms).otherwise(a.until).alias("until"), (a.tries + F.when(skip, 0).otherwise(1)).alias("tries"), (a.skips + F.when(skip, 1).otherwise(0)).alias("skips"))
+    def step(state: tuple, at: int, _, no: bool | None) -> tuple:
+        until, tries, skips = state
+        if at < until:
+            return (until, tries, skips + 1), None
+        return (at + cooldown_ms if no else until, tries + 1, skips), None
 
-    out = folded(hits, key, [F.col(at_ms).cast("long").alias("at"), F.col(order).alias("id"), refused.alias("no")], start, step)
-    return out.select(key, "state.tries", "state.skips", F.col("state.until").alias("open_until"))
+    rows = hits.select(key, F.col(at_ms).cast("long").alias("__at"), F.col(order).alias("__id"), refused.alias("__no"))
+    return folded(rows, key, ["__at", "__id", "__no"], (0, 0, 0), step, lambda s: (s[1], s[2], s[0]), "tries long, skips long, open_until long")
 
 
 def greedy_cuts(cuts: DataFrame, key: str, place: str, least: int = 40) -> DataFrame:
-    """(key, cuts): places without those closer than `least` to the last one kept."""
-    start = F.array().cast("array<bigint>")
-
-    last = F.struct(F.lit(0).cast("long").alias("last"), start.alias("out"))
+    """(key, n, cut): each key's places without those closer than `least` to the last one kept, numbered from 0."""
 
-    def kept(a: Column, r: Column) -> Column:
-        ok = r["at"] - a["last"] >= least
-        return F.struct(F.when(ok, r["at"]).otherwise(a["last"]).alias("last"), F.when(ok, F.concat(a["out"], F.array(r["at"]))).otherwise(a["out"]).alias("out"))
+    def step(state: tuple, at: int) -> tuple:
+        last, n = state
+        return ((at, n + 1), (n, at)) if at - last >= least else (state, None)
 
-    return folded(cuts, key, [F.col(place).cast("long").alias("at")], last, kept, lambda a: a["out"]).withColumnRenamed("state", "cuts")
+    rows = cuts.select(key, F.col(place).cast("long").alias("__at")).filter("__at is not null")
+    return folded(rows, key, ["__at"], (0, 0), step, None, "n long, cut long")
 
 
 def delta_throttled(rows: DataFrame, key: str, at: str, order: str, value: str, forced: Column, least: float = 5.0) -> DataFrame:
     """(key, n_saved, last_saved): a value is saved if it is forced or differs by `least` from the last one saved."""
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("v"))
 
-    def step(a: Column, r: Column) -> Column:
-        save = a["v"].isNull() | r["f"] | (F.abs(r["v"] - a["v"]) >= least)
-        return F.struct((a["n"] + F.when(save, 1).otherwise(0)).alias("n"), F.when(save, r["v"]).otherwise(a["v"]).alias("v"))
+    def step(state: tuple, _, __, v: float | None, force: bool | None) -> tuple:
+        n, saved = state
+        if saved is None or force or (v is not None and abs(v - saved) >= least):
+            return (n + 1, v), None
+        return state, None
 
-    out = folded(rows, key, [F.col(at).alias("at"), F.col(order).alias("id"), F.col(value).cast("double").alias("v"), forced.alias("f")], start, step)
-    return out.select(key, F.col("state.n").alias("n_saved"), F.col("state.v").alias("last_saved"))
+    own = rows.select(key, F.col(at).alias("__at"), F.col(order).alias("__id"), F.col(value).cast("double").alias("__v"), forced.alias("__f"))
+    return folded(own, key, ["__at", "__id", "__v", "__f"], (0, None), step, lambda s: s, "n_saved long, last_saved double")

@@ -47,9 +47,10 @@ def restore_match(archived: DataFrame, incoming: DataFrame, content: str, key: s
 
 
 def compare_and_set(table: DataFrame, updates: DataFrame, key: str, version: str, value: Column) -> DataFrame:
-    """table with the value of updates whose expected version, null included, is the present one and whose value isn't empty."""
-    u = updates.select(F.col(key), F.col("expected").alias("__expected"), value.alias("__value"), F.lit(True).alias("__has"))
-    ok = F.col("__has").isNotNull() & F.col(version).eqNullSafe(F.col("__expected")) & (F.coalesce("__value", F.lit("")) != "")
+    """table with the new value and whether it counts (`proposed`, `applied`): updates whose expected version, null included, is
+    the present one and whose value isn't empty."""
+    u = updates.select(F.col(key), F.col("expected").alias("__expected"), value.alias("proposed"), F.lit(True).alias("__has"))
+    ok = F.col("__has").isNotNull() & F.col(version).eqNullSafe(F.col("__expected")) & (F.coalesce("proposed", F.lit("")) != "")
     return table.join(u, key, "left").withColumn("applied", F.coalesce(ok, F.lit(False))).drop("__expected", "__has")
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import trimmed
+
 
 def rate_limited(hits: DataFrame, key: str, at_ms: str, order: str, window_ms: int = 300_000, most: int = 40) -> DataFrame:
     """hits with n_recent and limited: refused hits count too, and a key that is null or empty is never limited.
@@ -85,14 +87,18 @@ def summarised(rows: DataFrame, key: str, order: str, size: Column, done: str, b
 def timeline_verdict(rows: DataFrame, key: str, order: list[str], name: str, start: str, end: str, duration: str, slack: float = 0.05) -> DataFrame:
     """(key, verdict): the first rule that a key's intervals break, or ok.
 
-    invalid: a start below 0 or an end not after it; begin: the first doesn't start at 0; unique: names repeat;
+    invalid: a start, an end or a duration that is no finite number, a start below 0, an end not after it, a duration not
+    above 0, or a name that is null or blank; begin: the first doesn't start at 0; unique: names repeat;
     contiguous: one doesn't start where the one before ends; duration: the last end is off by more than a second.
     """
     w = Window.partitionBy(key).orderBy(*order)
     seen = rows.withColumns({"__first": F.row_number().over(w) == 1, "__before": F.lag(end).over(w), "__last": F.lead(end).over(w).isNull()})
     s, e = F.col(start), F.col(end)
+    number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    d = F.col(duration)
+    sound = number(s.cast("double")) & number(e.cast("double")) & number(d.cast("double")) & (s >= 0) & (e > s) & (d > 0) & (trimmed(F.col(name).cast("string")) != "")
     off = seen.groupBy(key).agg(
-        F.bool_or((s < 0) | (e <= s)).alias("invalid"), F.bool_or(F.col("__first") & (F.abs(s) > slack)).alias("begin"), (F.count_distinct(name) < F.count("*")).alias("unique"),
+        F.bool_or(~F.coalesce(sound, F.lit(False))).alias("invalid"), F.bool_or(F.col("__first") & (F.abs(s) > slack)).alias("begin"), (F.count_distinct(name) < F.count("*")).alias("unique"),
         F.bool_or(F.abs(s - F.col("__before")) > slack).alias("contiguous"), F.bool_or(F.col("__last") & (F.abs(e - F.col(duration)) > 1)).alias("duration"))
     return off.select(key, F.coalesce(*[F.when(F.col(rule), rule) for rule in ("invalid", "begin", "unique", "contiguous", "duration")], F.lit("ok")).alias("verdict"))
 

@@ -162,7 +162,7 @@ def optimistic_merge(t):
     have = t.customer.select("c_custkey", "c_mktsegment", F.when(F.col("c_custkey") % 4 > 0, F.col("c_custkey") % 4).alias("version"))
     u = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.when(F.min("o_orderkey") % 2 == 1, 1).alias("expected"), F.min("o_orderpriority").alias("p"))
     out = mutate.compare_and_set(have, u, "c_custkey", "version", F.col("p"))
-    return out.select("c_custkey", F.when(F.col("applied"), F.col("__value")).otherwise(F.col("c_mktsegment")).alias("val"), "applied")
+    return out.select("c_custkey", F.when(F.col("applied"), F.col("proposed")).otherwise(F.col("c_mktsegment")).alias("val"), "applied")
 
 
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1")

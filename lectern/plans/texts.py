@@ -246,14 +246,16 @@ def segment_pages(t):
 @query("""WITH f AS (SELECT conv_id, turn, text, role FROM conversations) SELECT conv_id, CASE WHEN bool_or(role = 'system') THEN 'error' WHEN max_by(role, turn) = 'assistant' THEN 'ok' ELSE 'truncated' END AS status,
 CASE WHEN NOT bool_or(role = 'system') AND max_by(role, turn) = 'assistant' THEN string_agg(text, '' ORDER BY turn) END AS text FROM f GROUP BY 1""")
 def sse_decode(t):
-    """Event streams made of the turns: a system turn is an error in the stream, a last answer its end."""
+    """Event streams made of the turns: a system turn is an error in the stream, a last answer its end. Every other stream has
+    CR LF at its line ends, and white space and an error that is false in its frames."""
     from ..streaming import sse
 
     last = F.max("turn").over(Window.partitionBy("conv_id")) == F.col("turn")
     delta = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("delta"))).alias("choices")))
     frame = F.when(F.col("role") == "system", F.lit('{"error":{"message":"no"}}')).otherwise(delta)
     body = F.concat(F.lit(": keepalive\n\ndata: "), frame, F.when(last & (F.col("role") == "assistant"), "\n\ndata: [DONE]\n\n").otherwise("\n\n"))
-    rows = t.conversations.select("conv_id", "turn", "role", "text").withColumn("chunk", body)
+    odd = F.concat(F.lit(": keepalive\r\n\r\ndata:\t"), F.regexp_replace(frame, r'^\{"choices"', '{"error":false,"choices"'), F.when(last & (F.col("role") == "assistant"), " \r\n\r\ndata: [DONE]\r\n\r\n").otherwise("\r\n\r\n"))
+    rows = t.conversations.select("conv_id", "turn", "role", "text").withColumn("chunk", F.when(F.col("conv_id") % 2 == 0, body).otherwise(odd))
     return sse.decoded(rows, "conv_id", "turn", "chunk")
 
 

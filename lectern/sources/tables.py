@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import log
+
 
 class Tables:
     """Tables(spark, folder).orders reads folder/orders.parquet."""
@@ -18,14 +20,8 @@ class Tables:
 
 
 def latest_json_lines(spark: SparkSession, path: str, schema: str, key: str = "id") -> DataFrame:
-    """Records of a log of JSON lines; blank lines don't count, and the last record of each key wins.
-
-    Lines are ordered by file and place in it, so a key's last line is found per key, without sorting the log.
-    """
-    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
-    rows = lines.filter(F.trim("value") != "").withColumn("r", F.from_json("value", schema)).filter(f"r.`{key}` is not null")
-    last = rows.groupBy(F.col("r")[key].alias("k")).agg(F.max_by("r", F.struct("file_path", "file_block_start", "line")).alias("r"))
-    return last.select("r.*")
+    """Records of a log of JSON lines (see log.py); blank lines don't count, and the last record of each key wins."""
+    return log.latest(spark, path, schema, key)
 
 
 def last_rows(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -34,6 +30,6 @@ def last_rows(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
-def append_json_lines(rows: DataFrame, path: str) -> None:
-    """Adds rows to a log of JSON lines that latest_json_lines() reads."""
-    rows.write.mode("append").json(path)
+def append_json_lines(rows: DataFrame, path: str) -> int:
+    """Adds rows to a log of JSON lines that latest_json_lines() reads; gives the append's number."""
+    return log.append(rows, path)

@@ -2,48 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState
 
-from .throttle import TIMERS
+from ..functions.text import trimmed
+
+
+def failed(payload: Column) -> Column:
+    """Whether a payload has an error that isn't null, false, 0 or empty."""
+    error = F.try_variant_get(F.try_parse_json(payload), "$.error", "variant")
+    kind, text = F.schema_of_variant(error), F.get_json_object(payload, "$.error")
+    empty = F.when(kind == "VOID", True).when(kind == "BOOLEAN", text == "false").when(kind == "STRING", text == "").otherwise(F.coalesce(text.try_cast("double") == 0, F.lit(False)))
+    return error.isNotNull() & ~F.coalesce(empty, F.lit(True))
 
 
 def decoded(chunks: DataFrame, key: str, order: str, chunk: str) -> DataFrame:
     """(key, status, text) of each stream: ok, error or truncated; text only if ok."""
     whole = chunks.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, chunk))), lambda x: x[chunk]), "").alias("s"))
-    frames = F.transform(F.filter(F.flatten(F.transform(F.split("s", "\n\n"), lambda f: F.split(f, "\n"))), lambda line: line.startswith("data:")), lambda line: F.trim(F.substring(line, F.lit(6), F.length(line))))
+    # lines may end in CR LF; payloads are read without white space around them
+    frames = F.transform(F.filter(F.split("s", "\r?\n"), lambda line: line.startswith("data:")), lambda line: trimmed(F.substring(line, F.lit(6), F.length(line))))
     rows = whole.select(key, frames.alias("f"))
-    bad: Column = F.exists("f", lambda x: F.get_json_object(x, "$.error").isNotNull())
+    bad: Column = F.exists("f", failed)
     done = F.array_contains("f", "[DONE]")
     text = F.array_join(F.filter(F.transform("f", lambda x: F.get_json_object(x, "$.choices[0].delta.content")), lambda x: x.isNotNull()), "")
     status = F.when(bad, "error").when(done, "ok").otherwise("truncated")
     return rows.select(key, status.alias("status"), F.when(status == "ok", text).alias("text"))
-
-
-def framed(chunks: DataFrame, expire: bool = True) -> DataFrame:
-    """(stream, frame) for a stream of (stream, n, chunk, last): frames between blank lines, also where they lie across
-    chunks and batches; what is left when the last chunk has come is a frame, too.
-
-    The state of a stream is what follows its last blank line; it goes with the last chunk, or, with expire, after an hour of silence.
-    """
-    def cut(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values("n")
-        *frames, rest = ((state.get[0] if state.exists else "") + "".join(rows["chunk"].dropna())).split("\n\n")
-        if rows["last"].any():
-            frames += [rest] if rest else []
-            if state.exists:
-                state.remove()
-        else:
-            state.update((rest,))
-            if expire:
-                state.setTimeoutDuration(3_600_000)
-        yield pd.DataFrame({"stream": [key[0]] * len(frames), "frame": frames})
-
-    return chunks.groupBy("stream").applyInPandasWithState(cut, "stream long, frame string", "rest string", "append", TIMERS[expire])
