@@ -9,9 +9,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import dropped
 from ..session import kept as saved
 
 U64 = np.uint64
@@ -26,16 +27,6 @@ CHUNK = 1 << POS_BITS
 
 # --- shared storage -------------------------------------------------------------------------
 
-def dropped(*tables: DataFrame) -> None:
-    """Deletes the files behind tables made by saved() that nothing reads any more."""
-    for df in tables:
-        spark = df.sparkSession
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
-
-
 def columns(docs: DataFrame, *names: str) -> DataFrame:
     """Just the named columns, whatever else the table has."""
     return docs.select(*[F.col(f"`{n}`") for n in names])
@@ -51,14 +42,6 @@ def unused(df: DataFrame, name: str) -> str:
 
 # --- Arrow ----------------------------------------------------------------------------------
 
-def short_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Sets Arrow batches of this session to at most `rows` rows, unless it has a number of its own in place of Spark's
-    default of 10,000: so many whole texts are held at once by the JVM and by each Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(rows))
-
-
 def released() -> None:
     """Gives memory that was freed back to the system; Python workers outlive their tasks and would hold it."""
     pa.default_memory_pool().release_unused()

@@ -33,17 +33,19 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import columns, pieces, released, short_batches, word_ids
+from .common import columns, pieces, released, word_ids
 
 #: What is cut off from both ends of a word.
 MARKS = ".,!?;:\"'()[]{}|*%&$#-_/\\<>«»„“”…"
 SCORES = "doc_id long, score double, evidence array<struct<doc_id:long,label:int,similarity:double>>"
-#: What a word counts that tells nothing about the label; texts compared at once; a posting list is long above this share.
-FLOOR, TOGETHER, LONG = 0.01, 64, 32
+#: What a word counts that tells nothing about the label; texts compared at once; a posting list is long above this share;
+#: bytes of text that a task counts at once.
+FLOOR, TOGETHER, LONG, SLICE = 0.01, 32, 32, 1 << 20
 
 
 def spread(first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,11 +55,48 @@ def spread(first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return of, np.arange(len(of)) + np.repeat(first[rows] - np.cumsum(n) + n, n)
 
 
+def hashed(words: pa.Array, seed: int) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in pc.cast(words, pa.binary()).to_pylist()), np.uint64, len(words))
+
+
+@dataclass
+class Words:
+    """Words by number, as an Arrow array and its sorted hashes: a few bytes for each word, and nothing that Python counts."""
+
+    words: pa.Array
+    seed: int
+    hashes: np.ndarray
+    place: np.ndarray  # by hash: the word's number
+
+    @classmethod
+    def of(cls, words: pa.Array) -> Words:
+        for seed in range(100):
+            h = hashed(words, seed)
+            place = np.argsort(h, kind="stable")
+            if (np.diff(h[place]) != 0).all():  # no two words of one hash
+                return cls(words, seed, h[place], place)
+        raise ValueError("words repeat")
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """Numbers of words; those of words that aren't known, each its own, come after all known ones."""
+        h = hashed(words, self.seed)
+        out = np.full(len(words), -1)
+        if len(self.words):
+            at = self.place[np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)]
+            same = pc.equal(self.words.take(pa.array(at)), words).to_numpy(zero_copy_only=False)
+            out[same] = at[same]
+        out[out < 0] = len(self.words) + np.unique(h[out < 0], return_inverse=True)[1]
+        return out
+
+
 @dataclass
 class Index:
     """Labelled examples by term, in blocks of examples."""
 
-    words: dict[str, int]
+    words: Words
     gain: np.ndarray  # by term: idf and relevance
     other: float  # the same for a word that no example has
     ids: np.ndarray
@@ -79,14 +118,13 @@ class Index:
     @cached_property
     def long(self) -> tuple[np.ndarray, np.ndarray]:
         """Posting lists of terms that more than 1 / LONG of the examples have, as rows: each term's row or -1, and the rows."""
-        at, posting = spread(self.first, np.arange(len(self.block)))
-        term = np.repeat(np.arange(len(self.gain)), np.diff(self.start))[at]
         place = np.full(len(self.gain), -1)
-        often = np.flatnonzero(np.bincount(term, minlength=len(self.gain)) > len(self.ids) / LONG)
+        begin = self.first[self.start]  # each term's postings lie one after the other
+        often = np.flatnonzero(np.diff(begin) > len(self.ids) / LONG)
         place[often] = np.arange(len(often))
         lists = np.zeros((len(often), len(self.ids)))
-        some = place[term] >= 0
-        lists[place[term[some]], self.example[posting[some]]] = self.weight[posting[some]]
+        for row, i, j in zip(lists, begin[often], begin[often + 1]):
+            row[self.example[i:j]] = self.weight[i:j]
         return place, lists
 
     def vectors(self, offsets: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -170,20 +208,18 @@ class Index:
         return np.concatenate(out) if out else np.zeros(0), why or [[] for _ in range(len(text))]
 
 
-def plain(words: pa.Array) -> list[str]:
-    return pc.utf8_lower(pc.utf8_trim(words, characters=MARKS)).to_pylist()
+def plain(words: pa.Array) -> pa.Array:
+    return pc.utf8_lower(pc.utf8_trim(words, characters=MARKS))
 
 
-def counted(text: pa.Array, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def counted(text: pa.Array, known: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Offsets by text, and the terms of each with their counts; words that aren't known are numbered behind those."""
     offsets, index, words = word_ids(text)
-    new: dict[str, int] = {}
     names = plain(words)
-    code = [known.get(w, -2) if w else -1 for w in names]
-    code = [new.setdefault(w, len(known) + len(new)) if c == -2 else c for c, w in zip(code, names)]
-    t = np.array(code, np.int64)[index] if len(index) else np.zeros(0, np.int64)
+    code = np.where(pc.equal(names, "").to_numpy(zero_copy_only=False), -1, known.find(names))
+    t = code[index] if len(index) else np.zeros(0, np.int64)
     of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    keep, all_ = t >= 0, max(1, len(known) + len(new))
+    keep, all_ = t >= 0, len(known) + len(names) + 1
     pair, count = np.unique(of[keep] * all_ + t[keep], return_counts=True)
     of, t = np.divmod(pair, all_)
     return np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(offsets) - 1))]).astype(np.int64), t, count
@@ -217,13 +253,13 @@ def relevance(of: np.ndarray, terms: np.ndarray, y: np.ndarray, n_terms: int) ->
         return np.nan_to_num(np.abs(n * yes - df * pos) / np.sqrt(df * (n - df) * (pos * (n - pos)).astype(float)))
 
 
-def frequencies(docs: DataFrame, known: dict[str, int]) -> tuple[np.ndarray, int]:
+def frequencies(docs: DataFrame, known: Words) -> tuple[np.ndarray, int]:
     """In how many of all documents each term occurs, and the number of documents."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(len(shared.value), np.int64), 0
-        for b in pieces(batches, "text", 4 << 20):
+        for b in pieces(batches, "text", SLICE):
             _, t, _ = counted(b.column(0), shared.value)
             df += np.bincount(t[t < len(df)], minlength=len(df))
             n += b.num_rows
@@ -255,7 +291,6 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, class_bytes: int = 16 << 20, k: int = 64, size: int = 256) -> Index:
     """An index of labelled examples."""
-    short_batches(docs.sparkSession)
     rows = sorted(examples(docs, labels, per_class, class_bytes).collect(), key=lambda r: (r.toxic, r.doc_id))
     share = usable(labels).agg(F.avg("toxic").alias("p")).collect()[0].p
     p = share if share is not None else 0.5
@@ -263,17 +298,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, class_bytes:
     text, ids = pa.array([r.text for r in rows], pa.string()), np.array([r.doc_id for r in rows], np.int64)
     del rows
     parts = [text.slice(i, TOGETHER) for i in range(0, len(text), TOGETHER)]  # a few at a time, to bound the driver's memory
-    known: dict[str, int] = {}
-    for part in parts:
-        for w in plain(word_ids(part)[2]):
-            if w:
-                known.setdefault(w, len(known))
+    names = [pc.unique(plain(word_ids(part)[2])) for part in parts]
+    names = pc.unique(pa.concat_arrays(names)) if names else pa.array([], pa.string())
+    known = Words.of(names.filter(pc.not_equal(names, "")))
+    del names
     done = [counted(part, known) for part in parts]
     t, c = (np.concatenate([d[i] for d in done] or [np.zeros(0, np.int64)]) for i in (1, 2))
     offsets = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(d[0]) for d in done] or [np.zeros(0, np.int64)]))])
     del done, parts
     ex = np.repeat(np.arange(len(ids)), np.diff(offsets))
-    df, n = frequencies(docs, known) if known else (np.zeros(0, np.int64), 0)
+    df, n = frequencies(docs, known) if len(known) else (np.zeros(0, np.int64), 0)
     gain = (np.log((1 + n) / (1 + df)) + 1) * (relevance(ex, t, y, len(known)) + FLOOR)
     count = np.bincount(y, minlength=2)
     index = Index(known, gain, float((np.log(1 + n) + 1) * FLOOR), ids, y, 1 / np.maximum(1, count), *[np.zeros(0)] * 6, size, k, (1.0, 0.0))
@@ -301,12 +335,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, class_bytes:
 
 def score(docs: DataFrame, index: Index, evidence: int = 3) -> DataFrame:
     """(doc_id, score, evidence): each whole text's score, and the nearest examples."""
-    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(index)
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("similarity", pa.float64())]))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text", 4 << 20):
+        for b in pieces(batches, "text", SLICE):
             scores, why = shared.value.scored(b.column(1), evidence)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(why, kind)], names=["doc_id", "score", "evidence"])
 
@@ -315,12 +348,11 @@ def score(docs: DataFrame, index: Index, evidence: int = 3) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, index: Index, cut: float = 0.7) -> DataFrame:
     """docs without those whose text scores `cut` or more."""
-    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(index)
     at = docs.columns.index("text")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text", 4 << 20):
+        for b in pieces(batches, "text", SLICE):
             yield b.filter(pa.array(shared.value.scored(b.column(at))[0] < cut, pa.bool_()))
 
     return docs.mapInArrow(emit, docs.schema)
