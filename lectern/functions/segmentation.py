@@ -120,8 +120,8 @@ def plain_cuts(text: str, o: Options) -> list[int]:
     return [x for x in accumulate(lengths) if x < len(text)]
 
 
-def utterances(items: list[tuple[bool, str]], o: Options) -> list[str]:
-    """Texts of a block's utterances. items: (whether it can be cut, text), in order.
+def utterance_bounds(items: list[tuple[bool, str]], o: Options) -> list[int]:
+    """Where a block's utterances begin, and where the last one ends. items: (whether it can be cut, text), in order.
 
     A cut within an item that can't be cut moves to that item's end. An utterance starts where a piece starts that has
     text of its own, which is what is visible in items that can be cut; the first one starts at the block's start.
@@ -136,7 +136,13 @@ def utterances(items: list[tuple[bool, str]], o: Options) -> list[str]:
     own = [0, *accumulate(free and not c.isspace() for free, t in items for c in t)]
     edges = [0, *sorted(cuts - {len(whole)}), len(whole)]
     starts = [a for a, b in zip(edges, edges[1:]) if own[b] > own[a]]
-    bounds = [0, *starts[1:], len(whole)]
+    return [0, *starts[1:], len(whole)]
+
+
+def utterances(items: list[tuple[bool, str]], o: Options) -> list[str]:
+    """Texts of a block's utterances."""
+    whole = "".join(t for _, t in items)
+    bounds = utterance_bounds(items, o)
     return [t for t in (" ".join(whole[a:b].split()) for a, b in zip(bounds, bounds[1:])) if t]
 
 
@@ -182,17 +188,30 @@ class Tree(HTMLParser):
     def handle_data(self, data: str) -> None:
         self.open[-1].children.append(data)
 
+    def hidden(self, tag: str, data: str) -> None:
+        """What isn't an element or text takes a place in document order, too."""
+        self.count += 1
+        self.open[-1].children.append(Node(tag, {"text": data}, self.count))
+
     def handle_comment(self, data: str) -> None:
-        self.count += 1  # comments take a place in document order
+        self.hidden("#comment", data)
+
+    def handle_pi(self, data: str) -> None:
+        self.hidden("#pi", data)
+
+    def handle_decl(self, decl: str) -> None:
+        self.open[-1].children.append(Node("#decl", {"text": decl}, self.count))
 
 
 def skipped(node: Node, o: Options) -> bool:
     return node.tag in SKIPPED or node.attrs.get("epub:type", "") in SKIPPED_TYPES or bool(set(node.attrs.get("class", "").split()) & o.skip_classes)
 
 
-def leaf_blocks(page: str, o: Options = Options()) -> list[tuple[int, str, Node]]:
-    """(document order, tag, node) of blocks with text and no block as a child, outside of what is skipped."""
-    out, todo = [], [Tree(page).root]
+def leaf_blocks(page: str, o: Options = Options(), whole: bool = False) -> list[tuple[int, str, Node]] | tuple[list[tuple[int, str, Node]], Tree]:
+    """(document order, tag, node) of blocks with text and no block as a child, outside of what is skipped; with `whole` the
+    page's tree, too."""
+    tree = Tree(page)
+    out, todo = [], [tree.root]
     while todo:
         node = todo.pop()
         if skipped(node, o):
@@ -201,7 +220,8 @@ def leaf_blocks(page: str, o: Options = Options()) -> list[tuple[int, str, Node]
         if node.tag in BLOCKS and not any(x.tag in BLOCKS for x in inner) and node.text().strip():
             out.append((node.order, node.tag, node))
         todo += reversed(inner)
-    return sorted(out, key=lambda x: x[0])
+    out.sort(key=lambda x: x[0])
+    return (out, tree) if whole else out
 
 
 def anchors(page: str, kind: str | None = None) -> list[tuple[int, str | None, str]]:
@@ -221,20 +241,6 @@ def anchors(page: str, kind: str | None = None) -> list[tuple[int, str | None, s
     return out
 
 
-def marks(page: str, o: Options = Options()) -> list[tuple[str, int]]:
-    """(anchor, document order) of each id or name: the leaf block that it is or lies in, else the element itself."""
-    leaves, out = {order for order, *_ in leaf_blocks(page, o)}, {}
-    todo: list[tuple[Node, int | None]] = [(Tree(page).root, None)]
-    while todo:
-        node, block = todo.pop()
-        block = node.order if node.order in leaves else block
-        for name in (node.attrs.get("id"), node.attrs.get("name")):
-            if name:
-                out.setdefault(name, node.order if block is None else block)
-        todo += [(x, block) for x in reversed(node.children) if not isinstance(x, str)]
-    return list(out.items())
-
-
 def _rows(df: DataFrame, key: str, text: str, make, schema: str) -> DataFrame:
     """Rows that make(text) gives for each text, behind its key."""
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
@@ -279,7 +285,10 @@ def page_links(pages: DataFrame, kind: str | None = None, known: DataFrame | Non
 
 def page_anchors(pages: DataFrame, o: Options = Options()) -> DataFrame:
     """(page_id, anchor, ord): the block that each anchor of a page leads to; of equal anchors the first counts."""
-    return _rows(pages, "page_id", "html", lambda t: marks(t, o), "page_id long, anchor string, ord int")
+    from . import tree
+
+    elements = tree.nodes(pages)
+    return tree.anchored(tree.named(elements), tree.leaves(elements, o))
 
 
 def segment_texts(docs: DataFrame, o: Options = Options()) -> DataFrame:

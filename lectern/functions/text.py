@@ -103,21 +103,26 @@ def without_markers(x: Column | str) -> Column:
     return trimmed(s)
 
 
-def last_place(x: Column, pattern: str) -> Column:
-    """Characters before the last match of a pattern of fixed parts, or -1."""
-    before = F.regexp_extract(x, rf"(?s)^(.*)(?:{pattern})", 1)
-    return F.when(x.rlike(f"(?s){pattern}"), F.length(before)).otherwise(-1)
+def last_place(x: Column, mark: str) -> Column:
+    """Characters before the last place of a mark, or -1."""
+    back = F.locate(mark[::-1], F.reverse(x))
+    return F.when(back > 0, F.length(x) - back - len(mark) + 1).otherwise(-1)
+
+
+def once(x: Column, then) -> Column:
+    """then(x) with x as a lambda's variable: however often it is used, x is computed once."""
+    return F.get(F.transform(F.array(x), then), F.lit(0))
 
 
 def digest(x: Column | str, most: int = DIGEST_CHARS) -> Column:
     """A stored digest: no delimiters, and cut at the last boundary past the middle if it is too long."""
-    clean = without_markers(x)
-    head = F.left(clean, F.lit(most))
-    cut = F.lit(None).cast("string")
-    for pattern in (" ", "[.!?]", "\n", "\n\n"):
-        at = last_place(head, pattern)
-        cut = F.when(at > most / 2, F.concat(trimmed(F.left(head, at + 1)), F.lit("…"))).otherwise(cut)
-    return F.when(F.length(clean) <= most, clean).otherwise(F.coalesce(cut, F.concat(trimmed(head), F.lit("…"))))
+    def end(head: Column) -> Column:
+        """How much of the head stays: up to the last blank line, line, sentence end or space past the middle, else all."""
+        places = [last_place(head, "\n\n"), last_place(head, "\n"), last_place(F.translate(head, "!?", ".."), "."), last_place(head, " ")]
+        return F.coalesce(*[F.when(at > most / 2, at + 1) for at in places], F.lit(most))
+
+    short = lambda head: F.concat(trimmed(F.left(head, end(head))), F.lit("…"))
+    return once(without_markers(x), lambda clean: F.when(F.length(clean) <= most, clean).otherwise(once(F.left(clean, F.lit(most)), short)))
 
 
 def fenced(token: Column, body: Column) -> Column:
