@@ -99,8 +99,9 @@ def find_near(vectors: DataFrame, threshold: float = 0.98, tile: int = TILE) ->
     good = own.filter(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & sound).dropDuplicates(["vec_id", "embedding", "label"])
     # equal vectors of one label; -0.0 counts as 0.0
     good = good.select("vec_id", "label", F.transform("embedding", lambda x: x + 0.0).alias("v"))
-    copies = saved(good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).withColumn("grp", F.xxhash64("label")), "vectors")
-    tiles = copies.groupBy("label").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    copies = saved(good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vectors")
+    # a number for each label, so that no two labels meet
+    tiles = saved(copies.groupBy("label").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")).withColumn("grp", F.monotonically_increasing_id()), "labels")
     dealt = copies.join(tiles, "label").withColumn("tile", F.pmod(F.xxhash64("rep", "v"), F.col("tiles")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least(o, "tile").alias("a"), F.greatest(o, "tile").alias("b")))
     dealt = dealt.withColumn("p", F.explode(pairs)).select("grp", "p.a", "p.b", "tile", "rep", "n", "v")

@@ -16,8 +16,8 @@ All trees read one sketch, so their chances to miss a pair aren't independent. B
 pairs, `trees` = 12 of depth 3 miss 2.5e-5 of the pairs whose coordinates agree with a chance of 0.80, and fewer above it.
 
 Edge cases: null or empty texts have an empty set and link with nothing; a text with fewer words than a shingle is one
-shingle; repeated rows (same doc_id) are one document; a null doc_id links with nothing; extra columns are ignored by
-find_near() and kept by drop_near(); an empty table gives an empty result.
+shingle; rows that share a doc_id are one document, which links with what any of its texts links with; a null doc_id
+links with nothing; extra columns are ignored by find_near() and kept by drop_near(); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,18 +40,15 @@ COORDS = 64
 
 class Rules(NamedTuple):
     """shingle: words of a shingle; num / den: the threshold; near: share of equal coordinates below which a pair is
-    not linked; depth: nodes of more than small rows branch on down to it, if it is beyond first, which loses pairs (of
-    those at 0.80, 12 trees miss 2.7e-3 at depth 6); tile: rows, and tile_items: shingles, that one task compares with as
-    many."""
+    not linked; first: the depth of the nodes that are compared; tile: rows, and tile_items: shingles, that one task compares
+    with as many."""
 
     shingle: int = 5
     num: int = 80
     den: int = 100
     trees: int = 12
     first: int = 3
-    depth: int = 3
     near: float = 0.53
-    small: int = 64
     tile: int = 4096
     tile_items: int = 4 << 20
 
@@ -141,19 +138,6 @@ def paths(reps: DataFrame, rules: Rules) -> DataFrame:
     return reps.select("doc_id", "sketch").mapInArrow(emit, "node long, doc_id long")
 
 
-def deeper(nodes: DataFrame) -> DataFrame:
-    """Rows (node, doc_id, sketch) moved on to the children of their nodes."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                sk = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint16).reshape(-1, COORDS)
-                row, path = children(np.arange(b.num_rows), b.column("node").to_numpy(zero_copy_only=False).view(U64), sk)
-                yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), b.column("doc_id").take(pa.array(row)), b.column("sketch").take(pa.array(row))], names=["node", "doc_id", "sketch"])
-
-    return nodes.select("node", "doc_id", "sketch").mapInArrow(emit, "node long, doc_id long, sketch binary")
-
-
 def connect(n: int, linked, left: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Edges that connect what links connect among n items, comparing each pair that isn't connected already.
 
@@ -214,19 +198,8 @@ def coarse_edges(reps: DataFrame, rules: Rules) -> DataFrame:
     level = paths(reps, rules)
     sizes = level.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
     level = saved(level.join(sizes, "node").select("doc_id", "node", "size").join(reps.select("doc_id", "sketch"), "doc_id"), "nodes")
-    found = None
-    for depth in range(rules.first, rules.depth + 1):
-        last = depth == rules.depth
-        ends = level if last else level.filter(F.col("size") <= rules.small)
-        rows = tiled(ends.withColumn("tiles", F.ceil(F.col("size") / rules.tile)), "node", "tiles", "sketch")
-        part = rows.repartition("node", "a", "b").sortWithinPartitions("node", "a", "b").mapInArrow(lambda x: coarse(x, near), "u long, v long")
-        found = part if found is None else found.union(part)
-        if last:
-            break
-        level = saved(deeper(level.filter(F.col("size") > rules.small)), "nodes")
-        sizes = level.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-        level = level.join(sizes, "node").select("doc_id", "node", "size", "sketch")
-    return found
+    rows = tiled(level.withColumn("tiles", F.ceil(F.col("size") / rules.tile)), "node", "tiles", "sketch")
+    return rows.repartition("node", "a", "b").sortWithinPartitions("node", "a", "b").mapInArrow(lambda x: coarse(x, near), "u long, v long")
 
 
 def confirmed(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -270,26 +243,36 @@ def find_near(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     own = saved(sets(docs, rules), "sets")
     full = own.filter("n_shingles > 0 and doc_id is not null")
     # as a table of its own, so that the join with a hot digest is one of plain exchanges, which Spark can split
-    classes = saved(full.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    first = classes.select(F.col("digest").alias("of"), F.col("rep"))
-    reps = saved(full.join(first, (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("of"))).select("doc_id", "n_shingles", "sketch").dropDuplicates(["doc_id"]), "representatives")
+    classes = saved(full.groupBy("digest").agg(F.min("doc_id").alias("first")).withColumn("rep", F.monotonically_increasing_id()), "classes")
+    mark = classes.select(F.col("digest").alias("of"), "first", "rep")
+    # from here on up to the links a doc_id is the number of a class; all rows of one digest have one set, so any of them will do
+    reps = full.join(mark, (F.col("doc_id") == F.col("first")) & (F.col("digest") == F.col("of"))).dropDuplicates(["rep"])
+    reps = saved(reps.select(F.col("rep").alias("doc_id"), "first", "digest", "n_shingles", "sketch"), "representatives")
     piece = components(coarse_edges(reps, rules)).withColumnsRenamed({"node": "doc_id", "component": "piece"})
-    piece = reps.select("doc_id", "n_shingles").join(piece, "doc_id")
+    piece = reps.select("doc_id", "first", "digest", "n_shingles").join(piece, "doc_id")
     sizes = piece.groupBy("piece").agg(F.sum("n_shingles").alias("items"), F.count("*").alias("rows"))
     tiles = F.greatest(F.ceil(F.col("items") / rules.tile_items), F.ceil(F.col("rows") / rules.tile))
-    piece = saved(piece.join(sizes, "piece").select("doc_id", "piece", tiles.alias("tiles")), "pieces")
+    piece = saved(piece.join(sizes, "piece").select("doc_id", "first", "digest", "piece", tiles.alias("tiles")), "pieces")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text", 2 << 20):
             offsets, h = shingles(b.column("text"), size)
-            items = pa.array([h[i:j].tobytes() for i, j in zip(offsets, offsets[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("piece"), b.column("tiles"), items], names=["doc_id", "piece", "tiles", "items"])
+            items = [h[i:j].tobytes() for i, j in zip(offsets, offsets[1:])]
+            # of several texts of a doc_id the one that the class stands for
+            own = pa.array([xxhash.xxh3_128_digest(x) == d for x, d in zip(items, b.column("digest").to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("piece"), b.column("tiles"), pa.array(items, pa.binary())], names=["doc_id", "piece", "tiles", "items"]).filter(own)
 
-    texts = columns(docs, "doc_id", "text").join(piece, "doc_id").select("doc_id", "piece", "tiles", "text")
+    texts = columns(docs, "doc_id", "text").withColumnRenamed("doc_id", "first").join(piece, "first").select("doc_id", "digest", "piece", "tiles", "text")
     rows = tiled(texts.mapInArrow(emit, "doc_id long, piece long, tiles long, items binary"), "piece", "tiles", "items")
     links = rows.repartition("piece", "a", "b").sortWithinPartitions("piece", "a", "b").mapInArrow(lambda x: confirmed(x, num, den), "u long, v long")
-    comp = components(links).withColumnsRenamed({"node": "rep"})
-    mine = full.select("doc_id", "digest").join(classes, "digest").join(comp, "rep", "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "rep").alias("c"))
+    member = full.select("doc_id", "digest").join(classes, "digest").select("doc_id", "first", "rep")
+    # texts of one doc_id belong together
+    several = member.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).filter("u < v").drop("v")
+    same = member.join(several, "doc_id").filter("rep <> u").select("u", F.col("rep").alias("v")).distinct()
+    comp = components(links.filter("u <> v").union(same)).withColumnsRenamed({"node": "rep"})
+    least = comp.join(classes, "rep").groupBy("component").agg(F.min("first").alias("least"))
+    comp = comp.join(least, "component").select("rep", "least")
+    mine = member.join(comp, "rep", "left").select(F.col("doc_id").alias("id"), F.coalesce("least", "first").alias("c"))
     mine = mine.groupBy("id").agg(F.min("c").alias("c"))
     return own.select("doc_id", "n_shingles").join(mine, F.col("doc_id") == F.col("id"), "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
 

@@ -369,7 +369,7 @@ def brute_near(corpus, size, num=80, den=100):
     return {i: (len(s), comp[i]) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("rules", [minhash.Rules(shingle=2), minhash.Rules(), minhash.Rules(shingle=2, tile=8, small=2, tile_items=1000)])
+@pytest.mark.parametrize("rules", [minhash.Rules(shingle=2), minhash.Rules(), minhash.Rules(shingle=2, tile=8, tile_items=1000)])
 def test_minhash(docs, corpus, rules):
     got = rows(minhash.find_near(docs, rules), "doc_id")
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute_near(corpus, rules.shingle)
