@@ -14,6 +14,7 @@ from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -132,10 +133,20 @@ def utterance_bounds(items: list[tuple[bool, str]], o: Options) -> list[int]:
     for cut in plain_cuts(whole, o):
         at = bisect_right(ends, cut)  # the item that the cut lies in
         cuts.add(cut if items[at][0] else ends[at])
-    # visible characters of items that can be cut, counted up to each place
-    own = [0, *accumulate(free and not c.isspace() for free, t in items for c in t)]
+
+    def shows(a: int, b: int) -> bool:
+        """Whether an item that can be cut has anything visible from a to b."""
+        for i in range(bisect_right(ends, a), len(items)):
+            free, t = items[i]
+            start = ends[i] - len(t)
+            if start >= b:
+                break
+            if free and t[max(a - start, 0) : b - start].strip():
+                return True
+        return False
+
     edges = [0, *sorted(cuts - {len(whole)}), len(whole)]
-    starts = [a for a, b in zip(edges, edges[1:]) if own[b] > own[a]]
+    starts = [a for a, b in zip(edges, edges[1:]) if shows(a, b)]
     return [0, *starts[1:], len(whole)]
 
 
@@ -249,8 +260,12 @@ def _rows(df: DataFrame, key: str, text: str, make, schema: str) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
+            # slices of about 4 MB of text; a longer text is one of its own
+            size = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype("int64")
+            part_of = size.cumsum() // (4 << 20)
+            cuts = [0, *((part_of[1:] != part_of[:-1]).nonzero()[0] + 1).tolist(), b.num_rows]
+            for i, j in zip(cuts, cuts[1:]):
+                part = b.slice(i, j - i)
                 out = [(k, *r) for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if t is not None for r in make(t)]
                 yield pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(zip(*out) if out else [[]] * len(names), types)], names=names)
 
