@@ -29,11 +29,11 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again."""
+def kept(df: DataFrame, name: str, *folders: str) -> DataFrame:
+    """df, written to the shared folder and read again; columns `folders` come last in it and have a folder for each value."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lectern-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -42,6 +42,6 @@ def dropped(*tables: DataFrame) -> None:
     for df in tables:
         spark = df.sparkSession
         jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:  # of a table with folders, each of them
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(conf).delete(p, True)
