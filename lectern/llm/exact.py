@@ -1,11 +1,16 @@
 """Exact duplicates through a log-structured merge index of text digests.
 
-Each task gathers digests in a memtable and flushes it, sorted, as a run; a flush already combines copies that met in
-the memtable. Compaction merges runs by digest, keeps the smallest identifier and the count, and writes the digests of
-more than one document with a Bloom filter of them, whose size has a fixed bound (fuller filters let more digests pass,
-never fewer). A document that the filter holds off is alone, so neither its digest nor its text moves; the others look
-their digests up, and their normalised texts are compared as bytes. If texts differ under one digest, those documents
-are grouped by the texts.
+Each task gathers digests in a memtable and flushes it, sorted, as a run of level 0; a flush already combines copies that
+met in the memtable. The key space is cut into SHARDS ranges of the digest's first bits. Compaction goes level by level:
+about `fan` runs of a level are merged, range by range, into one run of the next, a merge of sorted rows that keeps the
+smallest identifier and adds up the counts, until each range has one run. The last level keeps only the digests of more
+than one document; each of its runs has a Bloom filter of its own, and all filters together have a fixed bound (fuller
+filters let more digests pass, never fewer).
+
+A lookup goes to the one run whose range a digest lies in, if that run's filter lets it pass, and reads only the runs that
+some digest goes to. A document that the filter holds off is alone, so neither its digest nor its text moves; the others
+look their digests up, and their normalised texts are compared as bytes. If texts differ under one digest, those
+documents are grouped by the texts.
 
 Texts are equal when they are after replacing each run of ASCII white space by one space.
 
@@ -21,17 +26,20 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, columns, mix, saved, unused
+from .common import U64, columns, dropped, mix, saved, unused
 
 RUN = "run long, digest binary, doc_id long, n long"
 #: Entries of a memtable; bits of the filter for each digest, but at most MOST_BITS (16 MB), and hashes of a digest.
 MEMTABLE, FILTER_BITS, MOST_BITS, PROBES = 1 << 16, 10, 1 << 27, 7
-#: Bits of a filter that are merged as one row.
-SEGMENT = 1 << 15
+#: Bits of a filter that are merged as one row; ranges of digests; runs that one of the next level is merged from.
+SEGMENT, SHARDS, FAN = 1 << 15, 64, 64
+#: In place of a null doc_id where the smallest counts.
+NONE = np.iinfo(np.int64).max
 MIXED = U64(0x9E3779B97F4A7C15)
 
 
@@ -77,40 +85,117 @@ def runs(found: DataFrame, memtable: int = MEMTABLE) -> DataFrame:
     return found.mapInArrow(gather, RUN)
 
 
+def shard_of(digest: Column) -> Column:
+    """The range that a digest lies in, by its first byte."""
+    return F.floor(F.conv(F.hex(F.substring(digest, 1, 1)), 16, 10).cast("int") * SHARDS / 256).cast("int")
+
+
+def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, run, digest, doc_id, n) in order, with those of equal digests in a run combined."""
+    names = ["shard", "run", "digest", "doc_id", "n"]
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([*held, b]).combine_chunks()
+        new = np.ones(t.num_rows, bool)
+        for c in names[:3]:
+            x = t.column(c)
+            differ = pc.not_equal(x.slice(1), x.slice(0, t.num_rows - 1)).to_numpy()
+            new[1:] = differ if c == "shard" else new[1:] | differ
+        first = np.flatnonzero(new)
+        docs = pc.fill_null(t.column("doc_id"), NONE).to_numpy()
+        least, n = np.minimum.reduceat(docs, first), np.add.reduceat(t.column("n").to_numpy(), first)
+        heads = t.select(names[:3]).take(pa.array(first)).combine_chunks().to_batches()[0]
+        out = pa.RecordBatch.from_arrays([*heads.columns, pa.array(least, pa.int64(), mask=least == NONE), pa.array(n, pa.int64())], names=names)
+        held = [out.slice(out.num_rows - 1)]
+        if out.num_rows > 1:
+            yield out.slice(0, out.num_rows - 1)
+    yield from held
+
+
+def levels(run_table: DataFrame, fan: int = FAN) -> Iterator[DataFrame]:
+    """The runs of each level from the first merge on; the last has one run for each range."""
+    level = run_table.withColumn("shard", shard_of(F.col("digest"))).select("shard", "run", "digest", "doc_id", "n")
+    runs_ = run_table.select("run").distinct().count()
+    while True:
+        runs_ = -(-runs_ // fan)
+        out = level.withColumn("run", F.pmod(F.xxhash64("run"), F.lit(max(1, runs_))))
+        out = out.repartition("shard", "run").sortWithinPartitions("shard", "run", "digest").mapInArrow(merged, "shard int, run long, digest binary, doc_id long, n long")
+        if runs_ > 1:
+            level = saved(out, "level")
+            yield level
+        else:
+            yield out
+            return
+
+
+def compacted(run_table: DataFrame, fan: int = FAN) -> DataFrame:
+    """(shard, digest, keep_id, group_size) of digests with several documents: the last level, a folder for each range."""
+    *before, last = levels(run_table, fan)
+    kept = last.filter("n > 1").select("digest", F.col("doc_id").alias("keep_id"), F.col("n").alias("group_size"), "shard")
+    out = saved(kept, "index", "shard")
+    dropped(*before)
+    return out
+
+
 class Filter(NamedTuple):
-    """A Bloom filter: its bits, packed, and how many of them a digest sets."""
+    """Bloom filters of the runs of a level: the bits of one after the other, packed; by range, where its filter begins, how
+    many bits it has (0: no run) and how many of them a digest sets."""
 
     bits: np.ndarray
-    probes: int
+    begin: np.ndarray
+    size: np.ndarray
+    probes: np.ndarray
 
     def may_hold(self, digest: list[bytes | None]) -> np.ndarray:
-        """Which digests may be among those that the filter was made of; False is certain."""
-        if not len(self.bits):
-            return np.zeros(len(digest), bool)
-        at = places(digest, len(self.bits) * 8, self.probes)
-        return (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).all(axis=1)
+        """Which digests may be among those that the filters were made of; False is certain."""
+        shard = shards(digest)
+        out = self.size[shard] > 0
+        at, of = places([d for d, some in zip(digest, out) if some], self)
+        hit = (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+        missed = np.bincount(of, ~hit, int(out.sum())) > 0
+        out[np.flatnonzero(out)[missed]] = False
+        return out
+
+
+def shards(digest: list[bytes | None]) -> np.ndarray:
+    return np.array([d[0] * SHARDS // 256 if d else 0 for d in digest], np.int64)
 
 
-def places(digest: list[bytes | None], bits: int, probes: int) -> np.ndarray:
-    """The bits of each digest, by its first 8 bytes."""
+def places(digest: list[bytes | None], filters: Filter) -> tuple[np.ndarray, np.ndarray]:
+    """The bits that digests set, each in the filter of its range, by its first 8 bytes; and whose each is."""
     head = np.frombuffer(b"".join((d or b"")[:8].ljust(8, b"\0") for d in digest), U64)
-    return ((mix(head)[:, None] + np.arange(probes, dtype=U64) * mix(head ^ MIXED)[:, None]) % U64(bits)).astype(np.int64)
+    shard = shards(digest)
+    n = filters.probes[shard] if len(shard) else np.zeros(0, np.int64)
+    of = np.repeat(np.arange(len(digest)), n)
+    i = (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)).astype(U64)
+    at = (mix(head)[of] + i * mix(head ^ MIXED)[of]) % filters.size[shard[of]].astype(U64)
+    return filters.begin[shard[of]] + at.astype(np.int64), of
 
 
 def filter_of(table: DataFrame, most_bits: int = MOST_BITS) -> Filter:
-    """The filter of the digests of a saved table. Tasks set bits, segments of them are merged, and the whole, which
-    is bounded by most_bits, comes to the driver."""
-    n = table.count()
+    """The filters of the runs of a saved table, one for each range. Tasks set bits, segments of them are merged, and the
+    whole, which is bounded by most_bits and a segment for each range, comes to the driver."""
+    own, step = table.select("digest").withColumn("shard", shard_of(F.col("digest"))), SEGMENT
+    count = np.zeros(SHARDS, np.int64)
+    for r in own.groupBy("shard").count().collect():  # at most SHARDS
+        count[r.shard] = r["count"]
+    n = int(count.sum())
+    wanted = np.minimum(FILTER_BITS * count, most_bits * count // max(1, n))
+    size = -(-wanted // step) * step
+    size[(count > 0) & (size == 0)] = step
+    probes = np.where(count > 0, np.clip(np.rint(size / np.maximum(1, count) * 0.69), 1, PROBES), 0).astype(np.int64)
+    total = int(size.sum())
+    empty = Filter(np.zeros(total // 8, np.uint8), np.cumsum(size) - size, size, probes)
     if not n:
-        return Filter(np.zeros(0, np.uint8), 0)
-    bits = -(-min(FILTER_BITS * n, most_bits) // SEGMENT) * SEGMENT
-    hashes = int(np.clip(round(bits / n * 0.69), 1, PROBES))
+        return empty
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = np.zeros(bits, bool)
+        mask = np.zeros(total, bool)
         for b in batches:
-            mask[places(b.column(0).to_pylist(), bits, hashes).ravel()] = True
-        parts = mask.reshape(-1, SEGMENT)
+            mask[places(b.column(0).to_pylist(), empty)[0]] = True
+        parts = mask.reshape(-1, step)
         some = np.flatnonzero(parts.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([np.packbits(parts[i]).tobytes() for i in some], pa.binary())], names=["segment", "bits"])
 
@@ -119,10 +204,9 @@ def filter_of(table: DataFrame, most_bits: int = MOST_BITS) -> Filter:
         return pa.table({"segment": t.column("segment")[:1], "bits": pa.array([both.tobytes()], pa.binary())})
 
     kind = "segment long, bits binary"
-    out = np.zeros(bits // 8, np.uint8)
     for r in table.select("digest").mapInArrow(fill, kind).groupBy("segment").applyInArrow(merge, kind).collect():
-        out[r.segment * SEGMENT // 8 : (r.segment + 1) * SEGMENT // 8] = np.frombuffer(r.bits, np.uint8)
-    return Filter(out, hashes)
+        empty.bits[r.segment * step // 8 : (r.segment + 1) * step // 8] = np.frombuffer(r.bits, np.uint8)
+    return empty
 
 
 def may_repeat(spark: SparkSession, index: Filter) -> Callable[[str], Column]:
@@ -136,17 +220,21 @@ def may_repeat(spark: SparkSession, index: Filter) -> Callable[[str], Column]:
     return passes
 
 
-def compacted(run_table: DataFrame) -> DataFrame:
-    """One run (digest, keep_id, group_size) of all runs, dealt out by digest."""
-    return run_table.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
+def looked_for(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows of an index in those of its runs that the digests of `asked` lie in: other runs' files aren't read."""
+    wanted = [r.shard for r in asked.select(shard_of(F.col("digest")).alias("shard")).distinct().collect()]  # at most SHARDS
+    return index.filter(F.col("shard").isin(wanted)).drop("shard")
 
 
 def looked_up(docs: DataFrame, bits: int, memtable: int) -> tuple[DataFrame, DataFrame, Callable[[str], Column]]:
     """The rows of find_copies() for documents that the filter holds off, for the others, and the filter's condition."""
     found = saved(digests(docs, bits), "digests")
-    several = saved(compacted(saved(runs(found, memtable), "runs")).filter("group_size > 1"), "index")
-    passes = may_repeat(docs.sparkSession, filter_of(several))
+    flushed = saved(runs(found, memtable), "runs")
+    index = compacted(flushed)
+    dropped(flushed)
+    passes = may_repeat(docs.sparkSession, filter_of(index))
     marked = found.withColumn("maybe", passes("digest"))
+    several = looked_for(index, marked.filter("maybe"))
     alone = marked.filter("not maybe").select("doc_id", "digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     hits = (marked.filter("maybe").join(several, "digest", "left")
             .select("doc_id", "digest", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size")))

@@ -565,7 +565,7 @@ def test_exact(spark, docs, corpus, bits):
     assert sorted((str(r.doc_id), r.text) for r in exact.drop_copies(odd).collect()) == [("4", "q"), ("5", "r"), ("5", "r"), ("None", "z"), ("None", "z")]
 
 
-def test_filters(spark, docs):
+def test_filters(spark, docs, monkeypatch):
     table = exact.runs(exact.digests(docs), memtable=16)
     own = defaultdict(list)
     for r in table.collect():
@@ -575,6 +575,7 @@ def test_filters(spark, docs):
     for most in (exact.MOST_BITS, 1):
         f = exact.filter_of(table.select("digest").distinct(), most)
         assert f.may_hold([d for v in own.values() for d in v]).all() and f.may_hold(other).mean() < 0.1
+    monkeypatch.setattr(exact, "SEGMENT", 512)
     many = spark.range(40_000).selectExpr("unhex(sha2(concat('n', id), 256)) AS digest")
     full = exact.filter_of(many, 1)  # far too small: it lets others pass, but holds none of its own off
     assert full.may_hold([bytes(r.digest) for r in many.limit(2000).collect()]).all() and 0.5 < full.may_hold(other).mean() < 1
@@ -582,6 +583,48 @@ def test_filters(spark, docs):
     assert not none.may_hold(other).any() and exact.may_repeat(spark, none) is not None
 
 
+def test_levels(spark):
+    """Runs of a level are sorted, each merges at most a few of the one before, and the last has one for each range."""
+    rng = random.Random(31)
+    rows_ = [(rng.choice([None, rng.randrange(10**6)]), hashlib.sha256(str(rng.randrange(3000)).encode()).digest()) for _ in range(8000)]
+    rows_ += [(i, hashlib.sha256(b"hot").digest()) for i in range(4000)]
+    found = spark.createDataFrame(rows_, "doc_id long, digest binary").repartition(6)
+    flushed = exact.saved(exact.runs(found, memtable=64), "runs")
+    steps = list(exact.levels(flushed, fan=4))
+    sizes = [flushed.select("run").distinct().count()]
+    assert len(steps) > 2
+    for level in steps:
+        own = defaultdict(list)
+        for r in level.collect():
+            own[r.shard, r.run].append(bytes(r.digest))
+            assert r.digest[0] * exact.SHARDS // 256 == r.shard
+        assert all(x == sorted(set(x)) for x in own.values())
+        sizes.append(len({run for _, run in own}))
+        assert sizes[-1] <= -(-sizes[-2] // 4) + 1
+    assert sizes[-1] == 1
+    want = defaultdict(list)
+    for d, k in rows_:
+        want[k].append(d)
+    index = exact.compacted(flushed, fan=4)
+    assert {bytes(r.digest): (r.keep_id, r.group_size) for r in index.collect()} == {k: (min((d for d in x if d is not None), default=None), len(x)) for k, x in want.items() if len(x) > 1}
+
+
+def test_lookups_read_the_runs_they_must(spark):
+    found = spark.range(20_000).selectExpr("id as doc_id", "unhex(sha2(cast(id div 2 as string), 256)) as digest")
+    index = exact.compacted(exact.saved(exact.runs(found), "runs"))
+    folders = lambda df: {f.rpartition("/")[0].rpartition("=")[2] for f in df.inputFiles()}
+    assert folders(index) == {str(i) for i in range(exact.SHARDS)}
+    asked = found.filter("doc_id in (3, 4000, 9001)")
+    got = exact.looked_for(index, asked)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    want = sorted({r.digest[0] * exact.SHARDS // 256 for r in asked.collect()})
+    assert "PartitionFilters: [shard" in plan and all(str(x) in plan.partition("PartitionFilters: [")[2].partition("]")[0] for x in want)
+    keep = {bytes(r.digest): r.keep_id for r in got.collect()}
+    assert {r.digest[0] * exact.SHARDS // 256 for r in got.collect()} == set(want) and [keep[bytes(r.digest)] for r in asked.orderBy("doc_id").collect()] == [2, 4000, 9000]
+    filters = exact.filter_of(index)
+    assert (filters.size > 0).all() and filters.may_hold([bytes(r.digest) for r in found.limit(3000).collect()]).all()
+
+
 # --- 10 ---
 
 def brute_bytes(corpus, size):
