@@ -1,7 +1,7 @@
 """Exact duplicates through a log-structured merge index of text digests.
 
 Each task gathers digests in a memtable and flushes it, sorted, as a run of level 0; a flush already combines copies that
-met in the memtable. The key space is cut into SHARDS ranges of the digest's first bits. Compaction goes level by level:
+met in the memtable. The key space is cut into ranges of the digest's first bits, as many as rows ask for. Compaction goes level by level:
 about `fan` runs of a level are merged, range by range, into one run of the next, a merge of sorted rows that keeps the
 smallest identifier and adds up the counts, until each range has one run. The last level keeps only the digests of more
 than one document; each of its runs has a Bloom filter of its own, and all filters together have a fixed bound (fuller
@@ -36,8 +36,9 @@ from .common import U64, columns, dropped, mix, saved, unused
 RUN = "run long, digest binary, doc_id long, n long"
 #: Entries of a memtable; bits of the filter for each digest, but at most MOST_BITS (16 MB), and hashes of a digest.
 MEMTABLE, FILTER_BITS, MOST_BITS, PROBES = 1 << 16, 10, 1 << 27, 7
-#: Bits of a filter that are merged as one row; ranges of digests; runs that one of the next level is merged from.
-SEGMENT, SHARDS, FAN = 1 << 15, 64, 64
+#: Bits of a filter that are merged as one row; runs that one of the next level is merged from; rows of runs that a range
+#: may have on average, and the least number of ranges.
+SEGMENT, FAN, RANGE, RANGES = 1 << 15, 64, 1 << 21, 16
 #: In place of a null doc_id where the smallest counts.
 NONE = np.iinfo(np.int64).max
 MIXED = U64(0x9E3779B97F4A7C15)
@@ -85,9 +86,9 @@ def runs(found: DataFrame, memtable: int = MEMTABLE) -> DataFrame:
     return found.mapInArrow(gather, RUN)
 
 
-def shard_of(digest: Column) -> Column:
-    """The range that a digest lies in, by its first byte."""
-    return F.floor(F.conv(F.hex(F.substring(digest, 1, 1)), 16, 10).cast("int") * SHARDS / 256).cast("int")
+def shard_of(digest: Column, n: int) -> Column:
+    """Which of n ranges a digest lies in, by its first two bytes."""
+    return F.floor(F.conv(F.rpad(F.hex(F.substring(digest, 1, 2)), 4, "0"), 16, 10).cast("int") * n / 65536).cast("int")
 
 
 def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,9 +115,14 @@ def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from held
 
 
-def levels(run_table: DataFrame, fan: int = FAN) -> Iterator[DataFrame]:
+def ranges(run_table: DataFrame) -> int:
+    """How many ranges the rows of runs ask for: a power of two."""
+    return min(1 << 16, max(RANGES, 1 << (run_table.count() // RANGE).bit_length()))
+
+
+def levels(run_table: DataFrame, shards_: int, fan: int = FAN) -> Iterator[DataFrame]:
     """The runs of each level from the first merge on; the last has one run for each range."""
-    level = run_table.withColumn("shard", shard_of(F.col("digest"))).select("shard", "run", "digest", "doc_id", "n")
+    level = run_table.withColumn("shard", shard_of(F.col("digest"), shards_)).select("shard", "run", "digest", "doc_id", "n")
     runs_ = run_table.select("run").distinct().count()
     while True:
         runs_ = -(-runs_ // fan)
@@ -130,9 +136,9 @@ def levels(run_table: DataFrame, fan: int = FAN) -> Iterator[DataFrame]:
             return
 
 
-def compacted(run_table: DataFrame, fan: int = FAN) -> DataFrame:
-    """(shard, digest, keep_id, group_size) of digests with several documents: the last level, a folder for each range."""
-    *before, last = levels(run_table, fan)
+def compacted(run_table: DataFrame, shards_: int, fan: int = FAN) -> DataFrame:
+    """(digest, keep_id, group_size, shard) of digests with several documents: the last level, a folder for each range."""
+    *before, last = levels(run_table, shards_, fan)
     kept = last.filter("n > 1").select("digest", F.col("doc_id").alias("keep_id"), F.col("n").alias("group_size"), "shard")
     out = saved(kept, "index", "shard")
     dropped(*before)
@@ -150,7 +156,7 @@ class Filter(NamedTuple):
 
     def may_hold(self, digest: list[bytes | None]) -> np.ndarray:
         """Which digests may be among those that the filters were made of; False is certain."""
-        shard = shards(digest)
+        shard = shards(digest, len(self.size))
         out = self.size[shard] > 0
         at, of = places([d for d, some in zip(digest, out) if some], self)
         hit = (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
@@ -159,14 +165,15 @@ class Filter(NamedTuple):
         return out
 
 
-def shards(digest: list[bytes | None]) -> np.ndarray:
-    return np.array([d[0] * SHARDS // 256 if d else 0 for d in digest], np.int64)
+def shards(digest: list[bytes | None], n: int) -> np.ndarray:
+    """Which of n ranges digests lie in."""
+    return np.array([int.from_bytes(d[:2].ljust(2, b"\0"), "big") * n // 65536 if d else 0 for d in digest], np.int64)
 
 
 def places(digest: list[bytes | None], filters: Filter) -> tuple[np.ndarray, np.ndarray]:
     """The bits that digests set, each in the filter of its range, by its first 8 bytes; and whose each is."""
     head = np.frombuffer(b"".join((d or b"")[:8].ljust(8, b"\0") for d in digest), U64)
-    shard = shards(digest)
+    shard = shards(digest, len(filters.size))
     n = filters.probes[shard] if len(shard) else np.zeros(0, np.int64)
     of = np.repeat(np.arange(len(digest)), n)
     i = (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)).astype(U64)
@@ -174,12 +181,12 @@ def places(digest: list[bytes | None], filters: Filter) -> tuple[np.ndarray, np.
     return filters.begin[shard[of]] + at.astype(np.int64), of
 
 
-def filter_of(table: DataFrame, most_bits: int = MOST_BITS) -> Filter:
+def filter_of(table: DataFrame, most_bits: int = MOST_BITS, shards_: int = RANGES) -> Filter:
     """The filters of the runs of a saved table, one for each range. Tasks set bits, segments of them are merged, and the
     whole, which is bounded by most_bits and a segment for each range, comes to the driver."""
-    own, step = table.select("digest").withColumn("shard", shard_of(F.col("digest"))), SEGMENT
-    count = np.zeros(SHARDS, np.int64)
-    for r in own.groupBy("shard").count().collect():  # at most SHARDS
+    own, step = table.select("digest").withColumn("shard", shard_of(F.col("digest"), shards_)), SEGMENT
+    count = np.zeros(shards_, np.int64)
+    for r in own.groupBy("shard").count().collect():  # at most one for each range
         count[r.shard] = r["count"]
     n = int(count.sum())
     wanted = np.minimum(FILTER_BITS * count, most_bits * count // max(1, n))
@@ -220,9 +227,9 @@ def may_repeat(spark: SparkSession, index: Filter) -> Callable[[str], Column]:
     return passes
 
 
-def looked_for(index: DataFrame, asked: DataFrame) -> DataFrame:
+def looked_for(index: DataFrame, asked: DataFrame, shards_: int) -> DataFrame:
     """The rows of an index in those of its runs that the digests of `asked` lie in: other runs' files aren't read."""
-    wanted = [r.shard for r in asked.select(shard_of(F.col("digest")).alias("shard")).distinct().collect()]  # at most SHARDS
+    wanted = [r.shard for r in asked.select(shard_of(F.col("digest"), shards_).alias("shard")).distinct().collect()]  # at most one for each range
     return index.filter(F.col("shard").isin(wanted)).drop("shard")
 
 
@@ -230,11 +237,12 @@ def looked_up(docs: DataFrame, bits: int, memtable: int) -> tuple[DataFrame, Dat
     """The rows of find_copies() for documents that the filter holds off, for the others, and the filter's condition."""
     found = saved(digests(docs, bits), "digests")
     flushed = saved(runs(found, memtable), "runs")
-    index = compacted(flushed)
+    shards_ = ranges(flushed)
+    index = compacted(flushed, shards_)
     dropped(flushed)
-    passes = may_repeat(docs.sparkSession, filter_of(index))
+    passes = may_repeat(docs.sparkSession, filter_of(index, shards_=shards_))
     marked = found.withColumn("maybe", passes("digest"))
-    several = looked_for(index, marked.filter("maybe"))
+    several = looked_for(index, marked.filter("maybe"), shards_)
     alone = marked.filter("not maybe").select("doc_id", "digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     hits = (marked.filter("maybe").join(several, "digest", "left")
             .select("doc_id", "digest", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size")))

@@ -590,14 +590,15 @@ def test_levels(spark):
     rows_ += [(i, hashlib.sha256(b"hot").digest()) for i in range(4000)]
     found = spark.createDataFrame(rows_, "doc_id long, digest binary").repartition(6)
     flushed = exact.saved(exact.runs(found, memtable=64), "runs")
-    steps = list(exact.levels(flushed, fan=4))
+    assert exact.ranges(flushed) == exact.RANGES
+    steps = list(exact.levels(flushed, 32, fan=4))
     sizes = [flushed.select("run").distinct().count()]
     assert len(steps) > 2
     for level in steps:
         own = defaultdict(list)
         for r in level.collect():
             own[r.shard, r.run].append(bytes(r.digest))
-            assert r.digest[0] * exact.SHARDS // 256 == r.shard
+            assert r.digest[0] * 32 // 256 == r.shard
         assert all(x == sorted(set(x)) for x in own.values())
         sizes.append(len({run for _, run in own}))
         assert sizes[-1] <= -(-sizes[-2] // 4) + 1
@@ -605,23 +606,23 @@ def test_levels(spark):
     want = defaultdict(list)
     for d, k in rows_:
         want[k].append(d)
-    index = exact.compacted(flushed, fan=4)
+    index = exact.compacted(flushed, 32, fan=4)
     assert {bytes(r.digest): (r.keep_id, r.group_size) for r in index.collect()} == {k: (min((d for d in x if d is not None), default=None), len(x)) for k, x in want.items() if len(x) > 1}
 
 
 def test_lookups_read_the_runs_they_must(spark):
     found = spark.range(20_000).selectExpr("id as doc_id", "unhex(sha2(cast(id div 2 as string), 256)) as digest")
-    index = exact.compacted(exact.saved(exact.runs(found), "runs"))
+    index = exact.compacted(exact.saved(exact.runs(found), "runs"), 64)
     folders = lambda df: {f.rpartition("/")[0].rpartition("=")[2] for f in df.inputFiles()}
-    assert folders(index) == {str(i) for i in range(exact.SHARDS)}
+    assert folders(index) == {str(i) for i in range(64)}
     asked = found.filter("doc_id in (3, 4000, 9001)")
-    got = exact.looked_for(index, asked)
+    got = exact.looked_for(index, asked, 64)
     plan = got._jdf.queryExecution().executedPlan().toString()
-    want = sorted({r.digest[0] * exact.SHARDS // 256 for r in asked.collect()})
+    want = sorted({r.digest[0] * 64 // 256 for r in asked.collect()})
     assert "PartitionFilters: [shard" in plan and all(str(x) in plan.partition("PartitionFilters: [")[2].partition("]")[0] for x in want)
     keep = {bytes(r.digest): r.keep_id for r in got.collect()}
-    assert {r.digest[0] * exact.SHARDS // 256 for r in got.collect()} == set(want) and [keep[bytes(r.digest)] for r in asked.orderBy("doc_id").collect()] == [2, 4000, 9000]
-    filters = exact.filter_of(index)
+    assert {r.digest[0] * 64 // 256 for r in got.collect()} == set(want) and [keep[bytes(r.digest)] for r in asked.orderBy("doc_id").collect()] == [2, 4000, 9000]
+    filters = exact.filter_of(index, shards_=64)
     assert (filters.size > 0).all() and filters.may_hold([bytes(r.digest) for r in found.limit(3000).collect()]).all()
 
 
