@@ -147,6 +147,14 @@ def test_logs_of_others(spark, tmp_path):
     assert last(spark, folder) == {"a": 2}
 
 
+def test_numbers_in_any_store(spark, tmp_path):
+    """The way that stores without links take: a rename that fails if the name is taken."""
+    folder = log.Folder(spark, str(tmp_path))
+    folder.local = False
+    assert folder.created("commits/1", "a") and not folder.created("commits/1", "b") and folder.created("commits/2", "é")
+    assert (folder.read("commits/1"), folder.read("commits/2"), folder.names("commits")) == ("a", "é", ["1", "2"])
+
+
 # --- views ----------------------------------------------------------------------------------
 
 def test_view(spark, tmp_path):
