@@ -8,7 +8,8 @@ compared, however many they are.
 1. One pass over the texts gives a sketch and a digest of each set; equal sets become one representative.
 2. Trees are grown over representatives. Within a node all pairs are compared by their sketches, with a bound that a
    linked pair misses with a chance of about 1e-7; a node larger than `tile` is compared tile by tile. Pairs that are already connected aren't compared again, as only connectivity counts here.
-3. The connected pieces of that coarse graph get their full sets, and within a piece every pair that isn't connected
+3. The connected pieces of that coarse graph get their full sets, from the texts that a filter of at most 16 MB of their
+   documents lets pass, so no other text moves while it isn't full; and within a piece every pair that isn't connected
    yet is confirmed or refused by the exact Jaccard similarity of the whole sets. Components of confirmed links are
    the result.
 
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import MIX_A, MIX_B, U64, columns, groups, mix, pieces, saved, word_hashes
 from .components import components
+from .exact import filter_of, may_repeat
 
 SETS = "doc_id long, n_shingles long, digest binary, sketch binary"
 COORDS = 64
@@ -262,7 +264,11 @@ def find_near(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
             own = pa.array([xxhash.xxh3_128_digest(x) == d for x, d in zip(items, b.column("digest").to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("piece"), b.column("tiles"), pa.array(items, pa.binary())], names=["doc_id", "piece", "tiles", "items"]).filter(own)
 
-    texts = columns(docs, "doc_id", "text").withColumnRenamed("doc_id", "first").join(piece, "first").select("doc_id", "digest", "piece", "tiles", "text")
+    # only texts that a bounded filter of the pieces' documents lets pass move to the join
+    key = lambda c: F.unhex(F.sha2(F.col(c).cast("string"), 256))
+    needed = may_repeat(docs.sparkSession, filter_of(piece.select(key("first").alias("digest"))))
+    texts = columns(docs, "doc_id", "text").withColumnRenamed("doc_id", "first").filter(needed(key("first")))
+    texts = texts.join(piece, "first").select("doc_id", "digest", "piece", "tiles", "text")
     rows = tiled(texts.mapInArrow(emit, "doc_id long, piece long, tiles long, items binary"), "piece", "tiles", "items")
     links = rows.repartition("piece", "a", "b").sortWithinPartitions("piece", "a", "b").mapInArrow(lambda x: confirmed(x, num, den), "u long, v long")
     member = full.select("doc_id", "digest").join(classes, "digest").select("doc_id", "first", "rep")
