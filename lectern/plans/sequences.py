@@ -243,3 +243,13 @@ def summary_watermark(t):
     c = F.col("conv_id")
     rows = t.conversations.select("conv_id", "turn", "text", F.coalesce(F.when(c % 3 > 0, c % 3), F.lit(0)).alias("done"))
     return windows.summarised(rows, "conv_id", "turn", F.length("text"), "done", 1500, 4)
+
+
+@query("""SELECT user_id, event_id, n AS done, CASE WHEN tm > first THEN round(n * 1000.0 / (tm - first), 6)::DOUBLE END AS rate FROM (SELECT user_id, event_id, epoch_us(ts) // 1000 AS tm,
+row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n, min(epoch_us(ts) // 1000) OVER (PARTITION BY user_id) AS first FROM events)""")
+def progress_rate(t):
+    """How many a second are done since the first; none at the first."""
+    order = Window.partitionBy("user_id").orderBy("at", "event_id")
+    rows = t.events.select("user_id", "event_id", ms("ts").alias("at")).withColumns({"done": F.row_number().over(order).cast("long"), "first": F.min("at").over(Window.partitionBy("user_id"))})
+    took = F.col("at") - F.col("first")
+    return rows.select("user_id", "event_id", "done", F.when(took > 0, F.round(F.col("done") * 1000.0 / took, 6)).alias("rate"))

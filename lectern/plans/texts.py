@@ -235,6 +235,28 @@ def normalize_url(t):
     return t.pages.select("page_id", text.href_path(F.regexp_replace("url", "^https?://[^/]+", "")).alias("path"))
 
 
+@query("""SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'a b' WHEN 1 THEN '100%' WHEN 2 THEN NULL WHEN 3 THEN 'x+y' END AS fragment,
+CASE page_id % 5 WHEN 4 THEN '%zz' ELSE 'p q/' || page_id END AS path FROM pages""")
+def link_parts(t):
+    """The decoded parts of links; an escape that is none leaves a part as it is."""
+    fragments = F.array(*map(F.lit, ("#a%20b", "#100%", "#", "#x+y", "")))
+    n = F.col("page_id") % 5
+    path = F.when(n == 4, "%zz").otherwise(F.concat(F.lit("p%20q/"), F.col("page_id").cast("string")))
+    link = F.concat(path, F.get(fragments, n.cast("int")))
+    return t.pages.select("page_id", text.href_fragment(link).alias("fragment"), text.unescaped(F.substring_index(link, "#", 1)).alias("path"))
+
+
+SECRET = b"a key of our own"
+PADS = [bytes(k ^ x for k in SECRET.ljust(64, b"\0")).hex() for x in (0x5C, 0x36)]
+
+
+@query(f"""WITH m AS (SELECT page_id, unhex('{PADS[1]}') || encode(url || chr(10) || (1700000000 + page_id)) AS inner_ FROM pages)
+SELECT page_id, 1700000000 + page_id AS expires, rtrim(replace(replace(base64(unhex(sha256(unhex('{PADS[0]}') || unhex(sha256(inner_))))), '+', '-'), '/', '_'), '=') AS signature FROM m""")
+def signed_links(t):
+    expires = F.col("page_id") + 1_700_000_000
+    return t.pages.select("page_id", expires.alias("expires"), text.hmac_sha256(SECRET, F.concat("url", F.lit("\n"), expires.cast("string"))).alias("signature"))
+
+
 @query()
 def segment_documents(t):
     return segmentation.segment_texts(t.documents.select("doc_id", "text"))
