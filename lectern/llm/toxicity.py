@@ -45,7 +45,7 @@ MARKS = ".,!?;:\"'()[]{}|*%&$#-_/\\<>«»„“”…"
 SCORES = "doc_id long, score double, evidence array<struct<doc_id:long,label:int,similarity:double>>"
 #: What a word counts that tells nothing about the label; texts compared at once; a posting list is long above this share;
 #: bytes of text that a task counts at once.
-FLOOR, TOGETHER, LONG, SLICE = 0.01, 32, 32, 1 << 20
+FLOOR, TOGETHER, LONG, SLICE = 0.01, 16, 32, 1 << 19
 
 
 def spread(first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -314,10 +314,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, class_bytes:
     w = index.vectors(offsets, t, c)
     released()
     order = np.lexsort((ex, t))
-    term, index.example, index.weight = t[order], ex[order], w[order]
+    term, index.example, index.weight = t[order], ex[order].astype(np.int32), w[order]
     key = term * (len(ids) // size + 1) + index.example // size
     heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-    index.first, index.block = np.append(heads, len(key)), index.example[heads] // size
+    index.first, index.block = np.append(heads, len(key)).astype(np.int32), index.example[heads] // size
     index.most = np.maximum.reduceat(index.weight, heads) if len(heads) else np.zeros(0)
     index.start = np.searchsorted(term[heads], np.arange(len(known) + 1))
     if not count.all():  # nothing to tell apart: the share of the class
@@ -349,10 +349,13 @@ def score(docs: DataFrame, index: Index, evidence: int = 3) -> DataFrame:
 def drop_toxic(docs: DataFrame, index: Index, cut: float = 0.7) -> DataFrame:
     """docs without those whose text scores `cut` or more."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
-    at = docs.columns.index("text")
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text", SLICE):
-            yield b.filter(pa.array(shared.value.scored(b.column(at))[0] < cut, pa.bool_()))
+    # only texts go to Python, and only scores come back
+    @F.arrow_udf("double")
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in batches:
+            parts = pieces(iter([pa.RecordBatch.from_arrays([text], names=["text"])]), "text", SLICE)
+            done = [shared.value.scored(b.column(0))[0] for b in parts]
+            yield pa.array(np.concatenate(done) if done else [], pa.float64())
 
-    return docs.mapInArrow(emit, docs.schema)
+    return docs.filter(scores(F.col("text")) < cut)
