@@ -203,6 +203,18 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(len(g.gone), 0)::BIGINT A
 FROM d LEFT JOIN g USING (doc_id)
 """
 
+OP6_SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, x FROM (SELECT doc_id, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS x FROM d)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM s AS a JOIN s AS b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT u, v FROM c JOIN n AS a ON a.doc_id = u JOIN n AS b ON b.doc_id = v WHERE 100 * k >= 80 * (a.n + b.n - k)),
+e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+r AS (SELECT doc_id AS u, doc_id AS c FROM documents UNION SELECT e.v, r.c FROM r JOIN e ON e.u = r.u WHERE r.c < e.v)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT u, min(c) AS c FROM r GROUP BY u) AS m ON m.u = d.doc_id
+"""
+
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t)::BIGINT AS group_size,
@@ -234,4 +246,4 @@ FROM k JOIN c USING (n)
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL; the other operators are tested against brute force in tests/llm."""
-    return {"op1_chat_formatting": OP1_SQL, "op4_embedding_near_dedup": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op9_exact_dedup": OP9_SQL, "op13_vector_codes": OP13_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op4_embedding_near_dedup": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op6_minhash_near_dedup": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op13_vector_codes": OP13_SQL}
