@@ -127,12 +127,15 @@ class Model:
         order = np.argsort(of, kind="stable")
         ends = np.searchsorted(of[order], np.arange(0, len(pair) + CONTEXTS, CONTEXTS))
         outputs = np.ascontiguousarray(np.column_stack([self.Q, self.bias]).T)
+        longest = np.sqrt((outputs**2).sum(axis=0).max())
         out = np.zeros(len(own))
         for i, j, k in zip(range(0, len(pair), CONTEXTS), ends, ends[1:]):
             x, y = np.divmod(pair[i : i + CONTEXTS], size)
-            s = np.column_stack([self.c[0] * self.R[x] + self.c[1] * self.R[y], np.ones(len(x), np.float32)]) @ outputs
+            r = np.column_stack([self.c[0] * self.R[x] + self.c[1] * self.R[y], np.ones(len(x), np.float32)])
+            s = r @ outputs
             these = order[j:k]
-            if np.abs(s).max() > 60:  # beyond what exp in single precision takes
+            # beyond what exp in single precision takes; a bound saves a look at all numbers
+            if np.sqrt((r**2).sum(axis=1).max()) * longest > 60 and np.abs(s).max() > 60:
                 s -= s.max(axis=1)[:, None]
             got = s[of[these] - i, own[these]].astype(np.float64)
             np.exp(s, out=s)
