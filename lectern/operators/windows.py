@@ -9,6 +9,16 @@ from pyspark.sql.window import Window
 from ..functions.text import trimmed
 
 
+def dealt(rows: DataFrame, key: str, most: int = 1 << 19) -> DataFrame:
+    """rows dealt out by key to as many partitions as leave about `most` rows in each.
+
+    Windows and aggregates of the key then need no other exchange. Without a number, small partitions are put together by
+    their bytes as shuffled, and a task that sorts and counts them needs many times that; here it doesn't grow with the table.
+    """
+    least = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(least, -(-rows.count() // most)), key)
+
+
 def rate_limited(hits: DataFrame, key: str, at_ms: str, order: str, window_ms: int = 300_000, most: int = 40) -> DataFrame:
     """hits with n_recent and limited: refused hits count too, and a key that is null or empty is never limited.
 

@@ -7,6 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from lectern.functions import segmentation, text
 from lectern.operators import folds, joins, mutate, windows
 from lectern.sources import epub
@@ -145,6 +146,16 @@ def test_timeline_verdict(spark):
     assert {r.k: r.verdict for r in windows.timeline_verdict(df, "k", ["i"], "id", "s", "e", "d").collect()} == {k: k.split()[0] for k in cases}
 
 
+def test_timelines_are_dealt_by_their_rows(spark):
+    """A task's rows don't grow with the table, and no exchange puts small partitions together afterwards."""
+    rows = spark.range(1000).select((F.col("id") % 300).alias("k"))
+    dealt = windows.dealt(rows, "k", 10)
+    assert dealt.rdd.getNumPartitions() == 100 and dealt.groupBy("k").count().count() == 300 and dealt.count() == 1000
+    for name in ("timeline_verdict", "timeline_validate"):
+        plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan.replace("SinglePartition, ENSURE_REQUIREMENTS", ""), plan
+
+
 def test_prefix_and_intervals(spark):
     rows = [("a", 1, 1.0), ("a", 2, None), ("a", 3, 9.0), ("b", 1, None), ("b", 2, 9.0), ("c", 1, 9.0), ("c", 2, None), ("d", 1, None), ("d", 2, 2.0)]
     df = spark.createDataFrame(rows, "k string, n long, pos double")
