@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import kept
 from ..streaming import runs, state, views
 from . import sequences
 from .registry import query
@@ -40,6 +41,7 @@ def stream_frames(t):
     parts = turns.withColumn("f", frame).select("conv_id", "i", "of", F.posexplode(F.array(F.left("f", half), F.substring("f", half + 1, F.length("f")))).alias("j", "chunk"))
     n = (F.col("i") * 2 + F.col("j")).cast("long")
     chunks = parts.select(F.col("conv_id").alias("stream"), n.alias("n"), "chunk", (n == F.col("of") * 2 - 1).alias("last"), (n * 1000 + START).alias("at"))
+    chunks = kept(chunks, "chunks")  # else each step numbers and cuts all turns anew
     late = (F.col("stream") % 5 == 0) & (F.col("n") == 2)
     at = views.fresh(t.spark, "frames")
     out = runs.in_steps(chunks, F.when(late, 2).otherwise(F.least(F.lit(2), F.floor((F.col("n") + 1) / 4))), 3, lambda s: runs.appended(state.framed(s), at), "frames")

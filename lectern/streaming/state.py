@@ -21,41 +21,42 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+PARTITIONS = "spark.sql.shuffle.partitions"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 @contextmanager
 def rocksdb(spark: SparkSession) -> Iterator[None]:
-    """A query that is started within keeps its state in RocksDB; the session's own setting is back afterwards."""
-    old = spark.conf.get(PROVIDER)
+    """A query that is started within keeps its state in RocksDB, in no more than four partitions for each core, as each takes
+    about a third of a second a batch, with or without rows; the session's own settings are back afterwards."""
+    old = {k: spark.conf.get(k) for k in (PROVIDER, PARTITIONS)}
     spark.conf.set(PROVIDER, ROCKSDB)
+    spark.conf.set(PARTITIONS, str(min(int(old[PARTITIONS]), 4 * spark.sparkContext.defaultParallelism)))
     try:
         yield
     finally:
-        spark.conf.set(PROVIDER, old)
+        for k, v in old.items():
+            spark.conf.set(k, v)
 
 
 class Silent(StatefulProcessor):
-    """A processor whose key goes when the watermark passes a time that each batch may move on."""
+    """A processor whose key goes when the watermark passes a time that each batch may move on.
+
+    Each call to the state is a message to the JVM and back, so a key keeps its timer (for when it is set, and when it is to
+    go) in a value that it reads and writes anyway. A time that moves on leaves the timer; one that comes up early is set anew.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.timer = handle.getValueState("timer", "at long")
-
-    def wake(self, at: int) -> None:
-        """Sets the key's only timer."""
-        if self.timer.exists():
-            old = self.timer.get()[0]
-            if old == at:
-                return
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(at)
-        self.timer.update((at,))
-
-    def sleep(self) -> None:
-        if self.timer.exists():
-            self.handle.deleteTimer(self.timer.get()[0])
-            self.timer.clear()
+
+    def moved(self, timer: int | None, until: int) -> int:
+        """The key's only timer, which comes up at until or before."""
+        if timer is not None:
+            if timer <= until:
+                return timer
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(until)
+        return until
 
     def close(self) -> None:
         pass
@@ -68,6 +69,7 @@ class Throttle(Silent):
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.hits = handle.getListState("hits", "at long")
+        self.timer = handle.getValueState("timer", "timer long, until long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         new = sorted((r.at, r.event_id) for r in rows)
@@ -85,11 +87,17 @@ class Throttle(Silent):
             self.hits.appendList([(at,) for at, _ in new])
         else:
             self.hits.put([(at,) for at in times])
-        self.wake(times[-1] + self.window)
+        timer, _ = self.timer.get() or (None, None)
+        until = times[-1] + self.window
+        self.timer.update((self.moved(timer, until), until))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.hits.clear()
-        self.timer.clear()
+        _, until = self.timer.get()
+        if until > timerValues.getCurrentWatermarkInMs():
+            self.timer.update((self.moved(None, until), until))
+        else:
+            self.hits.clear()
+            self.timer.clear()
         return iter(())
 
 
@@ -99,21 +107,24 @@ class Breaker(Silent):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.until = handle.getValueState("until", "at long")
+        self.until = handle.getValueState("open", "until long, timer long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        until = before = self.until.get()[0] if self.until.exists() else 0
+        before, timer = self.until.get() or (0, None)
+        until = before
         for at, event, refused in sorted((r.at, r.event_id, bool(r.refused)) for r in rows):
             yield Row(event_id=event, skipped=at < until)
             if at >= until and refused:
                 until = at + self.cooldown
         if until != before:
-            self.until.update((until,))
-            self.wake(until)
+            self.until.update((until, self.moved(timer, until)))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.until.clear()
-        self.timer.clear()
+        until, _ = self.until.get()
+        if until > timerValues.getCurrentWatermarkInMs():
+            self.until.update((until, self.moved(None, until)))
+        else:
+            self.until.clear()
         return iter(())
 
 
@@ -123,14 +134,15 @@ class Frames(Silent):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.place = handle.getValueState("place", "next long, frames long, rest string")
+        self.place = handle.getValueState("place", "next long, frames long, rest string, held long, timer long, until long")
         self.waiting = handle.getListState("waiting", "n long, chunk string, last boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         rows = list(rows)
-        next_, frames, rest = self.place.get() if self.place.exists() else (0, 0, "")
+        known = self.place.get()
+        next_, frames, rest, waits, timer, _ = known or (0, 0, "", 0, None, None)
         held = {r.n: (r.chunk or "", bool(r.last)) for r in rows if r.n >= next_}
-        held |= {n: (chunk, last) for n, chunk, last in self.waiting.get()}
+        held |= {n: (chunk, last) for n, chunk, last in self.waiting.get()} if waits else {}
         ended = False
         parts = [rest]
         while not ended and next_ in held:
@@ -144,26 +156,30 @@ class Frames(Silent):
             yield Row(stream=key[0], place=frames, frame=frame, broken=False)
             frames += 1
         if ended:
-            self.forget()
-            self.sleep()
+            if known:
+                self.forget(waits)
+                self.handle.deleteTimer(timer)
             return
         # a line end that is cut in two stays whole in the rest
-        self.place.update((next_, frames, rest))
+        until = max(r.at for r in rows) + self.silence
+        self.place.update((next_, frames, rest, len(held), self.moved(timer, until), until))
         if held:
             self.waiting.put([(n, *x) for n, x in held.items()])
-        else:
+        elif waits:
             self.waiting.clear()
-        self.wake(max(r.at for r in rows) + self.silence)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        frames = self.place.get()[1]
-        self.forget()
-        self.timer.clear()
+        next_, frames, rest, waits, _, until = self.place.get()
+        if until > timerValues.getCurrentWatermarkInMs():
+            self.place.update((next_, frames, rest, waits, self.moved(None, until), until))
+            return
+        self.forget(waits)
         yield Row(stream=key[0], place=frames, frame=None, broken=True)
 
-    def forget(self) -> None:
+    def forget(self, waits: int) -> None:
         self.place.clear()
-        self.waiting.clear()
+        if waits:
+            self.waiting.clear()
 
 
 class Counter(Silent):
@@ -172,21 +188,24 @@ class Counter(Silent):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.count = handle.getValueState("count", "n long")
+        self.count = handle.getValueState("count", "n long, timer long, until long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        n = self.count.get()[0] if self.count.exists() else 0
+        n, timer, _ = self.count.get() or (0, None, None)
         last = 0
         for place, at in sorted((r.place, r.at) for r in rows):
             n, last = n + 1, max(last, at)
             if n % self.every == 0:
                 yield Row(key=key[0], fired=n // self.every, upto=place)
-        self.count.update((n,))
-        self.wake(last + self.silence)
+        until = last + self.silence
+        self.count.update((n, self.moved(timer, until), until))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.count.clear()
-        self.timer.clear()
+        n, _, until = self.count.get()
+        if until > timerValues.getCurrentWatermarkInMs():
+            self.count.update((n, self.moved(None, until), until))
+        else:
+            self.count.clear()
         return iter(())
 
 

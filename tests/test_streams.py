@@ -5,6 +5,7 @@ import threading
 import time
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lectern.operators import folds, joins
@@ -38,6 +39,88 @@ def test_chunks_out_of_order_and_twice(spark, tmp_path):
     assert [(r.place, r.frame) for r in got] == [(0, "a"), (1, "b"), (2, "d"), (3, "last")]
 
 
+def test_a_silence_that_moves_on(spark, tmp_path):
+    """The timer of the first chunk comes up while later ones have moved the silence on."""
+    parts = [[(1, 0, "a\n\nb", False, T0)], [(1, 1, "c", False, T0 + 8_000)], [(2, 0, "z", True, T0 + 15_000)], [(1, 2, "d\n\n", False, T0 + 15_500)], [(3, 0, "z", True, T0 + 100_000)]]
+    got = arriving(spark, parts, "stream long, n long, chunk string, last boolean, at long", lambda s: state.framed(s, silence_ms=10_000, delay="1 second"), tmp_path).collect()
+    assert sorted((r.stream, r.place, r.frame or "", r.broken) for r in got) == [(1, 0, "a", False), (1, 1, "bcd", False), (1, 2, "", True), (2, 0, "z", False), (3, 0, "z", False)]
+
+
+class Calls:
+    """A processor's handle and its states for one key, which counts calls."""
+
+    def __init__(self):
+        self.n, self.timers = 0, set()
+
+    def getValueState(self, name, schema):
+        return Value(self, None)
+
+    def getListState(self, name, schema):
+        return Value(self, [])
+
+    def registerTimer(self, at):
+        self.n += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.n += 1
+        self.timers.remove(at)
+
+
+class Value:
+    def __init__(self, calls, none):
+        self.calls, self.none, self.now = calls, none, none
+
+    def get(self):
+        self.calls.n += 1
+        return self.now
+
+    def exists(self):
+        self.calls.n += 1
+        return self.now != self.none
+
+    def update(self, value):
+        self.calls.n += 1
+        self.now = value
+
+    put = update
+
+    def clear(self):
+        self.update(self.none)
+
+
+def test_calls_to_the_state():
+    """Each is a message to the JVM and back."""
+    handle, frames = Calls(), state.Frames(10)
+    frames.init(handle)
+
+    def calls(*rows):
+        before = handle.n
+        out = [(r.place, r.frame) for r in frames.handleInputRows((1,), iter([Row(n=n, chunk=c, last=last, at=at) for n, c, last, at in rows]), None)]
+        return out, handle.n - before
+
+    assert calls((0, "a\n\n", False, 0), (1, "b\n\n", True, 1)) == ([(0, "a"), (1, "b")], 1)
+    assert calls((0, "a\n\n", False, 0)) == ([(0, "a")], 3) and calls((1, "b", False, 5)) == ([], 2) and handle.timers == {10}
+    assert calls((2, "c\n\n", True, 6)) == ([(1, "bc")], 3) and not handle.timers
+    counter = state.Counter(2, 10)
+    counter.init(handle)
+    for at, most in ((0, 3), (5, 2)):
+        before = handle.n
+        list(counter.handleInputRows((1,), iter([Row(place=at, at=at)]), None))
+        assert handle.n - before <= most
+
+
+def test_partitions_of_states(spark):
+    old = spark.conf.get(state.PARTITIONS)
+    spark.conf.set(state.PARTITIONS, "600")
+    try:
+        with state.rocksdb(spark):
+            assert int(spark.conf.get(state.PARTITIONS)) == 4 * spark.sparkContext.defaultParallelism
+        assert spark.conf.get(state.PARTITIONS) == "600"
+    finally:
+        spark.conf.set(state.PARTITIONS, old)
+
+
 def test_counts_restart_after_silence(spark, tmp_path):
     rows = lambda ns, at: [("7", n, at + n) for n in ns]
     parts = [rows(range(3), T0), rows(range(3, 6), T0), [("8", 0, T0 + 900_000)], rows(range(6, 10), T0 + 900_000)]
