@@ -137,6 +137,13 @@ def test_segment_pages(spark, pages):
         assert k in full or all(len(y) <= 320 for y in parts)
 
 
+def test_pages_are_spread(spark):
+    """However pages are stored, no task and no batch of a worker has more than about 2,048 of them."""
+    table = spark.range(0, 10_000, 1, 1).select(F.col("id").alias("page_id"), F.lit("<p>One. Two.</p>").alias("html"))
+    out = segmentation.segment_pages(table, segmentation.Options(min_chars=0))
+    assert out.rdd.getNumPartitions() == 5 and out.count() == 20_000
+
+
 ODD = """<html><body><p>One sentence.<!-- marker --> Tail text.<?keep yes?></p><div>loose <p id='mg-000001'>A. <b>Two. Three</b> four.<br> End.</p></div>
 <p><b>only</b></p><p><i></i> <br></p><p>x &amp; &lt;y&gt; <span>in <div>block in span</div> out</span> tail.</p><script>if (a < b) "</p>"</script><p class='toc'>skip. me.</p><ul><li>  <li>b</ul></body></html>"""
 
