@@ -10,7 +10,8 @@ lies within another if its place is within that range, so what asks for ancestor
 
 rewritten() wraps utterances in spans, as a reader needs them to follow a voice: it moves nodes and cuts text, never drops
 any, and refuses a page whose text it would change. Span numbers run on over all pages: utterances are counted by page
-first, a prefix sum over the pages tells where each begins, then pages are written with their own numbers.
+first, a prefix sum over the pages tells where each begins, then pages are written with their own numbers. What the first
+pass has cut is kept as bounds, so the second only parses.
 """
 
 from __future__ import annotations
@@ -26,10 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import kept
+from . import segmentation
 from .segmentation import BLOCKS, SKIPPED, SKIPPED_CLASSES, SKIPPED_TYPES, VOID, Node, Options, Tree, leaf_blocks, utterance_bounds
 
 NODES = "page_id long, ord int, last int, up int, tag string, attrs map<string,string>, text string"
 NODE = pa.schema([("page_id", pa.int64()), ("ord", pa.int32()), ("last", pa.int32()), ("up", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string())])
+#: Pages that a worker has as trees and texts at once.
+SOME = 32
 #: Elements whose content is no markup.
 RAW = frozenset("script style".split())
 
@@ -162,9 +166,14 @@ def slices(children: list, bounds: list[int]) -> list[list]:
     return out
 
 
-def with_spans(page: str, start: int, o: Options) -> tuple[str | None, list[dict], str | None]:
+def items(block: Node) -> list[tuple[bool, str]]:
+    """A block's children as utterance_bounds() takes them."""
+    return [(isinstance(x, str), x if isinstance(x, str) else x.text()) for x in block.children]
+
+
+def with_spans(page: str, start: int, o: Options, known: list[list[int]] | None = None) -> tuple[str | None, list[dict], str | None]:
     """A page with a span around each utterance of its leaf blocks, numbered from start on; the spans; an error if its text
-    would not be the same."""
+    would not be the same. known: the bounds of each block's utterances, if they have been taken before."""
     blocks, tree = leaf_blocks(page, o, whole=True)
     before = " ".join(whole_text(tree.root).split())
     taken, todo = set(), [tree.root]
@@ -173,9 +182,8 @@ def with_spans(page: str, start: int, o: Options) -> tuple[str | None, list[dict
         taken.add(x.attrs.get("id"))
         todo += [y for y in x.children if not isinstance(y, str)]
     spans, n = [], start
-    for order, _, node in blocks:
-        items = [(isinstance(x, str), x if isinstance(x, str) else x.text()) for x in node.children]
-        bounds = utterance_bounds(items, o)
+    for i, (order, _, node) in enumerate(blocks):
+        bounds = utterance_bounds(items(node), o) if known is None else known[i]
         new = []
         for part in slices(node.children, bounds):
             name = f"mg-{n:06d}"
@@ -196,32 +204,36 @@ def with_spans(page: str, start: int, o: Options) -> tuple[str | None, list[dict
 
 
 def span_counts(pages: DataFrame, o: Options = Options()) -> DataFrame:
-    """(page_id, n): how many spans each page takes."""
+    """(page_id, n, bounds): how many spans each page takes, and where they begin and end in each leaf block."""
+    kind = pa.schema([("page_id", pa.int64()), ("n", pa.int64()), ("bounds", pa.list_(pa.list_(pa.int32())))])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = []
-            for page in b.column(1).to_pylist():
-                blocks = leaf_blocks(page or "", o)
-                n.append(sum(len(utterance_bounds([(isinstance(x, str), x if isinstance(x, str) else x.text()) for x in node.children], o)) - 1 for _, _, node in blocks))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["page_id", "n"])
+            for i in range(0, b.num_rows, SOME):
+                part = b.slice(i, SOME)
+                bounds = [[utterance_bounds(items(node), o) for _, _, node in leaf_blocks(page or "", o)] for page in part.column(1).to_pylist()]
+                n = [sum(len(x) - 1 for x in blocks) for blocks in bounds]
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(bounds, kind.field("bounds").type)], schema=kind)
 
-    return pages.select("page_id", "html").mapInArrow(emit, "page_id long, n long")
+    return pages.select("page_id", "html").mapInArrow(emit, "page_id long, n long, bounds array<array<int>>")
 
 
 def rewritten(pages: DataFrame, o: Options = Options()) -> DataFrame:
     """(page_id, html, spans, error): pages with spans whose numbers run on by page_id; page_id is unique."""
-    counts = kept(span_counts(pages, o).repartitionByRange("page_id").withColumn("part", F.spark_partition_id()), "spans")
+    pages = segmentation.spread(pages.select("page_id", "html"))
+    # kept first: ranges are drawn from a sample, for which all pages would be cut once more
+    counts = kept(kept(span_counts(pages, o), "cuts").repartitionByRange("page_id").withColumn("part", F.spark_partition_id()), "spans")
     sizes = counts.groupBy("part").agg(F.sum("n").alias("size"))
     before = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))  # a row for each partition
     own = F.sum("n").over(Window.partitionBy("part").orderBy("page_id")) - F.col("n")
-    begins = counts.join(F.broadcast(before), "part").select("page_id", (F.col("before") + own).alias("begin"))
+    begins = counts.join(F.broadcast(before), "part").select("page_id", (F.col("before") + own).alias("begin"), "bounds")
     kind = pa.schema([("page_id", pa.int64()), ("html", pa.string()), ("spans", pa.list_(pa.struct([("id", pa.string()), ("ord", pa.int32()), ("text", pa.string())]))), ("error", pa.string())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
-                out, spans, error = with_spans(r["html"] or "", r["begin"], o)
-                yield pa.RecordBatch.from_pylist([{"page_id": r["page_id"], "html": out, "spans": spans, "error": error}], kind)
+            for i in range(0, b.num_rows, SOME):
+                rows = [(r["page_id"], *with_spans(r["html"] or "", r["begin"], o, r["bounds"])) for r in b.slice(i, SOME).to_pylist()]
+                yield pa.RecordBatch.from_pylist([dict(zip(kind.names, r)) for r in rows], kind)
 
-    return pages.select("page_id", "html").join(begins, "page_id").mapInArrow(emit, "page_id long, html string, spans array<struct<id:string,ord:int,text:string>>, error string")
+    # a broadcast would grow with the bounds, and pages would not stay where they are dealt to
+    return pages.join(begins.hint("merge"), "page_id").mapInArrow(emit, "page_id long, html string, spans array<struct<id:string,ord:int,text:string>>, error string")

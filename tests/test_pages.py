@@ -142,6 +142,7 @@ def test_pages_are_spread(spark):
     table = spark.range(0, 10_000, 1, 1).select(F.col("id").alias("page_id"), F.lit("<p>One. Two.</p>").alias("html"))
     out = segmentation.segment_pages(table, segmentation.Options(min_chars=0))
     assert out.rdd.getNumPartitions() == 5 and out.count() == 20_000
+    assert tree.rewritten(table).rdd.getNumPartitions() == 5
 
 
 ODD = """<html><body><p>One sentence.<!-- marker --> Tail text.<?keep yes?></p><div>loose <p id='mg-000001'>A. <b>Two. Three</b> four.<br> End.</p></div>
@@ -168,6 +169,15 @@ def test_rewritten(spark):
     assert [s["id"] for s in taken[1]] == ["mg-000000xx"]
 
 
+def test_bounds_are_taken_once(spark, monkeypatch):
+    """What the count of spans has cut is what the pages are written with."""
+    o = segmentation.Options(min_chars=0)
+    own = tree.span_counts(spark.createDataFrame([(1, ODD)], "page_id long, html string"), o).first()
+    want = tree.with_spans(ODD, 2, o)
+    monkeypatch.setattr(tree, "utterance_bounds", None)
+    assert own.n == sum(len(x) - 1 for x in own.bounds) > 5 and tree.with_spans(ODD, 2, o, own.bounds) == want
+
+
 def test_span_pages(spark, pages):
     got = {r.page_id: r for r in rows(spark, "span_pages")}
     segments = {}
