@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.windows import dealt
 from ..session import kept
 from . import segmentation
 from .segmentation import BLOCKS, SKIPPED, SKIPPED_CLASSES, SKIPPED_TYPES, VOID, Node, Options, Tree, leaf_blocks, utterance_bounds
@@ -130,21 +131,22 @@ def running_numbers(rows: DataFrame, key: str, place: str, name: str) -> DataFra
 
 # --- pages with spans -----------------------------------------------------------------------
 
-def markup(node: Node | str, raw: bool = False) -> str:
+def markup(node: Node | str) -> str:
     """A node as markup."""
-    if isinstance(node, str):
-        return node if raw else html.escape(node, quote=False)
-    if node.tag.startswith("#"):
-        return {"#comment": "<!--{}-->", "#pi": "<?{}>", "#decl": "<!{}>"}[node.tag].format(node.attrs["text"])
-    attrs = "".join(f' {k}="{html.escape(v)}"' for k, v in node.attrs.items())
-    if node.tag in VOID and not node.children:
-        return f"<{node.tag}{attrs}>"
-    return f"<{node.tag}{attrs}>{''.join(markup(x, node.tag in RAW) for x in node.children)}</{node.tag}>"
-
-
-def whole_text(node: Node | str) -> str:
-    """All text within a node, as it stands."""
-    return node if isinstance(node, str) else "".join(whole_text(x) for x in node.children)
+    out, todo = [], [(node, False)]  # nodes, and what is markup or raw already
+    while todo:
+        x, raw = todo.pop()
+        if isinstance(x, str):
+            out.append(x if raw else html.escape(x, quote=False))
+        elif x.tag.startswith("#"):
+            out.append({"#comment": "<!--{}-->", "#pi": "<?{}>", "#decl": "<!{}>"}[x.tag].format(x.attrs["text"]))
+        else:
+            attrs = "".join(f' {k}="{html.escape(v)}"' for k, v in x.attrs.items())
+            out.append(f"<{x.tag}{attrs}>")
+            if x.tag not in VOID or x.children:
+                todo.append((f"</{x.tag}>", True))
+                todo += [(y, x.tag in RAW) for y in reversed(x.children)]
+    return "".join(out)
 
 
 def slices(children: list, bounds: list[int]) -> list[list]:
@@ -175,7 +177,7 @@ def with_spans(page: str, start: int, o: Options, known: list[list[int]] | None
     """A page with a span around each utterance of its leaf blocks, numbered from start on; the spans; an error if its text
     would not be the same. known: the bounds of each block's utterances, if they have been taken before."""
     blocks, tree = leaf_blocks(page, o, whole=True)
-    before = " ".join(whole_text(tree.root).split())
+    before = " ".join(tree.root.text(frozenset()).split())
     taken, todo = set(), [tree.root]
     while todo:
         x = todo.pop()
@@ -198,14 +200,14 @@ def with_spans(page: str, start: int, o: Options, known: list[list[int]] | None
                 spans.append({"id": name, "ord": order, "text": text})
             n += 1
         node.children = new
-    if " ".join(whole_text(tree.root).split()) != before:
+    if " ".join(tree.root.text(frozenset()).split()) != before:
         return None, [], "rewriting changed the page's text"
     return "".join(markup(x) for x in tree.root.children), spans, None
 
 
 def span_counts(pages: DataFrame, o: Options = Options()) -> DataFrame:
-    """(page_id, n, bounds): how many spans each page takes, and where they begin and end in each leaf block."""
-    kind = pa.schema([("page_id", pa.int64()), ("n", pa.int64()), ("bounds", pa.list_(pa.list_(pa.int32())))])
+    """(page_id, html, n, bounds): how many spans each page takes, and where they begin and end in each leaf block."""
+    kind = pa.schema([("page_id", pa.int64()), ("html", pa.string()), ("n", pa.int64()), ("bounds", pa.list_(pa.list_(pa.int32())))])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -213,20 +215,21 @@ def span_counts(pages: DataFrame, o: Options = Options()) -> DataFrame:
                 part = b.slice(i, SOME)
                 bounds = [[utterance_bounds(items(node), o) for _, _, node in leaf_blocks(page or "", o)] for page in part.column(1).to_pylist()]
                 n = [sum(len(x) - 1 for x in blocks) for blocks in bounds]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(bounds, kind.field("bounds").type)], schema=kind)
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1).cast(pa.string()), pa.array(n, pa.int64()), pa.array(bounds, kind.field("bounds").type)], schema=kind)
 
-    return pages.select("page_id", "html").mapInArrow(emit, "page_id long, n long, bounds array<array<int>>")
+    return pages.select("page_id", "html").mapInArrow(emit, "page_id long, html string, n long, bounds array<array<int>>")
 
 
 def rewritten(pages: DataFrame, o: Options = Options()) -> DataFrame:
-    """(page_id, html, spans, error): pages with spans whose numbers run on by page_id; page_id is unique."""
-    pages = segmentation.spread(pages.select("page_id", "html"))
-    # kept first: ranges are drawn from a sample, for which all pages would be cut once more
-    counts = kept(kept(span_counts(pages, o), "cuts").repartitionByRange("page_id").withColumn("part", F.spark_partition_id()), "spans")
+    """(page_id, html, spans, error): pages with spans whose numbers run on by page_id; rows that share one, or have none, are
+    pages of their own."""
+    # kept first: ranges are drawn from a sample, for which all pages would be cut once more, and a page must meet its own bounds
+    cut = kept(span_counts(segmentation.spread(pages.select("page_id", "html")), o).withColumn("row", F.monotonically_increasing_id()), "cuts")
+    counts = kept(cut.select("page_id", "row", "n").repartitionByRange("page_id", "row").withColumn("part", F.spark_partition_id()), "spans")
     sizes = counts.groupBy("part").agg(F.sum("n").alias("size"))
     before = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))  # a row for each partition
-    own = F.sum("n").over(Window.partitionBy("part").orderBy("page_id")) - F.col("n")
-    begins = counts.join(F.broadcast(before), "part").select("page_id", (F.col("before") + own).alias("begin"), "bounds")
+    own = F.sum("n").over(Window.partitionBy("part").orderBy("page_id", "row")) - F.col("n")
+    begins = counts.join(F.broadcast(before), "part").select("row", (F.col("before") + own).alias("begin"))
     kind = pa.schema([("page_id", pa.int64()), ("html", pa.string()), ("spans", pa.list_(pa.struct([("id", pa.string()), ("ord", pa.int32()), ("text", pa.string())]))), ("error", pa.string())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,5 +238,5 @@ def rewritten(pages: DataFrame, o: Options = Options()) -> DataFrame:
                 rows = [(r["page_id"], *with_spans(r["html"] or "", r["begin"], o, r["bounds"])) for r in b.slice(i, SOME).to_pylist()]
                 yield pa.RecordBatch.from_pylist([dict(zip(kind.names, r)) for r in rows], kind)
 
-    # a broadcast would grow with the bounds, and pages would not stay where they are dealt to
-    return pages.join(begins.hint("merge"), "page_id").mapInArrow(emit, "page_id long, html string, spans array<struct<id:string,ord:int,text:string>>, error string")
+    # a broadcast would grow with the pages, and they would not stay where they are dealt to
+    return dealt(cut, "row", 2048).join(begins.hint("merge"), "row").mapInArrow(emit, "page_id long, html string, spans array<struct<id:string,ord:int,text:string>>, error string")

@@ -178,6 +178,33 @@ def test_bounds_are_taken_once(spark, monkeypatch):
     assert own.n == sum(len(x) - 1 for x in own.bounds) > 5 and tree.with_spans(ODD, 2, o, own.bounds) == want
 
 
+DEEP = "<html><body><article>" + "".join(f"<p class='c'><b>Paragraph {i} is here. <br>" for i in range(600)) + "</article>Tail.</body></html>"
+
+
+def test_deep_pages(spark):
+    """Paragraphs that are left open lie within each other, deeper than Python's calls may; each is a block with all within."""
+    table = spark.createDataFrame([(1, "<p>First.</p>"), (2, DEEP), (3, "<p>Last.</p>")], "page_id long, html string")
+    got = {r.page_id: r for r in tree.rewritten(table).collect()}
+    texts = [f"Paragraph {i} is here." for i in range(600)]
+    assert [s.text for s in got[2].spans] == [" ".join(texts[i:]) for i in range(600)] and got[2].error is None
+    assert [s.id for s in got[2].spans] == [f"mg-{i:06d}" for i in range(1, 601)] and got[3].spans[0].id == "mg-000601"
+    assert got[2].html == "".join(["<html><body><article>", *(f'<p class="c"><span id="mg-{i + 1:06d}"><b>Paragraph {i} is here. <br>' for i in range(600)), "</b></span></p>" * 600, "</article>Tail.</body></html>"])
+    assert segmentation.segment_pages(table).filter("page_id = 2").count() == segmentation.html_blocks(table).filter("page_id = 2").count() == 600
+    assert segmentation.html_text(table).filter("page_id = 2").first().text == " ".join([*texts, "Tail."])
+    assert tree.nodes(table).filter("page_id = 2 and tag = 'p'").agg(F.max(F.length("text"))).first()[0] == len(" ".join(texts))
+
+
+def test_pages_that_share_an_id(spark):
+    """Each row is a page of its own, with its own bounds, and numbers run on over them all."""
+    o = segmentation.Options(min_chars=0)
+    odd = ["<p>One. Two.</p><p>Three.</p>", "<p>Four.</p>", "<p>Four.</p>", "<ul><li>Five. Six.<li>Seven.</ul>", ""]
+    table = spark.createDataFrame([(k, x) for k in (2, None, 1) for x in odd], "page_id long, html string")
+    got = sorted(tree.rewritten(table, o).collect(), key=lambda r: (r.page_id or 0, [s.id for s in r.spans]))
+    want = sorted((k, " ".join(x["text"] for x in tree.with_spans(x, 0, o)[1])) for k in (0, 1, 2) for x in odd)
+    assert sorted((r.page_id or 0, " ".join(s.text for s in r.spans)) for r in got) == want and not any(r.error for r in got)
+    assert [s.id for r in got for s in r.spans] == [f"mg-{i:06d}" for i in range(3 * (3 + 1 + 1 + 1))]
+
+
 def test_span_pages(spark, pages):
     got = {r.page_id: r for r in rows(spark, "span_pages")}
     segments = {}
